@@ -13,14 +13,14 @@ from pyspark.sql import types as T
 from tracelake import fixed
 from tracelake.operators.ordering import first_per_group
 
-FINDINGS = T.StructType.fromDDL(
+FINDINGS = (
     "finding_id string, ordinal long, scanner_id string, category string, subcategory string, path string, "
     "display_name string, is_directory boolean, size_bytes long, created_at timestamp, modified_at timestamp, "
     "last_access_at timestamp, exposure_score int, exposure_reasons array<string>, metadata string, ignored boolean")
 TABLES = {
     "scans": "scan_id string, started_at timestamp, finished_at timestamp, host string, os_version string, "
              "app_version string",
-    "findings": FINDINGS.simpleString()[7:-1].replace(":", " ") + ", scan_id string",
+    "findings": FINDINGS + ", scan_id string",
     "exclusions": "path string",
     "feedback": "finding_id string, path_key string, label boolean, created_at timestamp, updated_at timestamp, "
                 "schema_version int, feature_json string",
@@ -182,21 +182,24 @@ def feedback_refreshed(feedback: DataFrame, fresh: DataFrame, at: Column) -> Dat
 
 # --- snapshots ------------------------------------------------------------------------------------
 
-SNAPSHOT_FIELDS = [f.name for f in FINDINGS.fields if f.name not in ("ordinal", "is_directory")]
+NOT_IN_SNAPSHOT = ("ordinal", "is_directory")
+
+
+def snapshot_schema() -> T.StructType:
+    return T.StructType([f for f in T.StructType.fromDDL(FINDINGS).fields if f.name not in NOT_IN_SNAPSHOT])
 
 
 def write_snapshot(findings: DataFrame, folder: str, ceiling: int = fixed.MAX_SNAPSHOT_FINDINGS) -> None:
     """SNK-2: refuses more rows than the ceiling. Directory flags, history and personal fields are not kept."""
     if findings.count() > ceiling:
         raise ValueError(f"snapshot exceeds the limit of {ceiling} findings")
-    findings.select(*SNAPSHOT_FIELDS).write.mode("overwrite").json(folder)
+    findings.select(*snapshot_schema().names).write.mode("overwrite").json(folder)
 
 
 def read_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     """SNK-2: missing values get their defaults."""
-    schema = T.StructType([f for f in FINDINGS.fields if f.name in SNAPSHOT_FIELDS])
     texts = {"scanner_id": "", "category": "Other", "subcategory": "", "path": "", "display_name": "", "metadata": "{}"}
-    rows = spark.read.schema(schema).json(folder)
+    rows = spark.read.schema(snapshot_schema()).json(folder)
     for name, default in texts.items():
         rows = rows.withColumn(name, F.coalesce(name, F.lit(default)))
     return (rows.withColumn("exposure_reasons", F.coalesce("exposure_reasons", F.array().cast("array<string>")))
