@@ -55,8 +55,8 @@ def classified(entries: DataFrame) -> DataFrame:
 
 
 def entry_size(size: Column) -> Column:
-    kilo = F.format_number(size / 1024.0, "0.0")
-    mega = F.format_number(size / 1048576.0, "0.0")
+    kilo = F.format_string("%.1f", size / 1024.0)
+    mega = F.format_string("%.1f", size / 1048576.0)
     return (F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B")))
             .when(size < 1048576, F.concat(kilo, F.lit(" KB"))).otherwise(F.concat(mega, F.lit(" MB"))))
 

@@ -62,7 +62,7 @@ def total(parts: list[Column]) -> Column:
 
 # --- JSON boundary --------------------------------------------------------------------------------
 
-def to_metadata(existing: Column | None = None) -> Column:
+def to_metadata() -> Column:
     """JSN-1 export: one key per present detector, people at the root, `scan_status` beside them."""
     parts = [c(name).alias(key) for name, (key, _) in JSON_KEYS.items() if name != "similarity"]
     parts += [c(f"people.{f}").alias(f) for f in PEOPLE_FIELDS]
@@ -226,8 +226,7 @@ def badge() -> Column:
     def percent(value: Column) -> Column:
         return F.concat(F.bround(value * 100, 0).cast("int").cast("string"), F.lit(" %"))
 
-    gps = F.concat(F.lit("GPS: "), F.format_number(c("exif.latitude"), "0.00"), F.lit(", "),
-                   F.format_number(c("exif.longitude"), "0.00"))
+    gps = F.format_string("GPS: %.2f, %.2f", c("exif.latitude"), c("exif.longitude"))
     parts = [
         F.when(positive("pii.total_matches"), labelled("PII", c("pii.total_matches"))),
         F.when(positive("secrets.total_matches"), labelled("Secrets", c("secrets.total_matches"))),

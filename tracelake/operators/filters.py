@@ -41,8 +41,9 @@ def age(step: int, as_of: datetime, modified: str = "modified_at", created: str
     if step >= len(fixed.AGE_STEPS):
         return date.isNotNull()
     _, kind, days = fixed.AGE_STEPS[step]
+    # greatest() skips nulls, so a missing date has to be ruled out first
     old = F.greatest(F.lit(0.0), scalars.days_since(date, as_of))
-    return F.coalesce(old <= days if kind == "at most" else old > days, F.lit(False))
+    return date.isNotNull() & (old <= days if kind == "at most" else old > days)
 
 
 def search(text: str, columns: tuple[str, ...] = ("path", "display_name")) -> Column:

@@ -74,8 +74,8 @@ def not_excluded(inventory: DataFrame, exclusions: DataFrame, small: int = SMALL
         hits = [F.lower("path").startswith(p) for p in few]
         return inventory.filter(~paths.any_of(hits)) if hits else inventory
     # Distinct lengths are bounded by the longest path a file system allows.
-    lengths = prefixes.groupBy().agg(F.collect_set(F.length("prefix"))).scalar()
-    heads = F.transform(F.filter(lengths, lambda n: n <= F.length("path")),
+    sizes = sorted(r.n for r in prefixes.select(F.length("prefix").alias("n")).distinct().collect())
+    heads = F.transform(F.filter(F.lit(sizes), lambda n: n <= F.length("path")),
                         lambda n: F.substring(F.lower("path"), F.lit(1), n))
     hit = (inventory.select("path", F.explode(heads).alias("prefix")).join(prefixes, "prefix", "left_semi")
            .select("path").distinct())

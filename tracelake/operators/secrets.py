@@ -28,7 +28,7 @@ ASSIGNMENT = (
     r"[\"']?[ \t]*[=:][ \t]*[\"']?([!-~&&[^\"',;]]{8,})"
 )
 CODE_IDENTIFIER = r"^[A-Za-z_][A-Za-z_.]*(?:\(.*)?$"
-ENTROPY_TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_-])"
+ENTROPY_TOKEN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 ENTROPY_BITS = 4.0
 
 MATCH_TYPE = "array<struct<category:string,sample:string>>"
