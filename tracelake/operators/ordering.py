@@ -99,7 +99,8 @@ def report_order(sort: str) -> list[Column]:
     return [F.desc("detection_rank"), F.asc("ordinal")]
 
 
-def page(df: DataFrame, order: list[Column], requested: int, size: int = fixed.LIST_PAGE_SIZE):
+def page(df: DataFrame, order: list[Column], requested: int, size: int = fixed.LIST_PAGE_SIZE,
+         direct_rows: int = DIRECT_PAGE_ROWS):
     """TOP-1: rows of one circular page and its counters (page, page_count, total, size).
 
     Pages near the front are a plain top-k. Far pages use positions, which never gather the rows before
@@ -111,7 +112,7 @@ def page(df: DataFrame, order: list[Column], requested: int, size: int = fixed.L
     pages = max(1, math.ceil(total / size))
     index = requested % pages
     start = index * size
-    if start + size <= DIRECT_PAGE_ROWS:
+    if start + size <= direct_rows:
         rows = df.orderBy(*order).offset(start).limit(size)
     else:
         rows = with_positions(df, *order).filter(F.col("position").between(start, start + size - 1)).drop("position")

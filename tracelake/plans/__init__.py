@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["inventory_queries", "text_queries"]
+MODULES = ["inventory_queries", "text_queries", "evidence_queries", "relational_queries"]
 
 
 def load() -> None:
