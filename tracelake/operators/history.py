@@ -6,7 +6,7 @@ size_bytes, target_modified_at, source_kind.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake import fixed
@@ -90,8 +90,6 @@ def stats(merged_entries: DataFrame) -> DataFrame:
 
 def application_scores(scored: DataFrame) -> DataFrame:
     """AGG-8: mean of the three best known scores; only three rows per application and task are shuffled."""
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("application_key").orderBy(F.desc("personal_score"), F.asc("ordinal")))
     top = scored.filter("personal_score is not null").withColumn("n", rank).filter("n <= 3")
     return top.groupBy("application_key").agg(F.avg("personal_score").alias("application_score"))
@@ -134,9 +132,8 @@ def with_application_size(merged_entries: DataFrame) -> DataFrame:
 def significant(merged_entries: DataFrame) -> DataFrame:
     """AGG-9: unmatched paths with a score of 30 or more, one finding row per path."""
     lone = with_application_size(merged_entries).filter("related_finding_id is null and historical_score >= 30")
-    place = F.struct("fewer", "display_name", F.col("last_interaction"))
-    best = F.max_by(F.struct("target_path", "exists", "last_interaction", "historical_score", "interactions"),
-                    F.struct(F.col("historical_score"), -F.col("fewer")))
+    best = F.min_by(F.struct("target_path", "exists", "last_interaction", "historical_score", "interactions"),
+                    F.struct(-F.col("historical_score"), F.col("fewer"), F.col("display_name")))
     rows = lone.groupBy("path_match").agg(
         best.alias("b"), listed_names(F.col("fewer"), F.col("display_name")).alias("applications"))
     retained = F.concat(F.lit("Windows application history retains this path through "), F.col("applications"))

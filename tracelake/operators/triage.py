@@ -42,10 +42,9 @@ def full_image_bonus(findings: DataFrame) -> Column:
     return F.coalesce(F.when((side >= 480) & (pixels >= 500_000), 24).when(side > 0, -12), F.lit(0))
 
 
-def offers(findings: DataFrame) -> Column:
+def offers(findings: DataFrame, ext: Column) -> Column:
     """TRI-2: every scanner that suits the finding, with its own bonus and cost."""
-    ext = paths.extension("path")
-    text = paths.is_text("path")
+    text = ext.isin(fixed.PLAIN_TEXT_EXTENSIONS + fixed.OFFICE_EXTENSIONS)
     configured = ext.isin(fixed.CONFIG_EXTENSIONS)
     image = ext.isin(fixed.IMAGE_EXTENSIONS) | (F.lower("category") == "images")
     video = ~image & (ext.isin(fixed.VIDEO_EXTENSIONS) | (F.lower("category") == "video"))
@@ -60,7 +59,7 @@ def offers(findings: DataFrame) -> Column:
         offer(text, "identity", 14 + compact, moderate, "text-extractable format"),
         offer(text | configured | F.lower("display_name").startswith(".env"), "configs",
               F.when(configured, 32).otherwise(12), moderate, "configuration-like format or name"),
-        offer(paths.is_openable_archive("path"), "archives",
+        offer(ext.isin(fixed.OPENABLE_ARCHIVES), "archives",
               F.when(c("size_bytes") <= LARGE_ARCHIVE, 24).otherwise(4), expensive, "supported archive format"),
         offer(image, "documents", 16 + photo + named, expensive, "image candidate for document detection"),
         offer(image, "people", 14 + photo, expensive, "image candidate for face detection"),
@@ -87,7 +86,8 @@ def routes(findings: DataFrame) -> DataFrame:
     raw_extension = F.regexp_extract(paths.base_name("path"), r"(\.[^.]+)$", 1)
     diversity = F.concat_ws("|", "category", raw_extension, F.coalesce(paths.parent("path"), F.lit("")))
     usable = ~c("ignored") & ~c("is_directory") & (F.trim("path") != "")
-    rows = (findings.filter(usable).withColumn("_offers", offers(findings)).filter(F.size("_offers") > 0)
+    # posexplode drops findings without offers, so the offers are built only once
+    rows = (findings.filter(usable).withColumn("_ext", paths.extension("path")).withColumn("_offers", offers(findings, c("_ext")))
             .withColumn("_exposed", exposed).withColumn("_sensitive", sensitive).withColumn("_demo", demo)
             .select("finding_id", "ordinal", base.alias("_base"), common.alias("_common"),
                     diversity.alias("diversity_key"), F.posexplode("_offers").alias("route_no", "o")))
@@ -111,7 +111,8 @@ def limits(eligible: int, absolute_limit: int = fixed.TRIAGE_ABSOLUTE_LIMIT,
 def counters(findings: DataFrame, absolute_limit: int = fixed.TRIAGE_ABSOLUTE_LIMIT) -> DataFrame:
     """TRI-3, AGG-12 as a one-row DataFrame: a finding is eligible when it has any route, so no distinct is needed."""
     usable = ~c("ignored") & ~c("is_directory") & (F.trim("path") != "")
-    eligible = findings.filter(usable).agg(F.count_if(F.size(offers(findings)) > 0).alias("eligible"))
+    rows = findings.filter(usable).withColumn("_ext", paths.extension("path"))
+    eligible = rows.agg(F.count_if(F.size(offers(findings, c("_ext"))) > 0).alias("eligible"))
     share = F.greatest(F.lit(1), F.ceil(c("eligible") * fixed.TRIAGE_FRACTION))
     requested = F.when(c("eligible") == 0, 0).otherwise(share)
     limit = F.least(requested, F.lit(max(1, absolute_limit)))
@@ -171,8 +172,9 @@ def chosen(all_routes: DataFrame, eligible: int, absolute_limit: int = fixed.TRI
     def deal(rows: pd.DataFrame) -> pd.DataFrame:
         return take_turns(rows, limit, budget)
 
-    heads = queue_heads(all_routes, max(1, limit)).select("scanner_id", "position", "finding_id", "cost")
-    return heads.groupBy(F.lit(1)).applyInPandas(deal, "finding_id string, scanner_id string, pick int")
+    heads = queue_heads(all_routes, max(1, limit)).select("scanner_id", "position", "finding_id", "cost",
+                                                          F.lit("heads").alias("one"))
+    return heads.groupBy("one").applyInPandas(deal, "finding_id string, scanner_id string, pick int")
 
 
 def expanded(all_routes: DataFrame, picks: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from importlib import import_module
 
-MODULES = ["inventory_queries", "text_queries", "evidence_queries", "relational_queries"]
+MODULES = ["inventory_queries", "text_queries", "evidence_queries", "relational_queries", "history_queries",
+           "media_queries", "similarity_queries", "triage_queries"]
 
 
 def load() -> None:

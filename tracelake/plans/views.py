@@ -63,6 +63,12 @@ def days_before(days: Column) -> Column:
     return F.timestamp_micros(F.unix_micros(F.lit(AS_OF)) - days.cast("long") * 86_400_000_000).cast("timestamp_ntz")
 
 
+def computed(df: DataFrame) -> DataFrame:
+    """Keep derived columns as they are: predicates on them must not drag their formulas down to the scan, where
+    a real table would simply have the column."""
+    return df.select(F.inline(F.array(F.struct("*"))))
+
+
 class Views:
     """Lazily built DataFrames over one data folder."""
 
@@ -80,17 +86,17 @@ class Views:
     def inventory(self) -> DataFrame:
         """One file per document."""
         n = c("doc_id")
-        return self.documents.select(
+        return computed(self.documents.select(
             n.alias("ordinal"), F.concat(F.lit("f"), padded(n, 10)).alias("finding_id"), file_path(n).alias("path"),
             (c("n_chars") * F.when(n % 10 == 9, 1024 * 1024).otherwise(1024)).alias("size_bytes"),
             F.when(n % 46 != 0, days_before(n + 30)).alias("created_at"),
             F.when(n % 23 != 0, days_before(n)).alias("modified_at"),
             F.when(n % 29 == 0, F.lit("search-index")).otherwise(F.lit("filesystem")).alias("scanner_id"),
-            (n % 17 == 0).alias("ignored"), (n % 41 == 0).alias("is_directory"))
+            (n % 17 == 0).alias("ignored"), (n % 41 == 0).alias("is_directory")))
 
     @cached_property
     def findings(self) -> DataFrame:
-        return inv.file_findings(self.inventory)
+        return computed(inv.file_findings(self.inventory))
 
     @cached_property
     def audited(self) -> DataFrame:
@@ -150,7 +156,7 @@ class Views:
         }
         flags = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.coalesce(v, F.lit(False)).alias("v"))
                                    for k, v in done.items()]), lambda e: e["v"])
-        return rows.withColumn("scan_status", F.map_from_entries(flags))
+        return computed(rows.withColumn("scan_status", F.map_from_entries(flags)))
 
     @cached_property
     def feedback(self) -> DataFrame:
@@ -193,7 +199,7 @@ class Views:
             .when((c("event_type") == "click") & (k % 2 == 0), F.concat(
                 F.lit("C:\\Users\\user1\\Medical\\tax_"), text(k), F.lit(".pdf")))
             .otherwise(file_path(k)))
-        return self.table("events").select(
+        return computed(self.table("events").select(
             c("event_id").alias("ordinal"),
             F.concat(F.lit("C:\\Recent\\AutomaticDestinations\\"), app_id,
                      F.lit(".automaticDestinations-ms")).alias("container"),
@@ -203,7 +209,7 @@ class Views:
             ((c("event_type") == "view") & (k % 10 == 0)).alias("is_directory"),
             F.floor(c("value") * 1000).alias("size_bytes"),
             F.when(k % 7 != 0, days_before(k)).alias("target_modified_at"),
-            F.when(c("user_id") % 2 == 0, F.lit("Automatic")).otherwise(F.lit("Custom")).alias("source_kind"))
+            F.when(c("user_id") % 2 == 0, F.lit("Automatic")).otherwise(F.lit("Custom")).alias("source_kind")))
 
     @cached_property
     def history(self) -> DataFrame:

@@ -18,10 +18,12 @@ SQL_SETTINGS = {
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
-                  app_name: str = "tracelake") -> SparkSession:
+                  driver_memory: str | None = None, app_name: str = "tracelake") -> SparkSession:
     builder = SparkSession.builder.appName(app_name).config("spark.ui.enabled", "false")
     if master:
         builder = builder.master(master)
+    if driver_memory:
+        builder = builder.config("spark.driver.memory", driver_memory)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return prepare(builder.getOrCreate())
