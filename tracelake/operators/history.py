@@ -159,11 +159,13 @@ def finding_context(merged_entries: DataFrame) -> DataFrame:
         F.max("last_interaction").alias("history_last_seen"), F.max("interactions").alias("history_interactions"))
 
 
-def entry_findings(entries: DataFrame, findings: DataFrame) -> DataFrame:
-    """SCL-25: the related finding of an entry, else a finding row built from the entry."""
+def entry_findings(entries: DataFrame, findings: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """SCL-25: the related finding of an entry, else a finding row built from the entry. `carried` columns come
+    from the related finding only; the entry itself stays in the struct `entry`."""
     fields = ["scanner_id", "category", "subcategory", "path", "display_name", "is_directory", "size_bytes",
               "modified_at", "exposure_score", "exposure_reasons"]
-    known = findings.select(F.col("finding_id").alias("related_finding_id"), F.struct(*fields).alias("f"))
+    known = findings.select(F.col("finding_id").alias("related_finding_id"), F.struct(*fields, *carried).alias("f"))
+    entry = F.struct(*[n for n in entries.columns if n not in ("ordinal", "path_match")]).alias("entry")
     joined = entries.join(known, "related_finding_id", "left")
     own = {
         "scanner_id": F.lit("application-history"),
@@ -179,7 +181,7 @@ def entry_findings(entries: DataFrame, findings: DataFrame) -> DataFrame:
             F.col("exists"), F.lit("Windows remembers this object in application history"))
             .otherwise(F.lit("Windows retains a historical path to an object that is no longer available"))),
     }
-    return joined.select("ordinal", *[
+    return joined.select("ordinal", entry, *[F.col(f"f.{n}").alias(n) for n in carried], *[
         F.when(F.col("f").isNotNull(), F.col(f"f.{n}")).otherwise(own[n]).alias(n) for n in fields])
 
 

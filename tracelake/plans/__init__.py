@@ -3,7 +3,7 @@
 from importlib import import_module
 
 MODULES = ["inventory_queries", "text_queries", "evidence_queries", "relational_queries", "history_queries",
-           "media_queries", "similarity_queries", "triage_queries"]
+           "media_queries", "similarity_queries", "triage_queries", "model_queries", "store_queries"]
 
 
 def load() -> None:
