@@ -76,25 +76,28 @@ def with_identity(docs: DataFrame, terms: DataFrame, key: str = "doc_id", path:
                   inline_terms: int = INLINE_TERMS) -> DataFrame:
     """IDT-2: count every term in every document without a cross join.
 
-    A small dictionary (its size is checked) travels inside the expression: the words of the document
-    are intersected with the anchors and only terms whose anchor occurs are counted. A larger one goes
-    through an equi join on the anchor word.
+    A small dictionary (its size is checked) travels inside the expression as a map from anchor to terms: the
+    words of the document are intersected with the anchors and only terms whose anchor occurs are counted. A
+    larger one goes through an equi join on the anchor word.
     """
     ready = prepared_terms(terms)
     sample = ready.orderBy(F.lower("term")).limit(inline_terms + 1).collect()
     body = docs.withColumn("__body", content(F.col(path), F.col(text), max_text_bytes))
     if len(sample) <= inline_terms:
-        known = F.from_json(F.lit(json.dumps([r.asDict() for r in sample])), TERM_TYPE)
-        anchors = F.array_distinct(F.filter(F.transform(known, lambda t: t["anchor"]), lambda a: a.isNotNull()))
+        by_anchor: dict[str, list[dict]] = {}
+        for row in sample:
+            by_anchor.setdefault(row["anchor"] or "", []).append(row.asDict())
+        known = F.from_json(F.lit(json.dumps(by_anchor)), f"map<string,{TERM_TYPE}>")
         words = F.regexp_extract_all(F.lower("__body"), F.lit(WORD), F.lit(0))
-        present = F.array_intersect(words, anchors)
-        possible = F.filter(known, lambda t: t["anchor"].isNull() | F.array_contains(F.col("__present"), t["anchor"]))
+        # "" holds the terms without an anchor; they are tried on every document
+        anchors = F.concat(F.array_intersect(words, F.map_keys(known)), F.array(F.lit("")))
+        possible = F.flatten(F.array_compact(F.transform(anchors, lambda a: F.try_element_at(known, a))))
         counted = F.transform(possible, lambda t: F.struct(
-            t["term"].alias("term"), t["category"].alias("category"),
+            F.lower(t["term"]).alias("order"), t["term"].alias("term"), t["category"].alias("category"),
             F.regexp_count(F.col("__body"), t["pattern"]).alias("n")))
-        return (body.withColumn("__present", present)
-                .withColumn("__hits", F.filter(counted, lambda h: h["n"] > 0))
-                .withColumn(out, identity_struct(F.col("__hits"))).drop("__body", "__present", "__hits"))
+        hits = F.array_sort(F.filter(counted, lambda h: h["n"] > 0))
+        return (body.withColumn("__hits", hits).withColumn(out, identity_struct(F.col("__hits")))
+                .drop("__body", "__hits"))
     return identity_by_join(body, ready, key, out)
 
 

@@ -34,6 +34,10 @@ CATEGORICAL = [
     "Extension", "FileCategory", "DirectoryCategory", "ScannerCategory", "ItemSource", "ApplicationCategory",
     "HistorySourceKind",
 ]
+CATEGORY_DEFAULTS = {
+    "Extension": "(none)", "FileCategory": "Other", "DirectoryCategory": "Other", "ScannerCategory": "Other",
+    "ItemSource": "Finding", "ApplicationCategory": "(none)", "HistorySourceKind": "(none)",
+}
 FEATURE_TYPE = T.StructType([T.StructField(n, T.FloatType()) for n in NUMERIC + BOOLEAN]
                             + [T.StructField(n, T.StringType()) for n in CATEGORICAL])
 SPLIT_SEED = 1701
@@ -122,8 +126,11 @@ def with_history_features(rows: DataFrame, as_of: datetime, out: str = "features
 
 
 def stored_features(document: Column) -> Column:
-    """Features out of a stored JSON document; null when it cannot be read."""
-    return F.from_json(document, FEATURE_TYPE)
+    """Features out of a stored JSON document; missing ones get their defaults, a broken document gives null."""
+    raw = F.from_json(document, FEATURE_TYPE)
+    defaults = {**{n: F.lit(0.0) for n in NUMERIC + BOOLEAN}, **{n: F.lit(d) for n, d in CATEGORY_DEFAULTS.items()}}
+    filled = packed({n: F.coalesce(raw[n], default) for n, default in defaults.items()})
+    return F.when(F.try_parse_json(document).isNotNull(), filled)
 
 
 def explanation() -> Column:

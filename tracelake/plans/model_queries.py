@@ -77,7 +77,8 @@ def _(v: Views):
 
 def training(v: Views):
     current = joins.first_by_path(learning.with_features(v.audited, AS_OF)).select("path_key", "features")
-    return joins.training_rows(v.feedback, current, learning.stored_features(c("feature_json")))
+    liked = v.feedback.withColumn("label", c("label") & (c("schema_version") == 2))
+    return joins.training_rows(liked, current, learning.stored_features(c("feature_json")))
 
 
 @query("top3_precision_of_exposure_order", """

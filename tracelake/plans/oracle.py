@@ -408,4 +408,6 @@ def cte_names(wanted: list[str]) -> list[str]:
 
 def with_views(views: list[str], body: str) -> str:
     parts = ", ".join(f"{name} AS ({CTES[name][1]})" for name in cte_names(views))
-    return f"WITH {parts} {body}" if parts else body
+    if not parts:
+        return body
+    return f"WITH {parts} SELECT * FROM ({body})" if body.lstrip().startswith("WITH") else f"WITH {parts} {body}"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracelake.operators import similarity
+from tracelake.plans import oracle as o
 from tracelake.plans.registry import query
 from tracelake.plans.views import AS_OF, Views
 
@@ -42,11 +43,19 @@ def _(v: Views):
     return similarity.similar_documents(v.documents.select("doc_id", "text"), QUERY_DOC).select("doc_id", "score")
 
 
-@query("sim4_similar_findings")
+CANDIDATES = f"SELECT ordinal FROM findings WHERE (NOT ignored AND ext IN {o.in_list(o.fixed.PLAIN_TEXT_EXTENSIONS + o.fixed.OFFICE_EXTENSIONS)}) OR ordinal = {QUERY_DOC}"
+
+
+@query("sim4_similar_findings", f"""
+    WITH terms AS (SELECT * FROM doc_terms WHERE doc_id IN ({CANDIDATES})),
+    weights AS (SELECT t.*, (0.5 + 0.5 * CAST(t.n AS DOUBLE) / t.total) * (ln((1 + (SELECT count(DISTINCT doc_id) FROM terms)) / CAST(1 + f.df AS DOUBLE)) + 1) AS w
+                FROM terms t JOIN (SELECT term, count(*) AS df FROM terms GROUP BY term) f USING (term))
+    SELECT doc_id, score FROM (SELECT doc_id, round(least(1, cosine), 3) AS score FROM {COSINE.replace('doc_weights', 'weights')} WHERE cosine >= 0.15)
+    ORDER BY score DESC, doc_id LIMIT 50""", ("doc_terms", "findings"))
 def _(v: Views):
     """Candidates are the visible findings of a readable type."""
     docs = similarity.candidate_documents(v.findings.withColumn("doc_id", c("ordinal")), v.documents.select("doc_id", "text"), QUERY_DOC)
-    return similarity.similar_documents(docs, QUERY_DOC)
+    return similarity.similar_documents(docs, QUERY_DOC).select("doc_id", "score")
 
 
 def signed(bits: str) -> str:

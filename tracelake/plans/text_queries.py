@@ -118,11 +118,21 @@ def _(v: Views):
     return secret_rows(v, lambda t: secrets.entropy_tokens(t, 3.9))
 
 
-@query("sec5_secret_totals")
+NAMED = f"""SELECT DISTINCT key, category, hit FROM ({VENDORS} UNION ALL {BLOCKS} UNION ALL
+    SELECT key, 'Named secret', hit FROM (SELECT key, unnest(regexp_extract_all(text, '{ASSIGNED}', 1)) AS hit FROM texts)
+    WHERE NOT regexp_matches(hit, '^[A-Za-z_][A-Za-z_.]*(?:\\(.*)?$') AND NOT starts_with(hit, '$'))"""
+SPARE = f"""SELECT DISTINCT key, t AS hit FROM (SELECT key, unnest(regexp_extract_all(text, '[A-Za-z0-9+/_-]{{20,}}={{0,2}}')) AS t FROM texts)
+    WHERE regexp_matches(t, '[a-z]') AND regexp_matches(t, '[A-Z]') AND regexp_matches(t, '[0-9]') AND {ENTROPY} >= 4.0"""
+
+
+@query("sec5_secret_totals", f"""
+    SELECT key, count(*) AS total_matches, string_agg(DISTINCT category, ',' ORDER BY category) AS categories FROM (
+      {NAMED} UNION ALL SELECT key, 'High entropy string', hit FROM ({SPARE}) s
+      WHERE NOT EXISTS (SELECT 1 FROM ({NAMED}) n WHERE n.key = s.key AND (contains(n.hit, s.hit) OR contains(s.hit, n.hit)))) GROUP BY key""", ("texts",))
 def _(v: Views):
     rows = secrets.with_secrets(v.texts)
     return rows.filter("secrets.total_matches > 0").select(
-        "key", "secrets.total_matches", F.array_join("secrets.categories", ",").alias("categories"))
+        "key", c("secrets.total_matches").cast("long").alias("total_matches"), F.array_join(F.array_sort("secrets.categories"), ",").alias("categories"))
 
 
 CONFIG_TYPES = ("['Environment variables', 'NPM registry', 'Configuration', 'Maven settings', 'Docker Compose', 'VPN profile'][n % 6 + 1]")

@@ -90,14 +90,30 @@ def _(v: Views):
     return triage.queue_heads(triage.routes(v.audited), 1500).select("scanner_id", c("position").cast("long").alias("position"), "finding_id")
 
 
-@query("tri4_chosen_findings")
+QUEUE = """(SELECT scanner_id, row_number() OVER (PARTITION BY scanner_id ORDER BY group_rank, lead_priority DESC, lead_ordinal) AS position, finding_id FROM (
+    SELECT *, row_number() OVER g AS group_rank, first_value(priority) OVER g AS lead_priority, first_value(ordinal) OVER g AS lead_ordinal
+    FROM routes WINDOW g AS (PARTITION BY scanner_id, group_key ORDER BY priority DESC, ordinal)))"""
+# The next pick belongs to the first scanner after the last one, in a circle, that still has a free finding.
+PICKS = f"""routes AS MATERIALIZED (SELECT * FROM {ROUTES}), queue AS MATERIALIZED (SELECT * FROM {QUEUE}),
+    plan AS MATERIALIZED (SELECT greatest(1, CAST(ceil(count(DISTINCT finding_id) * 0.05) AS BIGINT)) AS selection_limit FROM routes),
+    steps AS (SELECT 0 AS pick, '' AS scanner_id, '' AS finding_id, CAST([] AS VARCHAR[]) AS taken UNION ALL
+      SELECT pick + 1, best.s, best.f, list_append(taken, best.f) FROM (
+        SELECT p.pick, p.taken, arg_min({{'s': q.scanner_id, 'f': q.finding_id}}, (q.scanner_id <= p.scanner_id, q.scanner_id, q.position)) AS best
+        FROM steps p JOIN queue q ON NOT list_contains(p.taken, q.finding_id) WHERE p.pick < (SELECT selection_limit FROM plan)
+        GROUP BY p.pick, p.taken)),
+    picks AS (SELECT pick, scanner_id, finding_id FROM steps WHERE pick > 0)"""
+
+
+@query("tri4_chosen_findings", f"SELECT * FROM (WITH RECURSIVE {PICKS} SELECT finding_id, scanner_id, pick FROM picks)", ("audited",))
 def _(v: Views):
     return triage.select(v.audited)[0]
 
 
-@query("tri5_all_routes_of_chosen")
+@query("tri5_all_routes_of_chosen", f"""
+    SELECT * FROM (WITH RECURSIVE {PICKS} SELECT r.finding_id, r.scanner_id, CAST(r.priority AS BIGINT) AS priority, r.scanner_id = p.scanner_id AS picking_route
+    FROM routes r JOIN picks p ON r.finding_id = p.finding_id)""", ("audited",))
 def _(v: Views):
-    return triage.select(v.audited)[1].select("finding_id", "scanner_id", "priority", "picking_route", F.array_join("reasons", "; ").alias("reasons"))
+    return triage.select(v.audited)[1].select("finding_id", "scanner_id", c("priority").cast("long").alias("priority"), "picking_route")
 
 
 STATE = """(SELECT finding_id, 'pii' AS scanner_id, ['completed', 'skipped', 'failed'][ordinal % 3 + 1] AS state FROM findings
