@@ -190,7 +190,7 @@ def _(v: Views):
     return v.provenance_input.select("finding_id", provenance.detected_format(c("header"), "path").alias("detected_format"))
 
 
-@query("prv4_package_name", "SELECT finding_id, CASE WHEN ordinal % 20 = 2 THEN 'Vendor.App' || (ordinal % 4) END AS package FROM findings", ("findings",))
+@query("prv4_package_name", "SELECT finding_id, CASE WHEN ordinal % 20 = 2 THEN 'Vendor.App' || (ordinal // 20 % 4) END AS package FROM findings", ("findings",))
 def _(v: Views):
     return v.findings.select("finding_id", provenance.package_name("path").alias("package"))
 
@@ -232,18 +232,19 @@ def _(v: Views):
     return near.select("finding_id", F.size("neighbors").cast("long").alias("n"), F.array_join(F.array_sort(names), "|").alias("names"))
 
 
-APP = "(CASE WHEN ordinal % 20 = 2 THEN 'Vendor.App' || (ordinal % 4) WHEN ordinal % 6 = 0 THEN 'vendor.app' || (ordinal % 4) END)"
+SLOT = "(CASE WHEN ordinal % 20 = 2 THEN ordinal // 20 % 4 WHEN ordinal % 6 = 0 THEN ordinal // 6 % 4 END)"
+APP = f"(CASE WHEN ordinal % 20 = 2 THEN 'Vendor.App' || {SLOT} WHEN ordinal % 6 = 0 THEN 'vendor.app' || {SLOT} END)"
 WEIGHT = f"""((CASE WHEN contains({LOWER}, '\\appdata\\roaming\\') THEN 15 WHEN contains({LOWER}, '\\appdata\\local\\') THEN 12 ELSE 0 END)
     + (CASE WHEN contains({LOWER}, '\\downloads\\') THEN 8 ELSE 0 END) + (CASE WHEN ordinal % 20 = 2 THEN 35 ELSE 0 END)
-    + (CASE WHEN ordinal % 6 = 0 THEN 20 ELSE 0 END) + (CASE WHEN app IS NULL THEN 0 WHEN ordinal % 4 = 3 THEN 12 ELSE 20 END)
+    + (CASE WHEN ordinal % 6 = 0 THEN 20 ELSE 0 END) + (CASE WHEN app IS NULL THEN 0 WHEN {SLOT} = 3 THEN 12 ELSE 20 END)
     + (CASE WHEN ordinal % 7 < 6 THEN 8 ELSE 0 END) + (CASE WHEN ordinal % 7 = 0 THEN 25 ELSE 0 END) + (CASE WHEN ordinal % 5 = 0 THEN 10 ELSE 0 END)
     + 15 * ({o.positive_terms(o.HITS[:3])}))"""
 
 
 @query("prv8_provenance", f"""
     SELECT finding_id, app AS application, score AS confidence_score, CASE WHEN score >= 80 THEN 'HIGH' WHEN score >= 55 THEN 'MEDIUM' WHEN score >= 25 THEN 'LOW' ELSE 'UNKNOWN' END AS confidence_level,
-           app IS NOT NULL AND ordinal % 4 = 3 AS possible_orphan, CASE WHEN app IS NULL AND ordinal % 7 = 0 THEN 'ACCOUNT_PROFILE' ELSE {ROLE} END AS file_role,
-           weight + (CASE WHEN app IS NOT NULL AND ordinal % 4 = 3 THEN 20 ELSE 0 END) AS evidence_weight
+           app IS NOT NULL AND {SLOT} = 3 AS possible_orphan, CASE WHEN app IS NULL AND ordinal % 7 = 0 THEN 'ACCOUNT_PROFILE' ELSE {ROLE} END AS file_role,
+           weight + (CASE WHEN app IS NOT NULL AND {SLOT} = 3 THEN 20 ELSE 0 END) AS evidence_weight
     FROM (SELECT *, least(100, weight) AS score FROM (SELECT *, {WEIGHT} AS weight FROM (SELECT *, {APP} AS app FROM audited)))""", ("audited",))
 def _(v: Views):
     rows = provenance.analyzed(v.provenance_input, v.inventory, v.installed, F.lit(AS_OF))

@@ -35,7 +35,7 @@ def path_sql(n: str) -> str:
     name = name_sql(n)
     return (f"('C:\\Users\\user' || (({n}) % 5) || '\\' || {pick(DIRECTORIES, n)} || '\\' || "
             f"(CASE ({n}) % 20 WHEN 0 THEN 'node_modules' WHEN 1 THEN '.venv' "
-            f"WHEN 2 THEN 'Packages\\Vendor.App' || (({n}) % 4) WHEN 3 THEN 'cache' ELSE 'proj' || (({n}) % 20) END) "
+            f"WHEN 2 THEN 'Packages\\Vendor.App' || (({n}) // 20 % 4) WHEN 3 THEN 'cache' ELSE 'proj' || (({n}) % 20) END) "
             f"|| '\\' || (CASE WHEN contains({name}, '_') THEN '' ELSE 'p' || ({n}) || '\\' END) || {name})")
 
 

@@ -52,7 +52,7 @@ def file_name(n: Column) -> Column:
 def file_path(n: Column) -> Column:
     """The path of a document is a function of its number only."""
     place = (F.when(n % 20 == 0, F.lit(PLACES[0])).when(n % 20 == 1, F.lit(PLACES[1]))
-             .when(n % 20 == 2, F.concat(F.lit(PLACES[2]), text(n % 4))).when(n % 20 == 3, F.lit(PLACES[3]))
+             .when(n % 20 == 2, F.concat(F.lit(PLACES[2]), text(F.floor(n / 20) % 4))).when(n % 20 == 3, F.lit(PLACES[3]))
              .otherwise(F.concat(F.lit("proj"), text(n % 20))))
     name = file_name(n)
     own = F.when(~name.contains("_"), F.concat(F.lit("p"), text(n)))
@@ -417,7 +417,7 @@ class Views:
                   .when(n % 7 == 1, F.unhex(F.lit("504B0304"))).when(n % 7 == 2, F.lit("%PDF-1.7").cast("binary"))
                   .when(n % 7 == 3, F.unhex(F.lit("4D5A90"))).when(n % 7 == 4, F.unhex(F.lit("FFD8FF")))
                   .when(n % 7 == 5, F.lit("text").cast("binary")))
-        executable = F.struct(F.lit("tool.exe").alias("name"), F.concat(F.lit("vendor.app"), text(n % 4)).alias("product"),
+        executable = F.struct(F.lit("tool.exe").alias("name"), F.concat(F.lit("vendor.app"), text(F.floor(n / 6) % 4)).alias("product"),
                               F.lit("Tool Co").alias("company"))
         return self.audited.select(
             "*", header.alias("header"),
