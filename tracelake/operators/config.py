@@ -112,7 +112,8 @@ def with_config(df, path: str = "path", text: str = "text", out: str = "config")
     known = config_type(path)
     level = (F.when(F.size(exposed) > 0, F.lit("High"))
              .when(known.isNotNull() & (F.size("__endpoints") > 0), F.lit("Medium")).otherwise(F.lit("Low")))
-    return (df.withColumn("__exposed", exposed_parameters(t)).withColumn("__endpoints", endpoints(t))
+    rows = paths.settled(paths.settled(df, "__exposed", exposed_parameters(t)), "__endpoints", endpoints(t))
+    return (rows
             .withColumn(out, F.struct(
                 (F.size(exposed) > 0).alias("is_credential_config"),
                 F.coalesce(known, F.lit("Configuration")).alias("config_type"),

@@ -82,7 +82,7 @@ def with_identity(docs: DataFrame, terms: DataFrame, key: str = "doc_id", path:
     """
     ready = prepared_terms(terms)
     sample = ready.orderBy(F.lower("term")).limit(inline_terms + 1).collect()
-    body = docs.withColumn("__body", content(F.col(path), F.col(text), max_text_bytes))
+    body = paths.settled(docs, "__body", content(F.col(path), F.col(text), max_text_bytes))
     if len(sample) <= inline_terms:
         by_anchor: dict[str, list[dict]] = {}
         for row in sample:
@@ -96,7 +96,7 @@ def with_identity(docs: DataFrame, terms: DataFrame, key: str = "doc_id", path:
             F.lower(t["term"]).alias("order"), t["term"].alias("term"), t["category"].alias("category"),
             F.regexp_count(F.col("__body"), t["pattern"]).alias("n")))
         hits = F.array_sort(F.filter(counted, lambda h: h["n"] > 0))
-        return (body.withColumn("__hits", hits).withColumn(out, identity_struct(F.col("__hits")))
+        return (paths.settled(body, "__hits", hits).withColumn(out, identity_struct(F.col("__hits")))
                 .drop("__body", "__hits"))
     return identity_by_join(body, ready, key, out)
 

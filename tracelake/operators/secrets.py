@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tracelake.functions import checks
+from tracelake.functions.paths import any_of, contains_any, settled
 
 # Public token formats, in order of precedence.
 VENDOR_FORMATS = [
@@ -35,24 +36,40 @@ MATCH_TYPE = "array<struct<category:string,sample:string>>"
 SECRETS_TYPE = f"struct<total_matches:int,categories:array<string>,matches:{MATCH_TYPE}>"
 
 
+# Fixed substrings of each format: without one of them the pattern need not run.
+HINTS = {
+    "OpenAI API key": ["sk-"], "GitHub token": ["ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_"], "AWS access key": ["AKIA", "ASIA"], "JWT": ["eyJ"],
+    "Slack token": ["xox"], "Google API key": ["AIza"], "Private key": ["PRIVATE KEY-----"], "Database connection": ["://"],
+}
+NAME_HINTS = ["passw", "pwd", "secret", "token", "key"]
+
+
+def found(text: Column, name: str, pattern: str) -> Column:
+    hint = any_of([text.contains(h) for h in HINTS[name]])
+    hits = F.when(hint, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    return tagged(F.coalesce(hits, F.array().cast("array<string>")), name)
+
+
 def tagged(values: Column, category: str) -> Column:
     return F.transform(values, lambda v: F.struct(F.lit(category).alias("category"), v.alias("sample")))
 
 
 def vendor_tokens(text: Column) -> Column:
     """SEC-1."""
-    return F.concat(*[tagged(F.regexp_extract_all(text, F.lit(p), F.lit(0)), name) for name, p in VENDOR_FORMATS])
+    return F.concat(*[found(text, name, p) for name, p in VENDOR_FORMATS])
 
 
 def assignments(text: Column) -> Column:
     """SEC-2: the value must follow `=` or `:` and must not read like a code identifier."""
-    values = F.regexp_extract_all(text, F.lit(ASSIGNMENT), F.lit(1))
+    possible = (text.contains("=") | text.contains(":")) & contains_any(text, NAME_HINTS)
+    values = F.when(possible, F.regexp_extract_all(text, F.lit(ASSIGNMENT), F.lit(1))).otherwise(
+        F.array().cast("array<string>"))
     return tagged(F.filter(values, lambda v: ~v.rlike(CODE_IDENTIFIER) & ~v.startswith("$")), "Named secret")
 
 
 def blocks(text: Column) -> Column:
     """SEC-3."""
-    return F.concat(*[tagged(F.regexp_extract_all(text, F.lit(p), F.lit(0)), name) for name, p in BLOCK_FORMATS])
+    return F.concat(*[found(text, name, p) for name, p in BLOCK_FORMATS])
 
 
 def entropy_tokens(text: Column, bits: float = ENTROPY_BITS) -> Column:
@@ -77,8 +94,8 @@ def with_secrets(df, text: str = "text", out: str = "secrets", bits: float = ENT
     t = F.coalesce(F.col(text), F.lit(""))
     named, spare = F.col("__named"), F.col("__spare")
     fresh = F.filter(spare, lambda s: ~F.exists(named, lambda n: n["sample"].contains(s["sample"]) | s["sample"].contains(n["sample"])))
-    return (df.withColumn("__named", F.coalesce(F.array_distinct(named_matches(t)), empty))
-            .withColumn("__spare", entropy_tokens(t, bits))
+    rows = settled(df, "__named", F.coalesce(F.array_distinct(named_matches(t)), empty))
+    return (settled(rows, "__spare", entropy_tokens(t, bits))
             .withColumn("__all", masked(F.concat(named, fresh)))
             .withColumn(out, F.struct(
                 F.size("__all").alias("total_matches"),

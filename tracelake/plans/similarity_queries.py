@@ -16,18 +16,18 @@ QUERY_DOC, QUERY_IMAGE = 3, 7
 @query("sim1_term_counts", """
     SELECT doc_id, count(*) AS terms, CAST(sum(n) AS BIGINT) AS tokens, max(n) AS top_count, min(term) AS first_term FROM doc_terms GROUP BY doc_id""", ("doc_terms",))
 def _(v: Views):
-    return similarity.term_counts(v.documents).groupBy("doc_id").agg(
+    return similarity.term_counts(v.document_texts).groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("terms"), F.sum("n").alias("tokens"), F.max("n").alias("top_count"), F.min("term").alias("first_term"))
 
 
 @query("sim2_document_frequency", "SELECT term, count(*) AS df FROM doc_terms GROUP BY term", ("doc_terms",))
 def _(v: Views):
-    return similarity.document_frequency(similarity.term_counts(v.documents))
+    return similarity.document_frequency(similarity.term_counts(v.document_texts))
 
 
 @query("sim3_tf_idf", "SELECT doc_id, round(sum(w), 4) AS weight, round(max(w), 4) AS top_weight FROM doc_weights GROUP BY doc_id", ("doc_weights",))
 def _(v: Views):
-    weights = similarity.tf_idf(similarity.term_counts(v.documents))
+    weights = similarity.tf_idf(similarity.term_counts(v.document_texts))
     return weights.groupBy("doc_id").agg(F.round(F.sum("w"), 4).alias("weight"), F.round(F.max("w"), 4).alias("top_weight"))
 
 
@@ -40,7 +40,7 @@ COSINE = f"""(SELECT d.doc_id, sum(d.w * q.w) / (any_value(n.norm) * (SELECT sqr
 @query("sim4_similar_documents", f"""
     SELECT doc_id, score FROM (SELECT doc_id, round(least(1, cosine), 3) AS score FROM {COSINE} WHERE cosine >= 0.15) ORDER BY score DESC, doc_id LIMIT 50""", ("doc_weights",))
 def _(v: Views):
-    return similarity.similar_documents(v.documents.select("doc_id", "text"), QUERY_DOC).select("doc_id", "score")
+    return similarity.similar_documents(v.document_texts.select("doc_id", "text"), QUERY_DOC).select("doc_id", "score")
 
 
 CANDIDATES = f"SELECT ordinal FROM findings WHERE (NOT ignored AND ext IN {o.in_list(o.fixed.PLAIN_TEXT_EXTENSIONS + o.fixed.OFFICE_EXTENSIONS)}) OR ordinal = {QUERY_DOC}"
@@ -54,7 +54,7 @@ CANDIDATES = f"SELECT ordinal FROM findings WHERE (NOT ignored AND ext IN {o.in_
     ORDER BY score DESC, doc_id LIMIT 50""", ("doc_terms", "findings"))
 def _(v: Views):
     """Candidates are the visible findings of a readable type."""
-    docs = similarity.candidate_documents(v.findings.withColumn("doc_id", c("ordinal")), v.documents.select("doc_id", "text"), QUERY_DOC)
+    docs = similarity.candidate_documents(v.findings.withColumn("doc_id", c("ordinal")), v.document_texts.select("doc_id", "text"), QUERY_DOC)
     return similarity.similar_documents(docs, QUERY_DOC).select("doc_id", "score")
 
 
@@ -100,7 +100,7 @@ def _(v: Views):
     from tracelake.operators.ordering import with_positions
     from tracelake.plans.views import file_path
 
-    found = similarity.similar_documents(v.documents.select("doc_id", "text"), QUERY_DOC)
+    found = similarity.similar_documents(v.document_texts.select("doc_id", "text"), QUERY_DOC)
     rows = with_positions(found, F.desc("score"), F.asc("doc_id")).withColumn("path", file_path(c("doc_id")))
     saved = similarity.saved_analysis("Document", rows, F.lit(AS_OF)).withColumn("finding_id", F.lit("f0000000003"))
     back = joins.saved_matches(saved, v.findings)

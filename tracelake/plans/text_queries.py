@@ -176,7 +176,7 @@ IDENTITY = "SELECT doc_id, CAST(sum(n) AS BIGINT) AS total_mentions, count(*) AS
 
 
 def identity_rows(v: Views, inline: int):
-    docs = v.documents.select("doc_id", "text").join(v.inventory.select(c("ordinal").alias("doc_id"), "path"), "doc_id")
+    docs = v.document_texts.select("doc_id", "text").join(v.inventory.select(c("ordinal").alias("doc_id"), "path"), "doc_id")
     rows = identity.with_identity(docs, identity.identity_terms(v.raw_terms), inline_terms=inline, max_text_bytes=None)
     entries = F.transform(F.map_entries("identity.matched_terms"), lambda e: F.concat(e["value"], F.lit(": "), e["key"]))
     return rows.filter("identity.has_identity_trace").select(
@@ -216,7 +216,7 @@ def _(v: Views):
     from tracelake.functions import paths
     from tracelake.plans.views import file_path
 
-    docs = v.documents.select("lang", "text", file_path(c("doc_id")).alias("path"))
+    docs = v.document_texts.select("lang", "text", file_path(c("doc_id")).alias("path"))
     rows = pii.with_pii(docs, kinds=["BankCard", "Email", "IP"], cap=None)
     exposure = paths.exposure_score(paths.path_exposure_items("path"))
     risk = F.least(F.lit(100), exposure + evidence.points(evidence.positive("pii.total_matches"), 18))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tracelake import fixed
 from tracelake.operators import history, joins, media
-from tracelake.session import prepare
+from tracelake.session import prepare, spread
 from tracelake.sources import inventory as inv
 
 AS_OF = datetime(2024, 6, 1)
@@ -82,6 +82,11 @@ class Views:
     def documents(self) -> DataFrame:
         return self.table("documents")
 
+    @cached_property
+    def document_texts(self) -> DataFrame:
+        """For text work; queries that only need the other columns read `documents`."""
+        return spread(self.documents, "doc_id")
+
     @cached_property
     def inventory(self) -> DataFrame:
         """One file per document."""
@@ -355,16 +360,16 @@ class Views:
             .when(n % 7 == 2, F.concat(F.lit("blob Zx9"), F.upper(F.substring(digest, 1, 12)), F.substring(digest, 13, 16)))
             .otherwise(F.lit("the secret of this document is kept well")),
         ]
-        return self.table("customer").select(n, F.concat_ws("\n", *lines).alias("text"))
+        return spread(self.table("customer"), "c_custkey").select(n, F.concat_ws("\n", *lines).alias("text"))
 
     @cached_property
     def texts(self) -> DataFrame:
         """Every text of every table, whole."""
-        return (self.documents.select(F.concat(F.lit("d"), text(c("doc_id"))).alias("key"), "text")
+        return (self.document_texts.select(F.concat(F.lit("d"), text(c("doc_id"))).alias("key"), "text")
                 .unionByName(self.contacts.select(F.concat(F.lit("c"), text(c("c_custkey"))).alias("key"), "text"))
-                .unionByName(self.table("pages").select(F.concat(F.lit("p"), text(c("page_id"))).alias("key"),
+                .unionByName(spread(self.table("pages"), "page_id").select(F.concat(F.lit("p"), text(c("page_id"))).alias("key"),
                                                         c("html").alias("text")))
-                .unionByName(self.table("conversations").select(
+                .unionByName(spread(self.table("conversations"), "conv_id", "turn").select(
                     F.concat(F.lit("t"), text(c("conv_id")), F.lit("-"), text(c("turn"))).alias("key"), "text")))
 
     @cached_property
@@ -379,7 +384,7 @@ class Views:
             .when(n % 3 == 1, F.lit("api_key=changeme")).otherwise(F.lit("client_secret=true")),
             F.concat(F.lit("API_URL=https://api"), text(n % 7), F.lit(".example.com/v1")),
         ]
-        return self.table("customer").select(
+        return spread(self.table("customer"), "c_custkey").select(
             n.alias("config_id"), F.concat(F.lit("C:\\srv\\app"), text(n), F.lit("\\"), pick(CONFIG_FILES, n)).alias("path"),
             F.concat_ws("\n", *lines).alias("text"), (n * 1000).alias("size_bytes"),
             F.lit("Potential secrets").alias("category"), F.lit("Potential secret").alias("subcategory"))

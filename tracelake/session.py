@@ -53,3 +53,13 @@ def pinned(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later passes read the same rows even after losing executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give CPU-bound text work at least one partition per core.
+
+    Only a table with fewer splits than cores is redistributed, by key. A large table has far more splits, so its
+    texts are never shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
