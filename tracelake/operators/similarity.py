@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelake import fixed
 from tracelake.functions import paths
+from tracelake.session import stored
 
 STOP_WORDS = fixed.STOP_WORDS_RU + fixed.STOP_WORDS_EN
 HOT_SHARE = 100
@@ -20,12 +21,18 @@ def words(text: Column, max_chars: int | None = None) -> Column:
 
 
 def term_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", max_chars: int | None = None) -> DataFrame:
-    """SIM-1: (key, total, term, n). The total is taken before the rows fan out, so it costs no second shuffle."""
+    """SIM-1: (key, total, term, n). The total is taken before the rows fan out, so it costs no second shuffle.
+    The explode drops documents without words; a filter would tokenise every text twice."""
     tokens = docs.select(key, words(F.col(text), max_chars).alias("w")).select(key, "w", F.size("w").alias("total"))
-    return (tokens.filter("total > 0").select(key, "total", F.explode("w").alias("term"))
+    return (tokens.select(key, "total", F.explode("w").alias("term"))
             .groupBy(key, "total", "term").agg(F.count(F.lit(1)).alias("n")))
 
 
+def document_count(counts: DataFrame, key: str) -> Column:
+    """Documents with any word, as a scalar."""
+    return counts.agg(F.count_distinct(key).alias("documents")).scalar()
+
+
 def document_frequency(counts: DataFrame) -> DataFrame:
     """SIM-2: rows are unique per document and term, so counting them is the document frequency."""
     return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -53,8 +60,9 @@ def with_frequency(counts: DataFrame, frequency: DataFrame, documents: Column, k
 
 
 def tf_idf(counts: DataFrame, key: str = "doc_id") -> DataFrame:
-    """SIM-3: (key, total, term, n, df, w) over the whole corpus."""
-    documents = counts.agg(F.count_distinct(key).alias("n")).scalar()
+    """SIM-3: (key, total, term, n, df, w) over the whole corpus. The counts are read three times, so store them."""
+    counts = stored(counts)
+    documents = document_count(counts, key)
     weighted = with_frequency(counts, document_frequency(counts), documents, key)
     return weighted.withColumn("w", weight(F.col("n"), F.col("total"), documents, F.col("df")))
 
@@ -65,13 +73,13 @@ def similar_documents(docs: DataFrame, query_id, key: str = "doc_id", text: str
     """SIM-4, TOP-2: the best matches of one document among all others.
 
     `docs` holds the query and its candidates. The query's terms are bounded by one document and broadcast;
-    every candidate keeps two running sums (its norm and its product with the query).
+    every candidate keeps two running sums (its norm and its product with the query). Texts are read and split into
+    words once; everything else reads the stored counts.
     """
-    counts = term_counts(docs, key, text, max_chars)
-    query = term_counts(docs.filter(F.col(key) == query_id), key, text, max_chars).select(
+    counts = stored(term_counts(docs, key, text, max_chars))
+    query = counts.filter(F.col(key) == query_id).select(
         "term", F.col("n").alias("qn"), F.col("total").alias("qtotal"))
-    size = F.size(words(F.col(text), max_chars))
-    documents = docs.select(size.alias("s")).filter("s > 0").agg(F.count(F.lit(1)).alias("n")).scalar()
+    documents = document_count(counts, key)
     frequency = document_frequency(counts)
     rows = (with_frequency(counts, frequency, documents, key).join(F.broadcast(query), "term", "left")
             .withColumn("w", weight(F.col("n"), F.col("total"), documents, F.col("df")))
