@@ -191,3 +191,29 @@ def _(v: Views):
 @query("flt13_priority_report_errors", REPORT.format("failed"), ("ranked",))
 def _(v: Views):
     return report(v, "Detection", status="Errors")
+
+
+def numbered(rows, name: str, order: list, limit: int):
+    """The first rows of an order with their positions; only `limit` rows reach the numbering window."""
+    place = F.row_number().over(Window.partitionBy(F.lit(name)).orderBy(*order)).cast("long")
+    return rows.orderBy(*order).limit(limit).select(F.lit(name).alias("sort"), "finding_id", place.alias("position"))
+
+
+TOPS = {
+    "initial": ("true", "exposure_score DESC, size_bytes DESC, ordinal"),
+    "media": ("media", "combined_score DESC, modified_at DESC NULLS LAST, ordinal"),
+    "privacy": ("true", "privacy_rank DESC, detection_rank DESC, ordinal"),
+    "modified": ("true", "modified_at DESC NULLS LAST, ordinal"),
+    "detection": ("true", "detection_rank DESC, ordinal"),
+}
+
+
+@query("srt2_to_4_positions", "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{name}' AS sort, finding_id, row_number() OVER (ORDER BY {order}) AS position FROM ranked WHERE {where}"
+    for name, (where, order) in TOPS.items()) + ") WHERE position <= 100", ("ranked",))
+def _(v: Views):
+    ranked = evidence.with_ranks(v.audited)
+    media = ranked.filter(filters.media_scope(True, True))
+    tops = [numbered(ranked, "initial", ordering.initial_order(), 100), numbered(media, "media", ordering.media_order(), 100)]
+    tops += [numbered(ranked, s.lower(), ordering.report_order(s), 100) for s in ("Privacy", "Modified", "Detection")]
+    return reduce(lambda a, b: a.unionByName(b), tops)
