@@ -63,7 +63,7 @@ if __name__ == "__main__":
     import __spark_entry__ as entry
     from tracelake.session import build_session
 
-    spark = build_session("local[8]", 8, "8g")
+    spark = build_session("local[8]", 8, os.environ.get("COMPARE_MEMORY", "8g"))
     spark.sparkContext.setLogLevel("ERROR")
     folder, parts = sys.argv[1], sys.argv[2:]
     bad = 0
