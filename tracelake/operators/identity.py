@@ -102,17 +102,20 @@ def with_identity(docs: DataFrame, terms: DataFrame, key: str = "doc_id", path:
 
 
 def identity_by_join(body: DataFrame, ready: DataFrame, key: str, out: str) -> DataFrame:
-    """Equi join on the anchor; terms without one are few and are tried on every document in place."""
+    """Candidates by equi join, then an exact count. Terms with an anchor meet the words of a document; the others
+    meet its three-character pieces by their own first three characters (no term is shorter)."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("__body"), F.lit(WORD), F.lit(0)))
-    loose = ready.filter("anchor is null").groupBy().agg(F.collect_list(F.struct("term", "category", "pattern"))).scalar()
     tokens = body.select(key, F.explode(words).alias("anchor"))
     pairs = tokens.join(ready.filter("anchor is not null"), "anchor").select(key, "term", "category", "pattern")
-    anchored = (pairs.join(body.select(key, "__body"), key)
-                .select(key, "term", "category", F.regexp_count("__body", F.col("pattern")).alias("n")))
-    unanchored = (body.select(key, "__body", F.explode(loose).alias("t"))
-                  .select(key, "t.term", "t.category", F.regexp_count("__body", F.col("t.pattern")).alias("n")))
-    hits = (anchored.unionByName(unanchored).filter("n > 0").groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct(F.lower("term").alias("order"), "term", "category", "n"))).alias("__hits")))
+    loose = ready.filter("anchor is null").withColumn("piece", F.lower(F.substring("term", 1, 3)))
+    if not loose.isEmpty():
+        pieces = F.array_distinct(F.regexp_extract_all(F.lower("__body"), F.lit("(?s)(?=(...))"), F.lit(1)))
+        near = body.select(key, F.explode(pieces).alias("piece")).join(loose, "piece")
+        pairs = pairs.unionByName(near.select(key, "term", "category", "pattern"))
+    counted = pairs.join(body.select(key, "__body"), key).select(
+        key, "term", "category", F.regexp_count("__body", F.col("pattern")).alias("n"))
+    hits = counted.filter("n > 0").groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct(F.lower("term").alias("order"), "term", "category", "n"))).alias("__hits"))
     empty = F.array().cast("array<struct<order:string,term:string,category:string,n:int>>")
     return (body.drop("__body").join(hits, key, "left")
             .withColumn(out, identity_struct(F.coalesce("__hits", empty))).drop("__hits"))

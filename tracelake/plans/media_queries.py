@@ -175,8 +175,8 @@ def _(v: Views):
 
 
 @query("prv1_path_evidence", f"""
-    SELECT finding_id, (CASE WHEN contains({LOWER}, '\\appdata\\roaming\\') THEN 15 WHEN contains({LOWER}, '\\appdata\\local\\') THEN 12 ELSE 0 END)
-        + (CASE WHEN contains({LOWER}, '\\downloads\\') THEN 8 ELSE 0 END) AS weight FROM findings""", ("findings",))
+    SELECT finding_id, CAST((CASE WHEN contains({LOWER}, '\\appdata\\roaming\\') THEN 15 WHEN contains({LOWER}, '\\appdata\\local\\') THEN 12 ELSE 0 END)
+        + (CASE WHEN contains({LOWER}, '\\downloads\\') THEN 8 ELSE 0 END) AS BIGINT) AS weight FROM findings""", ("findings",))
 def _(v: Views):
     weight = F.aggregate(provenance.path_evidence("path"), F.lit(0), lambda a, e: a + e["weight"])
     return v.findings.select("finding_id", weight.cast("long").alias("weight"))
@@ -242,9 +242,9 @@ WEIGHT = f"""((CASE WHEN contains({LOWER}, '\\appdata\\roaming\\') THEN 15 WHEN
 
 
 @query("prv8_provenance", f"""
-    SELECT finding_id, app AS application, score AS confidence_score, CASE WHEN score >= 80 THEN 'HIGH' WHEN score >= 55 THEN 'MEDIUM' WHEN score >= 25 THEN 'LOW' ELSE 'UNKNOWN' END AS confidence_level,
+    SELECT finding_id, app AS application, CAST(score AS BIGINT) AS confidence_score, CASE WHEN score >= 80 THEN 'HIGH' WHEN score >= 55 THEN 'MEDIUM' WHEN score >= 25 THEN 'LOW' ELSE 'UNKNOWN' END AS confidence_level,
            app IS NOT NULL AND {SLOT} = 3 AS possible_orphan, CASE WHEN app IS NULL AND ordinal % 7 = 0 THEN 'ACCOUNT_PROFILE' ELSE {ROLE} END AS file_role,
-           weight + (CASE WHEN app IS NOT NULL AND {SLOT} = 3 THEN 20 ELSE 0 END) AS evidence_weight
+           CAST(weight + (CASE WHEN app IS NOT NULL AND {SLOT} = 3 THEN 20 ELSE 0 END) AS BIGINT) AS evidence_weight
     FROM (SELECT *, least(100, weight) AS score FROM (SELECT *, {WEIGHT} AS weight FROM (SELECT *, {APP} AS app FROM audited)))""", ("audited",))
 def _(v: Views):
     rows = provenance.analyzed(v.provenance_input, v.inventory, v.installed, F.lit(AS_OF))

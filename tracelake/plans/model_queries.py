@@ -53,10 +53,10 @@ def history_features(v: Views):
 @query("ml2_history_features", f"""
     SELECT h.ordinal, round(CAST(CAST(log10(greatest(1, h.interactions + 1)) AS FLOAT) AS DOUBLE), 3) AS HistoryInteractionCount,
            round(CAST(CAST((epoch_us({o.DAY0}) - epoch_us(h.last_interaction)) / CAST(86400000000 AS DOUBLE) AS FLOAT) AS DOUBLE), 3) AS HistoryDaysSinceInteraction,
-           {flag('h.exists_now')} AS HistoryTargetExists, {flag('h.pinned')} AS HistoryPinned, {flag("starts_with(h.target_path, '\\\\')")} AS HistoryNetworkPath,
-           {flag('h.related_finding_id IS NOT NULL')} AS HistoryHasAuditFinding, round(CAST(CAST(CASE WHEN h.size_bytes > 0 THEN log10(h.size_bytes)
+           CAST({flag('h.exists_now')} AS DOUBLE) AS HistoryTargetExists, CAST({flag('h.pinned')} AS DOUBLE) AS HistoryPinned, CAST({flag("starts_with(h.target_path, '\\\\')")} AS DOUBLE) AS HistoryNetworkPath,
+           CAST({flag('h.related_finding_id IS NOT NULL')} AS DOUBLE) AS HistoryHasAuditFinding, round(CAST(CAST(CASE WHEN h.size_bytes > 0 THEN log10(h.size_bytes)
              WHEN a.finding_id IS NOT NULL THEN log10(greatest(1, a.size_bytes)) ELSE 0 END AS FLOAT) AS DOUBLE), 3) AS LogFileSize,
-           coalesce(a.pii_total, 0) AS PersonalDataMatches, h.application_name AS ApplicationCategory, h.source_kind AS HistorySourceKind
+           CAST(coalesce(a.pii_total, 0) AS DOUBLE) AS PersonalDataMatches, h.application_name AS ApplicationCategory, h.source_kind AS HistorySourceKind
     FROM history h LEFT JOIN audited a ON h.related_finding_id = a.finding_id""", ("history", "audited"))
 def _(v: Views):
     names = ["HistoryInteractionCount", "HistoryDaysSinceInteraction", "HistoryTargetExists", "HistoryPinned", "HistoryNetworkPath",

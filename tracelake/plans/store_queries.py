@@ -148,7 +148,7 @@ def _(v: Views):
                                                        F.concat_ws("; ", "exposure_reasons").alias("reasons"), c("modified_at").cast("timestamp_ntz").alias("modified_at"))
 
 
-@query("snk8_reset_keeps_feedback", "SELECT 0 AS scans, count(*) AS feedback FROM feedback", ("feedback",))
+@query("snk8_reset_keeps_feedback", "SELECT CAST(0 AS BIGINT) AS scans, count(*) AS feedback FROM feedback", ("feedback",))
 def _(v: Views):
     tables = store.Tables(v.spark, scratch(v))
     tables.append("scans", v.scans.select("*", *[F.lit("").alias(n) for n in ("host", "os_version", "app_version")]))
@@ -158,7 +158,7 @@ def _(v: Views):
     return tables.read("feedback").agg(F.count(F.lit(1)).alias("feedback")).withColumn("scans", kept)
 
 
-@query("snk10_feedback_cleared", "SELECT 0 AS feedback, count(*) AS exclusions FROM exclusions", ("exclusions",))
+@query("snk10_feedback_cleared", "SELECT CAST(0 AS BIGINT) AS feedback, count(*) AS exclusions FROM exclusions", ("exclusions",))
 def _(v: Views):
     tables = store.Tables(v.spark, scratch(v))
     tables.append("feedback", v.feedback)
