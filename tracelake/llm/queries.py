@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.llm import maxent_lm, ngram_join
+from tracelake.llm import cross_parse, maxent_lm, ngram_join
 from tracelake.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,11 @@ def op2_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent_lm.lm_scores(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+@query
+def op3_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_parse.languages(read(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 @query
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_groups(read(spark, sf_dir, "documents", "doc_id", "text"))
