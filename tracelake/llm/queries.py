@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.llm import cross_parse, maxent_lm, ngram_join
+from tracelake.llm import cross_parse, maxent_lm, ngram_join, weak_quality
 from tracelake.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,11 @@ def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
     return run
 
 
+@query
+def op1_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_quality.quality(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query
 def op2_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent_lm.lm_scores(read(spark, sf_dir, "documents", "doc_id", "text"))
