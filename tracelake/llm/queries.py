@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.llm import cross_parse, maxent_lm, ngram_join, weak_quality
+from tracelake.llm import cross_parse, maxent_lm, mpeg_audio, ngram_join, pfair_mix, weak_quality
 from tracelake.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,16 @@ def op3_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_parse.languages(read(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
+@query
+def op4_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfair_mix.mixed(read(spark, sf_dir, "documents", "doc_id", "source"))
+
+
+@query
+def op8_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpeg_audio.stored_texts(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_groups(read(spark, sf_dir, "documents", "doc_id", "text"))
