@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.tables import slices, stored, text_bytes
-from tracelake.llm.words import LOWER, hashes, mix, spans
+from tracelake.llm.tables import head_words, slices, stored, text_bytes
+from tracelake.llm.words import LOWER, Lookup, hashes, mix, spans
 
 HEAD = 1 << 19  # words whose counts are broadcast
 WORDS = 4096  # words with weights of their own
@@ -43,34 +43,6 @@ SEEDS = np.array([0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0xCBBB9D5DC1059ED8, 0x
                  np.uint64)
 
 
-class Lookup:
-    """Open-addressing table from 64-bit keys to their positions."""
-
-    def __init__(self, keys: np.ndarray):
-        self.bits = max(4, int(4 * max(1, len(keys)) - 1).bit_length())
-        self.keys = np.zeros((1 << self.bits) + 64, np.uint64)
-        self.at = np.full(len(self.keys), -1, np.int32)
-        slot, left = (keys >> np.uint64(64 - self.bits)).astype(np.int64), np.arange(len(keys))
-        while len(left):
-            free = left[self.at[slot[left]] < 0]
-            _, first = np.unique(slot[free], return_index=True)
-            put = free[first]
-            self.at[slot[put]], self.keys[slot[put]] = put, keys[put]
-            left = np.setdiff1d(left, put, assume_unique=True)
-            slot[left] += 1
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        """Positions, -1 where absent."""
-        slot = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
-        out = self.at[slot]
-        open_ = np.flatnonzero((out >= 0) & (self.keys[slot] != keys))
-        while len(open_):
-            slot[open_] += 1
-            out[open_] = self.at[slot[open_]]
-            open_ = open_[(out[open_] >= 0) & (self.keys[slot[open_]] != keys[open_])]
-        return out
-
-
 @dataclass
 class Model:
     lookup: Lookup  # of head words, the most frequent first
@@ -174,24 +146,6 @@ def count_words(docs: DataFrame) -> DataFrame:
             .agg(F.sum("c").alias("c")))
 
 
-def head_words(counts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """At most `size` words with their counts, the most frequent first, cut where a count would not fit whole."""
-    step = F.floor(F.log2("c") * 16)
-    many = sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True)
-    least, room = None, size
-    for at, n in many:
-        room -= n
-        if room < 0:
-            break
-        least = at
-    if least is None:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    found = counts.where(step >= F.lit(least)).select("word", "c").toArrow()
-    word, c = found.column("word").to_numpy().view(np.uint64), found.column("c").to_numpy()
-    by = np.lexsort((word, -c))
-    return word[by], c[by]
-
-
 def summed(spark: SparkSession, rows: DataFrame, width: int, height: int) -> np.ndarray:
     """Add up (key, values) rows, values being `width` packed numbers, into a table of `height` rows."""
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.llm import cross_parse, maxent_lm, mpeg_audio, ngram_join, pfair_mix, weak_quality
+from tracelake.llm import byte_bpe, cross_parse, maxent_lm, mpeg_audio, ngram_join, pfair_mix, weak_quality
 from tracelake.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +39,11 @@ def op4_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfair_mix.mixed(read(spark, sf_dir, "documents", "doc_id", "source"))
 
 
+@query
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encoded_texts(read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 @query
 def op8_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_audio.stored_texts(read(spark, sf_dir, "documents", "doc_id", "text"))

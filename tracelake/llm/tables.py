@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracelake.session import prepare, stored
 
-__all__ = ["components", "large_binary", "read", "slices", "stored", "text_bytes"]
+__all__ = ["components", "head_words", "read", "slices", "stored", "text_bytes"]
 
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
@@ -40,10 +40,6 @@ def slices(offsets: np.ndarray, step: int = STEP_BYTES) -> Iterator[tuple[int, i
         a = b
 
 
-def large_binary(parts: list) -> pa.Array:
-    return pa.array(parts, pa.binary())
-
-
 def components(links: DataFrame, a: str, b: str, label: str = "component_id") -> DataFrame:
     """Smallest id reachable over `links` for every id that has a link: (`a`, `label`).
 
@@ -65,3 +61,21 @@ def components(links: DataFrame, a: str, b: str, label: str = "component_id") ->
         labels = after.select("u", F.col("n").alias("l"))
         if not moved:
             return labels.select(F.col("u").alias(a), F.col("l").alias(label))
+
+
+def head_words(counts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most `size` words with their counts, the most frequent first, cut where a count would not fit whole."""
+    step = F.floor(F.log2("c") * 16)
+    many = sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True)
+    least, room = None, size
+    for at, n in many:
+        room -= n
+        if room < 0:
+            break
+        least = at
+    if least is None:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    found = counts.where(step >= F.lit(least)).select("word", "c").toArrow()
+    word, c = found.column("word").to_numpy().view(np.uint64), found.column("c").to_numpy()
+    by = np.lexsort((word, -c))
+    return word[by], c[by]

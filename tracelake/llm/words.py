@@ -89,3 +89,31 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.
         else:
             out.append(np.empty(0, np.uint64))
     return out
+
+
+class Lookup:
+    """Open-addressing table from 64-bit keys to their positions."""
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(4, int(4 * max(1, len(keys)) - 1).bit_length())
+        self.keys = np.zeros((1 << self.bits) + 64, np.uint64)
+        self.at = np.full(len(self.keys), -1, np.int32)
+        slot, left = (keys >> np.uint64(64 - self.bits)).astype(np.int64), np.arange(len(keys))
+        while len(left):
+            free = left[self.at[slot[left]] < 0]
+            _, first = np.unique(slot[free], return_index=True)
+            put = free[first]
+            self.at[slot[put]], self.keys[slot[put]] = put, keys[put]
+            left = np.setdiff1d(left, put, assume_unique=True)
+            slot[left] += 1
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """Positions, -1 where absent."""
+        slot = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        out = self.at[slot]
+        open_ = np.flatnonzero((out >= 0) & (self.keys[slot] != keys))
+        while len(open_):
+            slot[open_] += 1
+            out[open_] = self.at[slot[open_]]
+            open_ = open_[(out[open_] >= 0) & (self.keys[slot[open_]] != keys[open_])]
+        return out
