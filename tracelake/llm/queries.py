@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.llm import byte_bpe, cross_parse, maxent_lm, mpeg_audio, ngram_join, pfair_mix, weak_quality
+from tracelake.llm import byte_bpe, cross_parse, maxent_lm, mpeg_audio, ngram_join, pfair_mix, url_digests, weak_quality
 from tracelake.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,29 @@ def op8_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_groups(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+@query
+def op10_url_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_digests.judged(read(spark, sf_dir, "pages", "page_id", "url"), URL_RULES)
+
+
+_FITS = "(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '{1}')"
+SQL["op10_url_digests"] = f"""
+WITH parts AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'),
+                                     '{url_digests.UPPER}', '{url_digests.LOWER}'), '') AS host,
+         coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') AS path
+  FROM pages),
+ruled AS (
+  SELECT *, CASE WHEN {_FITS.format('example.net', '/en/')} THEN 'example.net/en/'
+                 WHEN {_FITS.format('example.com', '/de/')} THEN 'example.com/de/'
+                 WHEN {_FITS.format('org', '/fr/')} THEN 'org/fr/'
+                 WHEN {_FITS.format('net', '/')} THEN 'net/' END AS rule
+  FROM parts)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled
+"""
