@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.llm import byte_bpe, cross_parse, maxent_lm, mpeg_audio, ngram_join, pfair_mix, url_digests, weak_quality
+from tracelake.llm import byte_bpe, cross_parse, maxent_lm, mpeg_audio, ngram_join, nn_descent, pfair_mix, url_digests, weak_quality
 from tracelake.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encoded_texts(read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+@query
+def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.nearest(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 @query
 def op8_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_audio.stored_texts(read(spark, sf_dir, "documents", "doc_id", "text"))
