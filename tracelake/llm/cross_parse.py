@@ -18,13 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.tables import slices, text_bytes
+from tracelake.llm.tables import extended, slices, text_bytes
 from tracelake.llm.words import LOWER
 
 #: The bounded sample: labelled rows a language, characters of a row, symbols of a language.
 SAMPLE_ROWS, ROW_CHARS, SAMPLE_SYMBOLS = 32, 4096, 24_576
 SEGMENT = 2048
 UNDETERMINED = "und"
+#: Texts are rejected that cost so many bits a symbol in the best language, if they have so many symbols.
+STRANGE, JUDGED = 6.0, 64
+FOUND = {"lang_pred": "string", "score": "double", "bits": "double", "symbols": "long"}
 
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = True
@@ -154,14 +157,16 @@ def fitted(docs: DataFrame) -> Parser:
 
 
 def identified(docs: DataFrame, parser: Parser) -> DataFrame:
-    """docs with lang_pred, score and bits (a symbol's cost in the language found)."""
+    """docs (text and other columns) with lang_pred, score, bits (a symbol's cost in the language found) and symbols;
+    columns of these names are replaced."""
+    docs = docs.drop(*FOUND)
     shared = docs.sparkSession.sparkContext.broadcast(parser)
 
     def run(batches):
         p = shared.value
         for batch in batches:
             raw, offsets = text_bytes(batch.column("text"))
-            pred, score, bits = [], [], []
+            pred, score, bits, size = [], [], [], []
             for a, b in slices(offsets, 2 << 20):
                 part, ends = raw[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a]
                 known = has_letter(part, ends) & bool(p.languages)
@@ -176,16 +181,16 @@ def identified(docs: DataFrame, parser: Parser) -> DataFrame:
                 second = rest.min(axis=0)
                 with np.errstate(all="ignore"):
                     margin = np.where(second > 0, 1 - least / second, 0.0)
-                    price = least / np.maximum(np.diff(at), 1)
                 pred += [p.languages[k] if ok else UNDETERMINED for k, ok in zip(first.tolist(), known.tolist())]
                 score.append(np.where(known, margin, 0.0))
-                bits.append(np.where(known, price, 0.0))
-            cat = lambda x: pa.array(np.concatenate(x) if x else np.empty(0))
-            keep = [batch.column(c) for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(pred, pa.string()), cat(score), cat(bits)],
-                                             [*(c for c in batch.schema.names if c != "text"), "lang_pred", "score", "bits"])
+                bits.append(np.where(known, least / np.maximum(np.diff(at), 1), 0.0))
+                size.append(np.diff(at))
+            found = [pa.array(pred, pa.string()),
+                     *(pa.array(np.concatenate(x) if x else [], t) for x, t in
+                       ((score, pa.float64()), (bits, pa.float64()), (size, pa.int64())))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], [*batch.schema.names, *FOUND])
 
-    return docs.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, bits double")
+    return docs.mapInArrow(run, extended(docs.schema, FOUND))
 
 
 def languages(docs: DataFrame) -> DataFrame:
@@ -193,10 +198,22 @@ def languages(docs: DataFrame) -> DataFrame:
 
     docs: doc_id long, text string, lang string; other columns are ignored. Learns from text and lang of documents
     whose crc32(doc_id as text) mod 3 is not 1 (rows without doc_id, lang or letters teach nothing). Returns a row per
-    input row: doc_id, held_out, lang_pred, score (0 to 1: by how much the best language beats the next) and bits
-    (cost of a symbol). lang_pred is `und`, with score 0, if text is null or has no letter or nothing was learnt;
-    ties go to the first name. Equal texts get equal results. An empty table gives an empty result.
+    input row: doc_id, held_out, lang_pred, score (0 to 1: by how much the best language beats the next), bits
+    (cost of a symbol) and symbols. lang_pred is `und`, with score 0, if text is null or has no letter or nothing was
+    learnt; ties go to the first name. Equal texts get equal results. An empty table gives an empty result.
     """
     parser = fitted(docs.select("doc_id", "text", "lang"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
-    return identified(docs.select("doc_id", held.alias("held_out"), "text"), parser)
+    return identified(docs.select("doc_id", held.alias("held_out"), "text"), parser).drop("text")
+
+
+def in_known_language(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, whose language is determined and whose text looks like it.
+
+    Rejected are texts that are null or have no letter, and texts of `JUDGED` symbols or more that cost `STRANGE` bits
+    a symbol or more in every language learnt: more than evenly drawn letters would.
+    """
+    renamed = docs.withColumnsRenamed({c: f"column_{i}" for i, c in enumerate(docs.columns) if c != "text"})
+    found = identified(renamed, fitted(docs.select("doc_id", "text", "lang")))
+    strange = (F.col("bits") >= STRANGE) & (F.col("symbols") >= JUDGED)
+    return found.where((F.col("lang_pred") != UNDETERMINED) & ~strange).drop(*FOUND).toDF(*docs.columns)

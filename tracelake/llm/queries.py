@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracelake.llm import byte_bpe, cross_parse, maxent_lm, mpeg_audio, ngram_join, nn_descent, pfair_mix, url_digests, weak_quality
+from tracelake.llm import byte_bpe, cross_parse, license_scan, maxent_lm, mpeg_audio, ngram_join, nn_descent, pfair_mix, url_digests, weak_quality
 from tracelake.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +45,14 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encoded_texts(read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+@query
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: source / number div 512 / number div 32 / number."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "source", "text")
+    path = F.concat_ws("/", "source", F.expr("doc_id div 512"), F.expr("doc_id div 32"), F.concat("doc_id", F.lit(".txt")))
+    return license_scan.licenses(docs.select("doc_id", path.alias("path"), "text"))
+
+
 @query
 def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.nearest(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))

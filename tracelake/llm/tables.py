@@ -8,17 +8,35 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tracelake.session import prepare, stored
 
-__all__ = ["components", "head_words", "read", "slices", "stored", "text_bytes"]
+__all__ = ["components", "extended", "head_words", "read", "settled", "slices", "stored", "text_bytes"]
 
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
+#: Settings of the batches in which texts go to Python.
+BATCHES: dict[str, str] = {}
+
+
+def settled(spark: SparkSession) -> SparkSession:
+    """The session with the settings that the operators rely on."""
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
+    return prepare(spark)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
+    return settled(spark).read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
+
+
+def extended(schema: StructType, fields: dict[str, str]) -> StructType:
+    """A copy of the schema with further fields (name: type)."""
+    out = StructType(list(schema.fields))
+    for name, kind in fields.items():
+        out = out.add(name, kind)
+    return out
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

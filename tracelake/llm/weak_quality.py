@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.tables import slices, stored, text_bytes
+from tracelake.llm.tables import extended, slices, stored, text_bytes
 from tracelake.llm.words import BLANK, hashes, mix, spans
 
 SAMPLE_ROWS = 20_000
@@ -28,6 +28,7 @@ BUCKETS = 4096
 #: Documents are rejected below this score; far below one half, because a clean document lost costs more than a bad one.
 KEEP_FROM = 0.2
 ABSTAIN, GOOD, BAD = 0, 1, 2
+FOUND = {"votes": "long", "posterior": "double", "score": "double", "keep": "boolean"}
 LOWER_CASE, UPPER_CASE, DIGIT, STOP, MARK, OTHER = range(1, 7)
 
 KIND = np.full(256, OTHER, np.uint8)
@@ -241,14 +242,9 @@ def fitted(rows: list, labels: Labels, steps: int = 300) -> np.ndarray:
     return weights
 
 
-def quality(docs: DataFrame) -> DataFrame:
-    """Quality of every document: doc_id, votes (pattern of the labellers), posterior, score, keep.
-
-    docs: doc_id long, text string; other columns are ignored; one row per input row. score is the linear scorer's
-    probability that a text is good, keep whether it is `KEEP_FROM` or more; posterior is what the votes alone say.
-    Texts that are null, empty or blank have score 0 and aren't kept. Equal texts get equal results. An empty table
-    gives an empty result.
-    """
+def judged(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text and other columns) with votes, posterior, score and keep; columns of these names are replaced."""
+    docs = docs.drop(*FOUND)
     rows = docs.count()
     found = stored(surveyed(docs, min(1.0, SAMPLE_ROWS / max(rows, 1))))
     counted = found.groupBy("pattern").count().collect()
@@ -272,9 +268,24 @@ def quality(docs: DataFrame) -> DataFrame:
                 continue
             codes, score, words = map(np.concatenate, (codes, score, words))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(codes), pa.array(np.where(words > 0, labels.posterior(codes), 0.0)),
-                 pa.array(score), pa.array((score >= KEEP_FROM) & (words > 0))],
-                ["doc_id", "votes", "posterior", "score", "keep"])
+                [*batch.columns, pa.array(codes), pa.array(np.where(words > 0, labels.posterior(codes), 0.0)),
+                 pa.array(score), pa.array((score >= KEEP_FROM) & (words > 0))], [*batch.schema.names, *FOUND])
+
+    return docs.mapInArrow(run, extended(docs.schema, FOUND))
+
+
+def quality(docs: DataFrame) -> DataFrame:
+    """Quality of every document: doc_id, votes (pattern of the labellers), posterior, score, keep.
+
+    docs: doc_id long, text string; other columns are ignored; one row per input row. score is the linear scorer's
+    probability that a text is good, keep whether it is `KEEP_FROM` or more; posterior is what the votes alone say.
+    Texts that are null, empty or blank have score 0 and aren't kept. Equal texts get equal results. An empty table
+    gives an empty result.
+    """
+    return judged(docs.select("doc_id", "text")).drop("text")
+
 
-    return (docs.select("doc_id", "text")
-            .mapInArrow(run, "doc_id long, votes long, posterior double, score double, keep boolean"))
+def good_documents(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that the classifier keeps."""
+    plain = {c: f"column_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    return judged(docs.withColumnsRenamed(plain)).where("keep").drop(*FOUND).toDF(*docs.columns)

@@ -39,12 +39,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words, and len + 1 offsets of each text into them."""
+def spans(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words (runs of bytes that aren't `blank`), and len + 1 offsets of each text into them."""
     if not len(data):
         none = np.empty(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    word = ~BLANK[data]
+    word = ~blank[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     first, last = word.copy(), word.copy()
