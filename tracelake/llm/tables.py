@@ -16,8 +16,8 @@ __all__ = ["components", "extended", "head_words", "read", "settled", "slices",
 
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
-#: Settings of the batches in which texts go to Python.
-BATCHES: dict[str, str] = {}
+#: Texts go to Python in small batches: tasks of one executor share its memory.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "4194304"}
 
 
 def settled(spark: SparkSession) -> SparkSession:
