@@ -1,8 +1,12 @@
 """Detectors on single texts with expected values."""
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
+from tracelake import fixed
 from tracelake.functions import checks
 from tracelake.operators import archive, config, document, evidence, exif, identity, media, pii, secrets
 
@@ -59,15 +63,35 @@ def test_version_like_addresses(spark):
 
 def test_cap_keeps_one_match_of_later_kinds(spark):
     text = "abc 1234-5678-9012-3456 test@sample.com +7 999 000 00 00 " * 1000
-    found = scan(spark, text)
+    found = scan(spark, text, cap=50)
     assert found.total_matches == 51 and [m.category for m in found.matches].count("Phone") == 1
-    assert scan(spark, text, cap=None).total_matches == 2000
+    assert scan(spark, text).total_matches == 2000
 
 
 def test_text_behind_200000_characters_is_read(spark):
     assert scan(spark, "x" * 300_000 + " late@example.org").total_matches == 1
 
 
+@pytest.mark.parametrize("token", ["a-" * 1_000_000, "token" * 400_000, "a.b@" * 100_000, "é" + "a" * 1_000_000 + "@", "x" * 1_000_000 + "=:@"])
+def test_long_tokens_take_linear_time(spark, token):
+    rows = spark.createDataFrame([(token,)], "text string")
+    started = time.monotonic()
+    rows.select(F.size(pii.emails(F.col("text"))), F.size(secrets.assignments(F.col("text")))).collect()
+    assert time.monotonic() - started < 30
+
+
+def test_linear_patterns_find_what_the_plain_ones_do(spark):
+    rng = random.Random(3)
+    parts = [*"ab1._%+-@@é ", "x.com", "@y.org", "a@b.cc", " ", "password", "token", "=", ":", "secret_", "\"", "'", "abcdefgh12", "api_key", "\n"]
+    rows = spark.createDataFrame([("".join(rng.choice(parts) for _ in range(rng.randint(1, 25))),) for _ in range(4000)], "text string")
+    plain = F.regexp_extract_all("text", F.lit("(?U)" + fixed.PII_PATTERNS["Email"]), F.lit(0))
+    assert rows.filter(pii.emails(F.col("text")) != plain).count() == 0
+    named = (r"(?i)\b[A-Za-z0-9_.-]*(?:password|passwd|pwd|secret|token|api_?key|access_?key|private_?key)[A-Za-z0-9_]*"
+             r"[\"']?[ \t]*[=:][ \t]*[\"']?([!-~&&[^\"',;]]{8,})")
+    values = F.filter(F.regexp_extract_all("text", F.lit(named), F.lit(1)), lambda v: ~v.rlike(secrets.CODE_IDENTIFIER) & ~v.startswith("$"))
+    assert rows.filter(F.transform(secrets.assignments(F.col("text")), lambda m: m["sample"]) != values).count() == 0
+
+
 def secret_scan(spark, text):
     return secrets.with_secrets(spark.createDataFrame([(text,)], "text string")).first()["secrets"]
 
@@ -118,7 +142,7 @@ def test_config_module(spark, text, hit):
 
 @pytest.mark.parametrize("text, size, category", [
     ('token = os.getenv("TOKEN")', 100, "Other"), ('token = "hard-coded-token-value"', 100, "Potential secrets"),
-    ('value = "ghp_' + "A" * 36 + '"', 100, "Potential secrets"), ('token = os.getenv("TOKEN")', 2_000_000, "Potential secrets")])
+    ('value = "ghp_' + "A" * 36 + '"', 100, "Potential secrets"), ('token = os.getenv("TOKEN")', 2_000_000, "Other")])
 def test_generic_config_is_downgraded_but_kept(spark, text, size, category):
     rows = spark.createDataFrame([("C:\\x\\config.py", text, size, "Potential secrets", "Potential secret")],
                                  "path string, text string, size_bytes long, category string, subcategory string")
@@ -130,15 +154,19 @@ TERMS = [("alice_dev", "Windows Account", 1), ("alice@company.org", "Git Email",
          ("user", "Generic", 4), ("ab", "Short", 5), ("x.y", "Loose", 6), ("Alice_Dev", "Account", 7)]
 
 
-@pytest.mark.parametrize("inline", [1000, 0])
-def test_identity_both_ways(spark, inline):
+@pytest.mark.parametrize("counted", [identity.with_identity, identity.identity_by_join])
+def test_identity_both_ways(spark, counted):
     docs = spark.createDataFrame([
         (1, "C:\\x\\alice_dev notes.txt", "Created by alice_dev on WORKSTATION-99.\nContact: xalice@company.org, ALICE_DEV."),
-        (2, "C:\\x\\b.txt", "malice_device nothing; ax.yb"), (3, "C:\\x\\c.txt", None)], "doc_id long, path string, text string")
+        (2, "C:\\x\\b.txt", "malice_device nothing; ax.yb"), (3, "C:\\x\\c.txt", None),
+        (4, "C:\\x\\d.txt", "word " * 300_000 + "alice_dev"), (5, "C:\\x\\e.txt", "alice_dev"), (5, "C:\\x\\e.txt", "alice_dev alice_dev")], "doc_id long, path string, text string")
     terms = identity.identity_terms(spark.createDataFrame(TERMS, "term string, category string, position int"))
     assert {r.term: r.category for r in terms.collect()} == {
         "alice_dev": "Account", "alice@company.org": "Git Email", "WORKSTATION-99": "PC Hostname", "x.y": "Loose"}
-    found = {r.doc_id: r.identity for r in identity.with_identity(docs, terms, inline_terms=inline).collect()}
+    rows = counted(docs, terms).collect()
+    found = {r.doc_id: r.identity for r in rows}
+    assert found[4].total_mentions == 1  # a text of more than a megabyte
+    assert sorted(r.identity.total_mentions for r in rows if r.doc_id == 5) == [1, 2]  # a repeated key
     assert found[1].matched_terms == {"alice_dev": "Account (3x)", "alice@company.org": "Git Email (1x)", "WORKSTATION-99": "PC Hostname (1x)"}
     assert found[1].total_mentions == 5 and found[2].matched_terms == {"x.y": "Loose (1x)"}
     assert not found[3].has_identity_trace
@@ -167,10 +195,11 @@ def test_archive(spark):
     assert found.tree_view.splitlines()[-1] == "    └─ app/.env [Environment & Auth Secret] (2.0 KB)"
 
 
-def test_archive_lists_one_hundred_but_counts_all(spark):
+def test_archive_lists_all_unless_asked_for_the_first(spark):
     rows = spark.range(250).select(F.lit("a.zip").alias("archive"), c("id").alias("position"),
                                    F.concat(F.lit("k"), c("id").cast("string"), F.lit(".key")).alias("entry_name"), F.lit(1).cast("long").alias("size_bytes"))
-    found = archive.inspected(rows).first()["archive_inspection"]
+    assert len(archive.inspected(rows).first()["archive_inspection"].entries) == 250
+    found = archive.inspected(rows, 100).first()["archive_inspection"]
     assert found.sensitive_entries_count == 250 and len(found.entries) == 100
     assert found.entries[0].name == "k0.key" and found.tree_view.endswith("... and 150 more sensitive files inside.")
 

@@ -74,19 +74,22 @@ def tree_view(archive: Column, total: Column, sensitive: Column, shown: Column)
     return F.array_join(F.concat(F.array(head), lines, F.array(more)), "\n")
 
 
-def inspected(entries: DataFrame, limit: int = fixed.ARCHIVE_ENTRY_LIMIT) -> DataFrame:
-    """ARC-3: one row per archive. The listed entries are the first `limit` sensitive ones; the row
-    limit reaches the map side, so an archive of any length ships only `limit` rows per task."""
+def inspected(entries: DataFrame, limit: int | None = None) -> DataFrame:
+    """ARC-3: one row per archive with its sensitive entries in order. `limit` is for display: the first so many are
+    listed, and the row limit reaches the map side."""
     marked = classified(entries)
     totals = marked.groupBy("archive").agg(
         F.count(F.lit(1)).cast("int").alias("total"), F.count("rule").cast("int").alias("sensitive"),
         F.max(level_order(F.col("rule.level"))).alias("top"))
-    order = Window.partitionBy("archive").orderBy("position", "entry_name")
-    first = (marked.filter("rule is not null").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= limit)
-             .groupBy("archive").agg(F.array_sort(F.collect_list(F.struct(
-                 "n", "entry_name", "size_bytes", "rule.category"))).alias("listed")))
+    sensitive = marked.filter("rule is not null")
+    if limit is not None:
+        order = Window.partitionBy("archive").orderBy("position", "entry_name")
+        sensitive = sensitive.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= limit)
+    first = sensitive.groupBy("archive").agg(F.array_sort(F.collect_list(F.struct(
+        F.col("position").cast("long").alias("position"), "entry_name", F.col("size_bytes").cast("long").alias("size_bytes"),
+        "rule.category"))).alias("listed"))
     listed = F.transform(F.coalesce("listed", F.array().cast(
-        "array<struct<n:int,entry_name:string,size_bytes:bigint,category:string>>")), lambda e: F.struct(
+        "array<struct<position:bigint,entry_name:string,size_bytes:bigint,category:string>>")), lambda e: F.struct(
             e["entry_name"].alias("name"), e["size_bytes"].alias("size_bytes"), F.lit(True).alias("is_sensitive"),
             e["category"].alias("sensitivity_category")))
     names = F.array(*[F.lit(x) for x in LEVELS])

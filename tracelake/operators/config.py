@@ -95,8 +95,9 @@ def concrete_value(value: Column) -> Column:
 
 def exposed_parameters(text: Column) -> Column:
     """CFG-2: names whose assignment shows a concrete sensitive value, each once."""
-    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(ASSIGNMENT), F.lit(1)).alias("name"),
-                         F.regexp_extract_all(text, F.lit(ASSIGNMENT), F.lit(2)).alias("value"))
+    lines = F.regexp_extract_all(text, F.lit(ASSIGNMENT), F.lit(0))
+    pairs = F.transform(lines, lambda m: F.struct(F.regexp_extract(m, ASSIGNMENT, 1).alias("name"),
+                                                  F.regexp_extract(m, ASSIGNMENT, 2).alias("value")))
     shown = F.filter(pairs, lambda p: sensitive_name(p["name"]) & concrete_value(p["value"]).isNotNull())
     return F.array_distinct(F.transform(shown, lambda p: p["name"]))
 
@@ -122,11 +123,11 @@ def with_config(df, path: str = "path", text: str = "text", out: str = "config")
             .drop("__exposed", "__endpoints"))
 
 
-def reclassified(df, max_bytes: int = 1024 * 1024):
+def reclassified(df):
     """CFG-4: a generic config module without any exposed value becomes an ordinary file. Rows are
-    never removed, and files too large or unreadable keep the signal of their name. Needs the columns
-    path, size_bytes, category, subcategory, config and secrets (null structs when unread)."""
-    read = (F.col("size_bytes") <= max_bytes) & F.col("config").isNotNull()
+    never removed, and unread files keep the signal of their name. Needs the columns
+    path, category, subcategory, config and secrets (null structs when unread)."""
+    read = F.col("config").isNotNull()
     clean = (~F.col("config.is_credential_config")
              & (F.coalesce(F.col("secrets.total_matches"), F.lit(0)) == 0))
     downgrade = F.coalesce(is_generic_source_config("path") & read & clean, F.lit(False))

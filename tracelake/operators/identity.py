@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from tracelake import fixed
 from tracelake.functions import paths
+from tracelake.session import stored
 
 WORD = r"(?U)\w+"
 TERM_TYPE = "array<struct<term:string,category:string,pattern:string,anchor:string>>"
-INLINE_TERMS = 2_000
 
 
 def identity_terms(raw: DataFrame) -> DataFrame:
@@ -71,54 +71,54 @@ def identity_struct(hits: Column) -> Column:
         F.array_join(F.transform(shown, lambda s: F.concat(s["label"], F.lit(": "), s["term"])), ", ").alias("summary"))
 
 
-def with_identity(docs: DataFrame, terms: DataFrame, key: str = "doc_id", path: str = "path", text: str = "text",
-                  out: str = "identity", max_text_bytes: int | None = fixed.IDENTITY_TEXT_BYTES,
-                  inline_terms: int = INLINE_TERMS) -> DataFrame:
-    """IDT-2: count every term in every document without a cross join.
+def with_identity(docs: DataFrame, terms: DataFrame, path: str = "path", text: str = "text", out: str = "identity",
+                  max_text_bytes: int | None = None) -> DataFrame:
+    """IDT-2: count every term in every document, in the row that owns the text.
 
-    A small dictionary (its size is checked) travels inside the expression as a map from anchor to terms: the
-    words of the document are intersected with the anchors and only terms whose anchor occurs are counted. A
-    larger one goes through an equi join on the anchor word.
+    The dictionary (names of one audit's people, accounts and hosts) travels inside the expression as a map from
+    anchor to terms: the words of the document are intersected with the anchors and only terms whose anchor occurs
+    are counted. `identity_by_join` is for dictionaries too large for that and gives the same rows.
     """
-    ready = prepared_terms(terms)
-    sample = ready.orderBy(F.lower("term")).limit(inline_terms + 1).collect()
+    known_terms: dict[str, list[dict]] = {}
+    for row in prepared_terms(terms).orderBy(F.lower("term")).collect():
+        known_terms.setdefault(row["anchor"] or "", []).append(row.asDict())
     body = paths.settled(docs, "__body", content(F.col(path), F.col(text), max_text_bytes))
-    if len(sample) <= inline_terms:
-        by_anchor: dict[str, list[dict]] = {}
-        for row in sample:
-            by_anchor.setdefault(row["anchor"] or "", []).append(row.asDict())
-        known = F.from_json(F.lit(json.dumps(by_anchor)), f"map<string,{TERM_TYPE}>")
-        words = F.regexp_extract_all(F.lower("__body"), F.lit(WORD), F.lit(0))
-        # "" holds the terms without an anchor; they are tried on every document
-        anchors = F.concat(F.array_intersect(words, F.map_keys(known)), F.array(F.lit("")))
-        possible = F.flatten(F.array_compact(F.transform(anchors, lambda a: F.try_element_at(known, a))))
-        counted = F.transform(possible, lambda t: F.struct(
-            F.lower(t["term"]).alias("order"), t["term"].alias("term"), t["category"].alias("category"),
-            F.regexp_count(F.col("__body"), t["pattern"]).alias("n")))
-        hits = F.array_sort(F.filter(counted, lambda h: h["n"] > 0))
-        return (paths.settled(body, "__hits", hits).withColumn(out, identity_struct(F.col("__hits")))
-                .drop("__body", "__hits"))
-    return identity_by_join(body, ready, key, out)
-
-
-def identity_by_join(body: DataFrame, ready: DataFrame, key: str, out: str) -> DataFrame:
-    """Candidates by equi join, then an exact count. Terms with an anchor meet the words of a document; the others
-    meet its three-character pieces by their own first three characters (no term is shorter)."""
+    known = F.from_json(F.lit(json.dumps(known_terms)), f"map<string,{TERM_TYPE}>")
+    words = F.regexp_extract_all(F.lower("__body"), F.lit(WORD), F.lit(0))
+    # "" holds the terms without an anchor; they are tried on every document
+    anchors = F.concat(F.array_intersect(words, F.map_keys(known)), F.array(F.lit("")))
+    possible = F.flatten(F.array_compact(F.transform(anchors, lambda a: F.try_element_at(known, a))))
+    counted = F.transform(possible, lambda t: F.struct(
+        F.lower(t["term"]).alias("order"), t["term"].alias("term"), t["category"].alias("category"),
+        F.regexp_count(F.col("__body"), t["pattern"]).alias("n")))
+    hits = F.array_sort(F.filter(counted, lambda h: h["n"] > 0))
+    return (paths.settled(body, "__hits", hits).withColumn(out, identity_struct(F.col("__hits")))
+            .drop("__body", "__hits"))
+
+
+def identity_by_join(docs: DataFrame, terms: DataFrame, path: str = "path", text: str = "text", out: str = "identity",
+                     max_text_bytes: int | None = None) -> DataFrame:
+    """JN-11: candidates by equi join, then an exact count. Terms with an anchor meet the words of a document; the
+    others meet those of its three-character pieces that some term begins with (no term is shorter). Rows are told
+    apart by a number of their own, so repeated keys stay apart; the numbered rows are stored once."""
+    ready = prepared_terms(terms)
+    body = stored(paths.settled(docs, "__body", content(F.col(path), F.col(text), max_text_bytes))
+                  .withColumn("__row", F.monotonically_increasing_id()))
     words = F.array_distinct(F.regexp_extract_all(F.lower("__body"), F.lit(WORD), F.lit(0)))
-    tokens = body.select(key, F.explode(words).alias("anchor"))
-    pairs = tokens.join(ready.filter("anchor is not null"), "anchor").select(key, "term", "category", "pattern")
+    tokens = body.select("__row", F.explode(words).alias("anchor"))
+    pairs = tokens.join(ready.filter("anchor is not null"), "anchor").select("__row", "term", "category", "pattern")
     loose = ready.filter("anchor is null").withColumn("piece", F.lower(F.substring("term", 1, 3)))
-    if not loose.isEmpty():
-        pieces = F.array_distinct(F.regexp_extract_all(F.lower("__body"), F.lit("(?s)(?=(...))"), F.lit(1)))
-        near = body.select(key, F.explode(pieces).alias("piece")).join(loose, "piece")
-        pairs = pairs.unionByName(near.select(key, "term", "category", "pattern"))
-    counted = pairs.join(body.select(key, "__body"), key).select(
-        key, "term", "category", F.regexp_count("__body", F.col("pattern")).alias("n"))
-    hits = counted.filter("n > 0").groupBy(key).agg(
+    wanted = F.lit([r.piece for r in loose.select("piece").distinct().collect()]).cast("array<string>")
+    pieces = F.array_intersect(F.regexp_extract_all(F.lower("__body"), F.lit("(?s)(?=(...))"), F.lit(1)), wanted)
+    near = body.select("__row", F.explode(pieces).alias("piece")).join(loose, "piece")
+    pairs = pairs.unionByName(near.select("__row", "term", "category", "pattern"))
+    counted = pairs.join(body.select("__row", "__body"), "__row").select(
+        "__row", "term", "category", F.regexp_count("__body", F.col("pattern")).alias("n"))
+    hits = counted.filter("n > 0").groupBy("__row").agg(
         F.array_sort(F.collect_list(F.struct(F.lower("term").alias("order"), "term", "category", "n"))).alias("__hits"))
     empty = F.array().cast("array<struct<order:string,term:string,category:string,n:int>>")
-    return (body.drop("__body").join(hits, key, "left")
-            .withColumn(out, identity_struct(F.coalesce("__hits", empty))).drop("__hits"))
+    return (body.drop("__body").join(hits, "__row", "left")
+            .withColumn(out, identity_struct(F.coalesce("__hits", empty))).drop("__hits", "__row"))
 
 
 def repaired(identity: Column) -> Column:

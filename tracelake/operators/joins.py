@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from tracelake.functions import paths
 from tracelake.operators.ordering import first_per_group
 
-SMALL_ROWS = 1_000
-
 
 def latest_feedback(feedback: DataFrame) -> DataFrame:
     """WIN-1: the newest row per path key."""
@@ -62,24 +60,29 @@ def orphan_evidence(evidence: DataFrame, provenance: DataFrame) -> DataFrame:
     return evidence.join(provenance.select(F.col("finding_id").alias("provenance_id")), "provenance_id", "left_anti")
 
 
-def not_excluded(inventory: DataFrame, exclusions: DataFrame, small: int = SMALL_ROWS) -> DataFrame:
+def not_excluded(inventory: DataFrame, exclusions: DataFrame) -> DataFrame:
     """FLT-10, JN-9: drop paths that start with an excluded prefix, ignoring case, at any character.
 
-    A few exclusions (counted) become one predicate. Many become an equi join: a path can only be excluded
-    by a prefix of one of the lengths that occur, so it is looked up once per length.
+    A path can only be excluded by a prefix of one of the lengths that occur, so it meets the prefixes in an equi
+    join, once per length. Prefixes that end inside a directory's path exclude the whole directory: distinct
+    directories are tested first, and files only against the longer prefixes. A null path is never excluded.
     """
-    prefixes = exclusions.select(F.lower("path").alias("prefix")).filter("prefix <> ''").distinct()
-    few = [row.prefix for row in prefixes.limit(small + 1).collect()]
-    if len(few) <= small:
-        hits = [F.lower("path").startswith(p) for p in few]
-        return inventory.filter(~paths.any_of(hits)) if hits else inventory
+    known = exclusions.select(F.lower("path").alias("prefix")).filter("prefix <> ''").distinct()
     # Distinct lengths are bounded by the longest path a file system allows.
-    sizes = sorted(r.n for r in prefixes.select(F.length("prefix").alias("n")).distinct().collect())
-    heads = F.transform(F.filter(F.lit(sizes), lambda n: n <= F.length("path")),
-                        lambda n: F.substring(F.lower("path"), F.lit(1), n))
-    hit = (inventory.select("path", F.explode(heads).alias("prefix")).join(prefixes, "prefix", "left_semi")
-           .select("path").distinct())
-    return inventory.join(hit, "path", "left_anti")
+    sizes = F.lit(sorted(r.n for r in known.select(F.length("prefix").alias("n")).distinct().collect())).cast("array<int>")
+
+    def heads(text: Column, beyond: Column) -> Column:
+        fits = F.filter(sizes, lambda n: (n > beyond) & (n <= F.length(text)))
+        return F.explode(F.transform(fits, lambda n: F.substring(text, F.lit(1), n)))
+
+    lowered = F.lower("path")
+    rows = inventory.withColumn("__folder", F.regexp_replace(lowered, r"[^\\/]*$", ""))
+    folders = (rows.select("__folder").distinct().select("__folder", heads(F.col("__folder"), F.lit(0)).alias("prefix"))
+               .join(known, "prefix", "left_semi").select("__folder").distinct())
+    rest = rows.join(folders, "__folder", "left_anti")
+    files = (rest.filter("path is not null").select("path", "__folder").select("path", heads(lowered, F.length("__folder")).alias("prefix"))
+             .join(known, "prefix", "left_semi").select("path").distinct())
+    return rest.drop("__folder").join(files, "path", "left_anti").select(*inventory.columns)
 
 
 def without_deleted(findings: DataFrame, deleted: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,10 +13,6 @@ from tracelake import fixed
 from tracelake.functions import scalars
 from tracelake.session import pinned
 
-MAP_SIDE_LIMIT = 1000  # Spark trims row_number() <= k before the shuffle up to this k
-SALTS = 256
-DIRECT_PAGE_ROWS = 100_000
-
 
 def first_per_group(df: DataFrame, keys: list, *order: Column) -> DataFrame:
     """WIN-1, WIN-2: one row per key. The limit runs before the shuffle, so a hot key ships one row per task."""
@@ -23,20 +20,18 @@ def first_per_group(df: DataFrame, keys: list, *order: Column) -> DataFrame:
     return df.withColumn("__rank", rank).filter("__rank = 1").drop("__rank")
 
 
-def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, out: str, salt_on: Column) -> DataFrame:
-    """Exactly the first k rows of every group, numbered from 1.
+def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, out: str) -> DataFrame:
+    """Exactly the first k rows of every group, numbered from 1. `order` ends in a unique column.
 
-    Up to 1000 rows Spark trims on the map side. Beyond that each group is first trimmed inside salted
-    shares, so no task ever sorts a whole hot group: the last step gets at most SALTS * k rows.
+    The rank is the position in one range sort by group and order, less the group's first position, so a hot
+    group is ranked by as many tasks as it needs.
     """
-    rows = df
-    if k > MAP_SIDE_LIMIT:
-        share = F.pmod(F.xxhash64(salt_on), F.lit(SALTS))
-        inner = Window.partitionBy(*keys, "__share").orderBy(*order)
-        rows = (rows.withColumn("__share", share).withColumn("__n", F.row_number().over(inner))
-                .filter(F.col("__n") <= k).drop("__share", "__n"))
-    return (rows.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-            .filter(F.col(out) <= k))
+    placed = with_positions(df, *[F.asc(key) for key in keys], *order, out="__position")
+    first = placed.groupBy(*keys).agg(F.min("__position").alias("__first"))
+    same = [F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}")) for key in keys]
+    joined = placed.alias("l").join(first.alias("r"), reduce(lambda x, y: x & y, same))
+    rank = F.col("__position") - F.col("__first") + 1
+    return joined.select("l.*", rank.alias(out)).drop("__position").filter(F.col(out) <= k)
 
 
 def with_positions(df: DataFrame, *order: Column, out: str = "position") -> DataFrame:
@@ -45,7 +40,10 @@ def with_positions(df: DataFrame, *order: Column, out: str = "position") -> Data
     The order must end in a unique column: ranges then split even when the leading key is constant. The
     sorted rows are pinned, so counting the ranges and numbering the rows see the same ranges.
     """
-    ranged = pinned(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()))
+    return _numbered(pinned(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id())), out)
+
+
+def _numbered(ranged: DataFrame, out: str) -> DataFrame:
     ranged = ranged.withColumn("__range", F.shiftright("__at", 33))
     sizes = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
     # One row per shuffle partition: small whatever the data size.
@@ -56,6 +54,12 @@ def with_positions(df: DataFrame, *order: Column, out: str = "position") -> Data
             .withColumn(out, F.col("__start") + inside).drop("__at", "__range", "__start"))
 
 
+def positions(df: DataFrame, key: str, *order: Column) -> DataFrame:
+    """(key, position): like `with_positions`, but only the unique key is pinned, however wide the rows are."""
+    ranged = pinned(df.orderBy(*order).select(key, F.monotonically_increasing_id().alias("__at")))
+    return _numbered(ranged, "position")
+
+
 # --- sorts ----------------------------------------------------------------------------------------
 
 SORT_KEYS = {
@@ -99,12 +103,11 @@ def report_order(sort: str) -> list[Column]:
     return [F.desc("detection_rank"), F.asc("ordinal")]
 
 
-def page(df: DataFrame, order: list[Column], requested: int, size: int = fixed.LIST_PAGE_SIZE,
-         direct_rows: int = DIRECT_PAGE_ROWS):
+def page(df: DataFrame, order: list[Column], requested: int, size: int = fixed.LIST_PAGE_SIZE, key: str = "finding_id"):
     """TOP-1: rows of one circular page and its counters (page, page_count, total, size).
 
-    Pages near the front are a plain top-k. Far pages use positions, which never gather the rows before
-    the page in one task.
+    A range sort of the order's columns and the unique key numbers all rows; the rows of the page are then fetched
+    by key. No task gathers the rows before the page.
     """
     if size < 1:
         raise ValueError("page size must be positive")
@@ -112,11 +115,8 @@ def page(df: DataFrame, order: list[Column], requested: int, size: int = fixed.L
     pages = max(1, math.ceil(total / size))
     index = requested % pages
     start = index * size
-    if start + size <= direct_rows:
-        rows = df.orderBy(*order).offset(start).limit(size)
-    else:
-        rows = with_positions(df, *order).filter(F.col("position").between(start, start + size - 1)).drop("position")
-    return rows, {"page": index, "page_count": pages, "total": total, "page_size": size}
+    wanted = positions(df, key, *order).filter(F.col("position").between(start, start + size - 1)).select(key)
+    return df.join(wanted, key, "left_semi"), {"page": index, "page_count": pages, "total": total, "page_size": size}
 
 
 def presentation_page_size(tile_mode: bool, image_category: bool, tile_size: float) -> Column:
@@ -128,12 +128,11 @@ def presentation_page_size(tile_mode: bool, image_category: bool, tile_size: flo
 
 # --- retention ------------------------------------------------------------------------------------
 
-def kept_by_rank(rows: DataFrame, keep: int, *order: Column) -> DataFrame:
-    """WIN-4: the first `keep` rows of an order. Events keep the newest ids (descending id); feedback
-    literally keeps the oldest updates (ascending update time)."""
-    if rows.count() <= keep:
-        return rows
-    return with_positions(rows, *order).filter(F.col("position") < keep).drop("position")
+def kept_by_rank(rows: DataFrame, keep: int, key: str, *order: Column) -> DataFrame:
+    """WIN-4: the first `keep` rows of an order that ends in the unique `key`. Events keep the newest ids
+    (descending id); feedback literally keeps the oldest updates (ascending update time)."""
+    kept = positions(rows, key, *order).filter(F.col("position") < keep).select(key)
+    return rows.join(kept, key, "left_semi")
 
 
 def retained(scans: DataFrame, findings: DataFrame, provenance: DataFrame, evidence: DataFrame, as_of: datetime,

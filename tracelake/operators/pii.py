@@ -68,9 +68,43 @@ def passports(text: Column) -> Column:
                                                 F.lit(" ******")))
 
 
+ADDRESS_RUN = r"(?U)[\w.%+@-]++"
+NAME_CHARACTERS = "A-Za-z0-9._%+-"
+DOMAIN = r"^[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
+
+
 def emails(text: Column) -> Column:
-    """PII-5."""
-    return found(text, "Email")
+    """PII-5: the matches of the e-mail pattern, found from each @ outwards in time linear in the text.
+
+    Runs of the pattern's characters and other word characters that hold an @ are cut at it. To the left of an @ the
+    name is the longest stretch of name characters that begins at the edge of a word and after the match before it;
+    the domain is matched at the start of what follows.
+    """
+    def name_before(left: Column, cut: Column) -> Column:
+        tail = F.regexp_replace(left, f"(?s)^.*[^{NAME_CHARACTERS}]", "")
+        after_word = cut | (F.length(tail) < F.length(left))
+        word_first = tail.rlike("^[A-Za-z0-9_]")
+        return (F.when(after_word & word_first, F.regexp_replace(tail, "^[A-Za-z0-9_]++", ""))
+                .when(~after_word & ~word_first, F.regexp_replace(tail, "^[.%+-]++", "")).otherwise(tail))
+
+    def step(state: Column, right: Column) -> Column:
+        name, domain = name_before(state["left"], state["cut"]), F.regexp_extract(right, DOMAIN, 0)
+        hit = (name != "") & (domain != "")
+        return F.struct(
+            F.when(hit, F.substring(right, F.length(domain) + 1, F.length(right))).otherwise(right).alias("left"),
+            hit.alias("cut"),
+            F.when(hit, F.concat(state["found"], F.array(F.concat(name, F.lit("@"), domain)))).otherwise(state["found"])
+            .alias("found"))
+
+    def in_run(run: Column) -> Column:
+        parts = F.split(run, "@")
+        start = F.struct(F.get(parts, 0).alias("left"), F.lit(False).alias("cut"),
+                         F.array().cast("array<string>").alias("found"))
+        return F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), start, step)["found"]
+
+    runs = F.filter(F.regexp_extract_all(text, F.lit(ADDRESS_RUN), F.lit(0)), lambda r: r.contains("@"))
+    found_ = F.flatten(F.transform(runs, in_run))
+    return F.when(POSSIBLE["Email"](text), found_).otherwise(F.array().cast("array<string>"))
 
 
 def phones(text: Column) -> Column:
@@ -133,7 +167,7 @@ def categories_of(matches: Column) -> Column:
     return F.when(bundle, F.array_append(kinds, "PII_Bundle")).otherwise(kinds)
 
 
-def pii_matches(text: Column, kinds: list[str] | None = None, cap: int | None = fixed.PII_MATCH_CAP) -> Column:
+def pii_matches(text: Column, kinds: list[str] | None = None, cap: int | None = None) -> Column:
     """Kept matches of the chosen kinds; evaluate once per row, then wrap with `pii_struct`."""
     blocks = F.array(*[kind_matches(text, kind) for kind in kinds or KINDS])
     return F.when(F.coalesce(text.rlike(r"(?U)\S"), F.lit(False)), fold_blocks(blocks, cap)) \
@@ -146,7 +180,7 @@ def pii_struct(matches: Column) -> Column:
 
 
 def with_pii(df, text: str = "text", out: str = "pii", kinds: list[str] | None = None,
-             cap: int | None = fixed.PII_MATCH_CAP):
+             cap: int | None = None):
     """Add the `pii` evidence struct; the text patterns run once per row."""
     held = f"__{out}_matches"
     return (settled(df, held, pii_matches(F.col(text), kinds, cap))

@@ -12,11 +12,10 @@ from pyspark.sql import functions as F
 from tracelake import fixed
 from tracelake.functions import paths
 from tracelake.operators import evidence as ev
-from tracelake.operators.joins import SMALL_ROWS
 
 EVIDENCE_TYPE = "array<struct<evidence_type:string,description:string,weight:int,source:string>>"
 NEIGHBOR_FILES = ["package.json", "manifest"]
-SIBLINGS_READ, SIBLINGS_KEPT, ANCESTORS = 40, 24, 3
+ANCESTORS = 3
 
 
 def item(kind: str, description: Column | str, weight: Column | int, source: Column | str) -> Column:
@@ -88,60 +87,75 @@ def package_name(path: Column | str) -> Column:
     return F.when(any_case, F.get(parts, place))
 
 
-def installed_match(names: DataFrame, installed: DataFrame, small: int = SMALL_ROWS) -> DataFrame:
+def installed_match(names: DataFrame, installed: DataFrame) -> DataFrame:
     """PRV-5, JN-10: for each distinct application name the first installed product (by position) whose name
-    contains it. A small inventory (counted) is broadcast; a large one is joined on its substrings, which is
-    an equi join with at most length² rows per product."""
-    wanted = names.select("application").filter("application is not null").distinct()
+    contains it. Products meet names in an equi join on their substrings of the lengths that names have; an empty
+    name matches nothing."""
+    wanted = names.select("application").filter("application <> ''").distinct()
     wanted = wanted.withColumn("needle", F.lower("application"))
-    products = installed.withColumn("hay", F.lower("name"))
-    if installed.limit(small + 1).count() <= small:
-        pairs = wanted.join(F.broadcast(products), F.col("hay").contains(F.col("needle")))
-    else:
-        size = F.length("hay")
-        pieces = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(
-            F.sequence(F.lit(1), size - i + 1), lambda n: F.substring(F.col("hay"), i, n))))
-        pairs = wanted.join(products.withColumn("needle", F.explode(F.array_distinct(pieces))), "needle")
+    # Distinct lengths are bounded by the longest application name.
+    sizes = F.lit(sorted(r.n for r in wanted.select(F.length("needle").alias("n")).distinct().collect())).cast("array<int>")
+    hay = F.lower("name")
+    pieces = F.flatten(F.transform(sizes, lambda n: F.transform(
+        F.filter(F.sequence(F.lit(1), F.greatest(F.length(hay), F.lit(1))), lambda i: i + n - 1 <= F.length(hay)),
+        lambda i: F.substring(hay, i, n))))
+    products = installed.withColumn("needle", F.explode(F.array_distinct(pieces)))
+    pairs = wanted.join(products, "needle")
     return pairs.groupBy("application").agg(F.min_by(F.struct("name", "publisher", "executable"), "position").alias("product"))
 
 
-def directory_listing(inventory: DataFrame) -> DataFrame:
-    """First names of every directory, files and subdirectories, in name order. The row limit runs before the
-    shuffle, so a directory with a third of all files ships 40 rows per task."""
+def directory_children(inventory: DataFrame) -> DataFrame:
+    """(directory, name) of every file and subdirectory."""
     parts = F.split(paths.backslashed("path"), r"\\")
     steps = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.struct(
         F.array_join(F.slice(parts, F.lit(1), i), "\\").alias("directory"), F.get(parts, i).alias("name")))
-    children = inventory.select(F.inline(F.filter(steps, lambda s: s["name"] != ""))).distinct()
-    place = Window.partitionBy("directory").orderBy("name")
-    return (children.withColumn("n", F.row_number().over(place)).filter(F.col("n") <= SIBLINGS_READ)
-            .groupBy("directory").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "name"))),
-                                                  lambda s: s["name"]).alias("names")))
+    return inventory.select(F.inline(F.filter(steps, lambda s: s["name"] != ""))).distinct()
 
 
-def with_neighbors(findings: DataFrame, listing: DataFrame) -> DataFrame:
-    """PRV-6: names around the three nearest ancestors. The manifest test runs on the growing list, so one
-    manifest near the file counts for every ancestor above it as well."""
-    rows = findings
-    for i in range(1, ANCESTORS + 1):
-        above = paths.parent(paths.backslashed("path") if i == 1 else F.col(f"__dir{i - 1}"))
-        rows = rows.withColumn(f"__dir{i}", above)
+def directory_listing(inventory: DataFrame, names: int | None = None) -> DataFrame:
+    """(directory, has_manifest, names) of every directory. Whether it holds a manifest is known from all its names;
+    the list itself is only for show: without `names` it is left out, else the first `names` in name order, and the
+    row limit runs before the shuffle, so a directory with a third of all files ships that many rows per task."""
+    children = directory_children(inventory)
+    marks = children.groupBy("directory").agg(F.max(F.lower("name").isin(NEIGHBOR_FILES)).alias("has_manifest"))
+    if names is None:
+        return marks.withColumn("names", F.lit(None).cast("array<string>"))
+    place = Window.partitionBy("directory").orderBy("name")
+    first = (children.withColumn("n", F.row_number().over(place)).filter(F.col("n") <= names)
+             .groupBy("directory").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "name"))),
+                                                   lambda s: s["name"]).alias("names")))
+    return marks.join(first, "directory")
+
+
+def with_neighbors(findings: DataFrame, listing: DataFrame, shown: int | None = None) -> DataFrame:
+    """PRV-6: names around the three nearest ancestors (with `shown`, the first so many). A manifest near the file counts for every ancestor above
+    it as well. Ancestors are resolved once per distinct directory; findings take part in one join."""
+    near = paths.parent(paths.backslashed("path"))
+    rows = findings.withColumn("__dir1", near)
+    around = rows.select("__dir1").distinct()
+    for i in range(2, ANCESTORS + 1):
+        around = around.withColumn(f"__dir{i}", paths.parent(F.col(f"__dir{i - 1}")))
     for i in range(1, ANCESTORS + 1):
-        side = listing.select(F.col("directory").alias(f"__dir{i}"), F.col("names").alias(f"__names{i}"))
-        rows = rows.join(side, f"__dir{i}", "left")
+        side = listing.select(F.col("directory").alias(f"__dir{i}"), F.col("names").alias(f"__names{i}"),
+                              F.col("has_manifest").alias(f"__has{i}"))
+        around = around.join(side, f"__dir{i}", "left")
     empty = F.array().cast("array<string>")
-    seen = empty
-    marks = []
+    seen, found, marks = empty, F.lit(False), []
     for i in range(1, ANCESTORS + 1):
         seen = F.concat(seen, F.coalesce(f"__names{i}", empty))
-        found = F.exists(seen, lambda n: F.lower(n).isin(NEIGHBOR_FILES))
+        found = found | F.coalesce(f"__has{i}", F.lit(False))
         marks.append(F.when(F.col(f"__dir{i}").isNotNull() & found, item(
             "DIRECTORY_FINGERPRINT", "Parent directory contains application manifest/package metadata", 15,
             F.col(f"__dir{i}"))))
     first = F.transform(seen, lambda n: n)
     distinct = F.filter(first, lambda n, i: F.array_position(F.transform(first, F.lower), F.lower(n)) == i + 1)
-    return (rows.withColumn("neighbors", F.slice(distinct, 1, SIBLINGS_KEPT))
-            .withColumn("directory_evidence", F.array_compact(F.array(*marks)))
-            .drop(*[f"__dir{i}" for i in range(1, ANCESTORS + 1)], *[f"__names{i}" for i in range(1, ANCESTORS + 1)]))
+    if shown is not None:
+        distinct = F.slice(distinct, 1, shown)
+    around = around.select("__dir1", distinct.alias("neighbors"), F.array_compact(F.array(*marks)).alias("directory_evidence"))
+    known = rows.join(around, "__dir1", "left").drop("__dir1")
+    nothing = F.array().cast(EVIDENCE_TYPE)
+    return (known.withColumn("neighbors", F.coalesce("neighbors", empty))
+            .withColumn("directory_evidence", F.coalesce("directory_evidence", nothing)))
 
 
 def existing_evidence() -> Column:
@@ -195,7 +209,7 @@ def analyzed(findings: DataFrame, inventory: DataFrame, installed: DataFrame, as
                 "FORMAT", F.concat(F.lit("Detected format: "), F.col("detected_format")), 8, "magic bytes")),
             F.when(F.size(schema) > 0, item(
                 "SQLITE_SCHEMA", F.concat(F.lit("SQLite schema contains: "),
-                                          F.array_join(F.slice(schema, 1, 8), ", ")), 25, "read-only schema")),
+                                          F.array_join(schema, ", ")), 25, "read-only schema")),
             F.when(F.col("zone_marker").isNotNull(), item("MARK_OF_THE_WEB", F.col("zone_marker"), 10, "NTFS ADS")))),
         existing_evidence())
     hints = F.array_distinct(F.concat(schema, F.array_compact(F.array(

@@ -24,10 +24,14 @@ BLOCK_FORMATS = [
     ("Private key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
     ("Database connection", r"\b(?:postgres|postgresql|mysql|mongodb|mongodb\+srv|redis|amqp|mssql)://[^\s:@/]+:[^\s@/]+@[^\s\"']+"),
 ]
+# The name ends in a word with a key word in it. A word is consumed whether an assignment follows or not, so every
+# character is looked at once; without an assignment the value is empty.
 ASSIGNMENT = (
-    r"(?i)\b[A-Za-z0-9_.-]*(?:password|passwd|pwd|secret|token|api_?key|access_?key|private_?key)[A-Za-z0-9_]*"
-    r"[\"']?[ \t]*[=:][ \t]*[\"']?([!-~&&[^\"',;]]{8,})"
+    r"(?i)(?:password|passwd|pwd|secret|token|api_?key|access_?key|private_?key)[A-Za-z0-9_]*+"
+    r"(?:[\"']?[ \t]*+[=:][ \t]*+[\"']?([!-~&&[^\"',;]]{8,}+))?"
 )
+# A name has to begin at the edge of a word, and letters beyond ASCII belong to words: what follows one is no name.
+INSIDE_WORD = r"(?U)[\w&&[^\x00-\x7F]][A-Za-z0-9_]++"
 CODE_IDENTIFIER = r"^[A-Za-z_][A-Za-z_.]*(?:\(.*)?$"
 ENTROPY_TOKEN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 ENTROPY_BITS = 4.0
@@ -62,9 +66,10 @@ def vendor_tokens(text: Column) -> Column:
 def assignments(text: Column) -> Column:
     """SEC-2: the value must follow `=` or `:` and must not read like a code identifier."""
     possible = (text.contains("=") | text.contains(":")) & contains_any(text, NAME_HINTS)
-    values = F.when(possible, F.regexp_extract_all(text, F.lit(ASSIGNMENT), F.lit(1))).otherwise(
+    names = F.regexp_replace(text, INSIDE_WORD, "\x01")
+    values = F.when(possible, F.regexp_extract_all(names, F.lit(ASSIGNMENT), F.lit(1))).otherwise(
         F.array().cast("array<string>"))
-    return tagged(F.filter(values, lambda v: ~v.rlike(CODE_IDENTIFIER) & ~v.startswith("$")), "Named secret")
+    return tagged(F.filter(values, lambda v: (v != "") & ~v.rlike(CODE_IDENTIFIER) & ~v.startswith("$")), "Named secret")
 
 
 def blocks(text: Column) -> Column:

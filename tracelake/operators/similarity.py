@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,20 +12,18 @@ from tracelake.functions import paths
 from tracelake.session import stored
 
 STOP_WORDS = fixed.STOP_WORDS_RU + fixed.STOP_WORDS_EN
-HOT_SHARE = 100
 
 
-def words(text: Column, max_chars: int | None = None) -> Column:
+def words(text: Column) -> Column:
     """SIM-1: lower-case words of 2 to 40 letters, digits or underscores without stop words."""
-    body = text if max_chars is None else F.substring(text, 1, max_chars)
-    found = F.regexp_extract_all(F.lower(body), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
     return F.filter(found, lambda w: (F.length(w) <= 40) & ~w.isin(STOP_WORDS))
 
 
-def term_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", max_chars: int | None = None) -> DataFrame:
+def term_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """SIM-1: (key, total, term, n). The total is taken before the rows fan out, so it costs no second shuffle.
     The explode drops documents without words; a filter would tokenise every text twice."""
-    tokens = docs.select(key, words(F.col(text), max_chars).alias("w")).select(key, "w", F.size("w").alias("total"))
+    tokens = docs.select(key, words(F.col(text)).alias("w")).select(key, "w", F.size("w").alias("total"))
     return (tokens.select(key, "total", F.explode("w").alias("term"))
             .groupBy(key, "total", "term").agg(F.count(F.lit(1)).alias("n")))
 
@@ -43,53 +43,45 @@ def weight(n: Column, total: Column, documents: Column, df: Column) -> Column:
     return (0.5 + 0.5 * n / total) * (F.log((1 + documents) / (1 + df)) + 1.0)
 
 
-def with_frequency(counts: DataFrame, frequency: DataFrame, documents: Column, key: str) -> DataFrame:
-    """Attach df to every (document, term) row.
+def tf_idf(counts: DataFrame, key: str = "doc_id") -> DataFrame:
+    """SIM-3: (key, total, term, n, df, w) over the whole corpus. The counts are read three times, so store them.
 
-    A term in more than one document of a hundred is hot. There are at most 100 times the average number of
-    terms per document of those, whatever the corpus size, so they are broadcast; their rows then skip the
-    shuffle on the term, spread over the tasks by document. The rest is an ordinary join.
+    A term meets its one frequency in a join; AQE splits the rows of a term that half the documents have.
     """
-    hot = frequency.filter(F.col("df") * HOT_SHARE > documents).withColumnRenamed("df", "hot_df")
-    cold = frequency.filter(F.col("df") * HOT_SHARE <= documents).withColumnRenamed("term", "cold_term")
-    spread = F.concat(F.lit("\x01"), F.pmod(F.xxhash64(key), F.lit(4096)).cast("string"))
-    marked = (counts.join(F.broadcast(hot), "term", "left")
-              .withColumn("cold_term", F.when(F.col("hot_df").isNull(), F.col("term")).otherwise(spread)))
-    return (marked.join(cold, "cold_term", "left").withColumn("df", F.coalesce("hot_df", "df"))
-            .drop("hot_df", "cold_term"))
-
-
-def tf_idf(counts: DataFrame, key: str = "doc_id") -> DataFrame:
-    """SIM-3: (key, total, term, n, df, w) over the whole corpus. The counts are read three times, so store them."""
     counts = stored(counts)
     documents = document_count(counts, key)
-    weighted = with_frequency(counts, document_frequency(counts), documents, key)
+    weighted = counts.join(document_frequency(counts), "term")
     return weighted.withColumn("w", weight(F.col("n"), F.col("total"), documents, F.col("df")))
 
 
-def similar_documents(docs: DataFrame, query_id, key: str = "doc_id", text: str = "text",
-                      floor: float = fixed.DOCUMENT_SIMILARITY_FLOOR, limit: int = fixed.SIMILAR_LIMIT,
-                      max_chars: int | None = None) -> DataFrame:
-    """SIM-4, TOP-2: the best matches of one document among all others.
-
-    `docs` holds the query and its candidates. The query's terms are bounded by one document and broadcast;
-    every candidate keeps two running sums (its norm and its product with the query). Texts are read and split into
-    words once; everything else reads the stored counts.
-    """
-    counts = stored(term_counts(docs, key, text, max_chars))
-    query = counts.filter(F.col(key) == query_id).select(
-        "term", F.col("n").alias("qn"), F.col("total").alias("qtotal"))
-    documents = document_count(counts, key)
-    frequency = document_frequency(counts)
-    rows = (with_frequency(counts, frequency, documents, key).join(F.broadcast(query), "term", "left")
-            .withColumn("w", weight(F.col("n"), F.col("total"), documents, F.col("df")))
-            .withColumn("qw", weight(F.col("qn"), F.col("qtotal"), documents, F.col("df"))))
-    sums = rows.groupBy(key).agg(F.sum(F.col("w") * F.col("w")).alias("norm2"),
-                                 F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    qnorm = (frequency.join(F.broadcast(query), "term")
-             .agg(F.sqrt(F.sum(F.pow(weight(F.col("qn"), F.col("qtotal"), documents, F.col("df")), F.lit(2.0))))).scalar())
-    cosine = F.col("dot") / (F.sqrt("norm2") * qnorm)
-    return (sums.filter((F.col(key) != query_id) & F.col("dot").isNotNull()).withColumn("cosine", cosine)
+@dataclass
+class TermIndex:
+    """Weights of a corpus, built once and read by every request: `postings` (term, key, w) in the order of terms,
+    `documents` (key, term, w) in the order of keys and `norms` (key, norm). A request reads the row groups of one
+    document and of its terms."""
+
+    key: str
+    postings: DataFrame
+    documents: DataFrame
+    norms: DataFrame
+
+    @staticmethod
+    def of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> TermIndex:
+        weights = stored(tf_idf(term_counts(docs, key, text), key).select(key, "term", "w"))
+        return TermIndex(key, stored(weights.repartitionByRange("term", key).sortWithinPartitions("term")),
+                         stored(weights.repartitionByRange(key, "term").sortWithinPartitions(key)),
+                         stored(weights.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))))
+
+
+def similar_documents(index: TermIndex, query_id, floor: float = fixed.DOCUMENT_SIMILARITY_FLOOR,
+                      limit: int = fixed.SIMILAR_LIMIT) -> DataFrame:
+    """SIM-4, TOP-2: the best matches of one document among all others of the index."""
+    key = index.key
+    query = index.documents.filter(F.col(key) == query_id).select("term", F.col("w").alias("qw"))
+    dots = index.postings.join(query, "term").groupBy(key).agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
+    own = index.norms.filter(F.col(key) == query_id).select("norm").scalar()
+    cosine = F.col("dot") / (F.col("norm") * own)
+    return (dots.filter(F.col(key) != query_id).join(index.norms, key).withColumn("cosine", cosine)
             .filter(F.col("cosine") >= floor)
             .select(key, F.bround(F.least(F.lit(1.0), F.col("cosine")), 3).alias("score"),
                     F.concat(F.lit("TF-IDF Cosine Similarity: "),
@@ -144,11 +136,10 @@ def similar_images(hashes: DataFrame, query_id, key: str = "vec_id", floor: floa
             .orderBy(F.desc("score"), F.asc(key)).limit(limit))
 
 
-def saved_analysis(kind: str, matches: DataFrame, completed_at: Column, limit: int = fixed.SIMILAR_LIMIT) -> DataFrame:
-    """SIM-8: the top matches (position, path, score, details) as one value to store on the query finding.
-    At most `limit` rows meet here."""
-    nested = F.transform(F.array_sort(F.collect_list(F.struct("position", "path", "score", "details"))),
+def saved_analysis(kind: str, matches: DataFrame, completed_at: Column) -> DataFrame:
+    """SIM-8: matches (path, score, details), already the best few, as one value to store on the query finding."""
+    best_first = F.struct((-F.col("score")).alias("order"), "path", "score", "details")
+    nested = F.transform(F.array_sort(F.collect_list(best_first)),
                          lambda m: F.struct(m["path"].alias("path"), m["score"].alias("score"), m["details"].alias("details")))
-    kept = matches.filter(F.col("position") < limit)
-    return kept.agg(F.struct(F.lit(kind).alias("kind"), completed_at.cast("string").alias("completed_at"),
-                             nested.alias("matches")).alias("similarity"))
+    return matches.agg(F.struct(F.lit(kind).alias("kind"), completed_at.cast("string").alias("completed_at"),
+                                nested.alias("matches")).alias("similarity"))

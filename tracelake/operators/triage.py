@@ -7,19 +7,19 @@ scan_status; width and height are optional.
 from __future__ import annotations
 
 import math
-from collections import deque
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake import fixed
 from tracelake.functions import paths
 from tracelake.operators import evidence as ev
-from tracelake.operators.ordering import first_per_group, top_per_group
+from tracelake.operators.ordering import first_per_group, top_per_group, with_positions
+from tracelake.session import stored
 
 FIVE_MB = 5 * 1024 * 1024
 LARGE_ARCHIVE = 512 * 1024 * 1024
+TURN_BLOCK = 1024  # queue rows numbered together
 
 
 def c(name: str) -> Column:
@@ -98,24 +98,24 @@ def routes(findings: DataFrame) -> DataFrame:
         F.array_distinct(F.array_append(c("_common"), c("o.reason"))).alias("reasons"))
 
 
-def limits(eligible: int, absolute_limit: int = fixed.TRIAGE_ABSOLUTE_LIMIT,
-           fraction: float = fixed.TRIAGE_FRACTION) -> dict[str, int]:
+def limits(eligible: int, absolute_limit: int | None = None,
+           fraction: float = fixed.TRIAGE_FRACTION) -> dict[str, int | None]:
     """TRI-3, AGG-12: requested share, limit and cost budget."""
     requested = max(1, math.ceil(eligible * fraction)) if eligible else 0
-    limit = min(requested, max(1, absolute_limit))
+    limit = requested if absolute_limit is None else min(requested, max(1, absolute_limit))
     budget = max(limit * fixed.TRIAGE_BUDGET_PER_FINDING, 1) if eligible else 0
     return {"eligible": eligible, "requested": requested, "limit": limit, "absolute_limit": absolute_limit,
             "cost_budget": budget}
 
 
-def counters(findings: DataFrame, absolute_limit: int = fixed.TRIAGE_ABSOLUTE_LIMIT) -> DataFrame:
+def counters(findings: DataFrame, absolute_limit: int | None = None) -> DataFrame:
     """TRI-3, AGG-12 as a one-row DataFrame: a finding is eligible when it has any route, so no distinct is needed."""
     usable = ~c("ignored") & ~c("is_directory") & (F.trim("path") != "")
     rows = findings.filter(usable).withColumn("_ext", paths.extension("path"))
     eligible = rows.agg(F.count_if(F.size(offers(findings, c("_ext"))) > 0).alias("eligible"))
     share = F.greatest(F.lit(1), F.ceil(c("eligible") * fixed.TRIAGE_FRACTION))
     requested = F.when(c("eligible") == 0, 0).otherwise(share)
-    limit = F.least(requested, F.lit(max(1, absolute_limit)))
+    limit = requested if absolute_limit is None else F.least(requested, F.lit(max(1, absolute_limit)))
     return (eligible.withColumn("requested", requested).withColumn("selection_limit", limit)
             .withColumn("cost_budget", F.when(c("eligible") == 0, 0).otherwise(
                 F.greatest(F.lit(1), limit * fixed.TRIAGE_BUDGET_PER_FINDING))))
@@ -125,62 +125,66 @@ def queue_heads(all_routes: DataFrame, limit: int) -> DataFrame:
     """WIN-3: the first `limit` routes of every scanner in diversified order, with their position.
 
     Dealing one route per diversity group and round equals sorting by (rank inside the group, place of the
-    group's best route). Both steps trim: a group never needs more than `limit` rows, nor does a scanner.
+    group's best route). A group never needs more than `limit` rows, nor does a scanner.
     """
     best_first = [F.desc("priority"), F.asc("ordinal"), F.asc("route_no")]
     keyed = (all_routes.withColumn("group_key", F.lower("diversity_key"))
              .select("finding_id", "ordinal", "route_no", "scanner_id", "priority", "cost", "group_key"))
-    ranked = top_per_group(keyed, ["scanner_id", "group_key"], best_first, limit, "group_rank", F.col("ordinal"))
-    group = Window.partitionBy("scanner_id", "group_key").orderBy("group_rank")
-    led = (ranked.withColumn("lead_priority", F.first("priority").over(group))
-           .withColumn("lead_ordinal", F.first("ordinal").over(group)))
-    deal = [F.asc("group_rank"), F.desc("lead_priority"), F.asc("lead_ordinal"), F.asc("group_key")]
-    return top_per_group(led, ["scanner_id"], deal, limit, "position", F.col("ordinal"))
-
-
-def take_turns(rows: pd.DataFrame, limit: int, budget: int) -> pd.DataFrame:
-    """Scanners in name order take their next finding nobody has taken yet, until the limit."""
-    rows = rows.sort_values(["scanner_id", "position"])
-    queues = {name: deque(zip(part["finding_id"], part["cost"]))
-              for name, part in rows.groupby("scanner_id", sort=True)}
-    taken: dict[str, tuple[str, int]] = {}
-    spent, moved = 0, True
-    while moved and len(taken) < limit:
-        moved = False
-        for name, queue in queues.items():
-            while queue:
-                finding, cost = queue.popleft()
-                if finding in taken or spent + cost > budget:
-                    continue
-                taken[finding] = (name, len(taken) + 1)
-                spent, moved = spent + int(cost), True
-                break
-            if len(taken) >= limit:
-                break
-    return pd.DataFrame([(f, s, n) for f, (s, n) in taken.items()], columns=["finding_id", "scanner_id", "pick"])
-
-
-def chosen(all_routes: DataFrame, eligible: int, absolute_limit: int = fixed.TRIAGE_ABSOLUTE_LIMIT) -> DataFrame:
-    """TRI-4: the chosen findings, the scanner that picked each, and the pick number.
-
-    Picking is sequential by definition. It only sees the queue heads: at most nine scanners times the
-    absolute limit, 450,000 narrow rows by default whatever the corpus size.
+    ranked = top_per_group(keyed, ["scanner_id", "group_key"], best_first, limit, "group_rank")
+    leaders = ranked.filter("group_rank = 1").select("scanner_id", "group_key", c("priority").alias("lead_priority"),
+                                                     c("ordinal").alias("lead_ordinal"))
+    led = ranked.join(leaders, ["scanner_id", "group_key"])
+    deal = [F.asc("group_rank"), F.desc("lead_priority"), F.asc("lead_ordinal"), F.asc("group_key"), F.asc("route_no")]
+    return top_per_group(led, ["scanner_id"], deal, limit, "position")
+
+
+def turns(queues: DataFrame) -> DataFrame:
+    """The turn in which each row of the queues would be taken: one more than the kept rows before it."""
+    block = F.expr(f"position div {TURN_BLOCK}")
+    rows = queues.withColumn("block", block)
+    sizes = rows.groupBy("scanner_id", "block").agg(F.sum(c("kept").cast("long")).alias("n"))
+    blocks_before = Window.partitionBy("scanner_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("scanner_id", "block", F.coalesce(F.sum("n").over(blocks_before), F.lit(0)).alias("start"))
+    before = Window.partitionBy("scanner_id", "block").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    return (rows.withColumn("inside", F.coalesce(F.sum(c("kept").cast("long")).over(before), F.lit(0)))
+            .join(starts, ["scanner_id", "block"]).withColumn("turn", c("start") + c("inside") + 1)
+            .select("scanner_id", "position", "finding_id", "kept", "turn"))
+
+
+def take_turns(queues: DataFrame, limit: int) -> DataFrame:
+    """Scanners in name order take turns; in its turn a scanner takes the next finding of its queue (scanner_id,
+    position, finding_id) that nobody has taken, until `limit` are: (finding_id, scanner_id, pick).
+
+    A finding therefore goes to the row with the smallest (turn, scanner), and a row's turn counts the rows its
+    scanner keeps before it. Starting with all rows kept, both are worked out anew until nothing changes: the first
+    turn is right at once, and every round settles one more turn at least.
     """
-    plan = limits(eligible, absolute_limit)
-    limit, budget = plan["limit"], plan["cost_budget"]
-
-    def deal(rows: pd.DataFrame) -> pd.DataFrame:
-        return take_turns(rows, limit, budget)
-
-    heads = queue_heads(all_routes, max(1, limit)).select("scanner_id", "position", "finding_id", "cost",
-                                                          F.lit("heads").alias("one"))
-    return heads.groupBy("one").applyInPandas(deal, "finding_id string, scanner_id string, pick int")
+    rows = stored(queues.select("scanner_id", "position", "finding_id", F.lit(True).alias("kept")))
+    while True:
+        timed = turns(rows)
+        owner = timed.groupBy("finding_id").agg(F.min(F.struct("turn", "scanner_id", "position")).alias("first"))
+        now = stored(timed.join(owner, "finding_id").select(
+            "scanner_id", "position", "finding_id", "turn", c("kept").alias("was"),
+            ((c("first.scanner_id") == c("scanner_id")) & (c("first.position") == c("position"))).alias("kept")))
+        if now.filter("kept <> was").isEmpty():
+            break
+        rows = now.select("scanner_id", "position", "finding_id", "kept")
+    taken = now.filter("kept").select("finding_id", "scanner_id", "turn")
+    numbered = with_positions(taken, F.asc("turn"), F.asc("scanner_id"), out="place")
+    return numbered.filter(c("place") < limit).select("finding_id", "scanner_id", (c("place") + 1).cast("int").alias("pick"))
+
+
+def chosen(all_routes: DataFrame, eligible: int, absolute_limit: int | None = None) -> DataFrame:
+    """TRI-4: the chosen findings, the scanner that picked each, and the pick number. The cost budget never decides:
+    it allows more for each pick than any route costs."""
+    limit = limits(eligible, absolute_limit)["limit"]
+    return take_turns(queue_heads(all_routes, max(1, limit)), limit)
 
 
 def expanded(all_routes: DataFrame, picks: DataFrame) -> DataFrame:
     """TRI-5: every applicable route of the chosen findings. Picking routes come first in pick order, the rest
-    by priority. `picks` is bounded by the absolute limit, so it is broadcast."""
-    ids = F.broadcast(picks.select("finding_id", F.col("scanner_id").alias("picked_by"), "pick"))
+    by priority."""
+    ids = picks.select("finding_id", F.col("scanner_id").alias("picked_by"), "pick")
     rows = all_routes.join(ids, "finding_id").withColumn(
         "picking_route", F.col("scanner_id") == F.col("picked_by"))
     return rows.drop("picked_by").orderBy(*route_order())
@@ -195,11 +199,11 @@ def eligible_count(findings: DataFrame) -> int:
     return counters(findings).first()["eligible"]
 
 
-def select(findings: DataFrame, absolute_limit: int = fixed.TRIAGE_ABSOLUTE_LIMIT):
-    """The whole selection: picks, routes of the picks, and the counters."""
+def select(findings: DataFrame, absolute_limit: int | None = None):
+    """The whole selection: picks, routes of the picks, and the counters. The picks are stored once for both."""
     all_routes = routes(findings)
     plan = limits(eligible_count(findings), absolute_limit)
-    picks = chosen(all_routes, plan["eligible"], absolute_limit)
+    picks = stored(chosen(all_routes, plan["eligible"], absolute_limit))
     return picks, expanded(all_routes, picks), plan
 
 

@@ -151,19 +151,19 @@ PAGE = """SELECT finding_id, CAST({page} AS BIGINT) AS page, total FROM (SELECT
     row_number() OVER (ORDER BY exposure_score DESC, size_bytes DESC, ordinal) - 1 AS position FROM findings) WHERE position // 60 = {page}"""
 
 
-def page_rows(v: Views, requested: int, direct: int):
-    rows, info = ordering.page(v.findings, ordering.initial_order(), requested, 60, direct)
+def page_rows(v: Views, requested: int):
+    rows, info = ordering.page(v.findings, ordering.initial_order(), requested, 60)
     return rows.select("finding_id", F.lit(info["page"]).cast("long").alias("page"), F.lit(info["total"]).cast("long").alias("total"))
 
 
 @query("top1_first_page", PAGE.format(page="0"), ("findings",))
 def _(v: Views):
-    return page_rows(v, 0, ordering.DIRECT_PAGE_ROWS)
+    return page_rows(v, 0)
 
 
 @query("top1_last_page_by_wrapping", PAGE.format(page="((total - 1) // 60)"), ("findings",))
 def _(v: Views):
-    return page_rows(v, -1, 0)
+    return page_rows(v, -1)
 
 
 REPORT = "SELECT finding_id, CAST(privacy_rank AS BIGINT) AS privacy_rank FROM (SELECT *, (ordinal % 3 = 2 OR ordinal % 2 = 0) AS failed FROM ranked WHERE ordinal % 5 <> 1) WHERE NOT ignored AND {}"

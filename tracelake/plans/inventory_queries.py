@@ -313,7 +313,7 @@ def _(v: Views):
 
 @query("jn9_exclusions_by_prefix_join", NOT_EXCLUDED, ("inventory", "exclusions"))
 def _(v: Views):
-    return joins.not_excluded(v.inventory, v.exclusions, small=0).select("finding_id")
+    return joins.not_excluded(v.inventory, v.exclusions).select("finding_id")
 
 
 @query("flt11_media_scope", "SELECT category, count(*) AS kept FROM findings WHERE category IN ('Images', 'Video') GROUP BY category", ("findings",))

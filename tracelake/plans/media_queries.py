@@ -27,7 +27,7 @@ SIZE = """(CASE WHEN size_bytes < 1024 THEN size_bytes || ' B' ELSE CAST(round(s
 @query("arc3_archive_summary", """
     SELECT archive, count(*) AS total_entries, count(rule_level) AS sensitive_entries_count,
            CASE max(CASE rule_level WHEN 'Critical' THEN 4 WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 ELSE 0 END)
-             WHEN 4 THEN 'Critical' WHEN 3 THEN 'High' WHEN 2 THEN 'Medium' ELSE 'Safe' END AS privacy_score, least(100, count(rule_level)) AS listed
+             WHEN 4 THEN 'Critical' WHEN 3 THEN 'High' WHEN 2 THEN 'Medium' ELSE 'Safe' END AS privacy_score, count(rule_level) AS listed
     FROM rated_entries GROUP BY archive""", ("rated_entries",))
 def _(v: Views):
     return archive.inspected(v.archive_entries).select(
@@ -38,9 +38,8 @@ def _(v: Views):
 
 @query("arc4_tree_view", f"""
     SELECT archive, regexp_extract(archive, '[^\\\\]*$') || ' (' || total || ' files, ' || sensitive || ' sensitive):' || coalesce(chr(10) ||
-           string_agg(CASE WHEN n <= 100 THEN (CASE WHEN n = least(100, sensitive) THEN '    └─ ' ELSE '    ├─ ' END) || entry_name || ' [' || rule_category || '] (' || {SIZE} || ')' END,
-                      chr(10) ORDER BY n), '')
-           || (CASE WHEN sensitive > 100 THEN chr(10) || '    ... and ' || (sensitive - 100) || ' more sensitive files inside.' ELSE '' END) AS tree
+           string_agg(CASE WHEN n >= 1 THEN (CASE WHEN n = sensitive THEN '    └─ ' ELSE '    ├─ ' END) || entry_name || ' [' || rule_category || '] (' || {SIZE} || ')' END,
+                      chr(10) ORDER BY n), '') AS tree
     FROM (SELECT *, count(*) OVER (PARTITION BY archive) AS total, count(rule_level) OVER (PARTITION BY archive) AS sensitive,
                  CASE WHEN rule_level IS NOT NULL THEN row_number() OVER (PARTITION BY archive, rule_level IS NULL ORDER BY position) END AS n FROM rated_entries)
     GROUP BY archive, total, sensitive""", ("rated_entries",))
@@ -199,20 +198,20 @@ INSTALLED = "(SELECT s_suppkey AS position, 'suite ' || (CASE WHEN s_suppkey % 4
 MATCHED = f"SELECT 'app' || (doc_id % 40) AS application, min(position) AS position FROM documents JOIN {INSTALLED} ON contains(hay, 'app' || (doc_id % 40)) GROUP BY doc_id % 40"
 
 
-def matched(v: Views, small: int):
+def matched(v: Views):
     names = v.documents.select(F.concat(F.lit("APP"), (c("doc_id") % 40).cast("string")).alias("application"))
-    rows = provenance.installed_match(names, v.installed, small)
+    rows = provenance.installed_match(names, v.installed)
     return rows.select(F.lower("application").alias("application"), F.regexp_extract("product.publisher", "([0-9]+)", 1).cast("long").alias("position"))
 
 
 @query("jn10_installed_products", MATCHED)
 def _(v: Views):
-    return matched(v, 1000)
+    return matched(v)
 
 
 @query("jn10_installed_products_by_substring_join", MATCHED)
 def _(v: Views):
-    return matched(v, 0)
+    return matched(v)
 
 
 NEAR = """(SELECT finding_id, list_distinct(list_transform(flatten(list(names ORDER BY depth)), lambda x: lower(x)))[1:24] AS kept FROM (
@@ -227,11 +226,28 @@ NEAR = """(SELECT finding_id, list_distinct(list_transform(flatten(list(names OR
     "list_filter(list_transform(flatten(list(names ORDER BY depth)), lambda x: lower(x)), lambda x, i: list_position(list_transform(flatten(list(names ORDER BY depth)), lambda y: lower(y)), x) = i)[1:24]"),
        ("findings", "inventory"))
 def _(v: Views):
-    near = provenance.with_neighbors(v.findings, provenance.directory_listing(v.inventory))
+    near = provenance.with_neighbors(v.findings, provenance.directory_listing(v.inventory, names=40), shown=24)
     names = F.transform("neighbors", F.lower)
     return near.select("finding_id", F.size("neighbors").cast("long").alias("n"), F.array_join(F.array_sort(names), "|").alias("names"))
 
 
+# Every 50th file is a manifest; its directory and those below it are marked, wherever it comes in name order.
+MANIFESTS = """(SELECT array_to_string(p[1:len(p) - 1], '\\') AS directory, bool_or(ordinal % 50 = 0) AS has FROM
+    (SELECT ordinal, string_split(path, '\\') AS p FROM inventory) GROUP BY 1)"""
+
+
+@query("prv6_manifest_nearby", f"""
+    SELECT finding_id, CAST((CASE WHEN h1 THEN 1 ELSE 0 END) + (CASE WHEN h1 OR h2 THEN 1 ELSE 0 END) + (CASE WHEN h1 OR h2 OR h3 THEN 1 ELSE 0 END) AS BIGINT) AS marks FROM (
+      SELECT finding_id, bool_or(d = 1 AND coalesce(has, false)) AS h1, bool_or(d = 2 AND coalesce(has, false)) AS h2, bool_or(d = 3 AND coalesce(has, false)) AS h3 FROM (
+        SELECT finding_id, a.d, m.has FROM (SELECT finding_id, string_split(path, '\\') AS p FROM findings) f, LATERAL (SELECT unnest([1, 2, 3]) AS d) a
+        LEFT JOIN {MANIFESTS} m ON m.directory = array_to_string(p[1:len(p) - a.d], '\\')) GROUP BY finding_id)""", ("findings", "inventory"))
+def _(v: Views):
+    folder = F.regexp_replace("path", r"[^\\]*$", "")
+    named = v.inventory.withColumn("path", F.when(c("ordinal") % 50 == 0, F.concat(folder, F.lit("package.json"))).otherwise(c("path")))
+    near = provenance.with_neighbors(v.findings, provenance.directory_listing(named))
+    return near.select("finding_id", F.size("directory_evidence").cast("long").alias("marks"))
+
+
 SLOT = "(CASE WHEN ordinal % 20 = 2 THEN ordinal // 20 % 4 WHEN ordinal % 6 = 0 THEN ordinal // 6 % 4 END)"
 APP = f"(CASE WHEN ordinal % 20 = 2 THEN 'Vendor.App' || {SLOT} WHEN ordinal % 6 = 0 THEN 'vendor.app' || {SLOT} END)"
 WEIGHT = f"""((CASE WHEN contains({LOWER}, '\\appdata\\roaming\\') THEN 15 WHEN contains({LOWER}, '\\appdata\\local\\') THEN 12 ELSE 0 END)

@@ -9,6 +9,7 @@ from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Characters XML 1.0 cannot carry.
 FORBIDDEN = {i: None for i in range(32) if i not in (9, 10, 13)}
@@ -19,22 +20,39 @@ def paragraphs(text: str, element: str) -> str:
     return f'<w:document xmlns:w="urn:w">{lines}</w:document>'
 
 
+#: The part that holds the text, by kind of file.
+PARTS = {"docx": "word/document.xml", "xlsx": "xl/sharedStrings.xml", "pptx": "ppt/slides/slide1.xml", "zip": "word/document.xml"}
+
+
+def zipped(text: str, author: str, part: str, damage: str) -> bytes:
+    """A zip with the text, a core-properties part and some entries. Damage: `malformed` footnotes, a `marked`
+    (byte-order mark) text, a `torn` text whose data no longer match their checksum, or `none` of a zip at all."""
+    if damage == "none":
+        return text.encode()[:50]
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_STORED if damage == "torn" else zipfile.ZIP_DEFLATED) as out:
+        out.writestr("docs/passport_scan.jpg", b"x" * 10)
+        out.writestr("word/footnotes.xml", paragraphs("note", "t")[: -5 if damage == "malformed" else None])
+        body = paragraphs(text, "t")
+        out.writestr(part, body.encode("utf-8-sig") if damage == "marked" else body)
+        core = f"<c:p xmlns:c='urn:c'><c:creator> {escape(author)} </c:creator><c:created>2020-01-01</c:created></c:p>"
+        out.writestr("docProps/core.xml", core)
+        out.writestr("README.md", text)
+    raw = bytearray(buffer.getvalue())
+    if damage == "torn":
+        raw[raw.index(b"urn:w", raw.index(part.encode())) + 4] += 1
+    return bytes(raw)
+
+
 def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(path, text, author) to (path, content): a zip with the text, a core-properties part and some entries."""
+    """(path, text, author, damage) to (path, content)."""
     for batch in batches:
-        rows = []
-        for path, text, author in zip(batch["path"], batch["text"], batch["author"]):
-            buffer = io.BytesIO()
-            with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as out:
-                out.writestr("docs/passport_scan.jpg", b"x" * 10)
-                out.writestr("word/footnotes.xml", paragraphs("note", "t"))
-                out.writestr("word/document.xml", paragraphs(text, "t"))
-                core = f"<c:p xmlns:c='urn:c'><c:creator> {escape(author)} </c:creator><c:created>2020-01-01</c:created></c:p>"
-                out.writestr("docProps/core.xml", core)
-                out.writestr("README.md", text)
-            rows.append((path, buffer.getvalue()))
+        rows = [(path, zipped(text, author, PARTS[path.rpartition(".")[2]], damage)) for path, text, author, damage in
+                zip(batch["path"], batch["text"], batch["author"], batch["damage"])]
         yield pd.DataFrame(rows, columns=["path", "content"])
 
 
 def pack(texts: DataFrame) -> DataFrame:
-    return texts.select("path", "text", "author").mapInPandas(packed, "path string, content binary")
+    """Files from texts (path, text, author and perhaps damage)."""
+    damage = "damage" if "damage" in texts.columns else F.lit("").alias("damage")
+    return texts.select("path", "text", "author", damage).mapInPandas(packed, "path string, content binary")

@@ -13,6 +13,17 @@ c = F.col
 QUERY_DOC, QUERY_IMAGE = 3, 7
 
 
+INDEXES: dict[tuple[str, str], similarity.TermIndex] = {}
+
+
+def index_of(v: Views) -> similarity.TermIndex:
+    """The index of a folder's documents, built by the first request of a session."""
+    name = (v.spark.sparkContext.applicationId, v.folder)
+    if name not in INDEXES:
+        INDEXES[name] = similarity.TermIndex.of(v.document_texts.select("doc_id", "text"))
+    return INDEXES[name]
+
+
 @query("sim1_term_counts", """
     SELECT doc_id, count(*) AS terms, CAST(sum(n) AS BIGINT) AS tokens, max(n) AS top_count, min(term) AS first_term FROM doc_terms GROUP BY doc_id""", ("doc_terms",))
 def _(v: Views):
@@ -27,7 +38,7 @@ def _(v: Views):
 
 @query("sim3_tf_idf", "SELECT doc_id, round(sum(w), 4) AS weight, round(max(w), 4) AS top_weight FROM doc_weights GROUP BY doc_id", ("doc_weights",))
 def _(v: Views):
-    weights = similarity.tf_idf(similarity.term_counts(v.document_texts))
+    weights = index_of(v).documents
     return weights.groupBy("doc_id").agg(F.round(F.sum("w"), 4).alias("weight"), F.round(F.max("w"), 4).alias("top_weight"))
 
 
@@ -40,7 +51,7 @@ COSINE = f"""(SELECT d.doc_id, sum(d.w * q.w) / (any_value(n.norm) * (SELECT sqr
 @query("sim4_similar_documents", f"""
     SELECT doc_id, score FROM (SELECT doc_id, round(least(1, cosine), 3) AS score FROM {COSINE} WHERE cosine >= 0.15) ORDER BY score DESC, doc_id LIMIT 50""", ("doc_weights",))
 def _(v: Views):
-    return similarity.similar_documents(v.document_texts.select("doc_id", "text"), QUERY_DOC).select("doc_id", "score")
+    return similarity.similar_documents(index_of(v), QUERY_DOC).select("doc_id", "score")
 
 
 CANDIDATES = f"SELECT ordinal FROM findings WHERE (NOT ignored AND ext IN {o.in_list(o.fixed.PLAIN_TEXT_EXTENSIONS + o.fixed.OFFICE_EXTENSIONS)}) OR ordinal = {QUERY_DOC}"
@@ -55,7 +66,7 @@ CANDIDATES = f"SELECT ordinal FROM findings WHERE (NOT ignored AND ext IN {o.in_
 def _(v: Views):
     """Candidates are the visible findings of a readable type."""
     docs = similarity.candidate_documents(v.findings.withColumn("doc_id", c("ordinal")), v.document_texts.select("doc_id", "text"), QUERY_DOC)
-    return similarity.similar_documents(docs, QUERY_DOC).select("doc_id", "score")
+    return similarity.similar_documents(similarity.TermIndex.of(docs), QUERY_DOC).select("doc_id", "score")
 
 
 def signed(bits: str) -> str:
@@ -97,11 +108,10 @@ def _(v: Views):
 def _(v: Views):
     """Matches are stored on the query finding, then read back and joined with the findings that still exist."""
     from tracelake.operators import joins
-    from tracelake.operators.ordering import with_positions
     from tracelake.plans.views import file_path
 
-    found = similarity.similar_documents(v.document_texts.select("doc_id", "text"), QUERY_DOC)
-    rows = with_positions(found, F.desc("score"), F.asc("doc_id")).withColumn("path", file_path(c("doc_id")))
+    found = similarity.similar_documents(index_of(v), QUERY_DOC)
+    rows = found.withColumn("path", file_path(c("doc_id")))
     saved = similarity.saved_analysis("Document", rows, F.lit(AS_OF)).withColumn("finding_id", F.lit("f0000000003"))
     back = joins.saved_matches(saved, v.findings)
     return back.select("finding_id", F.substring("finding_id", 2, 10).cast("long").alias("doc_id"), "score")

@@ -10,8 +10,8 @@ from tracelake.operators import archive, exif
 from tracelake.plans import oracle as o
 from tracelake.plans.packing import pack
 from tracelake.plans.registry import query
-from tracelake.plans.views import AS_OF, Views
-from tracelake.session import ensure_checkpoint_dir
+from tracelake.plans.views import AS_OF, Views, file_path
+from tracelake.session import ensure_checkpoint_dir, stored
 from tracelake.sources import inventory as inv
 from tracelake.sources import scanners, store, text
 
@@ -29,10 +29,10 @@ def scratch(v: Views) -> str:
     SELECT finding_id, length(text) AS chars, md5(text) AS digest FROM documents JOIN inventory ON ordinal = doc_id
     WHERE {o.extension('path')} IN {o.in_list(o.fixed.PLAIN_TEXT_EXTENSIONS)}""", ("inventory",))
 def _(v: Views):
-    files = v.inventory.join(v.documents.select(c("doc_id").alias("ordinal"), "text"), "ordinal").select("path", "finding_id", c("text").cast("binary").alias("content"))
-    read = text.plain_files(files.select("path", "content"))
-    return (read.join(files.select("path", "finding_id"), "path")
-            .select("finding_id", F.length("text").cast("long").alias("chars"), F.md5(c("text").cast("binary")).alias("digest")))
+    """The path is a function of the number beside the text, so no text is moved."""
+    files = v.documents.select(file_path(c("doc_id")).alias("path"), F.concat(F.lit("f"), F.lpad(c("doc_id").cast("string"), 10, "0")).alias("finding_id"),
+                               c("text").cast("binary").alias("content"))
+    return text.plain_files(files).select("finding_id", F.length("text").cast("long").alias("chars"), F.md5(c("text").cast("binary")).alias("digest"))
 
 
 def office_files(v: Views):
@@ -49,6 +49,32 @@ def _(v: Views):
     return read.select("path", F.length("text").cast("long").alias("chars"), F.md5(c("text").cast("binary")).alias("digest"))
 
 
+DAMAGE = ["", "malformed", "marked", "torn", "none"]
+
+
+@query("src5_damaged_files", f"""
+    SELECT 'C:\\office\\d' || doc_id || '.docx' AS path, nullif(CASE doc_id % 5 WHEN 0 THEN b || ' note' WHEN 1 THEN b WHEN 2 THEN b || ' note' WHEN 3 THEN 'note' END, '') AS text,
+           CASE WHEN doc_id % 5 IN (1, 3, 4) THEN CAST(1 AS BIGINT) ELSE 0 END AS errors
+    FROM (SELECT doc_id, {LINES} AS b FROM documents)""")
+def _(v: Views):
+    """Malformed, marked and damaged members and files that are no zip: the rest is read, each bad one is reported."""
+    damage = F.element_at(F.array(*map(F.lit, DAMAGE)), (c("doc_id") % 5 + 1).cast("int"))
+    files = pack(v.documents.select(F.concat(F.lit("C:\\office\\d"), c("doc_id").cast("string"), F.lit(".docx")).alias("path"), "text",
+                                    c("source").alias("author"), damage.alias("damage")))
+    members = stored(text.office_members(files))
+    errors = text.reading_errors(members).groupBy("path").agg(F.count(F.lit(1)).alias("errors"))
+    return (text.office_text(members).join(errors, "path", "full")
+            .select("path", "text", F.coalesce("errors", F.lit(0).cast("long")).alias("errors")))
+
+
+@query("src5_sheets_and_slides", f"""
+    SELECT 'C:\\office\\d' || doc_id || (CASE WHEN doc_id % 2 = 0 THEN '.xlsx' ELSE '.pptx' END) AS path, length({LINES}) AS chars, md5({LINES}) AS digest FROM documents""")
+def _(v: Views):
+    kind = F.when(c("doc_id") % 2 == 0, F.lit(".xlsx")).otherwise(F.lit(".pptx"))
+    files = pack(v.documents.select(F.concat(F.lit("C:\\office\\d"), c("doc_id").cast("string"), kind).alias("path"), "text", c("source").alias("author")))
+    return text.office_text(text.office_members(files)).select("path", F.length("text").cast("long").alias("chars"), F.md5(c("text").cast("binary")).alias("digest"))
+
+
 @query("exf2_office_properties", """
     SELECT 'C:\\office\\d' || doc_id || '.docx' AS path, source AS author, '2020-01-01' AS taken, 'Author,DateTaken' AS fields, 'High' AS exposure_level FROM documents""")
 def _(v: Views):

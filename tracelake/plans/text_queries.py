@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracelake import fixed
+from tracelake.functions import paths
+from tracelake.functions.paths import settled
 from tracelake.operators import config, evidence, identity, pii, secrets
 from tracelake.plans import oracle as o
 from tracelake.plans.registry import query
-from tracelake.plans.views import Views
+from tracelake.plans.views import Views, file_path
 
 c = F.col
 
@@ -19,7 +20,7 @@ def kind_query(number: int, kind: str, column: str) -> None:
         SELECT key, CAST(len({column}) AS BIGINT) AS n, array_to_string({column}, '|') AS samples FROM pii_kinds WHERE len({column}) > 0""",
            ("pii_kinds",))
     def _(v: Views):
-        found = v.texts.select("key", pii.KINDS[kind](c("text")).alias("found"))
+        found = settled(v.texts.select("key", "text"), "found", pii.KINDS[kind](c("text")))
         return found.filter(F.size("found") > 0).select("key", F.size("found").cast("long").alias("n"),
                                                         F.array_join("found", "|").alias("samples"))
 
@@ -28,8 +29,12 @@ for number, (kind, column) in enumerate(zip(pii.KINDS, o.KINDS), 1):
     kind_query(number, kind, column)
 
 
-def fold_sql(cap: int) -> str:
-    """Kept matches per kind: at least one, and never beyond the room that is left."""
+def fold_sql(cap: int | None) -> str:
+    """Kept matches per kind: all, or with a cap at least one, and never beyond the room that is left."""
+    if cap is None:
+        total = " + ".join(o.KINDS)
+        return f"SELECT key, CAST({total} AS BIGINT) AS total_matches, fio > 0 AND (phone > 0 OR email > 0 OR passport > 0) AS bundle " \
+               f"FROM pii_counts WHERE {total} > 0"
     steps, before = [], "0"
     inner = "pii_counts"
     for k in o.KINDS:
@@ -41,7 +46,7 @@ def fold_sql(cap: int) -> str:
            f"WHERE {' + '.join(steps)} > 0"
 
 
-@query("pii12_total_and_bundle", fold_sql(fixed.PII_MATCH_CAP), ("pii_counts",))
+@query("pii12_total_and_bundle", fold_sql(None), ("pii_counts",))
 def _(v: Views):
     rows = pii.with_pii(v.texts)
     return rows.filter("pii.total_matches > 0").select(
@@ -145,7 +150,8 @@ def _(v: Views):
 
 @query("cfg2_exposed_parameters", "SELECT n AS config_id, exposed FROM config_files WHERE exposed <> ''", ("config_files",))
 def _(v: Views):
-    rows = v.config_files.select("config_id", F.array_join(config.exposed_parameters(c("text")), ",").alias("exposed"))
+    rows = settled(v.config_files.select("config_id", "text"), "names", config.exposed_parameters(c("text"))).select(
+        "config_id", F.array_join("names", ",").alias("exposed"))
     return rows.filter("exposed <> ''")
 
 
@@ -159,8 +165,8 @@ def _(v: Views):
 
 
 @query("cfg4_generic_config_recheck", """
-    SELECT n AS config_id, CASE WHEN n % 6 = 2 AND size_bytes <= 1048576 AND exposed = '' THEN 'Other' ELSE 'Potential secrets' END AS category,
-           CASE WHEN n % 6 = 2 AND size_bytes <= 1048576 AND exposed = '' THEN 'File' ELSE 'Potential secret' END AS subcategory
+    SELECT n AS config_id, CASE WHEN n % 6 = 2 AND exposed = '' THEN 'Other' ELSE 'Potential secrets' END AS category,
+           CASE WHEN n % 6 = 2 AND exposed = '' THEN 'File' ELSE 'Potential secret' END AS subcategory
     FROM config_files""", ("config_files",))
 def _(v: Views):
     rows = secrets.with_secrets(config.with_config(v.config_files))
@@ -175,9 +181,10 @@ def _(v: Views):
 IDENTITY = "SELECT doc_id, CAST(sum(n) AS BIGINT) AS total_mentions, count(*) AS terms, min(category || ' (' || n || 'x): ' || term) AS first_label FROM identity_counts GROUP BY doc_id"
 
 
-def identity_rows(v: Views, inline: int):
-    docs = v.document_texts.select("doc_id", "text").join(v.inventory.select(c("ordinal").alias("doc_id"), "path"), "doc_id")
-    rows = identity.with_identity(docs, identity.identity_terms(v.raw_terms), inline_terms=inline, max_text_bytes=None)
+def identity_rows(v: Views, counted):
+    """The path is a function of the number beside the text."""
+    docs = v.document_texts.select("doc_id", "text", file_path(c("doc_id")).alias("path"))
+    rows = counted(docs, identity.identity_terms(v.raw_terms))
     entries = F.transform(F.map_entries("identity.matched_terms"), lambda e: F.concat(e["value"], F.lit(": "), e["key"]))
     return rows.filter("identity.has_identity_trace").select(
         "doc_id", c("identity.total_mentions").cast("long").alias("total_mentions"),
@@ -186,12 +193,12 @@ def identity_rows(v: Views, inline: int):
 
 @query("idt2_identity_mentions", IDENTITY, ("identity_counts",))
 def _(v: Views):
-    return identity_rows(v, identity.INLINE_TERMS)
+    return identity_rows(v, identity.with_identity)
 
 
 @query("jn11_identity_by_anchor_join", IDENTITY, ("identity_counts",))
 def _(v: Views):
-    return identity_rows(v, 0)
+    return identity_rows(v, identity.identity_by_join)
 
 
 @query("idt3_read_repair", """
@@ -209,15 +216,12 @@ def _(v: Views):
 @query("flagship_risk_by_language", f"""
     SELECT lang, count(*) AS files, count(*) FILTER (total > 0) AS with_personal_data, CAST(sum(total) AS BIGINT) AS matches,
            CAST(sum(least(100, exposure + CASE WHEN total > 0 THEN 18 ELSE 0 END)) AS BIGINT) AS risk_sum
-    FROM (SELECT lang, card + email + ip AS total, {o.exposure_sql('path')} AS exposure
+    FROM (SELECT lang, {' + '.join(o.KINDS)} AS total, {o.exposure_sql('path')} AS exposure
           FROM documents JOIN pii_counts ON key = 'd' || doc_id JOIN inventory ON ordinal = doc_id)
     GROUP BY lang""", ("pii_counts", "inventory"))
 def _(v: Views):
-    from tracelake.functions import paths
-    from tracelake.plans.views import file_path
-
     docs = v.document_texts.select("lang", "text", file_path(c("doc_id")).alias("path"))
-    rows = pii.with_pii(docs, kinds=["BankCard", "Email", "IP"], cap=None)
+    rows = pii.with_pii(docs)
     exposure = paths.exposure_score(paths.path_exposure_items("path"))
     risk = F.least(F.lit(100), exposure + evidence.points(evidence.positive("pii.total_matches"), 18))
     return rows.groupBy("lang").agg(

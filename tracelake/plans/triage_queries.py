@@ -62,7 +62,7 @@ def _(v: Views):
     return triage.routes(sized).filter("scanner_id = 'people'").select("finding_id", c("priority").cast("long").alias("priority"))
 
 
-LIMITS = f"(SELECT eligible, requested, least(requested, 50000) AS selection_limit FROM (SELECT eligible, CASE WHEN eligible = 0 THEN 0 ELSE greatest(1, CAST(ceil(eligible * 0.05) AS BIGINT)) END AS requested FROM (SELECT count(DISTINCT finding_id) AS eligible FROM {ROUTES})))"
+LIMITS = f"(SELECT eligible, requested, requested AS selection_limit FROM (SELECT eligible, CASE WHEN eligible = 0 THEN 0 ELSE greatest(1, CAST(ceil(eligible * 0.05) AS BIGINT)) END AS requested FROM (SELECT count(DISTINCT finding_id) AS eligible FROM {ROUTES})))"
 
 
 @query("tri3_limits", f"SELECT eligible, requested, selection_limit, CASE WHEN eligible = 0 THEN 0 ELSE greatest(1, selection_limit * 24) END AS cost_budget FROM {LIMITS}", ("audited",))
@@ -144,8 +144,8 @@ def broken(_rows):
 
 
 @query("tri6_detector_stages", f"""
-    SELECT scanner_id, state, count(*) AS routes FROM (SELECT scanner_id, CASE WHEN scanner_id = 'pii' THEN 'completed'
-       WHEN scanner_id = 'secrets' THEN CASE WHEN ordinal % 10 = 1 THEN 'failed' ELSE 'completed' END ELSE 'skipped' END AS state FROM {ROUTES}) GROUP BY scanner_id, state""", ("audited",))
+    SELECT scanner_id, state, count(*) AS routes FROM (SELECT scanner_id, CASE WHEN scanner_id IN ('pii', 'secrets') THEN 'completed' ELSE 'skipped' END AS state FROM {ROUTES}
+      UNION ALL SELECT scanner_id, 'failed' FROM {ROUTES} WHERE scanner_id = 'secrets' AND ordinal % 10 = 1) GROUP BY scanner_id, state""", ("audited",))
 def _(v: Views):
     """Personal data and secrets run, the config detector breaks, all others are missing."""
     registry = scanners.Registry([

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 import uuid
 
@@ -27,6 +29,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         builder = builder.master(master)
     if driver_memory:
         builder = builder.config("spark.driver.memory", driver_memory)
+    if master and master.startswith("local["):
+        cores = master.removeprefix("local[").rstrip("]")
+        builder = builder.config("spark.tracelake.spread", str(os.cpu_count() if cores == "*" else cores))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return prepare(builder.getOrCreate())
@@ -46,7 +51,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         folder = tempfile.mkdtemp(prefix="tracelake-checkpoint-")
     context.setCheckpointDir(folder)
@@ -69,10 +74,8 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give CPU-bound text work at least one partition per core.
-
-    Only a table with fewer splits than cores is redistributed, by key. A large table has far more splits, so its
-    texts are never shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+    """Deal the rows of a table by key into as many partitions as the session setting `spark.tracelake.spread` names;
+    without it (a cluster, where the reader's split size decides) the table is left as it is, and no text is moved.
+    Local sessions of this package set it, because their small test tables are a single split."""
+    parts = df.sparkSession.conf.get("spark.tracelake.spread", None)
+    return df.repartition(int(parts), *keys) if parts else df

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import time
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tracelake.operators import evidence as ev
 from tracelake.operators import joins
-from tracelake.session import pinned
+from tracelake.session import pinned, stored
 
 RUN_TYPE = "scanner_id string, findings long, errors int, duration_ms long, message string"
 STATE_TYPE = "finding_id string, scanner_id string, state string"
@@ -76,36 +77,44 @@ class Registry:
 
 def run_stages(spark: SparkSession, registry: Registry, routes: DataFrame, findings: DataFrame,
                state: DataFrame | None = None,
-               on_stage: Callable[[str, DataFrame], None] | None = None) -> tuple[DataFrame, DataFrame]:
+               on_stage: Callable[[str, DataFrame], None] | None = None,
+               on_error: Callable[[str, Exception], None] | None = None) -> tuple[DataFrame, DataFrame]:
     """TRI-6: one Spark job per detector over its pending routes. Unavailable detectors and failing stages are
-    skipped, failing rows are recorded, the rest is completed. Returns the findings with their new evidence and the
-    route states."""
+    skipped (`on_error` hears why). After a stage every route of it is completed, also those of findings that are gone;
+    failing rows are failed in addition, so they are not tried again. Returns the findings with their new evidence
+    and the route states.
+
+    Findings and routes are stored once; a finding carries the detectors it is routed to, so a stage is a filter.
+    """
     states = state if state is not None else spark.createDataFrame([], STATE_TYPE)
-    pending = joins.pending_routes(routes, states)
+    pending = stored(joins.pending_routes(routes, states).select("finding_id", "scanner_id"))
     scanners = [r["scanner_id"] for r in routes.select("scanner_id").distinct().orderBy("scanner_id").collect()]
+    asked = pending.groupBy("finding_id").agg(F.collect_set("scanner_id").alias("__asked"))
+    findings = stored(findings.join(asked, "finding_id", "left"))
     results = [states]
     for scanner in scanners:
-        todo = pending.filter(F.col("scanner_id") == scanner).select("finding_id", "scanner_id")
+        todo = pending.filter(F.col("scanner_id") == scanner)
         detector = registry.get(scanner)
         if detector is None or not detector.available():
             results.append(todo.withColumn("state", F.lit("skipped")))
             continue
-        batch = joins.in_session(findings, todo)
+        mine = F.coalesce(F.array_contains("__asked", scanner), F.lit(False))
         try:
             failed = F.lit(False) if detector.failed is None else F.coalesce(detector.failed, F.lit(False))
-            detected = pinned(detector.detect(batch).withColumn("__failed", failed)
+            detected = pinned(detector.detect(findings.filter(mine)).withColumn("__failed", failed)
                               .withColumn("__confirmed", F.coalesce(detector.confirmed, F.lit(False)))
                               .withColumn("scan_status", F.when(failed, F.col("scan_status"))
                                           .otherwise(ev.status_with(scanner))))
-        except Exception:  # a broken stage must not end the audit
+        except Exception as problem:  # a broken stage must not end the audit
+            logging.getLogger(__name__).warning("stage %s is skipped: %s", scanner, problem)
+            if on_error is not None:
+                on_error(scanner, problem)
             results.append(todo.withColumn("state", F.lit("skipped")))
             continue
-        marks = detected.select("finding_id", F.lit(scanner).alias("scanner_id"), F.when(
-            F.col("__failed"), F.lit("failed")).otherwise(F.lit("completed")).alias("state"))
-        gone = todo.join(detected, "finding_id", "left_anti").withColumn("state", F.lit("skipped"))
-        results += [marks, gone]
-        rest = findings.join(detected.select("finding_id"), "finding_id", "left_anti")
-        findings = rest.unionByName(detected.drop("__failed", "__confirmed"), allowMissingColumns=True)
+        results.append(todo.withColumn("state", F.lit("completed")))
+        results.append(detected.filter("__failed").select("finding_id", F.lit(scanner).alias("scanner_id"),
+                                                          F.lit("failed").alias("state")))
+        findings = findings.filter(~mine).unionByName(detected.drop("__failed", "__confirmed"), allowMissingColumns=True)
         if on_stage is not None:
-            on_stage(scanner, detected)
-    return findings, reduce(lambda a, b: a.unionByName(b), results)
+            on_stage(scanner, detected.drop("__asked"))
+    return findings.drop("__asked"), reduce(lambda a, b: a.unionByName(b), results)

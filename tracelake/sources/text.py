@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,54 +24,84 @@ OFFICE_MEMBERS = [
 ]
 
 
-def plain_files(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
-    """SRC-4 over (path, content): supported types that are not Office files."""
+def plain_files(files: DataFrame) -> DataFrame:
+    """SRC-4 over (path, content): supported types that are not Office files. Other columns are kept."""
     text = paths.is_text("path") & ~paths.extension("path").isin(".docx", ".xlsx", ".pptx")
-    body = F.col("content") if max_bytes is None else F.substring("content", 1, max_bytes)
-    return files.filter(text).select("path", F.make_valid_utf8(body.cast("string")).alias("text"))
+    return files.filter(text).withColumn("text", F.make_valid_utf8(F.col("content").cast("string"))).drop("content")
 
 
-def open_zip(content: bytes) -> zipfile.ZipFile | None:
-    try:
-        return zipfile.ZipFile(io.BytesIO(content))
-    except (zipfile.BadZipFile, TypeError):
-        return None
+def opened(content) -> zipfile.ZipFile:
+    """A zip from its bytes or a path."""
+    return zipfile.ZipFile(content if isinstance(content, str) else io.BytesIO(content or b""))
+
+
+def reason(problem: Exception) -> str:
+    return f"{type(problem).__name__}: {problem}"[:500]
+
+
+def read_member(archive: zipfile.ZipFile, info: zipfile.ZipInfo) -> str:
+    """The XML of a member, checked so that no later step meets a broken one."""
+    raw = archive.read(info)
+    expat.ParserCreate().Parse(raw, True)
+    return raw.decode("utf-8-sig", "replace")
 
 
 def read_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(path, content) to (path, position, member, xml) for the XML members of each zip, a file at a time."""
+    """(path, content) to (path, position, member, xml, error), a row per XML member. A file that is no zip and a member
+    that is damaged, encrypted or not well-formed give a row with the error and no xml."""
+    columns = ["path", "position", "member", "xml", "error"]
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
-            archive = open_zip(content)
-            if archive is None:
+            rows = []
+            try:
+                archive = opened(content)
+                members = [(i, m) for i, m in enumerate(archive.infolist()) if m.filename.lower().endswith(".xml")]
+            except Exception as problem:  # whatever is wrong with one file must not end the job
+                yield pd.DataFrame([(path, -1, None, None, reason(problem))], columns=columns)
                 continue
-            rows = [(path, i, info.filename, archive.read(info).decode("utf-8", "replace"))
-                    for i, info in enumerate(archive.infolist()) if info.filename.lower().endswith(".xml")]
-            yield pd.DataFrame(rows, columns=["path", "position", "member", "xml"])
+            for i, info in members:
+                try:
+                    rows.append((path, i, info.filename, read_member(archive, info), None))
+                except Exception as problem:
+                    rows.append((path, i, info.filename, None, reason(problem)))
+            yield pd.DataFrame(rows, columns=columns)
 
 
 def list_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(path, content) to (archive, position, entry_name, size_bytes): the central directory only."""
+    """(path, content) to (archive, position, entry_name, size_bytes, error): the central directory only. Content is
+    the bytes of the archive, or its path, of which only the end is then read."""
+    columns = ["archive", "position", "entry_name", "size_bytes", "error"]
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
-            archive = open_zip(content)
-            if archive is None:
-                continue
-            rows = [(path, i, info.filename, info.file_size) for i, info in enumerate(archive.infolist())]
-            yield pd.DataFrame(rows, columns=["archive", "position", "entry_name", "size_bytes"])
+            try:
+                rows = [(path, i, info.filename, info.file_size, None) for i, info in enumerate(opened(content).infolist())]
+            except Exception as problem:
+                rows = [(path, -1, None, None, reason(problem))]
+            yield pd.DataFrame(rows, columns=columns).astype({"size_bytes": "Int64"})
 
 
 def office_members(files: DataFrame) -> DataFrame:
+    """XML members of Office files; rows with an error have no xml."""
     office = files.filter(paths.extension("path").isin(".docx", ".xlsx", ".pptx"))
     return office.select("path", "content").mapInPandas(
-        read_members, "path string, position int, member string, xml string")
+        read_members, "path string, position int, member string, xml string, error string")
+
+
+def reading_errors(members: DataFrame) -> DataFrame:
+    """(path, member, error) of everything that could not be read."""
+    return members.filter("error IS NOT NULL").select("path", "member", "error")
 
 
 def archive_entries(files: DataFrame) -> DataFrame:
-    """ARC-1: one row per archive entry, nothing is extracted."""
+    """ARC-1: one row per archive entry, nothing is extracted; an unreadable archive is one row with an error.
+
+    With a column `content` the archives' bytes are searched. Without it the paths are opened where the task runs
+    (a mounted file system) and only the directory at the end is read, whatever the archive's size.
+    """
     archives = files.filter(paths.is_openable_archive("path"))
-    return archives.select("path", "content").mapInPandas(
-        list_members, "archive string, position int, entry_name string, size_bytes long")
+    content = "content" if "content" in files.columns else F.col("path").alias("content")
+    return archives.select("path", content).mapInPandas(
+        list_members, "archive string, position int, entry_name string, size_bytes long, error string")
 
 
 def member_rule(attribute: int) -> Column:
@@ -84,7 +115,8 @@ def member_rule(attribute: int) -> Column:
 
 
 def office_text(members: DataFrame) -> DataFrame:
-    """SRC-5: text elements joined by spaces, members in reading order. Spark parses the XML."""
+    """SRC-5: text elements joined by spaces, members in reading order. Spark parses the XML; members that could not
+    be read are left out (see `reading_errors`)."""
     texts = None
     for _, _, elements in OFFICE_MEMBERS:
         names = " or ".join(f'local-name()="{e}"' for e in elements)
@@ -94,6 +126,6 @@ def office_text(members: DataFrame) -> DataFrame:
     kept = F.filter(texts, lambda t: F.trim(t) != "")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "position", "text"))),
                                       lambda s: s["text"]), " ")
-    return (members.withColumn("place", member_rule(0)).filter("place is not null")
+    return (members.filter("xml is not null").withColumn("place", member_rule(0)).filter("place is not null")
             .withColumn("text", F.array_join(kept, " ")).filter("text <> ''")
             .groupBy("path").agg(joined.alias("text")))
