@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracelake import fixed
 from tracelake.operators import filters, history, joins
-from tracelake.operators.ordering import with_positions
+from tracelake.operators.ordering import positions, with_positions
 from tracelake.plans import oracle as o
 from tracelake.plans.registry import query
 from tracelake.plans.views import AS_OF, Views
@@ -137,7 +137,7 @@ def _(v: Views):
     SELECT ordinal, row_number() OVER (ORDER BY {PRIORITY} DESC, {o.order_sql('effective_risk')} DESC, last_interaction DESC, path_match, ordinal) AS position
     FROM merged_history QUALIFY position <= 200""", ("merged_history",))
 def _(v: Views):
-    rows = with_positions(v.merged_history, *history.entry_order())
+    rows = positions(v.merged_history, "ordinal", *history.entry_order())
     return rows.filter("position < 200").select("ordinal", (c("position") + 1).alias("position"))
 
 
@@ -168,7 +168,8 @@ def _(v: Views):
 
 @query("set4_flattened_applications", "SELECT application_key, ordinal FROM history_entries", ("history_entries",))
 def _(v: Views):
-    rows = history.identified(v.history_entries).withColumn("share", c("ordinal") % 64)
+    """Nested a thousand entries at a time: lists stay as short however many entries an application has."""
+    rows = history.identified(v.history_entries).withColumn("share", F.expr("ordinal div 1000"))
     nested = rows.groupBy("application_key", "share").agg(F.collect_list(F.struct("ordinal")).alias("entries"))
     return history.flattened(nested).select("application_key", "ordinal")
 

@@ -391,6 +391,16 @@ CTES: dict[str, tuple[list[str], str]] = {
 }
 
 
+# The audit with the evidence that detectors found in the texts; `secret_counts` is added where its patterns are.
+CTES["text_audited"] = (["audited", "pii_counts", "secret_counts", "identity_counts"], f"""
+        SELECT a.* REPLACE (coalesce(p.n, 0) AS pii_total, coalesce(s.total_matches, 0) AS sec_total, coalesce(i.n, 0) AS idt_total,
+                            true AS done_pii, true AS done_secrets, true AS done_identity)
+        FROM audited a LEFT JOIN (SELECT key, {' + '.join(KINDS)} AS n FROM pii_counts) p ON p.key = 'd' || a.ordinal
+        LEFT JOIN secret_counts s ON s.key = 'd' || a.ordinal
+        LEFT JOIN (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n FROM identity_counts GROUP BY doc_id) i ON i.doc_id = a.ordinal""")
+CTES["text_ranked"] = (["text_audited"], CTES["ranked"][1].replace("FROM audited", "FROM text_audited"))
+
+
 def cte_names(wanted: list[str]) -> list[str]:
     """Dependencies first."""
     order: list[str] = []

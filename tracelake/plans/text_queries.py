@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import paths
 from tracelake.functions.paths import settled
-from tracelake.operators import config, evidence, identity, pii, secrets
+from tracelake.operators import config, evidence, identity, ordering, pii, secrets
 from tracelake.plans import oracle as o
 from tracelake.plans.registry import query
 from tracelake.plans.views import Views, file_path
@@ -130,10 +130,14 @@ SPARE = f"""SELECT DISTINCT key, t AS hit FROM (SELECT key, unnest(regexp_extrac
     WHERE regexp_matches(t, '[a-z]') AND regexp_matches(t, '[A-Z]') AND regexp_matches(t, '[0-9]') AND {ENTROPY} >= 4.0"""
 
 
-@query("sec5_secret_totals", f"""
+SECRET_TOTALS = f"""
     SELECT key, count(*) AS total_matches, string_agg(DISTINCT category, ',' ORDER BY category) AS categories FROM (
       {NAMED} UNION ALL SELECT key, 'High entropy string', hit FROM ({SPARE}) s
-      WHERE NOT EXISTS (SELECT 1 FROM ({NAMED}) n WHERE n.key = s.key AND (contains(n.hit, s.hit) OR contains(s.hit, n.hit)))) GROUP BY key""", ("texts",))
+      WHERE NOT EXISTS (SELECT 1 FROM ({NAMED}) n WHERE n.key = s.key AND (contains(n.hit, s.hit) OR contains(s.hit, n.hit)))) GROUP BY key"""
+o.CTES["secret_counts"] = (["texts"], SECRET_TOTALS)
+
+
+@query("sec5_secret_totals", SECRET_TOTALS, ("texts",))
 def _(v: Views):
     rows = secrets.with_secrets(v.texts)
     return rows.filter("secrets.total_matches > 0").select(
@@ -227,3 +231,26 @@ def _(v: Views):
     return rows.groupBy("lang").agg(
         F.count(F.lit(1)).alias("files"), F.count_if(c("pii.total_matches") > 0).alias("with_personal_data"),
         F.sum("pii.total_matches").alias("matches"), F.sum(risk).alias("risk_sum"))
+
+
+@query("audit_ranks_from_texts", """
+    SELECT finding_id, CAST(pii_total AS BIGINT) AS personal, CAST(sec_total AS BIGINT) AS secrets, CAST(idt_total AS BIGINT) AS mentions,
+           CAST(confirmed_categories AS BIGINT) AS confirmed_categories, CAST(evidence_count AS BIGINT) AS evidence_count,
+           CAST(objective_risk AS BIGINT) AS objective_risk, CAST(privacy_rank AS BIGINT) AS privacy_rank, CAST(detection_rank AS BIGINT) AS detection_rank
+    FROM text_ranked""", ("text_ranked",))
+def _(v: Views):
+    """The audit from end to end: detectors over the texts, their evidence merged into the findings, then the ranks."""
+    rows = evidence.with_ranks(v.text_audited)
+    return rows.select("finding_id", *(c(f).cast("long").alias(n) for f, n in (
+        ("pii.total_matches", "personal"), ("secrets.total_matches", "secrets"), ("identity.total_mentions", "mentions"))),
+        *(c(n).cast("long").alias(n) for n in ("confirmed_categories", "evidence_count", "objective_risk", "privacy_rank", "detection_rank")))
+
+
+@query("audit_report_from_texts", """
+    SELECT finding_id, CAST(row_number() OVER (ORDER BY privacy_rank DESC, detection_rank DESC, ordinal) AS BIGINT) AS place FROM text_ranked
+    WHERE NOT ignored QUALIFY place <= 100""", ("text_ranked",))
+def _(v: Views):
+    """The first hundred rows of the report that ranks by privacy."""
+    rows = evidence.with_ranks(v.text_audited).filter("NOT ignored").select("finding_id", "privacy_rank", "detection_rank", "ordinal")
+    placed = ordering.positions(rows, "finding_id", *ordering.report_order("Privacy"))
+    return placed.filter("position < 100").select("finding_id", (c("position") + 1).alias("place"))

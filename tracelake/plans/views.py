@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake import fixed
-from tracelake.operators import history, joins, media
+from tracelake.operators import evidence, history, identity, joins, media, pii, secrets
 from tracelake.session import prepare, spread
 from tracelake.sources import inventory as inv
 
@@ -163,6 +163,18 @@ class Views:
                                    for k, v in done.items()]), lambda e: e["v"])
         return computed(rows.withColumn("scan_status", F.map_from_entries(flags)))
 
+    @cached_property
+    def text_audited(self) -> DataFrame:
+        """Like `audited`, with the evidence that the detectors find in the text of every file. Texts stay where
+        they are; only the evidence meets the findings."""
+        docs = self.document_texts.select(c("doc_id").alias("ordinal"), "text", file_path(c("doc_id")).alias("path"))
+        found = identity.with_identity(secrets.with_secrets(pii.with_pii(docs)), identity.identity_terms(self.raw_terms))
+        rows = self.audited.drop("pii", "secrets", "identity").join(
+            found.select("ordinal", "pii", "secrets", "identity"), "ordinal")
+        for scanner in ("pii", "secrets", "identity"):
+            rows = rows.withColumn("scan_status", evidence.status_with(scanner))
+        return computed(rows)
+
     @cached_property
     def feedback(self) -> DataFrame:
         n = c("doc_id")
