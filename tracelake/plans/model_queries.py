@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tracelake.operators import history, joins, learning
 from tracelake.plans import oracle as o
 from tracelake.plans.registry import query
+from tracelake.plans.store_queries import scratch
 from tracelake.plans.views import AS_OF, Views
 
 c = F.col
@@ -105,3 +106,40 @@ def _(v: Views):
     model, _ = learning.train(training(v))
     scored = learning.with_personal_score(learning.with_features(v.audited, AS_OF), model)
     return scored.select("finding_id", F.round(c("personal_score").cast("double"), 3).alias("personal_score"))
+
+
+@query("ml3_separable_samples", """
+    SELECT CAST(count(*) AS BIGINT) AS findings, CAST(count(*) AS BIGINT) AS apart FROM findings""", ("findings",))
+def _(v: Views):
+    """Trained on an attribute it can see (a pinned-down exposure score), the model ranks every liked row above the others."""
+    rows = learning.with_features(v.audited, AS_OF).select("finding_id", "features", (c("exposure_score") >= 40).alias("label"))
+    marked = rows.withColumn("features", c("features").withField("ExposureScore", F.when(c("label"), 90.0).otherwise(5.0)))
+    model = learning.pipeline().fit(learning.samples(marked))
+    scored = learning.with_personal_score(marked, model)
+    return scored.agg(F.count(F.lit(1)).alias("findings"), F.count_if((c("personal_score") > 50) == c("label")).alias("apart"))
+
+
+@query("ml5_score_properties", """
+    SELECT CAST(count(*) AS BIGINT) AS findings, CAST(count(*) AS BIGINT) AS between_0_and_100, CAST(count(*) AS BIGINT) AS null_without_model FROM findings""", ("findings",))
+def _(v: Views):
+    rows = learning.with_features(v.audited, AS_OF).select("finding_id", "features")
+    model, _ = learning.train(training(v))
+    scored = learning.with_personal_score(rows, model).join(
+        learning.with_personal_score(rows, None).select("finding_id", c("personal_score").alias("none")), "finding_id")
+    return scored.agg(F.count(F.lit(1)).alias("findings"), F.count_if(c("personal_score").between(0, 100)).alias("between_0_and_100"),
+                      F.count_if(c("none").isNull()).alias("null_without_model"))
+
+
+@query("ml6_model_round_trip", """
+    SELECT CAST(count(*) AS BIGINT) AS findings, CAST(count(*) AS BIGINT) AS equal FROM findings""", ("findings",))
+def _(v: Views):
+    """A model that is saved and read back gives the same scores; a folder without one gives none."""
+    rows = learning.with_features(v.audited, AS_OF).select("finding_id", "features")
+    model, facts = learning.train(training(v))
+    folder = scratch(v)
+    learning.save_model(v.spark, model, facts, folder)
+    again, _ = learning.load_model(v.spark, folder)
+    assert learning.load_model(v.spark, folder + "-none") is None
+    both = learning.with_personal_score(rows, model).join(
+        learning.with_personal_score(rows, again).select("finding_id", c("personal_score").alias("again")), "finding_id")
+    return both.agg(F.count(F.lit(1)).alias("findings"), F.count_if(c("personal_score") == c("again")).alias("equal"))

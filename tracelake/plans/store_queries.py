@@ -25,6 +25,13 @@ def scratch(v: Views) -> str:
     return f"{v.spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
 
 
+@query("src1_files_below_roots", """
+    SELECT path, size_bytes FROM inventory WHERE NOT is_directory AND (starts_with(lower(path), 'c:\\users\\user1\\desktop\\') OR starts_with(lower(path), 'c:\\users\\user1\\pictures\\'))""", ("inventory",))
+def _(v: Views):
+    roots = v.spark.createDataFrame([("C:/Users/user1/Desktop/",), ("c:\\users\\USER1\\pictures",)], "path string")
+    return inv.files_below(v.inventory, roots).select("path", "size_bytes")
+
+
 @query("src4_plain_text", f"""
     SELECT finding_id, length(text) AS chars, md5(text) AS digest FROM documents JOIN inventory ON ordinal = doc_id
     WHERE {o.extension('path')} IN {o.in_list(o.fixed.PLAIN_TEXT_EXTENSIONS)}""", ("inventory",))

@@ -16,6 +16,19 @@ def listed_files(spark: SparkSession, roots: list[str]) -> DataFrame:
             .select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at")))
 
 
+def files_below(inventory: DataFrame, roots: DataFrame) -> DataFrame:
+    """SRC-1 from an inventory table (path, size_bytes, modified_at, is_directory): the files below the roots (path).
+    Every directory of the table meets the roots once for each of its ancestors, in an equi join."""
+    rows = inventory.filter("NOT is_directory").withColumn("__folder", paths.parent(paths.backslashed("path")))
+    parts = F.split("__folder", r"\\")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "\\"))
+    wanted = roots.select(F.lower(paths.trim_separators(paths.backslashed("path"))).alias("root")).distinct()
+    folders = (rows.filter("__folder IS NOT NULL").select("__folder").distinct()
+               .select("__folder", F.explode(above).alias("above")).withColumn("root", F.lower("above"))
+               .join(wanted, "root", "left_semi").select("__folder").distinct())
+    return rows.join(folders, "__folder", "left_semi").select("path", "size_bytes", "modified_at")
+
+
 def file_contents(spark: SparkSession, roots: list[str], pattern: str | None = None) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if pattern:
