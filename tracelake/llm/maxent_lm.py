@@ -17,7 +17,6 @@ counts of at most `HEAD` words (the others meet their counts in a join) and the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,6 +37,7 @@ CONTEXT = 128  # frequent words that describe the others
 BUCKET_BITS = 13
 ROUNDS = 3
 SMOOTH = 20.0
+STEP = 1 << 17  # bytes of text whose class probabilities are worked out together
 END, START = np.uint64(0xD1B54A32D192ED03), np.uint64(0xABC98388FB8FAC03)
 SEEDS = np.array([0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0xCBBB9D5DC1059ED8, 0x629A292A367CD507, 0x9159015A3070DD17],
                  np.uint64)
@@ -55,7 +55,7 @@ class Model:
     place: np.ndarray  # their places in order
     cuts: np.ndarray  # where each class starts in order
     bias: np.ndarray
-    weights: np.ndarray  # bucket x class
+    weights: np.ndarray  # class x bucket
     word_bias: np.ndarray  # by order
     word_weights: np.ndarray  # class of the previous word x order
     tail_mass: np.ndarray
@@ -88,44 +88,46 @@ def shifted(values: np.ndarray, starts: np.ndarray, k: int, fill) -> np.ndarray:
     return out
 
 
-def features(hashed: np.ndarray, classes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets (feature x token) and the class of the previous token."""
+def bucket(keys: np.ndarray) -> np.ndarray:
+    return (mix(keys) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+#: Buckets of the classes two and three words further back.
+FAR = [bucket(np.arange(CLASSES, dtype=np.uint64) + SEEDS[k]) for k in (3, 4)]
+
+
+def features(hashed: np.ndarray, classes: np.ndarray, starts: np.ndarray) -> tuple[list, np.ndarray, np.ndarray]:
+    """Buckets of the word features, the pair of classes further back as one number, the class of the previous token."""
     one, two = (shifted(hashed, starts, k, START) for k in (1, 2))
-    known = [shifted(classes, starts, k, UNKNOWN) for k in (1, 3, 4)]
-    keys = [one + SEEDS[0], one * np.uint64(0x9E3779B1) + two + SEEDS[1], two + SEEDS[2],
-            known[1].astype(np.uint64) + SEEDS[3], known[2].astype(np.uint64) + SEEDS[4]]
-    return np.stack([(mix(k) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64) for k in keys]), known[0]
-
-
-def class_log(model: Model, buckets: np.ndarray) -> np.ndarray:
-    logits = model.weights[buckets[0]]
-    for b in buckets[1:]:
-        logits += model.weights[b]
-    logits += model.bias
-    logits -= logits.max(axis=1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
+    before, third, fourth = (shifted(classes, starts, k, UNKNOWN) for k in (1, 3, 4))
+    keys = [one + SEEDS[0], one * np.uint64(0x9E3779B1) + two + SEEDS[1], two + SEEDS[2]]
+    return [bucket(k) for k in keys], third * CLASSES + fourth, before
+
+
+def class_logits(model: Model, buckets: list, far: np.ndarray) -> np.ndarray:
+    """Unnormalised log probabilities (class x token)."""
+    both = (model.weights[:, FAR[0], None] + model.weights[:, None, FAR[1]]).reshape(CLASSES, -1)
+    logits = np.take(both + model.bias[:, None], far, axis=1)
+    for b in buckets:
+        logits += np.take(model.weights, b, axis=1)
     return logits
 
 
-def word_logs(model: Model, place: np.ndarray, classes: np.ndarray, before: np.ndarray) -> Iterator[tuple]:
-    """For each class of frequent words: its tokens, its span in order, and the tokens' log probabilities in it."""
-    by = np.argsort(classes, kind="stable")
-    cuts = np.searchsorted(classes[by], np.arange(HEAD_CLASSES + 1))
-    for c in range(HEAD_CLASSES):
-        at = by[cuts[c]: cuts[c + 1]]
-        a, b = model.cuts[c], model.cuts[c + 1]
-        if len(at):
-            logits = model.word_weights[before[at], a:b] + model.word_bias[a:b]
-            logits -= logits.max(axis=1, keepdims=True)
-            logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
-            yield at, a, b, logits
+def word_table(model: Model) -> np.ndarray:
+    """Log probability of each frequent word in its class, by class of the previous word (class x word in order)."""
+    out = model.word_weights.astype(np.float64) + model.word_bias
+    for a, b in zip(model.cuts[:-1], model.cuts[1:]):
+        part = out[:, a:b]
+        if b > a:
+            part -= part.max(axis=1, keepdims=True)
+            part -= np.log(np.exp(part).sum(axis=1, keepdims=True))
+    return out
 
 
-def add_rows(table: np.ndarray, keys: np.ndarray, rows: np.ndarray) -> None:
-    by = np.argsort(keys.astype(np.uint16), kind="stable")
-    keys = keys[by]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    table[keys[first]] += np.add.reduceat(rows[by], first, axis=0)
+def add_columns(table: np.ndarray, keys: np.ndarray, values: np.ndarray) -> None:
+    """Add each row of values, summed by key, to the table's row."""
+    for total, row in zip(table, values):
+        total += np.bincount(keys, row, len(total))
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -146,8 +148,8 @@ def count_words(docs: DataFrame) -> DataFrame:
             .agg(F.sum("c").alias("c")))
 
 
-def summed(spark: SparkSession, rows: DataFrame, width: int, height: int) -> np.ndarray:
-    """Add up (key, values) rows, values being `width` packed numbers, into a table of `height` rows."""
+def summed(rows: DataFrame, *shapes: tuple[int, int]) -> list[np.ndarray]:
+    """Add up (key, values) rows, values being packed numbers, into tables whose rows are numbered on end by key."""
 
     def add(batches):
         table = {}
@@ -158,9 +160,11 @@ def summed(spark: SparkSession, rows: DataFrame, width: int, height: int) -> np.
         yield pa.RecordBatch.from_arrays([pa.array(list(table), pa.int32()),
                                           pa.array([v.tobytes() for v in table.values()], pa.binary())], ["key", "values"])
 
-    out = np.zeros((height, width))
+    out = [np.zeros(shape) for shape in shapes]
+    ends = np.cumsum([0, *(height for height, _ in shapes)])
     for key, value in rows.repartition("key").mapInArrow(add, rows.schema).collect():
-        out[key] = np.frombuffer(value)
+        k = int(np.searchsorted(ends, key, "right")) - 1
+        out[k][key - ends[k]] = np.frombuffer(value)
     return out
 
 
@@ -227,7 +231,7 @@ def neighbours(docs: DataFrame, lookup: Lookup, words: int) -> np.ndarray:
         yield packed(table.reshape(words, CONTEXT))
 
     rows = few_tasks(docs.select("text")).mapInArrow(run, "key int, values binary")
-    return summed(docs.sparkSession, rows, CONTEXT, words)
+    return summed(rows, (words, CONTEXT))[0]
 
 
 def start_model(docs: DataFrame, counts: DataFrame) -> Model:
@@ -242,7 +246,7 @@ def start_model(docs: DataFrame, counts: DataFrame) -> Model:
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
     smooth = c[:n] + 0.5
-    mass = np.bincount(classes, smooth, CLASSES)
+    mass = np.bincount(classes, smooth, CLASSES).astype(np.float64)
     spark = counts.sparkSession
     few = spark.createDataFrame([(int(x),) for x in own.view(np.int64)], "word long")
     for tail, m in (counts.join(F.broadcast(few), "word", "left_anti").groupBy("tail")
@@ -250,10 +254,10 @@ def start_model(docs: DataFrame, counts: DataFrame) -> Model:
         mass[tail] = m
     mass[UNKNOWN] = singles + 0.5  # unknown words come about as often as words seen once
     with np.errstate(divide="ignore"):
-        bias = np.maximum(np.log(mass), -30).astype(np.float32)
+        bias = np.maximum(np.log(mass) - np.log(mass.sum()), -30).astype(np.float32)
     return Model(Lookup(word), Lookup(own), c, total, distinct, classes, order, place,
                  np.searchsorted(classes[order], np.arange(HEAD_CLASSES + 1)), bias,
-                 np.zeros((1 << BUCKET_BITS, CLASSES), np.float32), np.log(smooth[order]).astype(np.float32),
+                 np.zeros((CLASSES, 1 << BUCKET_BITS), np.float32), np.log(smooth[order]).astype(np.float32),
                  np.zeros((CLASSES, n), np.float32), mass)
 
 
@@ -267,39 +271,48 @@ def prepared(model: Model, lookup: Lookup, data: np.ndarray, offsets: np.ndarray
 
 
 def gradient(docs: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Observed and expected counts: of the class features and of the word features."""
+    """Observed and expected counts: of the class features (class x bucket) and of the word features (class x word)."""
     spark = docs.sparkSession
     shared, high, n = spark.sparkContext.broadcast(model), 1 << BUCKET_BITS, len(model.classes)
 
     def run(batches):
         m = shared.value
-        seen, meant = np.zeros(high * CLASSES, np.float64), np.zeros((high, CLASSES), np.float64)
-        word_seen, word_meant = np.zeros(CLASSES * n, np.float64), np.zeros((CLASSES, n), np.float64)
+        seen, meant = np.zeros(CLASSES * high), np.zeros((CLASSES, high))
+        far_seen, far_meant = np.zeros(CLASSES ** 3), np.zeros((CLASSES, CLASSES ** 2))
+        word_seen = np.zeros(CLASSES * n)
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
-            for a, b in slices(offsets, 1 << 18):
+            for a, b in slices(offsets, STEP):
                 hashed, head, frequent, classes, _, starts = prepared(m, m.near, data[offsets[a]: offsets[b]],
                                                                       offsets[a: b + 1] - offsets[a])
-                buckets, before = features(hashed, classes, starts)
-                p = np.exp(class_log(m, buckets))
+                buckets, far, before = features(hashed, classes, starts)
+                p = class_logits(m, buckets, far)
+                np.exp(p, out=p)
+                p /= p.sum(axis=0)
                 for k in buckets:
-                    seen += np.bincount(k * CLASSES + classes, minlength=len(seen))
-                    add_rows(meant, k, p)
-                own = np.where(frequent, m.place[np.where(frequent, head, 0)], 0) if n else head
-                for at, x, y, logs in word_logs(m, own, np.where(frequent, classes, CLASSES), before):
-                    word_seen += np.bincount(before[at] * n + own[at], minlength=len(word_seen))
-                    part = np.zeros((CLASSES, y - x))
-                    add_rows(part, before[at], np.exp(logs))
-                    word_meant[:, x:y] += part
-        yield packed(np.hstack([seen.reshape(high, CLASSES), meant]))
+                    seen += np.bincount(classes * high + k, minlength=len(seen))
+                    add_columns(meant, k, p)
+                far_seen += np.bincount(classes * CLASSES ** 2 + far, minlength=len(far_seen))
+                add_columns(far_meant, far, p)
+                if n:
+                    word_seen += np.bincount((before * n)[frequent] + m.place[head[frequent]], minlength=len(word_seen))
+        both = [seen.reshape(CLASSES, high), meant]
+        for total, pairs in zip(both, (far_seen, far_meant)):
+            pairs = pairs.reshape(CLASSES, CLASSES, CLASSES)
+            for at, axis in zip(FAR, (2, 1)):
+                np.add.at(total.T, at, pairs.sum(axis=axis).T)
+        yield packed(np.hstack([x.T for x in both]))
         if n:
-            yield packed(np.hstack([word_seen.reshape(CLASSES, n), word_meant]), high)
+            yield packed(word_seen.reshape(CLASSES, n), high)
 
     rows = few_tasks(docs.select("text")).mapInArrow(run, "key int, values binary")
-    rows = stored(rows) if n else rows
-    table = summed(spark, rows.where(F.col("key") < high), 2 * CLASSES, high)
-    words = summed(spark, rows.where(F.col("key") >= high).withColumn("key", F.col("key") - high), 2 * n, CLASSES)
-    return table[:, :CLASSES], table[:, CLASSES:], words[:, :n], words[:, n:]
+    table, word_seen = summed(rows, (high, 2 * CLASSES), (CLASSES, n))
+    table = table.T
+    # a word's expected count needs no pass of its own: its class's count after each class, times its probability there
+    word_meant = np.exp(word_table(model))
+    for a, b in zip(model.cuts[:-1], model.cuts[1:]):
+        word_meant[:, a:b] *= word_seen[:, a:b].sum(axis=1, keepdims=True)
+    return table[:CLASSES], table[CLASSES:], word_seen, word_meant
 
 
 def trained(docs: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
@@ -322,23 +335,22 @@ def scored(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         m = shared.value
         log_count = np.log10(m.counts + 0.5)
         tail_mass = np.log10(np.maximum(m.tail_mass, 0.5))
-        ten = np.log(10)
+        ten, inner = np.log(10), word_table(m)
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             columns = [[], [], [], [], []]
-            for a, b in slices(offsets, 1 << 18):
+            for a, b in slices(offsets, STEP):
                 hashed, head, frequent, classes, row, starts = prepared(m, m.lookup, data[offsets[a]: offsets[b]],
                                                                         offsets[a: b + 1] - offsets[a])
-                buckets, before = features(hashed, classes, starts)
-                logs = class_log(m, buckets)
-                own = (logs[np.arange(len(classes)), classes] / ten).astype(np.float64)
+                buckets, far, before = features(hashed, classes, starts)
+                logs = class_logits(m, buckets, far)
+                logs -= np.log(np.exp(logs).sum(axis=0))
+                own = logs[classes, np.arange(len(classes))].astype(np.float64) / ten
                 counted = head >= 0
                 other = counted & ~frequent
                 own[other] += log_count[head[other]] - tail_mass[classes[other]]
                 if len(m.classes):
-                    place = np.where(frequent, m.place[np.where(frequent, head, 0)], 0)
-                    for at, x, _, inner in word_logs(m, place, np.where(frequent, classes, CLASSES), before):
-                        own[at] += inner[np.arange(len(at)), place[at] - x] / ten
+                    own[frequent] += inner[before[frequent], m.place[head[frequent]]] / ten
                 rows = b - a
                 columns[0].append(np.diff(starts))
                 columns[1].append(np.bincount(row[counted], minlength=rows))
@@ -346,7 +358,7 @@ def scored(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                 columns[3].append(np.bincount(row[counted], own[counted], rows))
                 rest = ~counted
                 columns[4].append((np.bincount(row[rest], minlength=rows), hashed[rest].view(np.int64),
-                                   own[rest] - tail_mass[classes[rest]], logs[rest, UNKNOWN].astype(np.float64) / ten))
+                                   own[rest] - tail_mass[classes[rest]], logs[UNKNOWN, rest].astype(np.float64) / ten))
             if not columns[0]:
                 continue
             lengths, word, known, unknown = (np.concatenate(x) for x in zip(*columns[4]))
