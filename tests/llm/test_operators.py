@@ -1,0 +1,158 @@
+"""Operators without a fixed contract, the pipeline, and what is registered."""
+
+import collections
+import math
+import re
+
+import numpy as np
+import pytest
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from compare import difference
+from tracelake.llm import cross_parse, license_scan, pfair_mix, weak_quality
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def test_quality_against_labels(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    truth = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    got = [(truth[r.doc_id], r.keep) for r in weak_quality.quality(docs).collect() if r.doc_id in truth]
+    good, bad = [k for q, k in got if q], [k for q, k in got if not q]
+    assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.1 * len(bad)
+
+
+def test_quality_of_odd_rows(odd, none):
+    got = weak_quality.quality(odd).collect()
+    assert len(got) == odd.count() and all(0 <= r.score <= 1 for r in got)
+    assert not any(r.keep for r in got if r.doc_id in (3, 4, 5, 12))
+    kept = weak_quality.good_documents(odd)
+    assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if r.keep}
+    assert weak_quality.quality(none).collect() == []
+
+
+def test_estimated_accuracies():
+    """Labellers of known accuracy, drawn independently, get it back to within two hundredths."""
+    rng = np.random.default_rng(4)
+    right = np.array([0.95, 0.9, 0.85, 0.9, 0.8, 0.9, 0.95, 0.85, 0.9])
+    bad = rng.random(60_000) < 0.3
+    correct = rng.random((60_000, len(right))) < right
+    votes = np.where(correct ^ bad[:, None], weak_quality.GOOD, weak_quality.BAD)
+    votes[rng.random(votes.shape) < 0.2] = weak_quality.ABSTAIN
+    patterns, counts = np.unique((votes * 3 ** np.arange(len(right))).sum(axis=1), return_counts=True)
+    found = weak_quality.estimated(patterns, counts.astype(float))
+    assert np.abs(np.array(list(found.accuracies().values())) - right).max() < 0.02 and abs(found.bad - 0.3) < 0.02
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pfair_deviation(seed):
+    rng = np.random.default_rng(seed)
+    slots, period = pfair_mix.shares({f"s{i}": float(rng.random() ** 3 + 1e-6) for i in range(1, 5 + 10 * seed)})
+    placed = pfair_mix.schedule(slots, period)
+    assert sum(slots.values()) == period and sorted(t for p in placed.values() for t in p) == list(range(period))
+    for name, share in slots.items():
+        had = np.cumsum(np.isin(np.arange(period), placed[name]))
+        assert np.abs(had - share * np.arange(1, period + 1) / period).max() < 1
+
+
+@pytest.mark.parametrize("table", ["odd", "documents", "none"])
+def test_mixture(request, table):
+    docs = request.getfixturevalue(table)
+    rows = pfair_mix.mixed(docs, block=4).collect()
+    assert len(rows) == docs.count() and len({r.mix_order for r in rows}) == len(rows)
+    by = collections.defaultdict(list)
+    for r in rows:
+        assert r.mix_release <= r.mix_slot < r.mix_deadline and r.mix_block == r.mix_rank // 4
+        by[r.source].append(r.mix_rank)
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    sizes = {s: len(v) for s, v in by.items()}
+    if sizes:
+        slots, period = pfair_mix.shares({s: n ** 0.5 for s, n in sizes.items()})
+        placed = pfair_mix.schedule(slots, period)
+        for r in rows:
+            assert r.mix_slot == r.mix_block // slots[r.source] * period + placed[r.source][r.mix_block % slots[r.source]]
+
+
+def plain_licenses(files):
+    """Cosines of every line, paragraph and text, and inheritance by walking up."""
+    def terms(text):
+        return re.findall(r"[a-z0-9\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+    templates = [(n, collections.Counter(terms(t))) for n, t in license_scan.TEMPLATES]
+    vocabulary = set().union(*(t for _, t in templates))
+    having = collections.Counter(w for _, text in files for w in set(terms(text)) & vocabulary)
+    idf = lambda w: math.log((len(files) + 1) / (having[w] + 1 if w in vocabulary else 1)) + 1
+    norm = lambda v: math.sqrt(sum((n * idf(w)) ** 2 for w, n in v.items()))
+    out, carriers = {}, {}
+    for path, text in files:
+        best = (0.0, None, 0.0)
+        for part in [*(text or "").split("\n"), *re.split("\n(?=\n)", text or ""), text or ""]:
+            v = collections.Counter(terms(part))
+            for name, t in templates:
+                if v and (c := sum(n * t[w] * idf(w) ** 2 for w, n in v.items()) / norm(v) / norm(t)) > best[0] + 1e-9:
+                    best = (c, name, sum(v.values()) / len(terms(text)))
+        name = best[1] if best[0] >= license_scan.SIMILAR else None
+        out[path] = [name, "own" if name else None, None]
+        if path is not None and name and (best[2] >= license_scan.MOSTLY or re.match(license_scan.LICENSE_NAMES, path.split("/")[-1])):
+            where = path.rpartition("/")[0]
+            carriers[where] = max(carriers.get(where, (0, "", "")), (round(best[0], 9), "", name))
+    for path, found in out.items():
+        where = None if path is None or found[0] else path.rpartition("/")[0]
+        while where is not None:
+            if where in carriers:
+                out[path] = [carriers[where][2], "inherited", where]
+                break
+            where = where.rpartition("/")[0] if where else None
+    return out
+
+
+def test_licenses(spark, none):
+    files = [("LICENSE", "All rights reserved."), ("a/COPYING.txt", "Notes here that are long enough to be most of it all\nReleased under the MIT License."),
+             ("a/b/c/x.py", "print(1)"), ("a/b/y.py", "import os\nLicensed under the Apache License, Version 2.0.\n" + "code " * 20),
+             ("d/notice-file", "Licensed under CC BY-NC 4.0."), ("d/z", None), ("d/e/q", ""), ("top.txt", "nothing of the kind, the of"),
+             (None, "Released under the MIT License."), ("d/licensed.md", "This work is licensed under the GNU General Public License, version 2."),
+             ("f/long", "word " * 30_000 + "\nAll rights reserved.\n" + "word " * 10)]
+    rows = spark.createDataFrame([(p, t, "clash") for p, t in files], "path string, text string, license string").repartition(3)
+    got = {r.path: [r.license, r.license_from, r.license_directory] for r in license_scan.licenses(rows).collect()}
+    assert got == plain_licenses(files)
+    assert got["a/b/c/x.py"] == ["MIT", "inherited", "a"] and got["top.txt"] == ["Proprietary", "inherited", ""]
+    assert license_scan.licenses(none.selectExpr("source AS path", "text")).collect() == []
+
+
+def test_known_language_keeps_columns(odd):
+    kept = cross_parse.in_known_language(odd)
+    assert kept.columns == odd.columns
+    assert not {3, 4, 5, 9, 12} & {r.doc_id for r in kept.collect()}
+
+
+def test_pipeline_stages(spark, odd, none):
+    for table in (odd, none):
+        docs, count = table, table.count()
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, FOLDER)
+            rows = out.collect()
+            assert len(rows) <= count
+            if name == "tokens":
+                assert all(r.lossless for r in rows)
+            else:
+                assert out.columns == table.columns
+                docs, count = spark.createDataFrame(rows, table.schema), len(rows)
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "quality", "near_duplicates", "mixture", "tokens"]
+
+
+def test_pipeline_runs(spark):
+    rows = corpus_pipeline.run(spark, FOLDER).collect()
+    assert rows and len({r.doc_id for r in rows}) == len(rows)
+
+
+def test_every_operator_is_registered():
+    names = sorted(int(m[1]) for m in (re.match(r"op(\d+)_", n) for n in entry.queries()) if m)
+    assert names == list(range(1, 11)) and "pipeline" in entry.queries()
+
+
+@pytest.mark.parametrize("name", sorted(n for n in entry.queries() if n.startswith("op")))
+def test_registered(spark, name):
+    problem, rows = difference(spark, FOLDER, entry.queries()[name], entry.oracle_sql().get(name))
+    assert problem == "" and rows > 0
