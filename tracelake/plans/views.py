@@ -206,11 +206,16 @@ class Views:
     def event_key(self) -> Column:
         return F.regexp_extract("props", "([0-9]+)", 1).cast("long")
 
-    @cached_property
-    def history_entries(self) -> DataFrame:
-        k, app = self.event_key, (c("user_id") % 15).cast("int")
+    @property
+    def event_container(self) -> Column:
+        app = (c("user_id") % 15).cast("int")
         ids = F.array(*[F.lit(i) for i, _ in fixed.KNOWN_APPLICATIONS])
         app_id = F.when(app < 13, F.get(ids, app)).otherwise(F.concat(F.lit("ffff00000000000"), text(app)))
+        return F.concat(F.lit("C:\\Recent\\AutomaticDestinations\\"), app_id, F.lit(".automaticDestinations-ms"))
+
+    @cached_property
+    def history_entries(self) -> DataFrame:
+        k = self.event_key
         target = (F.when(c("event_type") == "error", F.concat(
             F.lit("\\\\srv"), text(k % 3), F.lit("\\clients\\contract_"), text(k), F.lit(".key")))
             .when((c("event_type") == "click") & (k % 2 == 0), F.concat(
@@ -218,8 +223,7 @@ class Views:
             .otherwise(file_path(k)))
         return computed(self.table("events").select(
             c("event_id").alias("ordinal"),
-            F.concat(F.lit("C:\\Recent\\AutomaticDestinations\\"), app_id,
-                     F.lit(".automaticDestinations-ms")).alias("container"),
+            self.event_container.alias("container"),
             target.alias("target_path"), c("ts").alias("last_interaction"),
             F.floor("value").cast("int").alias("interactions"), (c("event_type") == "signup").alias("pinned"),
             (c("event_type") != "error").alias("exists"),
@@ -239,10 +243,8 @@ class Views:
 
     @cached_property
     def containers(self) -> DataFrame:
-        n = c("user_id")
-        rows = self.history_entries.select("container", "ordinal").join(
-            self.table("events").select(c("event_id").alias("ordinal"), "user_id"), "ordinal")
-        return rows.groupBy("container").agg(F.max(n % 15 == 3).alias("warning"))
+        rows = self.table("events").select(self.event_container.alias("container"), (c("user_id") % 15 == 3).alias("warning"))
+        return rows.groupBy("container").agg(F.max("warning").alias("warning"))
 
     @cached_property
     def scans(self) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tracelake import fixed
 from tracelake.operators.ordering import first_per_group
+from tracelake.session import stored
 
 FINDINGS = (
     "finding_id string, ordinal long, scanner_id string, category string, subcategory string, path string, "
@@ -189,11 +190,15 @@ def snapshot_schema() -> T.StructType:
     return T.StructType([f for f in T.StructType.fromDDL(FINDINGS).fields if f.name not in NOT_IN_SNAPSHOT])
 
 
-def write_snapshot(findings: DataFrame, folder: str, ceiling: int = fixed.MAX_SNAPSHOT_FINDINGS) -> None:
-    """SNK-2: refuses more rows than the ceiling. Directory flags, history and personal fields are not kept."""
-    if findings.count() > ceiling:
-        raise ValueError(f"snapshot exceeds the limit of {ceiling} findings")
-    findings.select(*snapshot_schema().names).write.mode("overwrite").json(folder)
+def write_snapshot(findings: DataFrame, folder: str, ceiling: int | None = None) -> None:
+    """SNK-2: directory flags, history and personal fields are not kept. With a ceiling, more rows are refused; they are
+    then stored once for counting and writing."""
+    rows = findings.select(*snapshot_schema().names)
+    if ceiling is not None:
+        rows = stored(rows)
+        if rows.count() > ceiling:
+            raise ValueError(f"snapshot exceeds the limit of {ceiling} findings")
+    rows.write.mode("overwrite").json(folder)
 
 
 def read_snapshot(spark: SparkSession, folder: str) -> DataFrame:
