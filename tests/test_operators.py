@@ -140,6 +140,28 @@ def triage_rows(spark, rows):
             .withColumn("is_directory", F.lit(False)).withColumn("scan_status", F.lit(None).cast("map<string,boolean>")))
 
 
+def test_a_run_with_failures_comes_to_its_end(spark):
+    """Failing rows are completed and failed; a finding that is gone is completed; nothing stays pending."""
+    findings = spark.createDataFrame([("a", "x@y.org"), ("b", "none"), ("c", "none")], "finding_id string, text string").withColumn(
+        "scan_status", F.lit(None).cast("map<string,boolean>"))
+    routes = spark.createDataFrame([("a", "seen"), ("b", "seen"), ("gone", "seen"), ("c", "broken"), ("a", "missing")], "finding_id string, scanner_id string")
+    heard = []
+
+    def fails(_rows):
+        raise RuntimeError("always")
+
+    registry = scanners.Registry([
+        scanners.Detector("seen", lambda df: df.withColumn("hit", c("text").contains("@")), c("hit"), failed=c("finding_id") == "b"),
+        scanners.Detector("broken", fails, F.lit(False))])
+    rows, state = scanners.run_stages(spark, registry, routes, findings, on_error=lambda name, problem: heard.append((name, str(problem))))
+    assert sorted(tuple(r) for r in state.collect()) == [
+        ("a", "missing", "skipped"), ("a", "seen", "completed"), ("b", "seen", "completed"), ("b", "seen", "failed"),
+        ("c", "broken", "skipped"), ("gone", "seen", "completed")]
+    assert heard == [("broken", "always")] and {r.finding_id: r.hit for r in rows.collect()} == {"a": True, "b": False, "c": None}
+    assert joins.pending_routes(routes, state).count() == 0
+    assert aggregates.session_progress(routes, state).first()["progress"] == 1.0
+
+
 def test_five_percent_and_cap(spark):
     rows = triage_rows(spark, [(f"C:\\d{i % 9}\\settings{i}.json", 100, 10) for i in range(200)])
     picks, routes, plan = triage.select(rows)
