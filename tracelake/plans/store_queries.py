@@ -261,3 +261,37 @@ def _(v: Views):
 def _(v: Views):
     fresh = v.findings.filter("ordinal % 2 = 0").select(F.upper("path").alias("path_key"), F.lit('{"a":1}').alias("feature_json"))
     return store.feedback_refreshed(v.feedback, fresh, F.lit(AS_OF).cast("timestamp_ntz")).select("path_key", "schema_version", "updated_at")
+
+
+@query("src11_feedback_of_version", "SELECT path_key, label FROM feedback WHERE schema_version = 2", ("feedback",))
+def _(v: Views):
+    tables = store.Tables(v.spark, scratch(v))
+    tables.append("feedback", v.feedback)
+    return store.feedback_of(tables.read("feedback"), 2).select("path_key", "label")
+
+
+@query("src11_provenance_of_findings", """
+    SELECT finding_id, CASE WHEN ordinal % 3 = 0 THEN 1 ELSE 0 END AS engine_version FROM findings WHERE ordinal % 6 IN (0, 2)""", ("findings",))
+def _(v: Views):
+    """The stored analysis of a finding is read by id and path: one that has moved has none."""
+    tables = store.Tables(v.spark, scratch(v))
+    tables.append("provenance", replaced(v)[0])
+    n = c("ordinal")
+    asked = v.findings.filter(n % 6 != 4).withColumn("path", F.when(n % 6 == 3, F.concat("path", F.lit(".moved"))).otherwise(c("path")))
+    return store.provenance_of(tables.read("provenance"), asked).select("finding_id", "engine_version")
+
+
+@query("snk10_provenance_cleared", "SELECT CAST(0 AS BIGINT) AS provenance, CAST(0 AS BIGINT) AS evidence, count(*) AS feedback FROM feedback", ("feedback",))
+def _(v: Views):
+    tables = store.Tables(v.spark, scratch(v))
+    rows, evidence = replaced(v)
+    tables.append("feedback", v.feedback)
+    tables.append("provenance", rows)
+    tables.append("provenance_evidence", evidence)
+    tables.delete_provenance()
+
+    def left(name: str):
+        return tables.read(name).agg(F.count(F.lit(1)).alias("n")).scalar()
+
+    return (tables.read("feedback").agg(F.count(F.lit(1)).alias("feedback")).withColumn("provenance", left("provenance"))
+            .withColumn("evidence", left("provenance_evidence")))
