@@ -29,7 +29,7 @@ from tracelake.llm.words import BYTE_VALUES, Lookup, hashes, mix
 
 #: Words merged by Spark and broadcast; buckets of the literal rank map; bytes of words that are merged side by side.
 FREQUENT = 1 << 17
-MAP_BUCKETS = 1 << 16
+MAP_BUCKETS = 1 << 13
 SIDE_BY_SIDE = 64
 NO_RANK = 1 << 30
 
@@ -211,8 +211,14 @@ class Ranks:
 
 
 def folded(word: Column, ranks: Column) -> Column:
-    """array<int>: token numbers of a word given as a string of byte characters."""
+    """array<int>: token numbers of a word given as a string of byte characters.
 
+    The literal stands in the expression once, bound to a lambda's variable: plans are copied and printed often.
+    """
+    return F.get(F.transform(F.array(ranks), lambda table: folded_with(word, table)), F.lit(0))
+
+
+def folded_with(word: Column, ranks: Column) -> Column:
     def rank(piece: Column) -> Column:
         bucket = F.get(ranks, F.pmod(F.xxhash64(piece), F.lit(MAP_BUCKETS)).cast("int"))
         return F.element_at(bucket, piece)
@@ -233,10 +239,10 @@ def folded(word: Column, ranks: Column) -> Column:
 
         return F.when(state["done"], state).otherwise(F.get(F.transform(F.array(F.array_min(pairs)), merge), F.lit(0)))
 
-    state = F.struct(F.split(word, "").alias("parts"), F.lit(False).alias("done"))
-    end = F.aggregate(F.sequence(F.lit(1), F.length(word)), state, lambda s, _: turn(s))
-    whole = rank(word)
-    return F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(end["parts"], rank))
+    # a word that is a token is that token, whichever merges lead to it
+    whole = F.array(word)
+    start = F.struct(F.when(rank(word).isNotNull(), whole).otherwise(F.split(word, "")).alias("parts"), F.lit(False).alias("done"))
+    return F.transform(F.aggregate(F.sequence(F.lit(1), F.length(word)), start, lambda s, _: turn(s))["parts"], rank)
 
 
 def unfolded(ids: Column, pieces: Column) -> Column:

@@ -16,13 +16,15 @@ __all__ = ["components", "extended", "head_words", "read", "settled", "slices",
 
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
-#: Texts go to Python in small batches: tasks of one executor share its memory.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "4194304"}
+#: Texts go to Python in small batches: tasks of one executor share its memory. Descriptions of plans, which the driver
+#: keeps, are cut.
+SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "4194304",
+            "spark.sql.maxPlanStringLength": "65536"}
 
 
 def settled(spark: SparkSession) -> SparkSession:
     """The session with the settings that the operators rely on."""
-    for key, value in BATCHES.items():
+    for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return prepare(spark)
 

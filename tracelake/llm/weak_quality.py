@@ -222,21 +222,21 @@ def surveyed(docs: DataFrame, share: float) -> DataFrame:
             .mapInArrow(run, "pattern long, buckets array<int>, values array<float>"))
 
 
-def fitted(rows: list, labels: Labels, steps: int = 300) -> np.ndarray:
+def fitted(sample: pa.Table, labels: Labels, steps: int = 300) -> np.ndarray:
     """Weights of the linear scorer, the last one the bias: logistic regression by Adam on soft labels."""
     weights = np.zeros(BUCKETS + 1)
+    rows = sample.num_rows
     if not rows:
         return weights
-    lengths = np.array([len(r.buckets) for r in rows])
-    row = np.repeat(np.arange(len(rows)), lengths)
-    key = np.concatenate([np.asarray(r.buckets, np.int64) for r in rows])
-    value = np.concatenate([np.asarray(r.values) for r in rows])
-    goal = labels.posterior(np.array([r.pattern for r in rows]))
+    buckets, values = (sample.column(c).combine_chunks() for c in ("buckets", "values"))
+    row = np.repeat(np.arange(rows), np.diff(buckets.offsets.to_numpy()))
+    key, value = buckets.flatten().to_numpy(), values.flatten().to_numpy()
+    goal = labels.posterior(sample.column("pattern").to_numpy())
     mean, square = np.zeros_like(weights), np.zeros_like(weights)
     for step in range(1, steps + 1):
-        logit = np.bincount(row, value * weights[key], len(rows)) + weights[-1]
+        logit = np.bincount(row, value * weights[key], rows) + weights[-1]
         off = 1 / (1 + np.exp(-logit)) - goal
-        slope = np.append(np.bincount(key, value * off[row], BUCKETS), off.sum()) / len(rows) + 1e-6 * weights
+        slope = np.append(np.bincount(key, value * off[row], BUCKETS), off.sum()) / rows + 1e-6 * weights
         mean, square = 0.9 * mean + 0.1 * slope, 0.99 * square + 0.01 * slope ** 2
         weights -= 0.3 * (mean / (1 - 0.9 ** step)) / (np.sqrt(square / (1 - 0.99 ** step)) + 1e-8)
     return weights
@@ -249,7 +249,7 @@ def judged(docs: DataFrame) -> DataFrame:
     found = stored(surveyed(docs, min(1.0, SAMPLE_ROWS / max(rows, 1))))
     counted = found.groupBy("pattern").count().collect()
     labels = estimated(np.array([r[0] for r in counted], np.int64), np.array([r[1] for r in counted], np.float64))
-    weights = fitted(found.where("buckets IS NOT NULL").collect(), labels)
+    weights = fitted(found.where("buckets IS NOT NULL").toArrow(), labels)
     shared = docs.sparkSession.sparkContext.broadcast((labels, weights))
 
     def run(batches):
