@@ -56,7 +56,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
         none = np.empty(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
     code = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    at = np.flatnonzero((data & 0xC0) != 0x80)
+    at = np.flatnonzero((data & 0xC0) != 0x80).astype(np.int32 if len(data) < 1 << 31 else np.int64)
     if len(at) != len(code):
         raise ValueError("text is not UTF-8")
     n = len(code)
@@ -318,7 +318,7 @@ def encoded_texts(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             rows = []
-            for a, b in slices(offsets, 1 << 22):
+            for a, b in slices(offsets, 1 << 21):
                 part = data[offsets[a]: offsets[b]]
                 starts, ends, first = word_spans(part, offsets[a: b + 1] - offsets[a])
                 keys = hashes(part, starts, ends, BYTE_VALUES)

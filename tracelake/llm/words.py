@@ -15,6 +15,7 @@ BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+BLOCK = 1 << 18
 BLANK = np.zeros(256, bool)
 BLANK[[32, 9, 10, 11, 12, 13]] = True
 VALUES = BYTE_VALUES[LOWER]
@@ -24,7 +25,7 @@ _powers: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i up to n."""
     if not _powers or len(_powers[0]) < n + 1:
-        size = 1 << max(20, int(n + 1).bit_length())
+        size = 1 << max(18, int(n + 1).bit_length())
         _powers[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, np.uint64(x))]), dtype=np.uint64)
                       for x in (BASE, BASE_INVERSE)]
     return _powers[0], _powers[1]
@@ -55,11 +56,18 @@ def spans(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = BLANK) -> t
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = VALUES) -> np.ndarray:
-    """64-bit hashes of byte spans of `data`."""
-    up, down = powers(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(values[data] * up[: len(data)], dtype=np.uint64, out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hashes of byte spans of `data`, in order; `BLOCK` bytes are worked on at a time."""
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        first = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, first + BLOCK, "right")))
+        part, a, b = data[first: ends[j - 1]], starts[i:j] - first, ends[i:j] - first
+        up, down = powers(len(part))
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(values[part] * up[: len(part)], dtype=np.uint64, out=sums[1:])
+        out[i:j] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+        i = j
+    return out
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
