@@ -11,6 +11,7 @@ symbols; a phrase ends where a segment does, for every language alike.
 
 from __future__ import annotations
 
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -50,33 +51,33 @@ def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out[keep], np.concatenate([[0], np.cumsum(keep)])[offsets]
 
 
-def automaton(text: bytes) -> list[dict[int, int]]:
-    """Transitions of the suffix automaton; state 0 is the root and every state accepts a substring."""
-    step, link, length, last = [{}], [-1], [0], 0
-    for c in text:
-        new = len(step)
-        step.append({})
-        link.append(0)
-        length.append(length[last] + 1)
+def automaton(codes: bytes, width: int) -> np.ndarray:
+    """Transitions of the suffix automaton of symbol codes below `width` (state x symbol, -1 for none); state 0 is the
+    root and every state accepts a substring. One flat array of 32-bit numbers holds them while they are built."""
+    most = max(1, 2 * len(codes))
+    step, none = array("i", [-1]) * (most * width), array("i", [-1])
+    link, length, states, last = none * most, array("i", [0]) * most, 1, 0
+    for c in codes:
+        new, states = states, states + 1
+        length[new], link[new] = length[last] + 1, 0
         p = last
-        while p >= 0 and c not in step[p]:
-            step[p][c] = new
+        while p >= 0 and step[p * width + c] < 0:
+            step[p * width + c] = new
             p = link[p]
         if p >= 0:
-            q = step[p][c]
+            q = step[p * width + c]
             if length[q] == length[p] + 1:
                 link[new] = q
             else:
-                copy = len(step)
-                step.append(dict(step[q]))
-                link.append(link[q])
-                length.append(length[p] + 1)
-                while p >= 0 and step[p].get(c) == q:
-                    step[p][c] = copy
+                copy, states = states, states + 1
+                step[copy * width: (copy + 1) * width] = step[q * width: (q + 1) * width]
+                link[copy], length[copy] = link[q], length[p] + 1
+                while p >= 0 and step[p * width + c] == q:
+                    step[p * width + c] = copy
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    return step
+    return np.frombuffer(step, np.int32).reshape(most, width)[:states]
 
 
 @dataclass
@@ -96,19 +97,16 @@ class Parser:
         symbol[used] = np.arange(len(used))
         width, tables, roots, at = len(used) + 1, [], [], 0
         for k in languages:
-            steps = automaton(samples[k])
-            start = np.full(width, at << 1 | 1, np.int64)  # an unknown symbol is a phrase that leads nowhere
-            for c, to in steps[0].items():
-                start[symbol[c]] = (at + to * width) << 1 | 1
-            table = np.tile(start, (len(steps), 1))
-            for row, step in enumerate(steps[1:], 1):
-                for c, to in step.items():
-                    table[row, symbol[c]] = (at + to * width) << 1
+            steps = automaton(bytes(symbol[np.frombuffer(samples[k], np.uint8)].astype(np.uint8)), width)
+            to = (steps * width + at) << 1
+            start = np.where(steps[0] >= 0, to[0], at << 1) | 1  # an unknown symbol is a phrase that leads nowhere
+            table = np.where(steps >= 0, to, start)
+            table[0] = start
             tables.append(table.ravel())
             roots.append(at)
             at += table.size
         return Parser(languages, np.log2([len(samples[k]) + 1 for k in languages]), symbol,
-                      (np.concatenate(tables) if tables else np.empty(0)).astype(np.int32), np.array(roots, np.int32))
+                      np.concatenate(tables) if tables else np.empty(0, np.int32), np.array(roots, np.int32))
 
     def phrases(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Phrases (language x text) of texts given as symbols."""
