@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.tables import components, slices, stored, text_bytes
+from tracelake.llm.tables import components, slices, stored, text_bytes, tidy
 from tracelake.llm.words import mix, shingle_hashes
 
 #: Rows of one side of a tile that meet in one step; larger tiles are dealt into several.
@@ -297,8 +297,10 @@ def jaccard_groups(docs: DataFrame, size: int = 3, part: int = 90, whole: int =
     pairs = tiles.join(pivots, "key").where("set_id <> b").select(F.col("set_id").alias("a"), "b").distinct()
     tested = stored(decided(best(bounded(pairs, sets, sizes)), sets, sizes))
     for turn in count():
+        tidy(docs.sparkSession)
         links = tested.where("linked")
         labels = components(links, "a", "b", "label").withColumnRenamed("a", "set_id")
+        tidy(docs.sparkSession)
         known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         still = stored(open_pairs(tiles, sets, labels, sizes).join(known, ["a", "b"], "left_anti"))
         if not still.limit(1).count():

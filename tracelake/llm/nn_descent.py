@@ -12,7 +12,6 @@ of results.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.tables import stored
+from tracelake.llm.tables import stored, tidy
 
 #: Length of neighbour lists; neighbours and reverse neighbours that meet at a node; what one meeting hands each.
 LIST, MEET, HANDED, ROUNDS = 32, 16, 6, 8
@@ -144,12 +143,6 @@ def merged(rows: DataFrame, most: int) -> DataFrame:
             .mapInArrow(run, "node long, ids array<long>, scores array<float>, least float"))
 
 
-def tidy(df: DataFrame) -> None:
-    """Have Spark drop the shuffle files of rounds that are over; it does so when the driver's garbage is collected."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def neighbour_lists(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(node, ids, scores) by NN-descent. nodes: (node, vec)."""
     count = nodes.count()
@@ -168,7 +161,7 @@ def neighbour_lists(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             "least", F.coalesce("least", F.lit(float("-inf")).cast("float")))
         heard = meetings(ahead.unionByName(back).join(known, "node"))
         graph = stored(merged(graph.select("node", "ids", "scores").unionByName(heard), LIST))
-        tidy(graph)
+        tidy(graph.sparkSession)
     return graph
 
 
@@ -237,7 +230,7 @@ def walked(queries: DataFrame, nodes: DataFrame, graph: DataFrame) -> DataFrame:
         found = go.join(queries, "q").join(around, "node").select("q", "vec", "ids", "vecs").mapInArrow(asked, kind)
         visited = state.withColumn("seen", F.transform("seen", lambda v: F.least(v, F.lit(1).cast("tinyint"))))
         state = pool(visited.unionByName(found))
-        tidy(state)
+        tidy(state.sparkSession)
     return state.select("q", "ids", "scores")
 
 

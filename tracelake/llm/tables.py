@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql.types import StructType
 
 from tracelake.session import prepare, stored
 
-__all__ = ["components", "extended", "head_words", "read", "settled", "slices", "stored", "text_bytes"]
+__all__ = ["components", "extended", "head_words", "read", "settled", "slices", "stored", "text_bytes", "tidy"]
 
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
@@ -33,6 +34,13 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
     return settled(spark).read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Collect the driver's garbage between rounds: Spark drops the shuffle files of rounds that are over, and a driver
+    that plans hundreds of small jobs doesn't let its heap grow to the limit."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def extended(schema: StructType, fields: dict[str, str]) -> StructType:
     """A copy of the schema with further fields (name: type)."""
     out = StructType(list(schema.fields))
