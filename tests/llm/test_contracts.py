@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
+import corpus_pipeline
 from tracelake.llm import byte_bpe, cross_parse, maxent_lm, mpeg_audio, ngram_join, nn_descent, url_digests
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -88,6 +89,24 @@ def test_one_document_of_each_group_stays(odd):
     assert [i for null, i in ids if not null] == [1, 3, 4, 5, 6, 7, 8, 9, 11, 12, 13, 14, 15] and ids[-1][0]
 
 
+def test_near_duplicate_stage_at_its_threshold(spark):
+    """The pipeline's stage keeps the first of each group linked by five words at 0.8, as all pairs compared tell."""
+    rng = np.random.default_rng(9)
+    texts = []
+    for share in (0, 5, 11, 15, 20, 24, 26, 40):  # so many words in a hundred are appended, or put in
+        base = [f"w{x}" for x in rng.integers(0, 10_000, 204)]
+        more = [f"m{x}" for x in rng.integers(0, 10_000, 2 * share)]
+        texts += [base, base + more, base[:90] + more + base[90:]]
+    for apart in (30, 44, 46, 50, 56, 60, 90):  # single words replaced at this distance
+        base = [f"e{x}" for x in rng.integers(0, 10_000, 1000)]
+        texts += [base, [f"x{i}" if i % apart == apart // 2 else w for i, w in enumerate(base)]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(1000 + i, t) for i, t in close_texts()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = [doc for doc, _, least in plain_groups(rows, 5, 80) if doc == least]
+    assert want != [doc for doc, _, least in plain_groups(rows, 3, 90) if doc == least]
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == want
+
+
 @pytest.mark.parametrize("table", ["odd", "documents", "none"])
 def test_language_model(request, table):
     docs = request.getfixturevalue(table)

@@ -317,12 +317,14 @@ def jaccard_groups(docs: DataFrame, size: int = 3, part: int = 90, whole: int =
                     F.when(F.col("doc_id").isNotNull(), F.coalesce("smallest", "doc_id")).alias("component_id")))
 
 
-def first_of_groups(docs: DataFrame) -> DataFrame:
+def first_of_groups(docs: DataFrame, size: int = 3, part: int = 90, whole: int = 100) -> DataFrame:
     """The rows of docs, with all their columns, without those that a link leads to a document of smaller doc_id.
 
+    Links are those of jaccard_groups: shingles of `size` words and a similarity of `part` / `whole` or more.
     Of rows with the same doc_id and text one stays. Rows without doc_id are not compared and stay.
     """
-    firsts = jaccard_groups(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
+    groups = jaccard_groups(docs.select("doc_id", "text"), size, part, whole)
+    firsts = groups.where("doc_id = component_id").select("doc_id").distinct()
     plain = {c: f"column_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
     rows = docs.withColumnsRenamed(plain)
     kept = (rows.join(firsts, "doc_id", "left_semi").withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
