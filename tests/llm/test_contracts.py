@@ -299,6 +299,22 @@ def test_nearest_neighbours(spark):
     assert nn_descent.nearest(table.where("vec_id > 1000")).collect() == []
 
 
+def test_nearest_in_a_group_of_near_copies(spark):
+    """Neighbours inside a group whose vectors differ by less than a rounding to eight bits, beside others."""
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=64) / 8
+    x = np.concatenate([centre + rng.normal(size=(800, 64)) * 0.0012, rng.normal(size=(400, 64)) / 8])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    assert (x[:800].astype(float) @ x[:800].T.astype(float)).min() > 0.9995
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    want = plain_nearest(list(enumerate(x.astype(float))), 20, 20)
+    got = collections.defaultdict(set)
+    for r in nn_descent.nearest(table).collect():
+        got[r.query_id].add(r.vec_id)
+    assert all(len(got[q]) == 20 for q in want)
+    assert np.mean([len(got[q] & set(want[q])) / 20 for q in want if q < 800]) >= 0.9
+
+
 def test_urls(spark):
     rules = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
     urls = {1: "http://a.Example.NET/en/1?x", 2: "https://example.net/de/", 3: "http://net", 4: "http://xnet/", 5: None, 6: "no scheme",

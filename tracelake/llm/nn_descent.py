@@ -4,7 +4,8 @@ Equal vectors are one node. Neighbour lists start from random groups and improve
 some of its neighbours and of the nodes that list it (a join), all of them are compared with each other there, and
 each takes over the better ones (a second join, by node). Queries then walk the graph: their best nodes not yet
 visited fetch their neighbours (a join with the lists, which carry the neighbours' vectors), and the best found go
-on. Walks use vectors rounded to eight bits; the result is computed anew in double precision on the original ones.
+on. Meetings and walks compare the original vectors in double precision: among many nearly equal vectors a rounded
+one would order by its rounding. The result is computed anew for all that are level with the last place.
 
 All groups are bounded: lists by their length, reverse neighbours by a sample, and members of a node by the number
 of results.
@@ -25,27 +26,16 @@ from tracelake.llm.tables import stored, tidy
 LIST, MEET, HANDED, ROUNDS = 32, 16, 6, 8
 #: Nodes a query visits in a round, rounds, and how many of the best found it keeps.
 VISITS, WALKS, KEPT = 64, 6, 400
-#: Best of these by the rounded vectors are computed exactly.
-EXACT = 64
-
-
-def rounded(vectors: np.ndarray) -> np.ndarray:
-    """Rows of eight-bit vectors behind their scale (float32)."""
-    scale = (np.abs(vectors).max(axis=1, keepdims=True) / 127).astype(np.float32)
-    codes = np.rint(vectors / np.maximum(scale, 1e-30)).astype(np.int8)
-    return np.hstack([scale.view(np.uint8).reshape(len(vectors), 4), codes.view(np.uint8)])
-
-
-def restored(rows: np.ndarray) -> np.ndarray:
-    return rows[:, 4:].view(np.int8).astype(np.float32) * rows[:, :4].copy().view(np.float32)
+#: Scores this close to the last place, as a part of the largest, are level with it until they are computed anew.
+LEVEL = 1e-9
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    """Rows of a binary column whose values have one length."""
+    """Vectors (float32) of a binary column whose values have one length."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if not len(column):
-        return np.zeros((0, 4), np.uint8)
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+        return np.zeros((0, 1), np.float32)
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(len(column), -1)
 
 
 def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -92,7 +82,7 @@ def meetings(rows: DataFrame) -> DataFrame:
     def run(batches):
         for table in groups(batches, "m"):
             m, node = table.column("m").to_numpy(), table.column("node").to_numpy()
-            least, vectors = table.column("least").to_numpy(), restored(matrix(table.column("vec")))
+            least, vectors = table.column("least").to_numpy(), matrix(table.column("vec")).astype(np.float64)
             names, ids, scores = [], [], []
             at = cuts(m)
             for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
@@ -110,11 +100,11 @@ def meetings(rows: DataFrame) -> DataFrame:
                     names.append(own[i])
                     ids.append(own[top[i, good[i]]])
                     scores.append(value[i, good[i]])
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), lists(ids, pa.int64()), lists(scores, pa.float32())],
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), lists(ids, pa.int64()), lists(scores, pa.float64())],
                                              ["node", "ids", "scores"])
 
     return (rows.select("m", "node", "vec", "least").repartition("m").sortWithinPartitions("m")
-            .mapInArrow(run, "node long, ids array<long>, scores array<float>"))
+            .mapInArrow(run, "node long, ids array<long>, scores array<double>"))
 
 
 def merged(rows: DataFrame, most: int) -> DataFrame:
@@ -136,17 +126,17 @@ def merged(rows: DataFrame, most: int) -> DataFrame:
                 top_scores.append(s[top])
                 least.append(s[top[-1]] if len(top) == most else -np.inf)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.int64()), lists(top_ids, pa.int64()), lists(top_scores, pa.float32()),
-                 pa.array(least, pa.float32())], ["node", "ids", "scores", "least"])
+                [pa.array(names, pa.int64()), lists(top_ids, pa.int64()), lists(top_scores, pa.float64()),
+                 pa.array(least, pa.float64())], ["node", "ids", "scores", "least"])
 
     return (rows.repartition("node").sortWithinPartitions("node")
-            .mapInArrow(run, "node long, ids array<long>, scores array<float>, least float"))
+            .mapInArrow(run, "node long, ids array<long>, scores array<double>, least double"))
 
 
 def neighbour_lists(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(node, ids, scores) by NN-descent. nodes: (node, vec)."""
     count = nodes.count()
-    start = nodes.withColumn("least", F.lit(float("-inf")).cast("float"))
+    start = nodes.withColumn("least", F.lit(float("-inf")))
     by = [start.withColumn("m", F.pmod(F.xxhash64("node", F.lit(k)), F.lit(max(1, count // (2 * LIST))))) for k in range(2)]
     graph = stored(merged(meetings(by[0].withColumn("m", F.col("m") * 2).unionByName(by[1].withColumn("m", F.col("m") * 2 + 1))), LIST))
     if count <= 2 * LIST:
@@ -158,7 +148,7 @@ def neighbour_lists(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         back = (ahead.select(F.col("node").alias("m"), F.col("m").alias("node")).withColumn("place", F.row_number().over(few))
                 .where(F.col("place") <= MEET).drop("place"))
         known = nodes.join(graph.select("node", "least"), "node", "left").withColumn(
-            "least", F.coalesce("least", F.lit(float("-inf")).cast("float")))
+            "least", F.coalesce("least", F.lit(float("-inf"))))
         heard = meetings(ahead.unionByName(back).join(known, "node"))
         graph = stored(merged(graph.select("node", "ids", "scores").unionByName(heard), LIST))
         tidy(graph.sparkSession)
@@ -185,12 +175,12 @@ def walked(queries: DataFrame, nodes: DataFrame, graph: DataFrame) -> DataFrame:
         for batch in batches:
             ids, scores = [], []
             for own, near, vecs in zip(batch.column("vec"), batch.column("ids"), batch.column("vecs")):
-                x = restored(np.frombuffer(own.as_buffer(), np.uint8).reshape(1, -1))[0]
+                x = np.frombuffer(own.as_buffer(), np.float32).astype(np.float64)
                 near = np.frombuffer(near.as_buffer(), np.int64)
                 ids.append(near)
-                scores.append(restored(np.frombuffer(vecs.as_buffer(), np.uint8).reshape(len(near), -1)) @ x)
+                scores.append(np.frombuffer(vecs.as_buffer(), np.float32).reshape(len(near), -1).astype(np.float64) @ x)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("q"), lists(ids, pa.int64()), lists(scores, pa.float32()),
+                [batch.column("q"), lists(ids, pa.int64()), lists(scores, pa.float64()),
                  lists([np.zeros(len(i), np.int8) for i in ids], pa.int8())], ["q", "ids", "scores", "seen"])
 
     def pooled(batches):
@@ -211,10 +201,10 @@ def walked(queries: DataFrame, nodes: DataFrame, graph: DataFrame) -> DataFrame:
                 parts.append((i[top], s[top], v))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(names, pa.int64()), lists([p[0] for p in parts], pa.int64()),
-                 lists([p[1] for p in parts], pa.float32()), lists([p[2] for p in parts], pa.int8())],
+                 lists([p[1] for p in parts], pa.float64()), lists([p[2] for p in parts], pa.int8())],
                 ["q", "ids", "scores", "seen"])
 
-    kind = "q long, ids array<long>, scores array<float>, seen array<tinyint>"
+    kind = "q long, ids array<long>, scores array<double>, seen array<tinyint>"
 
     def pool(rows: DataFrame) -> DataFrame:
         return stored(rows.select("q", "ids", "scores", "seen").repartition("q").sortWithinPartitions("q")
@@ -222,7 +212,7 @@ def walked(queries: DataFrame, nodes: DataFrame, graph: DataFrame) -> DataFrame:
 
     state = pool(queries.join(graph.withColumnRenamed("node", "q"), "q", "left").select(
         "q", F.coalesce("ids", F.array().cast("array<long>")).alias("ids"),
-        F.coalesce("scores", F.array().cast("array<float>")).alias("scores"))
+        F.coalesce("scores", F.array().cast("array<double>")).alias("scores"))
         .withColumn("seen", F.transform("ids", lambda _: F.lit(0).cast("tinyint"))))
     for turn in range(WALKS):
         items = F.explode(F.arrays_zip("ids", "seen")).alias("x")
@@ -254,7 +244,7 @@ def nearest(vectors: DataFrame, wanted: int = 20, every: int = 20) -> DataFrame:
     def code(batches):
         for batch in batches:
             flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float32)
-            rows = rounded(flat.reshape(batch.num_rows, -1)) if batch.num_rows else np.zeros((0, 4), np.uint8)
+            rows = flat.reshape(batch.num_rows, -1) if batch.num_rows else flat.reshape(0, 1)
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([r.tobytes() for r in rows], pa.binary())],
                                              ["node", "vec"])
 
@@ -266,7 +256,10 @@ def nearest(vectors: DataFrame, wanted: int = 20, every: int = 20) -> DataFrame:
     queries = asking.select(F.col("node").alias("q")).distinct().join(nodes.withColumnRenamed("node", "q"), "q")
     found = walked(queries, nodes, graph)
 
-    best = found.select("q", F.explode(F.slice("ids", 1, EXACT)).alias("node"))
+    last = F.coalesce(F.get("scores", F.lit(wanted)), F.element_at("scores", -1))
+    level = last - LEVEL * F.greatest(F.abs(last), F.abs(F.get("scores", F.lit(0))))
+    near = F.filter(F.arrays_zip("ids", "scores"), lambda x: x["scores"] >= level)
+    best = found.where(F.size("ids") > 0).select("q", F.explode(near.getField("ids")).alias("node"))
     pairs = best.unionByName(queries.select("q", F.col("q").alias("node"))).distinct()
     pairs = (pairs.join(exact.withColumnRenamed("embedding", "there"), "node")
              .join(exact.select(F.col("node").alias("q"), F.col("embedding").alias("here")), "q"))
