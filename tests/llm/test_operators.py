@@ -75,6 +75,27 @@ def test_mixture(request, table):
             assert r.mix_slot == r.mix_block // slots[r.source] * period + placed[r.source][r.mix_block % slots[r.source]]
 
 
+@pytest.mark.parametrize("weights", [{"a": 1, "b": 1, "c": 1}, {"big": 1 / 3, **{f"s{i}": 2 / 3 / 40 for i in range(40)}},
+                                     {"a": 1e-6, "b": 1.0, "c": 0.3}])
+def test_mixture_keeps_to_its_targets(weights):
+    """No source is a block away from its target weight, however many slots pass."""
+    exact, total = pfair_mix.whole(weights)
+    placed, horizon = pfair_mix.earliest(exact, total, {s: int(20_000 * w / sum(weights.values())) + 2 for s, w in weights.items()})
+    assert horizon >= 19_000
+    for s, w in weights.items():
+        had = np.cumsum(np.isin(np.arange(horizon), placed[s][0]))
+        assert np.abs(had - w / sum(weights.values()) * np.arange(1, horizon + 1)).max() < 1
+
+
+def test_mixture_of_zero_weight_and_uneven_sources(spark):
+    docs = spark.range(900).selectExpr("id AS doc_id", "CASE WHEN id < 300 THEN 'zero' WHEN id < 310 THEN 'few' ELSE 'much' END AS source")
+    rows = sorted(pfair_mix.mixed(docs, {"zero": 0, "few": 1, "much": 3}, block=1).collect(), key=lambda r: r.mix_order)
+    assert len(rows) == len({r.mix_order for r in rows}) == 900
+    assert all(r.source == "zero" for r in rows[600:]) and not any(r.source == "zero" for r in rows[:600])
+    assert all(r.mix_release <= r.mix_slot < r.mix_deadline for r in rows)
+    assert [r.source for r in rows[:40]].count("few") == 10 and rows[39].mix_balanced and not rows[599].mix_balanced
+
+
 def plain_licenses(files):
     """Cosines of every line, paragraph and text, and inheritance by walking up."""
     def terms(text):

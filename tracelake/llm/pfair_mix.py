@@ -4,24 +4,29 @@ Every source is cut into blocks of documents. Block j of a source with weight w
 on and must be placed before slot ceil((j + 1) / w); the earliest deadline among the released blocks gets each slot.
 At any slot each source has then had its share to within less than one block.
 
-Weights are multiples of 1 / period, so the schedule repeats: one period is worked out on the driver, and each
-document finds its slot from its rank in its source. Ranks come from counts per hash range, so that a source with a
-third of the documents is ranked by many tasks.
+Windows come from the exact rational weights, so nothing drifts however many blocks there are. Blocks (not documents)
+are scheduled on the driver, one step each; every document finds its slot from its rank in its source. Ranks come from
+counts per hash range, so that a source with a third of the documents is ranked by many tasks.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from heapq import heappop, heappush
+from array import array
+from fractions import Fraction
+from heapq import heapify, heappop, heappush
+from math import lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Documents a block; sources get a share in proportion to their size to this power; slots of a period, at least.
+#: Documents a block; sources get a share in proportion to their size to this power; slots of a short
+#: period, in which a source that has run out still takes its slots.
 BLOCK, EXPONENT, PERIOD = 16, 0.5, 4096
 #: Documents that one task ranks at a time, about.
 RANKED_TOGETHER = 10_000
-MOST_SOURCES = 1 << 16
+#: Blocks of a source whose places stand in one row of the schedule.
+CHUNK = 64
 
 
 def shares(weights: dict[str | None, float], period: int = PERIOD) -> tuple[dict[str | None, int], int]:
@@ -39,62 +44,75 @@ def shares(weights: dict[str | None, float], period: int = PERIOD) -> tuple[dict
 
 def schedule(slots: dict[str | None, int], period: int) -> dict[str | None, list[int]]:
     """Slots of the blocks of each source in one period, by earliest deadline first."""
-    release = lambda j, a: j * period // a
-    deadline = lambda j, a: -(-(j + 1) * period // a)
-    names = sorted(slots, key=lambda s: (s is not None, s or ""))
-    coming = [[] for _ in range(period)]
-    for i, s in enumerate(names):
-        for j in range(slots[s]):
-            coming[release(j, slots[s])].append((deadline(j, slots[s]), i))
-    ready, out = [], {s: [] for s in names}
-    for t in range(period):
-        for block in coming[t]:
-            heappush(ready, block)
-        if ready:
-            due, i = heappop(ready)
-            assert due > t, "weights above one"
-            out[names[i]].append(t)
-    return out
-
-
-@dataclass
-class Plan:
-    slots: dict[str | None, int]
-    period: int
-    placed: dict[str | None, list[int]]
-    horizon: int  # from here on some source has run out
-
-    @staticmethod
-    def of(counts: dict[str | None, int], weights: dict[str | None, float] | None, block: int) -> Plan:
-        weights = weights or {s: n ** EXPONENT for s, n in counts.items()}
-        slots, period = shares({s: weights[s] for s in counts})
-        placed = schedule(slots, period)
-        first_missing = []
-        for s, n in counts.items():
-            j = -(-n // block)
-            first_missing.append(j // slots[s] * period + placed[s][j % slots[s]])
-        return Plan(slots, period, placed, min(first_missing))
+    return {name: list(at) for name, (at, _, _) in earliest(slots, period, slots)[0].items()}
+
+
+def whole(weights: dict[str | None, float]) -> tuple[dict[str | None, int], int]:
+    """The weights as whole numbers in exactly their proportions, and their sum."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    if any(w < 0 for w in exact.values()):
+        raise ValueError("negative weight")
+    scale = lcm(*(w.denominator for w in exact.values()))
+    out = {s: int(w * scale) for s, w in exact.items()}
+    return out, sum(out.values())
+
+
+def earliest(weights: dict[str | None, int], total: int, blocks: dict[str | None, int]) -> tuple[dict[str | None, tuple[array, array, array]], int]:
+    """Slot, release and deadline of every block of each source, and the slot from which on some source has run out.
+
+    A source's weight is weights / total. One that has run out gives up its slots, but not within the first PERIOD.
+    Sources of weight 0 follow after all others.
+    """
+    names = sorted(blocks, key=lambda s: (s is not None, s or ""))
+    out = {s: (array("q"), array("q"), array("q")) for s in names}
+    some = [s for s in names if weights[s]]
+    share, many, turn = [weights[s] for s in some], [blocks[s] for s in some], [0] * len(some)
+    coming, ready, left, t, horizon = [(0, i) for i in range(len(some))], [], sum(many), 0, None
+    heapify(coming)
+    while left:
+        while coming and coming[0][0] <= t:
+            i = heappop(coming)[1]
+            heappush(ready, (-(-(turn[i] + 1) * total // share[i]), i))
+        if not ready:
+            t = coming[0][0]
+            continue
+        due, i = heappop(ready)
+        assert due > t, "weights above one"
+        if turn[i] < many[i]:
+            for column, value in zip(out[some[i]], (t, turn[i] * total // share[i], due)):
+                column.append(value)
+            left -= 1
+        elif horizon is None:
+            horizon = t
+        turn[i] += 1
+        if turn[i] < many[i] or horizon is None or t < PERIOD:
+            heappush(coming, (turn[i] * total // share[i], i))
+        t += 1
+    end, rest = t, sum(blocks[s] for s in names if not weights[s])
+    for s in names:
+        for _ in range(0 if weights[s] else blocks[s]):
+            for column, value in zip(out[s], (t, end, end + rest)):
+                column.append(value)
+            t += 1
+    return out, end if horizon is None else horizon
 
 
 def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK) -> DataFrame:
     """docs with the columns mix_rank, mix_block, mix_slot, mix_release, mix_deadline, mix_order and mix_balanced.
 
     docs: doc_id long, source string, further columns are kept (names that start with mix_ are replaced). weights:
-    target share of each source, to any scale; without them the square roots of the sources' sizes. mix_order sorts
-    the mixture: slot by slot, and within a block by rank. mix_balanced tells whether all sources still had blocks in
-    that slot; every row is kept, also after a source has run out. Documents of a source are in the order of a hash
+    target share of each source, to any scale; without them the square roots of the sources' sizes. A source of weight 0
+    follows after all others. mix_order sorts the mixture: slot by slot, and within a block by rank. mix_balanced tells
+    whether all sources with a weight still had blocks in that slot; up to there each source has had its share to within
+    less than one block. Every row is kept, also after a source has run out. Documents of a source are in the order of a hash
     of doc_id, equal doc_ids (repeated rows) and null ones side by side. A null source is a source. Empty tables give
-    empty results; more than `MOST_SOURCES` sources are refused.
+    empty results.
     """
     docs = docs.drop(*(c for c in docs.columns if c.startswith("mix_")))
     spark = docs.sparkSession
-    counts = {r["source"]: r["count"] for r in docs.groupBy("source").count().limit(MOST_SOURCES + 1).collect()}
-    if len(counts) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    if not counts:
-        plan = Plan({}, 1, {}, 0)
-    else:
-        plan = Plan.of(counts, weights, block)
+    counts = {r["source"]: r["count"] for r in docs.groupBy("source").count().collect()}
+    exact, total = whole({s: weights[s] if weights else n ** EXPONENT for s, n in counts.items()})
+    plan, horizon = earliest(exact, total, {s: -(-n // block) for s, n in counts.items()})
     ranges = max(1, sum(counts.values()) // RANKED_TOGETHER)
     order = F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(42))
     rows = docs.withColumn("mix_hash", order).withColumn("mix_range", F.pmod("mix_hash", F.lit(ranges)).cast("int"))
@@ -106,18 +124,19 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block
     rows = (rows.join(before.withColumnRenamed("mix_range", "r"),
                       F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("mix_range") == F.col("r")))
             .withColumn("mix_rank", F.col("mix_before") + F.col("mix_number")).drop("mix_source", "r"))
-    table = [(s, plan.slots[s], j, t) for s, placed in plan.placed.items() for j, t in enumerate(placed)]
-    placed = F.broadcast(spark.createDataFrame(table, "mix_source string, mix_slots long, mix_turn long, mix_at long"))
-    few = F.broadcast(spark.createDataFrame(list(plan.slots.items()), "mix_name string, mix_share long"))
-    rows = rows.join(few, F.col("source").eqNullSafe(F.col("mix_name"))).withColumn(
-        "mix_block", F.expr(f"mix_rank div {block}"))
-    rows = rows.join(placed, F.col("source").eqNullSafe(F.col("mix_source"))
-                     & (F.pmod("mix_block", "mix_share") == F.col("mix_turn")))
-    slot = F.expr(f"(mix_block div mix_share) * {plan.period} + mix_at")
-    return (rows.withColumn("mix_slot", slot)
-            .withColumn("mix_release", F.expr(f"mix_block * {plan.period} div mix_share"))
-            .withColumn("mix_deadline", F.expr(f"((mix_block + 1) * {plan.period} + mix_share - 1) div mix_share"))
+    parts = [(s, k, *(c[k * CHUNK: (k + 1) * CHUNK].tolist() for c in columns))
+             for s, columns in plan.items() for k in range(-(-len(columns[0]) // CHUNK))]
+    many = pa.list_(pa.int64())
+    kinds = {"mix_source": pa.string(), "mix_chunk": pa.int64(), "mix_slots": many, "mix_releases": many, "mix_deadlines": many}
+    placed = spark.createDataFrame(pa.table([pa.array([r[i] for r in parts], kind) for i, kind in enumerate(kinds.values())],
+                                            names=list(kinds)))
+    at = F.pmod("mix_block", F.lit(CHUNK)).cast("int")
+    rows = rows.withColumn("mix_block", F.expr(f"mix_rank div {block}"))
+    rows = rows.join(F.broadcast(placed), F.col("source").eqNullSafe(F.col("mix_source"))
+                     & (F.expr(f"mix_block div {CHUNK}") == F.col("mix_chunk")))
+    return (rows.withColumn("mix_slot", F.get("mix_slots", at)).withColumn("mix_release", F.get("mix_releases", at))
+            .withColumn("mix_deadline", F.get("mix_deadlines", at))
             .withColumn("mix_order", F.col("mix_slot") * block + F.pmod("mix_rank", F.lit(block)))
-            .withColumn("mix_balanced", F.col("mix_slot") < plan.horizon)
+            .withColumn("mix_balanced", F.col("mix_slot") < horizon)
             .select(*docs.columns, "mix_rank", "mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_order",
                     "mix_balanced"))
