@@ -142,6 +142,26 @@ def test_licenses(spark, none):
     assert license_scan.licenses(none.selectExpr("source AS path", "text")).collect() == []
 
 
+def test_licenses_of_headers_and_files(spark):
+    """Wrapped comments, notices inside a line, and licence files, some with a longer text behind."""
+    by = {}
+    for name, text in license_scan.TEMPLATES:
+        by[name] = max(by.get(name, ""), text, key=len)
+    wrapped = lambda text: "".join(f" * {line}\n" for line in re.findall(r".{1,60}(?:\s|$)", text))
+    code = "\n".join(f"value_{i} = compute(item{i}, {i})" for i in range(60))
+    want = {}
+    for name in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "Apache-2.0", "MPL-2.0", "MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause"):
+        want[f"{name}/x.c"] = (name, f"/* Copyright 2019 Some One. All rights reserved.\n{wrapped(by[name])} */\n{code}")
+    start = next(t for n, t in license_scan.TEMPLATES if n == "GPL-3.0" and t.startswith("GNU GENERAL"))
+    want["g/COPYING"] = ("GPL-3.0", wrapped(start) + "\n Preamble\n\n" + "The licenses for most software are designed to take away freedom. " * 80)
+    want["g/y.c"] = ("GPL-3.0", code)
+    want["l/z.txt"] = ("GPL-3.0", "These notes on rivers and stones were written last year. " * 3 + "This work is licensed under the GNU "
+                       "General Public License, version 3. " + "More notes follow on houses. " * 4)
+    want["n/plain.c"] = (None, code)
+    rows = spark.createDataFrame([(p, t) for p, (_, t) in want.items()], "path string, text string").repartition(3)
+    assert {r.path: r.license for r in license_scan.licenses(rows).collect()} == {p: n for p, (n, _) in want.items()}
+
+
 def test_known_language_keeps_columns(odd):
     kept = cross_parse.in_known_language(odd)
     assert kept.columns == odd.columns

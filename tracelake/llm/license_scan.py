@@ -2,7 +2,9 @@
 
 Every line, paragraph and whole text is a sparse vector of its words, weighted by how often they occur there and how
 rare they are (document frequencies of the templates' words over all files; any other word counts as the rarest).
-The template with the largest cosine names the licence if it is similar enough. A file that is little more than a
+So is every run of as many words as a template has, beside that template, for notices inside a line or wrapped over
+several. The template with the largest cosine names the licence if it is similar enough, but of templates
+that are nearly met those of a higher power of two in words go first. A file that is little more than a
 notice, or whose name says so, is its directory's licence file. A file without a notice inherits from the nearest
 directory above it that has one; directories are resolved once, by joins on the paths of their ancestors.
 """
@@ -10,6 +12,7 @@ directory above it that has one; directories are resolved once, by joins on the
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +24,38 @@ from tracelake.llm.words import Lookup, hashes, mix, spans
 
 #: Least cosine of a notice, and least share of a text that makes it its directory's licence file.
 SIMILAR, MOSTLY = 0.75, 0.5
+#: A run with this cosine meets its template nearly: of such templates the much longer one counts. Words of runs weighed at a time.
+MET, RUN_WORDS = 0.9, 1 << 20
 LICENSE_NAMES = r"(?i)^(licen[sc]e|copying|notice|unlicense)([.-].*)?$"
 
-#: Short notices as files state them.
+_BSD_2 = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+          "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list "
+          "of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright "
+          "notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided "
+          "with the distribution. ")
+_BSD_3 = ("3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+          "products derived from this software without specific prior written permission. ")
+_BSD_END = ("THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, "
+            "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+            "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+            "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+            "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+            "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE "
+            "OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+_VERBATIM = ("Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not "
+             "allowed.")
+
+
+def _gnu(program: str, license_: str, version: str) -> str:
+    """The header that the GNU licences ask for."""
+    return (f"This {program} is free software: you can redistribute it and/or modify it under the terms of the GNU {license_} "
+            f"as published by the Free Software Foundation, either version {version} of the License, or (at your option) any "
+            f"later version. This {program} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; "
+            f"without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {license_} "
+            "for more details.")
+
+
+#: Notices as files state them, standard headers, licence files, and of the long licence files the start.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in "
@@ -45,6 +77,45 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
     ("Proprietary", "All rights reserved."),
+    ("GPL-2.0", _gnu("program", "General Public License", "2")),
+    ("GPL-3.0", _gnu("program", "General Public License", "3")),
+    ("LGPL-2.1", _gnu("library", "Lesser General Public License", "2.1")),
+    ("LGPL-3.0", _gnu("library", "Lesser General Public License", "3")),
+    ("AGPL-3.0", _gnu("program", "Affero General Public License", "3")),
+    ("GPL-2.0", f"GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc. {_VERBATIM}"),
+    ("GPL-3.0", f"GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. {_VERBATIM}"),
+    ("LGPL-2.1", f"GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc. {_VERBATIM}"),
+    ("LGPL-3.0", f"GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. {_VERBATIM}"),
+    ("AGPL-3.0", f"GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. {_VERBATIM}"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, "
+                   "REPRODUCTION, AND DISTRIBUTION 1. Definitions."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance "
+                   "with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless "
+                   "required by applicable law or agreed to in writing, software distributed under the License is distributed on "
+                   "an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for "
+                   "the specific language governing permissions and limitations under the License."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+                "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0 1. Definitions 1.1. Contributor means each individual or legal entity that "
+                "creates, contributes to the creation of, or owns Covered Software."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+            "documentation files (the Software), to deal in the Software without restriction, including without limitation the "
+            "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
+            "persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice "
+            "and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS "
+            "PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+            "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT "
+            "HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+            "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+            "granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS "
+            "PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES "
+            "OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR "
+            "CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF "
+            "CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS "
+            "SOFTWARE."),
+    ("BSD-2-Clause", _BSD_2 + _BSD_END),
+    ("BSD-3-Clause", _BSD_2 + _BSD_3 + _BSD_END),
 ]
 
 #: Words are runs of letters and digits; bytes above 127 belong to letters.
@@ -60,6 +131,8 @@ class Templates:
         keys, term = np.unique(hashes(data, starts, ends), return_inverse=True)
         self.lookup, self.terms = Lookup(keys), len(keys)
         row = np.repeat(np.arange(len(texts)), np.diff(first))
+        self.lengths = np.diff(first)
+        self.order = np.floor(np.log2(self.lengths)).astype(np.int64) + 1
         self.counts = np.bincount(row * self.terms + term, minlength=len(texts) * self.terms).reshape(len(texts), -1)
 
     def weigh(self, files: int, having: np.ndarray) -> None:
@@ -89,6 +162,37 @@ class Templates:
         return best, value
 
 
+    def runs(self, term: np.ndarray, word: np.ndarray, row: np.ndarray, rows: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(template, texts, cosines): texts with a run of the template's length that is similar, and the largest cosine.
+
+        Sums over runs give the products and, each word counted by itself, a bound of the norms from below; only runs
+        that pass with it are weighed exactly.
+        """
+        square = self.idf[term] ** 2
+        norms = np.concatenate([[0.0], np.cumsum(square)])
+        padded = np.vstack([self.unit, np.zeros(self.unit.shape[1])]) * self.idf[:, None]
+        for k, n in enumerate(self.lengths.tolist()):
+            if len(term) < n:
+                continue
+            sums = np.concatenate([[0.0], np.cumsum(padded[term, k])])
+            dots = sums[n:] - sums[:-n]
+            at = np.flatnonzero((row[n - 1:] == row[:len(row) - n + 1])
+                                & (dots ** 2 >= (SIMILAR - 1e-9) ** 2 * (norms[n:] - norms[:-n])) & (dots > 0))
+            value = np.zeros(rows)
+            for some in np.split(at, range(RUN_WORDS // n, len(at), max(1, RUN_WORDS // n))) if len(at) else ():
+                places = some[:, None] + np.arange(n)
+                by = np.argsort(word[places], axis=1, kind="stable")
+                own, weight = np.take_along_axis(word[places], by, 1), np.take_along_axis(square[places], by, 1)
+                fresh = np.concatenate([np.ones((len(own), 1), bool), own[:, 1:] != own[:, :-1]], axis=1).ravel()
+                starts = np.flatnonzero(fresh)
+                many = np.diff(np.append(starts, len(fresh)))
+                norm = np.sqrt(np.bincount(starts // n, weight.ravel()[starts] * many ** 2, len(own)))
+                np.maximum.at(value, row[some], dots[some] / norm)
+            found = np.flatnonzero(value >= SIMILAR)
+            if len(found):
+                yield k, found, value[found]
+
+
 def parts(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """For each byte the number of its line, paragraph and text."""
     edge = np.zeros(len(data) + 1, np.int64)
@@ -153,6 +257,12 @@ def notices(files: DataFrame, templates: Templates) -> DataFrame:
                     by = by[cosine[by] > value[owner[by]]]
                     i = owner[by]
                     best[i], value[i], share[i] = which[by], cosine[by], words[by] / size[i]
+                met = np.where(value >= MET, templates.order[best], 0)
+                for k, i, cosine in templates.runs(term, word, row, b - a):
+                    near = np.where(cosine >= MET, templates.order[k], 0)
+                    go = (near > met[i]) | ((near == met[i]) & (cosine > value[i] + 1e-9))
+                    i, cosine = i[go], cosine[go]
+                    best[i], value[i], share[i], met[i] = k, cosine, templates.lengths[k] / size[i], near[go]
                 found = value >= SIMILAR
                 names += [templates.names[k] if ok else None for k, ok in zip(best.tolist(), found.tolist())]
                 scores.append(value)
@@ -195,7 +305,7 @@ def licenses(files: DataFrame, texts: list[tuple[str, str]] = TEMPLATES) -> Data
     """Licence of every file.
 
     files: path string, text string; further columns are kept, those named as results are replaced. Adds own_license, own_score
-    (largest cosine with a template), own_share (part of the words that the notice covers), license, license_from
+    (cosine with the template that counts), own_share (part of the words that the notice covers), license, license_from
     (`own`, `inherited` or null) and license_directory (whence it is inherited; empty for the top). A null or empty
     text states nothing; a null path states what its text does, inherits nothing and passes nothing on. Of several
     licence files in a directory the most similar counts, then the first by path. Repeated rows give equal rows;
