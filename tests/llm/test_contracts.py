@@ -315,6 +315,17 @@ def test_nearest_in_a_group_of_near_copies(spark):
     assert np.mean([len(got[q] & set(want[q])) / 20 for q in want if q < 800]) >= 0.9
 
 
+@pytest.mark.parametrize("n", [15, 30, 64])
+def test_nearest_in_small_tables(spark, n):
+    rng = np.random.default_rng(n)
+    x = (rng.normal(size=(n, 8)) * np.exp(rng.normal(size=(n, 1)))).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = collections.defaultdict(list)
+    for r in nn_descent.nearest(table, every=1).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert got == plain_nearest(list(enumerate(x.astype(float))), 20, 1)
+
+
 def test_urls(spark):
     rules = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
     urls = {1: "http://a.Example.NET/en/1?x", 2: "https://example.net/de/", 3: "http://net", 4: "http://xnet/", 5: None, 6: "no scheme",

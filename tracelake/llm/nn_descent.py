@@ -76,7 +76,7 @@ def best_distinct(ids: np.ndarray, scores: np.ndarray, most: int) -> np.ndarray:
     return by[first[:most]]
 
 
-def meetings(rows: DataFrame) -> DataFrame:
+def meetings(rows: DataFrame, handed: int = HANDED) -> DataFrame:
     """(node, ids, scores): what each node of a meeting hears there. rows: (m, node, vec, least)."""
 
     def run(batches):
@@ -92,7 +92,7 @@ def meetings(rows: DataFrame) -> DataFrame:
                 x = vectors[a:b][first]
                 like = x @ x.T
                 np.fill_diagonal(like, -np.inf)
-                some = min(HANDED, len(own) - 1)
+                some = min(handed, len(own) - 1)
                 top = np.argpartition(-like, some - 1, axis=1)[:, :some]
                 value = np.take_along_axis(like, top, 1)
                 good = value > least[a:b][first][:, None]
@@ -137,10 +137,10 @@ def neighbour_lists(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(node, ids, scores) by NN-descent. nodes: (node, vec)."""
     count = nodes.count()
     start = nodes.withColumn("least", F.lit(float("-inf")))
+    if count <= 2 * LIST:  # one meeting, which hands everyone to everyone
+        return stored(merged(meetings(start.withColumn("m", F.lit(0).cast("long")), 2 * LIST), 2 * LIST))
     by = [start.withColumn("m", F.pmod(F.xxhash64("node", F.lit(k)), F.lit(max(1, count // (2 * LIST))))) for k in range(2)]
     graph = stored(merged(meetings(by[0].withColumn("m", F.col("m") * 2).unionByName(by[1].withColumn("m", F.col("m") * 2 + 1))), LIST))
-    if count <= 2 * LIST:
-        return graph
     for turn in range(rounds):
         lists_ = graph.select("node", F.slice(F.shuffle("ids", F.lit(turn)), 1, MEET).alias("some"))
         ahead = stored(lists_.select(F.col("node").alias("m"), F.explode("some").alias("node")))
