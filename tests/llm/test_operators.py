@@ -183,6 +183,12 @@ def test_pipeline_stages(spark, odd, none):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "quality", "near_duplicates", "mixture", "tokens"]
 
 
+def test_rows_of_the_pipeline_show_the_mixture(spark, odd):
+    rows = corpus_pipeline.tokens(spark, odd, FOLDER).collect()
+    order = lambda found: sorted((r.mix_order, r.doc_id or 0) for r in found)
+    assert len(rows) == odd.count() and order(rows) == order(pfair_mix.mixed(odd).collect())
+
+
 def test_pipeline_runs(spark):
     rows = corpus_pipeline.run(spark, FOLDER).collect()
     assert rows and len({r.doc_id for r in rows}) == len(rows)
