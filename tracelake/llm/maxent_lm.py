@@ -17,7 +17,7 @@ counts of at most `HEAD` words (the others meet their counts in a join) and the
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +45,7 @@ SEEDS = np.array([0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0xCBBB9D5DC1059ED8, 0x
 
 @dataclass
 class Model:
-    lookup: Lookup  # of head words, the most frequent first
+    words: np.ndarray  # head words, the most frequent first
     near: Lookup  # of those with weights only
     counts: np.ndarray
     total: int
@@ -175,11 +175,6 @@ def packed(table: np.ndarray, first: int = 0) -> pa.RecordBatch:
                                       ["key", "values"])
 
 
-def few_tasks(docs: DataFrame) -> DataFrame:
-    """Four tasks a core at most: each sends one table of fixed size."""
-    return docs.coalesce(4 * docs.sparkSession.sparkContext.defaultParallelism)
-
-
 def cluster(near: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Classes of the frequent words: the first few alone, the others by k-means on their weighted neighbours."""
     n = len(near)
@@ -230,8 +225,10 @@ def neighbours(docs: DataFrame, lookup: Lookup, words: int) -> np.ndarray:
                         table += np.bincount(x[good] * CONTEXT + y[good], minlength=len(table))
         yield packed(table.reshape(words, CONTEXT))
 
-    rows = few_tasks(docs.select("text")).mapInArrow(run, "key int, values binary")
-    return summed(rows, (words, CONTEXT))[0]
+    rows = docs.select("text").mapInArrow(run, "key int, values binary")
+    out = summed(rows, (words, CONTEXT))[0]
+    shared.destroy()
+    return out
 
 
 def start_model(docs: DataFrame, counts: DataFrame) -> Model:
@@ -255,7 +252,7 @@ def start_model(docs: DataFrame, counts: DataFrame) -> Model:
     mass[UNKNOWN] = singles + 0.5  # unknown words come about as often as words seen once
     with np.errstate(divide="ignore"):
         bias = np.maximum(np.log(mass) - np.log(mass.sum()), -30).astype(np.float32)
-    return Model(Lookup(word), Lookup(own), c, total, distinct, classes, order, place,
+    return Model(word, Lookup(own), c, total, distinct, classes, order, place,
                  np.searchsorted(classes[order], np.arange(HEAD_CLASSES + 1)), bias,
                  np.zeros((CLASSES, 1 << BUCKET_BITS), np.float32), np.log(smooth[order]).astype(np.float32),
                  np.zeros((CLASSES, n), np.float32), mass)
@@ -271,9 +268,12 @@ def prepared(model: Model, lookup: Lookup, data: np.ndarray, offsets: np.ndarray
 
 
 def gradient(docs: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Observed and expected counts: of the class features (class x bucket) and of the word features (class x word)."""
-    spark = docs.sparkSession
-    shared, high, n = spark.sparkContext.broadcast(model), 1 << BUCKET_BITS, len(model.classes)
+    """Observed and expected counts: of the class features (class x bucket) and of the word features (class x word).
+
+    Each task adds up its split and sends one table of fixed size; the words without weights stay on the driver.
+    """
+    few = replace(model, words=model.words[:0], counts=model.counts[:0])
+    shared, high, n = docs.sparkSession.sparkContext.broadcast(few), 1 << BUCKET_BITS, len(model.classes)
 
     def run(batches):
         m = shared.value
@@ -305,8 +305,9 @@ def gradient(docs: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.
         if n:
             yield packed(word_seen.reshape(CLASSES, n), high)
 
-    rows = few_tasks(docs.select("text")).mapInArrow(run, "key int, values binary")
+    rows = docs.select("text").mapInArrow(run, "key int, values binary")
     table, word_seen = summed(rows, (high, 2 * CLASSES), (CLASSES, n))
+    shared.destroy()
     table = table.T
     # a word's expected count needs no pass of its own: its class's count after each class, times its probability there
     word_meant = np.exp(word_table(model))
@@ -335,12 +336,12 @@ def scored(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         m = shared.value
         log_count = np.log10(m.counts + 0.5)
         tail_mass = np.log10(np.maximum(m.tail_mass, 0.5))
-        ten, inner = np.log(10), word_table(m)
+        ten, inner, lookup = np.log(10), word_table(m), Lookup(m.words)
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             columns = [[], [], [], [], []]
             for a, b in slices(offsets, STEP):
-                hashed, head, frequent, classes, row, starts = prepared(m, m.lookup, data[offsets[a]: offsets[b]],
+                hashed, head, frequent, classes, row, starts = prepared(m, lookup, data[offsets[a]: offsets[b]],
                                                                         offsets[a: b + 1] - offsets[a])
                 buckets, far, before = features(hashed, classes, starts)
                 logs = class_logits(m, buckets, far)
@@ -375,6 +376,7 @@ def scored(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
             .mapInArrow(run, f"doc_id long, held_out boolean, n_tokens long, n_head long, head_base double, "
                              f"head_score double, rest {tail}"))
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()))
+    shared.destroy()
     met = (rows.select("row", F.explode("rest").alias("x")).select("row", "x.*").join(counts.select("word", "c"), "word", "left")
            .select("row", F.when(F.col("c").isNotNull(), 1).otherwise(0).alias("is_known"),
                    F.log10(F.coalesce("c", F.lit(0)) + 0.5).alias("base"),
