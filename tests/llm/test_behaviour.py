@@ -46,56 +46,91 @@ def test_estimated_accuracies():
     assert np.abs(np.array(list(found.accuracies().values())) - right).max() < 0.02 and abs(found.bad - 0.3) < 0.02
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_pfair_deviation(seed):
-    rng = np.random.default_rng(seed)
-    slots, period = pfair_mix.shares({f"s{i}": float(rng.random() ** 3 + 1e-6) for i in range(1, 5 + 10 * seed)})
-    placed = pfair_mix.schedule(slots, period)
-    assert sum(slots.values()) == period and sorted(t for p in placed.values() for t in p) == list(range(period))
-    for name, share in slots.items():
-        had = np.cumsum(np.isin(np.arange(period), placed[name]))
-        assert np.abs(had - share * np.arange(1, period + 1) / period).max() < 1
-
-
 @pytest.mark.parametrize("table", ["odd", "documents", "none"])
 def test_mixture(request, table):
     docs = request.getfixturevalue(table)
     rows = pfair_mix.mixed(docs, block=4).collect()
-    assert len(rows) == docs.count() and len({r.mix_order for r in rows}) == len(rows)
+    assert len(rows) == docs.count()
     by = collections.defaultdict(list)
     for r in rows:
         assert r.mix_release <= r.mix_slot < r.mix_deadline and r.mix_block == r.mix_rank // 4
-        by[r.source].append(r.mix_rank)
-    assert all(sorted(v) == list(range(len(v))) for v in by.values())
-    sizes = {s: len(v) for s, v in by.items()}
-    if sizes:
-        slots, period = pfair_mix.shares({s: n ** 0.5 for s, n in sizes.items()})
-        placed = pfair_mix.schedule(slots, period)
-        for r in rows:
-            assert r.mix_slot == r.mix_block // slots[r.source] * period + placed[r.source][r.mix_block % slots[r.source]]
-
-
-@pytest.mark.parametrize("weights", [{"a": 1, "b": 1, "c": 1}, {"big": 1 / 3, **{f"s{i}": 2 / 3 / 40 for i in range(40)}},
-                                     {"a": 1e-6, "b": 1.0, "c": 0.3}])
-def test_mixture_keeps_to_its_targets(weights):
-    """No source is a block away from its target weight, however many slots pass."""
-    exact, total = pfair_mix.whole(weights)
-    placed, horizon = pfair_mix.earliest(exact, total, {s: int(20_000 * w / sum(weights.values())) + 2 for s, w in weights.items()})
-    assert horizon >= 19_000
-    for s, w in weights.items():
-        had = np.cumsum(np.isin(np.arange(horizon), placed[s][0]))
-        assert np.abs(had - w / sum(weights.values()) * np.arange(1, horizon + 1)).max() < 1
+        assert r.mix_order == r.mix_slot * 2 + r.mix_rank % 2
+        by[r.source].append((r.mix_rank, r.doc_id))
+    for found in by.values():  # repeated ids carry the first of their places
+        found.sort(key=lambda r: r[0])
+        assert all(rank == k or found[k - 1] == (rank, doc) for k, (rank, doc) in enumerate(found))
+    assert rows == [] or len({(r.source, r.doc_id) for r in rows}) == len({r.mix_order for r in rows})
+
+
+WEIGHTS = [{"a": 1, "b": 1, "c": 1}, {"big": 1 / 3, **{f"s{i}": 2 / 3 / 40 for i in range(40)}}, {"a": 1e-6, "b": 1.0, "c": 0.3},
+           {f"s{i}": (i + 1) ** 0.5 for i in range(25)}]
+
+
+@pytest.mark.parametrize("length", [1, 7, 100, 1 << 16])
+@pytest.mark.parametrize("weights", WEIGHTS)
+def test_mixture_keeps_to_its_targets(weights, length):
+    """No source is a block (two units) away from its exact target, however many segments pass."""
+    shares = list(pfair_mix.whole(weights).values())
+    total, slots = sum(shares), 20_000
+    units = [slots * w // total + 2 for w in shares]
+    placed, balanced, end = np.full((len(units), max(units)), -1), 0, 0
+    for at, first, begin, counts in pfair_mix.segments(shares, units, length):
+        assert at == end
+        end += sum(counts)
+        balanced += first * sum(counts)
+        for i, unit, slot, release, due in pfair_mix.earliest(counts):
+            assert release <= slot < due
+            placed[i, begin[i] + unit] = at + slot
+    assert end == sum(units) and balanced >= slots
+    assert sorted(t for i, n in enumerate(units) for t in placed[i, :n].tolist()) == list(range(end))
+    for i, w in enumerate(shares):
+        had = np.cumsum(np.isin(np.arange(balanced), placed[i, : units[i]]))
+        exact = np.array([w * (t + 1) / total for t in range(balanced)])
+        assert np.abs(had - exact).max() < 2
+        assert (np.diff(placed[i, : units[i]]) > 0).all()
+
+
+def test_mixture_after_sources_run_out():
+    """The others go on in proportion, whatever the segments' length."""
+    shares, units = [4, 2, 1, 1], [10, 400, 100, 3]
+    for length in (1, 5, 64, 1000):
+        got, end, phase = np.zeros(4, int), 0, []
+        for at, first, begin, counts in pfair_mix.segments(shares, units, length):
+            assert at == end and begin == [b if c else g for b, c, g in zip(begin, counts, got.tolist())]
+            got += counts
+            end += sum(counts)
+            phase.append((end, got.copy()))
+        assert got.tolist() == units and end == sum(units)
+        for end, now in phase:
+            if end > 30 and now[1] < 400 and now[2] < 100:
+                assert abs((now[1] - 5) - 2 * (now[2] - 2.5)) <= 6
 
 
 def test_mixture_of_zero_weight_and_uneven_sources(spark):
     docs = spark.range(900).selectExpr("id AS doc_id", "CASE WHEN id < 300 THEN 'zero' WHEN id < 310 THEN 'few' ELSE 'much' END AS source")
-    rows = sorted(pfair_mix.mixed(docs, {"zero": 0, "few": 1, "much": 3}, block=1).collect(), key=lambda r: r.mix_order)
+    rows = sorted(pfair_mix.mixed(docs, {"zero": 0, "few": 1, "much": 3}, block=2, segment=16).collect(), key=lambda r: r.mix_order)
     assert len(rows) == len({r.mix_order for r in rows}) == 900
     assert all(r.source == "zero" for r in rows[600:]) and not any(r.source == "zero" for r in rows[:600])
     assert all(r.mix_release <= r.mix_slot < r.mix_deadline for r in rows)
     assert [r.source for r in rows[:40]].count("few") == 10 and rows[39].mix_balanced and not rows[599].mix_balanced
 
 
+def test_mixture_by_segments_of_tasks(spark):
+    """Segments that tasks schedule apart keep the same counts as one."""
+    docs = spark.range(6000).selectExpr("id AS doc_id", "concat('s', cast(log2(id + 2) as int)) AS source", "id AS mix_rank")
+    long_, short = (sorted(pfair_mix.mixed(docs, block=2, segment=n).collect(), key=lambda r: r.mix_order) for n in (1 << 16, 1))
+    assert [r.mix_order for r in long_] == [r.mix_order for r in short] == list(range(6000))
+    sizes = collections.Counter(r.source for r in long_)
+    share = {s: n ** 0.5 / sum(n ** 0.5 for n in sizes.values()) for s, n in sizes.items()}
+    for rows in (long_, short):
+        had = collections.Counter()
+        for t, r in enumerate(rows):
+            if not r.mix_balanced:
+                break
+            had[r.source] += 1
+            assert all(abs(had[s] - share[s] * (t + 1)) < 2 for s in share)
+
+
 def plain_licenses(files):
     """Cosines of every line, paragraph and text, and inheritance by walking up."""
     def terms(text):
@@ -196,7 +231,7 @@ def test_pipeline_runs(spark):
 
 def test_every_operator_is_registered():
     names = sorted(int(m[1]) for m in (re.match(r"op(\d+)_", n) for n in entry.queries()) if m)
-    assert names == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert names == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
 @pytest.mark.parametrize("name", sorted(n for n in entry.queries() if n.startswith("op")))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.tables import head_words, slices, stored, text_bytes
+from tracelake.llm.tables import extended, head_words, slices, stored, text_bytes
 from tracelake.llm.words import BYTE_VALUES, Lookup, hashes, mix
 
 #: Words merged by Spark and broadcast; buckets of the literal rank map; bytes of words that are merged side by side.
@@ -32,6 +32,7 @@ FREQUENT = 1 << 17
 MAP_BUCKETS = 1 << 13
 SIDE_BY_SIDE = 64
 NO_RANK = 1 << 30
+FOUND = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string", "lossless": "boolean"}
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
 WHITE_SPACE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -301,14 +302,9 @@ def dictionary(docs: DataFrame, ranks: Ranks) -> Dictionary:
                       np.array([len(x) for x in ids], np.int64), rows.column("decoded").to_pylist())
 
 
-def encoded_texts(docs: DataFrame, path: str) -> DataFrame:
-    """Encode every text with the ranks in the file at `path`, decode the numbers and describe both.
-
-    docs: doc_id long, text string; other columns are ignored; one row per input row, equal texts give equal rows.
-    Returns doc_id, n_tokens, ids_sha256 (of the decimal numbers joined by one space), decoded_sha256 (of the decoded
-    bytes) and lossless. A null text counts as empty and has no tokens. Texts are processed whole; words of more than
-    `SIDE_BY_SIDE` bytes are merged one at a time. An empty table gives an empty result.
-    """
+def described(docs: DataFrame, path: str) -> DataFrame:
+    """docs without text, but with n_tokens, ids_sha256, decoded_sha256 and lossless; columns of these names are replaced."""
+    docs = docs.drop(*FOUND)
     spark: SparkSession = docs.sparkSession
     ranks = Ranks(path)
     shared = spark.sparkContext.broadcast((ranks, dictionary(docs, ranks)))
@@ -339,8 +335,18 @@ def encoded_texts(docs: DataFrame, path: str) -> DataFrame:
                                  hashlib.sha256(back).hexdigest(),
                                  back == raw[offsets[a + i] - offsets[a]: offsets[a + i + 1] - offsets[a]]))
             if rows:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c) for c in zip(*rows))],
-                                                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "lossless"])
+                others = batch.drop_columns(["text"])
+                yield pa.RecordBatch.from_arrays([*others.columns, *(pa.array(c) for c in zip(*rows))], [*others.schema.names, *FOUND])
+
+    return docs.mapInArrow(run, extended(docs.drop("text").schema, FOUND))
 
-    return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, lossless boolean")
+
+def encoded_texts(docs: DataFrame, path: str) -> DataFrame:
+    """Encode every text with the ranks in the file at `path`, decode the numbers and describe both.
+
+    docs: doc_id long, text string; other columns are ignored; one row per input row, equal texts give equal rows.
+    Returns doc_id, n_tokens, ids_sha256 (of the decimal numbers joined by one space), decoded_sha256 (of the decoded
+    bytes) and lossless. A null text counts as empty and has no tokens. Texts are processed whole; words of more than
+    `SIDE_BY_SIDE` bytes are merged one at a time. An empty table gives an empty result.
+    """
+    return described(docs.select("doc_id", "text"), path)

@@ -19,10 +19,10 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.tables import components, slices, stored, text_bytes, tidy
+from tracelake.llm.tables import components, discard, extended, slices, stored, text_bytes, tidy
 from tracelake.llm.words import mix, shingle_hashes
 
 #: Rows of one side of a tile that meet in one step; larger tiles are dealt into several.
@@ -275,58 +275,91 @@ def best(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("a").agg(F.max_by("b", F.struct("most", "b")).alias("b"))
 
 
-def jaccard_groups(docs: DataFrame, size: int = 3, part: int = 90, whole: int = 100) -> DataFrame:
-    """Groups of documents linked by a Jaccard similarity of word shingles of `part` / `whole` or more.
-
-    docs: doc_id long, text string; other columns are ignored. Returns one row per input row: doc_id,
-    n_shingles (size of its set), set_id (the same for equal sets) and component_id, the smallest doc_id reachable by
-    links. Texts that are null, empty or blank have no set and are their own component, as have rows without
-    doc_id (component_id null). Shorter texts than a shingle are one shingle. Rows that repeat a doc_id count as
-    documents of their own. An empty table gives an empty result.
-    """
+def grouped(docs: DataFrame, size: int, part: int, whole: int) -> DataFrame:
+    """The rows of `jaccard_groups` with the group as the smallest of its set_ids too; a stored table."""
     sizes = Sizes(part, whole)
     found = stored(document_sets(docs, size, sizes))
-    usable = found.where("set_id IS NOT NULL AND doc_id IS NOT NULL")
-    keys = usable.dropDuplicates(["set_id"]).select("set_id", F.explode("keys").alias("key"))
+    keyed = found.where("set_id IS NOT NULL AND doc_id IS NOT NULL")
+    keys = keyed.dropDuplicates(["set_id"]).select("set_id", F.explode("keys").alias("key"))
     tiles = stored(keys.join(keys.groupBy("key").count().where("count > 1").select("key"), "key").select("key", "set_id"))
+    own = stored(found.select("doc_id", "n_shingles", "set_id"))
+    discard(found)
+    usable = own.where("set_id IS NOT NULL AND doc_id IS NOT NULL")
     wanted = stored(usable.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
                     .join(tiles.select("set_id").distinct(), "set_id"))
     sets = stored(candidate_sets(docs, wanted, size))
+    discard(wanted)
 
     pivots = tiles.groupBy("key").agg(F.min_by("set_id", F.xxhash64("set_id")).alias("b"))
     pairs = tiles.join(pivots, "key").where("set_id <> b").select(F.col("set_id").alias("a"), "b").distinct()
     tested = stored(decided(best(bounded(pairs, sets, sizes)), sets, sizes))
     for turn in count():
         tidy(docs.sparkSession)
-        links = tested.where("linked")
-        labels = components(links, "a", "b", "label").withColumnRenamed("a", "set_id")
+        found = components(tested.where("linked"), "a", "b", "label")
+        labels = found.withColumnRenamed("a", "set_id")
         tidy(docs.sparkSession)
         known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         still = stored(open_pairs(tiles, sets, labels, sizes).join(known, ["a", "b"], "left_anti"))
-        if not still.limit(1).count():
+        if still.isEmpty():
             break
+        discard(found)
         more = best(still) if turn < SINGLE_TURNS else still
-        tested = stored(tested.unionByName(decided(more, sets, sizes)))
+        before, tested = tested, stored(tested.unionByName(decided(more, sets, sizes)))
+        discard(before, still)
+    discard(tiles, sets, tested, still)
 
     groups = (usable.groupBy("set_id").agg(F.min("doc_id").alias("least"))
               .join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id")))
     least = groups.groupBy("label").agg(F.min("least").alias("smallest"))
-    named = groups.join(least, "label").select("set_id", "smallest")
-    return (found.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
-            .select("doc_id", "n_shingles", "set_id",
-                    F.when(F.col("doc_id").isNotNull(), F.coalesce("smallest", "doc_id")).alias("component_id")))
+    named = groups.join(least, "label").select("set_id", "label", "smallest")
+    out = stored(own.join(named, "set_id", "left")
+                 .select("doc_id", "n_shingles", "set_id", "label",
+                         F.when(F.col("doc_id").isNotNull(), F.coalesce("smallest", "doc_id")).alias("component_id")))
+    discard(own, found)
+    return out
+
+def jaccard_groups(docs: DataFrame, size: int = 3, part: int = 90, whole: int = 100) -> DataFrame:
+    """Groups of documents linked by a Jaccard similarity of word shingles of `part` / `whole` or more.
+
+    docs: doc_id long, text string; other columns are ignored. Returns one row per input row: doc_id,
+    n_shingles (size of its set), set_id (the same for equal sets) and component_id, the smallest doc_id reachable by
+    links. Texts that are null, empty or blank have no set and are their own component, as have rows without
+    doc_id (component_id null). Shorter texts than a shingle are one shingle. Rows that repeat a doc_id count as
+    documents of their own. Texts are compared whole, however long. An empty table gives an empty result.
+    """
+    return grouped(docs, size, part, whole).drop("label")
 
 
 def first_of_groups(docs: DataFrame, size: int = 3, part: int = 90, whole: int = 100) -> DataFrame:
-    """The rows of docs, with all their columns, without those that a link leads to a document of smaller doc_id.
+    """One row of each group of linked rows of docs, with all its columns: that with the smallest doc_id.
 
-    Links are those of jaccard_groups: shingles of `size` words and a similarity of `part` / `whole` or more.
-    Of rows with the same doc_id and text one stays. Rows without doc_id are not compared and stay.
+    Links are those of jaccard_groups: shingles of `size` words and a similarity of `part` / `whole` or more. A group's
+    rows that repeat its smallest doc_id are told apart by their set, then by a hash of all their columns; the smallest
+    stays. Rows without words are groups of their own, but equal ones with the same doc_id count once. Rows
+    without doc_id are not compared and stay. Texts are compared whole, however long, and moved once. An empty table
+    gives an empty one.
     """
-    groups = jaccard_groups(docs.select("doc_id", "text"), size, part, whole)
-    firsts = groups.where("doc_id = component_id").select("doc_id").distinct()
+    groups = grouped(docs.select("doc_id", "text"), size, part, whole).where("doc_id IS NOT NULL")
+    first = F.struct("doc_id", "set_id")
+    chosen = (groups.where("set_id IS NOT NULL").groupBy("label").agg(F.min(first).alias("first")).select("first.*")
+              .unionByName(groups.where("set_id IS NULL").select("doc_id", "set_id").distinct()))
+    again = groups.groupBy("doc_id").agg((F.count("*") > 1).alias("again"))
+    wanted = chosen.select("doc_id").distinct().join(again, "doc_id")
     plain = {c: f"column_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
     rows = docs.withColumnsRenamed(plain)
-    kept = (rows.join(firsts, "doc_id", "left_semi").withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
-            .dropDuplicates(["doc_id", "digest"]).drop("digest"))
-    return kept.select(*rows.columns).unionByName(rows.where("doc_id IS NULL")).toDF(*docs.columns)
+    met = rows.join(wanted, "doc_id")
+
+    def named(batches):
+        for batch in batches:
+            ids = [set_id(found) if len(found) else None for found in sets_of(batch, size)]
+            yield batch.append_column("set", pa.array(ids, pa.int64()))
+
+    several = met.where("again").drop("again")
+    several = (several.mapInArrow(named, extended(several.schema, {"set": "long"}))
+               .join(chosen.toDF("first_id", "first_set"),
+                     (F.col("doc_id") == F.col("first_id")) & F.col("set").eqNullSafe(F.col("first_set")), "left_semi"))
+    same = F.coalesce(F.col("set").cast("string"), F.sha2(F.coalesce("text", F.lit("")), 256))
+    every = Window.partitionBy("doc_id", "same").orderBy(F.xxhash64(*rows.columns), *rows.columns)
+    several = (several.withColumn("same", same).withColumn("place", F.row_number().over(every)).where("place = 1"))
+    return (met.where("NOT again").select(*rows.columns).unionByName(several.select(*rows.columns))
+            .unionByName(rows.where("doc_id IS NULL")).toDF(*docs.columns))

@@ -1,142 +1,161 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Every source is cut into blocks of documents. Block j of a source with weight w may be placed from slot floor(j / w)
-on and must be placed before slot ceil((j + 1) / w); the earliest deadline among the released blocks gets each slot.
-At any slot each source has then had its share to within less than one block.
-
-Windows come from the exact rational weights, so nothing drifts however many blocks there are. Blocks (not documents)
-are scheduled on the driver, one step each; every document finds its slot from its rank in its source. Ranks come from
-counts per hash range, so that a source with a third of the documents is ranked by many tasks.
+Every source is cut into blocks of documents and scheduled by half blocks. The schedule runs in segments. At a segment's
+end each source has had its exact target share rounded to whole half blocks: what is due, then those whose deadline, the
+slot before which their share has to be whole, comes first. Inside a segment the half block j of a source that gets c of L slots
+may be placed from slot floor(j L / c) on and must be placed before slot ceil((j + 1) L / c); the earliest deadline among the
+released ones gets each slot. Both roundings stay below half a block, so at any slot every source has had its target
+share to within less than one block, and nothing drifts however many blocks there are.
+
+When a source runs out, a new phase starts, in which the others share in proportion to their weights. Only the numbers
+at the segments' ends pass the driver; tasks schedule the segments. Documents find their places by joins of narrow
+rows, and whole rows are moved once.
 """
 
 from __future__ import annotations
 
-from array import array
+from collections.abc import Iterator
 from fractions import Fraction
 from heapq import heapify, heappop, heappush
 from math import lcm
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Documents a block; sources get a share in proportion to their size to this power; slots of a short
-#: period, in which a source that has run out still takes its slots.
-BLOCK, EXPONENT, PERIOD = 16, 0.5, 4096
+#: Documents a block; sources get a share in proportion to their size to this power.
+BLOCK, EXPONENT = 16, 0.5
+#: Slots of a segment, which one task schedules; a segment has at least this many slots a source.
+SEGMENT, A_SOURCE = 1 << 16, 64
 #: Documents that one task ranks at a time, about.
 RANKED_TOGETHER = 10_000
-#: Blocks of a source whose places stand in one row of the schedule.
-CHUNK = 64
-
-
-def shares(weights: dict[str | None, float], period: int = PERIOD) -> tuple[dict[str | None, int], int]:
-    """Slots of each source in a period: whole numbers in proportion to the weights, one at least."""
-    while period < 8 * len(weights):
-        period *= 2
-    total, free = sum(weights.values()), period - len(weights)
-    exact = {s: w / total * free for s, w in weights.items()}
-    out = {s: 1 + int(x) for s, x in exact.items()}
-    by_rest = sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s is not None, s or ""))
-    for s in by_rest[: period - sum(out.values())]:
-        out[s] += 1
-    return out, period
-
-
-def schedule(slots: dict[str | None, int], period: int) -> dict[str | None, list[int]]:
-    """Slots of the blocks of each source in one period, by earliest deadline first."""
-    return {name: list(at) for name, (at, _, _) in earliest(slots, period, slots)[0].items()}
 
 
-def whole(weights: dict[str | None, float]) -> tuple[dict[str | None, int], int]:
-    """The weights as whole numbers in exactly their proportions, and their sum."""
+def whole(weights: dict[str | None, float]) -> dict[str | None, int]:
+    """The weights as whole numbers in exactly their proportions."""
     exact = {s: Fraction(w) for s, w in weights.items()}
     if any(w < 0 for w in exact.values()):
         raise ValueError("negative weight")
     scale = lcm(*(w.denominator for w in exact.values()))
-    out = {s: int(w * scale) for s, w in exact.items()}
-    return out, sum(out.values())
+    return {s: int(w * scale) for s, w in exact.items()}
 
 
-def earliest(weights: dict[str | None, int], total: int, blocks: dict[str | None, int]) -> tuple[dict[str | None, tuple[array, array, array]], int]:
-    """Slot, release and deadline of every block of each source, and the slot from which on some source has run out.
+def segments(shares: list[int], units: list[int], length: int) -> Iterator[tuple[int, bool, list[int], list[int]]]:
+    """First slot, whether no source had run out, and for each source its first unit and how many it gets, of every segment.
 
-    A source's weight is weights / total. One that has run out gives up its slots, but not within the first PERIOD.
-    Sources of weight 0 follow after all others.
+    shares: weights as whole numbers; units: how many units each source has. At the end of a segment a source has had the floor
+    or the ceiling of its share of the phase's slots. Ceilings go to the earliest deadlines, which leaves enough slots for all
+    later ones. Sources of weight 0 follow, one after the other, when all others have run out.
     """
-    names = sorted(blocks, key=lambda s: (s is not None, s or ""))
-    out = {s: (array("q"), array("q"), array("q")) for s in names}
-    some = [s for s in names if weights[s]]
-    share, many, turn = [weights[s] for s in some], [blocks[s] for s in some], [0] * len(some)
-    coming, ready, left, t, horizon = [(0, i) for i in range(len(some))], [], sum(many), 0, None
+    done, t, first = [0] * len(units), 0, True
+    active = [i for i, n in enumerate(units) if n and shares[i]]
+    while active:
+        total = sum(shares[i] for i in active)
+        ends = {i: (units[i] - done[i]) * total // shares[i] for i in active}
+        end, at, had = min(ends.values()), 0, dict.fromkeys(active, 0)
+        while at < end:
+            to = min(end, at + length)
+            get = {i: max(to * shares[i] // total, had[i]) for i in active}
+            due = sorted((-(-(get[i] + 1) * total // shares[i]), to < end or ends[i] > end, i)
+                         for i in active if get[i] * total < to * shares[i])
+            for *_, i in due[: to - sum(get.values())]:
+                get[i] += 1
+            yield (t + at, first, [done[i] + had.get(i, 0) for i in range(len(units))],
+                   [get[i] - had[i] if i in had else 0 for i in range(len(units))])
+            at, had = to, get
+        for i in active:
+            done[i] += had[i]
+        t, first = t + end, False
+        active = [i for i in active if done[i] < units[i]]
+    for i, n in enumerate(units):
+        for a in range(0, 0 if shares[i] else n, length):
+            many = min(length, n - a)
+            yield t, False, [a if k == i else 0 for k in range(len(units))], [many if k == i else 0 for k in range(len(units))]
+            t += many
+
+
+def earliest(counts: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(source, unit, slot, release, deadline) of one segment in which each source gets counts[source] slots."""
+    total = sum(counts)
+    coming, ready, turn = [(0, i) for i, c in enumerate(counts) if c], [], [0] * len(counts)
     heapify(coming)
-    while left:
+    for t in range(total):
         while coming and coming[0][0] <= t:
-            i = heappop(coming)[1]
-            heappush(ready, (-(-(turn[i] + 1) * total // share[i]), i))
-        if not ready:
-            t = coming[0][0]
-            continue
-        due, i = heappop(ready)
+            release, i = heappop(coming)
+            heappush(ready, (-(-(turn[i] + 1) * total // counts[i]), i, release))
+        due, i, release = heappop(ready)
         assert due > t, "weights above one"
-        if turn[i] < many[i]:
-            for column, value in zip(out[some[i]], (t, turn[i] * total // share[i], due)):
-                column.append(value)
-            left -= 1
-        elif horizon is None:
-            horizon = t
+        yield i, turn[i], t, release, due
         turn[i] += 1
-        if turn[i] < many[i] or horizon is None or t < PERIOD:
-            heappush(coming, (turn[i] * total // share[i], i))
-        t += 1
-    end, rest = t, sum(blocks[s] for s in names if not weights[s])
-    for s in names:
-        for _ in range(0 if weights[s] else blocks[s]):
-            for column, value in zip(out[s], (t, end, end + rest)):
-                column.append(value)
-            t += 1
-    return out, end if horizon is None else horizon
-
-
-def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK) -> DataFrame:
+        if turn[i] < counts[i]:
+            heappush(coming, (turn[i] * total // counts[i], i))
+
+
+def schedule(spark, names: list[str], shares: list[int], units: list[int], length: int) -> DataFrame:
+    """(mix_source, mix_unit, mix_slot, mix_release, mix_deadline, mix_balanced) of every unit, scheduled by tasks."""
+    parts = list(segments(shares, units, max(length, A_SOURCE * len(units))))
+    many = pa.list_(pa.int64())
+    table = pa.table([pa.array([p[0] for p in parts], pa.int64()), pa.array([p[1] for p in parts], pa.bool_()),
+                      pa.array([p[2] for p in parts], many), pa.array([p[3] for p in parts], many)],
+                     names=["slot", "balanced", "first", "counts"])
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                found = list(earliest(row["counts"]))
+                if found:
+                    i, unit, slot, release, due = np.array(found, np.int64).T
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(names).take(pa.array(i)), pa.array(unit + np.array(row["first"])[i]),
+                         *(pa.array(x + row["slot"]) for x in (slot, release, due)), pa.array(np.full(len(i), row["balanced"]))],
+                        ["mix_source", "mix_unit", "mix_slot", "mix_release", "mix_deadline", "mix_balanced"])
+
+    rows = spark.createDataFrame(table).repartition(min(max(1, len(parts)), 4096), "slot")
+    return rows.mapInArrow(run, "mix_source string, mix_unit long, mix_slot long, mix_release long, mix_deadline long, "
+                                "mix_balanced boolean")
+
+
+def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK, segment: int = SEGMENT) -> DataFrame:
     """docs with the columns mix_rank, mix_block, mix_slot, mix_release, mix_deadline, mix_order and mix_balanced.
 
     docs: doc_id long, source string, further columns are kept (names that start with mix_ are replaced). weights:
     target share of each source, to any scale; without them the square roots of the sources' sizes. A source of weight 0
-    follows after all others. mix_order sorts the mixture: slot by slot, and within a block by rank. mix_balanced tells
-    whether all sources with a weight still had blocks in that slot; up to there each source has had its share to within
-    less than one block. Every row is kept, also after a source has run out. Documents of a source are in the order of a hash
-    of doc_id, equal doc_ids (repeated rows) and null ones side by side. A null source is a source. Empty tables give
-    empty results.
+    follows after all others. mix_order sorts the mixture: slot by slot (of half a block, of which `block` is a multiple),
+    and within a slot by rank. mix_balanced tells whether all sources with a weight still had documents in that slot; up to
+    there each source has had its share to within less than one block, and afterwards the others share in the same way what is
+    left. Every row is kept. Documents of a source are in the order of a hash of doc_id. Rows that repeat doc_id and source take up a
+    place each but all carry the first of these, as do a source's rows without doc_id; they stay side by side. A null
+    source is a source. Sources and weights pass the driver, with two numbers a source and segment. Texts are not looked
+    at. Empty tables give empty results.
     """
+    if block % 2:
+        raise ValueError("a block is two halves")
+    half = block // 2
     docs = docs.drop(*(c for c in docs.columns if c.startswith("mix_")))
-    spark = docs.sparkSession
-    counts = {r["source"]: r["count"] for r in docs.groupBy("source").count().collect()}
-    exact, total = whole({s: weights[s] if weights else n ** EXPONENT for s, n in counts.items()})
-    plan, horizon = earliest(exact, total, {s: -(-n // block) for s, n in counts.items()})
-    ranges = max(1, sum(counts.values()) // RANKED_TOGETHER)
+    name = F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), "source"))  # joins as a plain key
+    keyed = docs.select("doc_id", "source", name.alias("mix_source"))
+    sizes = sorted(((r["mix_source"], r["source"], r["n"]) for r in keyed.groupBy("mix_source", "source").agg(F.count("*").alias("n")).collect()),
+                   key=lambda r: r[0])
+    shares = whole({key: weights[s] if weights else n ** EXPONENT for key, s, n in sizes})
+    plan = schedule(docs.sparkSession, [key for key, *_ in sizes], [shares[key] for key, *_ in sizes],
+                    [-(-n // half) for *_, n in sizes], segment)
+
+    ranges = max(1, sum(n for *_, n in sizes) // RANKED_TOGETHER)
     order = F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(42))
-    rows = docs.withColumn("mix_hash", order).withColumn("mix_range", F.pmod("mix_hash", F.lit(ranges)).cast("int"))
-    per = rows.groupBy(F.col("source").alias("mix_source"), "mix_range").agg(F.count("*").alias("n"))
-    before = per.select("mix_source", "mix_range", F.coalesce(F.sum("n").over(
-        Window.partitionBy("mix_source").orderBy("mix_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("mix_before"))
-    own = Window.partitionBy("source", "mix_range").orderBy("mix_hash", "doc_id")
-    rows = rows.withColumn("mix_number", F.row_number().over(own) - 1)
-    rows = (rows.join(before.withColumnRenamed("mix_range", "r"),
-                      F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("mix_range") == F.col("r")))
-            .withColumn("mix_rank", F.col("mix_before") + F.col("mix_number")).drop("mix_source", "r"))
-    parts = [(s, k, *(c[k * CHUNK: (k + 1) * CHUNK].tolist() for c in columns))
-             for s, columns in plan.items() for k in range(-(-len(columns[0]) // CHUNK))]
-    many = pa.list_(pa.int64())
-    kinds = {"mix_source": pa.string(), "mix_chunk": pa.int64(), "mix_slots": many, "mix_releases": many, "mix_deadlines": many}
-    placed = spark.createDataFrame(pa.table([pa.array([r[i] for r in parts], kind) for i, kind in enumerate(kinds.values())],
-                                            names=list(kinds)))
-    at = F.pmod("mix_block", F.lit(CHUNK)).cast("int")
-    rows = rows.withColumn("mix_block", F.expr(f"mix_rank div {block}"))
-    rows = rows.join(F.broadcast(placed), F.col("source").eqNullSafe(F.col("mix_source"))
-                     & (F.expr(f"mix_block div {CHUNK}") == F.col("mix_chunk")))
-    return (rows.withColumn("mix_slot", F.get("mix_slots", at)).withColumn("mix_release", F.get("mix_releases", at))
-            .withColumn("mix_deadline", F.get("mix_deadlines", at))
-            .withColumn("mix_order", F.col("mix_slot") * block + F.pmod("mix_rank", F.lit(block)))
-            .withColumn("mix_balanced", F.col("mix_slot") < horizon)
-            .select(*docs.columns, "mix_rank", "mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_order",
-                    "mix_balanced"))
+    rows = (keyed.groupBy("mix_source", "doc_id").agg(F.count("*").alias("n")).withColumn("mix_hash", order)
+            .withColumn("mix_range", F.pmod("mix_hash", F.lit(ranges))))
+    per = rows.groupBy("mix_source", "mix_range").agg(F.sum("n").alias("n"))
+    preceding = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = per.select("mix_source", "mix_range", preceding(Window.partitionBy("mix_source").orderBy("mix_range")).alias("mix_before"))
+    own = Window.partitionBy("mix_source", "mix_range").orderBy("mix_hash", "doc_id")
+    rows = rows.withColumn("mix_number", preceding(own)).join(before, ["mix_source", "mix_range"])
+    rows = rows.select("mix_source", "doc_id", (F.col("mix_before") + F.col("mix_number")).alias("mix_rank"))
+    rows = (rows.withColumn("mix_unit", F.expr(f"mix_rank div {half}")).join(plan, ["mix_source", "mix_unit"])
+            .withColumn("mix_block", F.expr(f"mix_rank div {block}"))
+            .withColumn("mix_order", F.col("mix_slot") * half + F.pmod("mix_rank", F.lit(half)))
+            .select(F.coalesce("doc_id", F.lit(0)).alias("mix_doc"), F.col("doc_id").isNull().alias("mix_null"), "mix_source",
+                    "mix_rank", "mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_order", "mix_balanced"))
+    out = docs.withColumn("mix_source", name).withColumn("mix_doc", F.coalesce("doc_id", F.lit(0))).withColumn("mix_null", F.col("doc_id").isNull())
+    return (out.join(rows, ["mix_source", "mix_doc", "mix_null"])
+            .select(*docs.columns, "mix_rank", "mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_order", "mix_balanced"))

@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tracelake.session import prepare, stored
+from tracelake.session import discard, prepare, stored
 
-__all__ = ["components", "extended", "head_words", "read", "settled", "slices", "stored", "text_bytes", "tidy"]
+__all__ = ["components", "discard", "extended", "head_words", "read", "settled", "slices", "stored", "text_bytes", "tidy"]
 
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
@@ -72,23 +72,27 @@ def components(links: DataFrame, a: str, b: str, label: str = "component_id") ->
     """Smallest id reachable over `links` for every id that has a link: (`a`, `label`).
 
     Each round every id takes the smallest label among its neighbours' and its label's label; rounds are written
-    tables, so a lost executor costs one round. Both steps are partial minima and equi joins, and the number of
-    rounds is logarithmic for the star-like groups that joins of this folder yield.
+    tables, so a lost executor costs one round; each is removed when the next is written, and the caller may discard the
+    result. Both steps are partial minima and equi joins, and the number of rounds is logarithmic for the star-like
+    groups that joins of this folder yield.
     """
     both = stored(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
                   .unionByName(links.select(F.col(b).alias("u"), F.col(a).alias("v")).where("u <> v")).distinct())
-    labels = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("l")))
+    held = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("n")))
     while True:
+        labels = held.select("u", F.col("n").alias("l"))
         spread = (both.join(labels.select(F.col("u").alias("v"), F.col("l").alias("m")), "v").groupBy("u")
                   .agg(F.min("m").alias("m")))
         hop = labels.select(F.col("u").alias("l"), F.col("l").alias("ll"))
-        after = (labels.join(spread, "u").join(hop, "l")
-                 .select("u", F.least("l", "m", "ll").alias("n"), F.col("l").alias("o")))
-        after = stored(after)
-        moved = after.where("n <> o").limit(1).count()
-        labels = after.select("u", F.col("n").alias("l"))
-        if not moved:
-            return labels.select(F.col("u").alias(a), F.col("l").alias(label))
+        after = stored(labels.join(spread, "u").join(hop, "l")
+                       .select("u", F.least("l", "m", "ll").alias("n"), F.col("l").alias("o")))
+        discard(held)
+        held = after
+        if after.where("n <> o").isEmpty():
+            discard(both)
+            out = after.select(F.col("u").alias(a), F.col("n").alias(label))
+            out.stored_in = after.stored_in
+            return out
 
 
 def head_words(counts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
