@@ -209,15 +209,20 @@ def naive_turns(queues, limit, budget):
     return taken
 
 
-def test_turns_equal_the_naive_loop(spark):
-    rng = random.Random(5)
-    for _ in range(4):
-        queues = {s: [(f"f{i}", 1) for i in rng.sample(range(40), rng.randint(1, 30))] for s in "abcd"}
+@pytest.mark.parametrize("turns", [1, 3, 1000])
+def test_turns_equal_the_naive_loop(spark, turns):
+    """In blocks of few turns and of all; queues with common runs, which others have taken when their turn comes."""
+    rng = random.Random(turns)
+    for same in (False, True, False):
+        queues = {s: [(f"f{i}", 1) for i in (range(30) if same else rng.sample(range(40), rng.randint(1, 30)))] for s in "abcd"}
+        if same:
+            queues["z"] = [(f"f{i}", 1) for i in (*range(29), 77)]
         rows = [(s, p, f) for s, q in queues.items() for p, (f, _) in enumerate(q)]
-        limit = rng.randint(1, 40)
+        limit = rng.choice([rng.randint(1, 40), 1000])
         table = spark.createDataFrame(rows, "scanner_id string, position long, finding_id string")
-        found = triage.take_turns(table, limit).orderBy("pick").collect()
+        found = triage.take_turns(table, limit, turns).orderBy("pick").collect()
         assert [tuple(r) for r in found] == naive_turns(queues, limit, 10 ** 6)
+    assert triage.take_turns(table.limit(0), 5).collect() == []
 
 
 def test_similar_texts(spark):

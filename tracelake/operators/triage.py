@@ -7,19 +7,23 @@ scan_status; width and height are optional.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake import fixed
 from tracelake.functions import paths
 from tracelake.operators import evidence as ev
-from tracelake.operators.ordering import first_per_group, top_per_group, with_positions
-from tracelake.session import stored
+from tracelake.operators.ordering import first_per_group, top_per_group
+from tracelake.session import discard, stored
 
 FIVE_MB = 5 * 1024 * 1024
 LARGE_ARCHIVE = 512 * 1024 * 1024
-TURN_BLOCK = 1024  # queue rows numbered together
+SHORT_HEAD = 50_000  # rows of a head of a queue that each task trims to by itself
+TURNS = 16_384  # turns played in one round
 
 
 def c(name: str) -> Column:
@@ -125,53 +129,103 @@ def queue_heads(all_routes: DataFrame, limit: int) -> DataFrame:
     """WIN-3: the first `limit` routes of every scanner in diversified order, with their position.
 
     Dealing one route per diversity group and round equals sorting by (rank inside the group, place of the
-    group's best route). A group never needs more than `limit` rows, nor does a scanner.
+    group's best route). A group never needs more than `limit` rows, nor does a scanner; up to SHORT_HEAD rows each
+    task trims its groups to that before the shuffle, longer heads are positions in a range sort.
     """
     best_first = [F.desc("priority"), F.asc("ordinal"), F.asc("route_no")]
     keyed = (all_routes.withColumn("group_key", F.lower("diversity_key"))
              .select("finding_id", "ordinal", "route_no", "scanner_id", "priority", "cost", "group_key"))
+    deal = [F.asc("group_rank"), F.desc("lead_priority"), F.asc("lead_ordinal"), F.asc("group_key"), F.asc("route_no")]
+    if limit <= SHORT_HEAD:
+        group = Window.partitionBy("scanner_id", "group_key").orderBy(*best_first)
+        ranked = keyed.withColumn("group_rank", F.row_number().over(group)).filter(c("group_rank") <= limit)
+        lead = group.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        led = (ranked.withColumn("lead_priority", F.first("priority").over(lead))
+               .withColumn("lead_ordinal", F.first("ordinal").over(lead)))
+        place = F.row_number().over(Window.partitionBy("scanner_id").orderBy(*deal))
+        return led.withColumn("position", place).filter(c("position") <= limit)
     ranked = top_per_group(keyed, ["scanner_id", "group_key"], best_first, limit, "group_rank")
     leaders = ranked.filter("group_rank = 1").select("scanner_id", "group_key", c("priority").alias("lead_priority"),
                                                      c("ordinal").alias("lead_ordinal"))
     led = ranked.join(leaders, ["scanner_id", "group_key"])
-    deal = [F.asc("group_rank"), F.desc("lead_priority"), F.asc("lead_ordinal"), F.asc("group_key"), F.asc("route_no")]
     return top_per_group(led, ["scanner_id"], deal, limit, "position")
 
 
-def turns(queues: DataFrame) -> DataFrame:
-    """The turn in which each row of the queues would be taken: one more than the kept rows before it."""
-    block = F.expr(f"position div {TURN_BLOCK}")
-    rows = queues.withColumn("block", block)
-    sizes = rows.groupBy("scanner_id", "block").agg(F.sum(c("kept").cast("long")).alias("n"))
-    blocks_before = Window.partitionBy("scanner_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("scanner_id", "block", F.coalesce(F.sum("n").over(blocks_before), F.lit(0)).alias("start"))
-    before = Window.partitionBy("scanner_id", "block").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
-    return (rows.withColumn("inside", F.coalesce(F.sum(c("kept").cast("long")).over(before), F.lit(0)))
-            .join(starts, ["scanner_id", "block"]).withColumn("turn", c("start") + c("inside") + 1)
-            .select("scanner_id", "position", "finding_id", "kept", "turn"))
+def played(names: list[str], ends: dict[str, bool], before: int, limit: int):
+    """A function that plays turns over one sorted block (scanner_id, position, finding_id) and yields the picks.
 
+    `ends` tells whether the block holds a scanner's queue up to its end. Play stops at `limit`, when no queue has a row
+    left, or before a turn in which a queue would run out of rows that the block doesn't hold.
+    """
 
-def take_turns(queues: DataFrame, limit: int) -> DataFrame:
+    def run(batches):
+        batches = [batch for batch in batches if batch.num_rows]
+        if not batches:
+            return
+        table = pa.Table.from_batches(batches)
+        scanner, finding = (table.column(name).combine_chunks() for name in ("scanner_id", "finding_id"))
+        code = finding.dictionary_encode().indices.to_numpy().tolist()
+        taken, picks = bytearray(len(code) + 1), []
+        starts = [pc.index(scanner, name).as_py() for name in names]
+        many = {r["values"]: r["counts"] for r in pc.value_counts(scanner).to_pylist()}
+        at = [max(0, first) for first in starts]
+        stop = [first + many.get(name, 0) for first, name in zip(at, names)]
+        live = list(range(len(names)))
+        while live and before + len(picks) < limit:
+            turn = []
+            for s in list(live):
+                k = at[s]
+                while k < stop[s] and taken[code[k]]:
+                    k += 1
+                at[s] = k
+                if k == stop[s]:
+                    if not ends[names[s]]:
+                        live, turn = [], []
+                        break
+                    live.remove(s)
+                else:
+                    taken[code[k]] = 1
+                    turn.append(k)
+            picks += turn
+        picks = picks[: limit - before]
+        number = pa.array(range(before + 1, before + 1 + len(picks)), pa.int64())
+        yield pa.RecordBatch.from_arrays([*(table.column(x).combine_chunks().take(pa.array(picks, pa.int64()))
+                                            for x in ("scanner_id", "position", "finding_id")), number],
+                                         ["scanner_id", "position", "finding_id", "pick"])
+
+    return run
+
+
+def take_turns(queues: DataFrame, limit: int, turns: int = TURNS) -> DataFrame:
     """Scanners in name order take turns; in its turn a scanner takes the next finding of its queue (scanner_id,
     position, finding_id) that nobody has taken, until `limit` are: (finding_id, scanner_id, pick).
 
-    A finding therefore goes to the row with the smallest (turn, scanner), and a row's turn counts the rows its
-    scanner keeps before it. Starting with all rows kept, both are worked out anew until nothing changes: the first
-    turn is right at once, and every round settles one more turn at least.
+    What has been picked is a frozen prefix. A round plays the next turns in one task over a block of bounded size: of each
+    queue as many rows, less the findings taken before, as `turns` turns of all scanners can use up. Rounds are as
+    many as the picks of all scanners go into blocks, one for everyday limits, and each is a written table.
     """
-    rows = stored(queues.select("scanner_id", "position", "finding_id", F.lit(True).alias("kept")))
+    rows = stored(queues.select("scanner_id", c("position").cast("long").alias("position"), "finding_id"))
+    last = {r["scanner_id"]: r["last"] for r in rows.groupBy("scanner_id").agg(F.max("position").alias("last")).collect()}
+    names, done, total = sorted(last), [], 0
+    front, usual = dict.fromkeys(names, 0), turns * max(1, len(names))
+    reach = usual
     while True:
-        timed = turns(rows)
-        owner = timed.groupBy("finding_id").agg(F.min(F.struct("turn", "scanner_id", "position")).alias("first"))
-        now = stored(timed.join(owner, "finding_id").select(
-            "scanner_id", "position", "finding_id", "turn", c("kept").alias("was"),
-            ((c("first.scanner_id") == c("scanner_id")) & (c("first.position") == c("position"))).alias("kept")))
-        if now.filter("kept <> was").isEmpty():
+        ahead = F.create_map(*(F.lit(x) for s in names for x in (s, front[s])))[c("scanner_id")] if names else F.lit(0)
+        block = rows.filter((c("position") >= ahead) & (c("position") < ahead + reach))
+        if done:
+            block = block.join(reduce(DataFrame.unionByName, done).select("finding_id"), "finding_id", "left_anti")
+        ends = {s: front[s] + reach > last[s] for s in names}
+        picks = stored(block.select("scanner_id", "position", "finding_id").repartition(1).sortWithinPartitions("scanner_id", "position")
+                       .mapInArrow(played(names, ends, total, limit), "scanner_id string, position long, finding_id string, pick long"))
+        got = {r["scanner_id"]: r for r in picks.groupBy("scanner_id").agg(F.max("position").alias("to"), F.count("*").alias("n")).collect()}
+        done.append(picks)
+        total += sum(r["n"] for r in got.values())
+        if all(ends.values()) or total >= limit:
             break
-        rows = now.select("scanner_id", "position", "finding_id", "kept")
-    taken = now.filter("kept").select("finding_id", "scanner_id", "turn")
-    numbered = with_positions(taken, F.asc("turn"), F.asc("scanner_id"), out="place")
-    return numbered.filter(c("place") < limit).select("finding_id", "scanner_id", (c("place") + 1).cast("int").alias("pick"))
+        front.update((s, r["to"] + 1) for s, r in got.items())
+        reach = usual if got else 2 * reach  # a queue may go on with a long run of taken rows
+    discard(rows)
+    return reduce(DataFrame.unionByName, done).select("finding_id", "scanner_id", c("pick").cast("int").alias("pick"))
 
 
 def chosen(all_routes: DataFrame, eligible: int, absolute_limit: int | None = None) -> DataFrame:
