@@ -1,6 +1,9 @@
 """Ranking, filters, joins, triage, stores and learning."""
 
+import collections
+import math
 import random
+import re
 from datetime import datetime
 
 import pandas as pd
@@ -103,8 +106,9 @@ def test_circular_pages(spark):
 def test_exclusions_have_no_separator_boundary(spark):
     files = spark.createDataFrame([("C:\\r\\Archive\\i.txt",), ("C:\\r\\archives.txt",), ("C:\\r\\other\\i.txt",), (None,), ("",)], "path string")
     banned = spark.createDataFrame([("c:\\R\\archive",), ("",), (None,)], "path string")
-    kept = [r.path for r in joins.not_excluded(files, banned).collect()]
-    assert len(kept) == 3 and set(kept) == {"C:\\r\\other\\i.txt", None, ""}
+    for few in (0, 10):
+        kept = [r.path for r in joins.not_excluded(files, banned, few).collect()]
+        assert len(kept) == 3 and set(kept) == {"C:\\r\\other\\i.txt", None, ""}
     assert joins.not_excluded(files, banned.limit(0)).count() == 5
 
 
@@ -379,3 +383,50 @@ def test_stream_of_new_files(spark, tmp_path):
 
 def test_fixed_values_stay_small_tables():
     assert len(fixed.STOP_WORDS_EN) < 200 and len(fixed.STOP_WORDS_RU) < 200
+
+
+def plain_similar(docs, query_id, floor=0.15, limit=50):
+    """Cosines of one document with all others, from words to scores."""
+    found = {k: [w for w in re.findall(r"[^\W]{2,40}", t.lower()) if w not in similarity.STOP_WORDS] for k, t in docs}
+    found = {k: w for k, w in found.items() if w}
+    df = collections.Counter(t for w in found.values() for t in set(w))
+    vectors = {k: {t: (0.5 + 0.5 * n / len(w)) * (math.log((1 + len(found)) / (1 + df[t])) + 1) for t, n in collections.Counter(w).items()}
+               for k, w in found.items()}
+    norm = {k: math.sqrt(sum(x * x for x in v.values())) for k, v in vectors.items()}
+    own = vectors.get(query_id, {})
+    scores = {k: sum(x * own.get(t, 0) for t, x in v.items()) / (norm[k] * norm[query_id]) for k, v in vectors.items() if own and k != query_id}
+    best = sorted((-round(min(1, s), 3), k) for k, s in scores.items() if s >= floor)
+    return [(k, -s) for s, k in best[:limit]]
+
+
+def zipf_texts(seed, many=400):
+    rng = random.Random(seed)
+    topics = [[f"t{k}x{i}" for i in range(12)] for k in range(10)]
+    texts = []
+    for k in range(many):
+        common = [f"c{min(int(rng.paretovariate(0.6)), 3000)}" for _ in range(rng.randrange(5, 120))]
+        texts.append(" ".join(common + [rng.choice(topics[k % 10]) for _ in range(rng.randrange(1, 25))]))
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("seed, limit", [(1, 50), (2, 5), (3, 1)])
+def test_pruned_similarity_equals_all_cosines(spark, seed, limit):
+    """Also with a document of common words only, an unknown one and after documents came in."""
+    texts = zipf_texts(seed)
+    texts.append((400, " ".join(f"c{i}" for i in range(1, 30))))
+    table = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    index = similarity.TermIndex.of(table(texts[:250])).added(table(texts[250:]))
+    for query in (7, 399, 400, 999):
+        got = [(r.doc_id, r.score) for r in similarity.similar_documents(index, query, limit=limit).collect()]
+        assert got == plain_similar(texts, query, limit=limit)
+
+
+def test_common_terms_read_a_fraction_of_the_postings():
+    """A query of thirty common and three rare terms needs few of the bands, and only the heavy postings there."""
+    common = [{"band": 15, "energy": 0.001, "most": 0.03 * 0.2, "sum": 0.03, "n": 40_000}] * 30
+    bands = {"band": 15, "energy": 0.03, "most": sum(b["most"] for b in common), "sum": 0.9, "n": 1_200_000}
+    rare = {"band": 3, "energy": 0.97, "most": 1.2, "sum": 1.7, "n": 30}
+    plan = similarity.Pruning.of([bands, rare], 0.2)
+    assert plan.bands == [3] and 0 < plan.least < 0.2 and plan.rest <= 0.2
+    everything = similarity.Pruning.of([bands, rare], 0.0)
+    assert everything.bands == [15, 3] and everything.least == 0

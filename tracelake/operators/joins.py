@@ -6,12 +6,17 @@ partition. Keys are lowered once on both sides.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions import paths
 from tracelake.operators.ordering import first_per_group
 
+#: Excluded prefixes that are put into the plan.
+FEW_PREFIXES = 10_000
+
 
 def latest_feedback(feedback: DataFrame) -> DataFrame:
     """WIN-1: the newest row per path key."""
@@ -60,14 +65,34 @@ def orphan_evidence(evidence: DataFrame, provenance: DataFrame) -> DataFrame:
     return evidence.join(provenance.select(F.col("finding_id").alias("provenance_id")), "provenance_id", "left_anti")
 
 
-def not_excluded(inventory: DataFrame, exclusions: DataFrame) -> DataFrame:
+def not_excluded(inventory: DataFrame, exclusions: DataFrame, few: int = FEW_PREFIXES) -> DataFrame:
     """FLT-10, JN-9: drop paths that start with an excluded prefix, ignoring case, at any character.
 
+    Up to `few` prefixes become hash sets in the plan, one for each length that occurs, and the inventory is filtered
+    where it lies, without a shuffle. More are met in joins (`beyond_exclusions`). A null path is never excluded.
+    """
+    known = exclusions.select(F.lower("path").alias("prefix")).filter("prefix <> ''").distinct()
+    prefixes = sorted(r["prefix"] for r in known.limit(few + 1).collect())
+    if len(prefixes) > few:
+        return beyond_exclusions(inventory, known)
+    by_length: dict[int, list[str]] = {}
+    last = None
+    for prefix in prefixes:  # one that continues another excludes nothing more
+        if last is None or not prefix.startswith(last):
+            last = prefix
+            by_length.setdefault(len(prefix.encode("utf-16-le")) // 2, []).append(prefix)
+    path = F.lower("path")
+    met = [F.substring(path, 1, n).isin(some) for n, some in sorted(by_length.items())]
+    return inventory.filter(~F.coalesce(reduce(Column.__or__, met), F.lit(False))) if met else inventory
+
+
+def beyond_exclusions(inventory: DataFrame, known: DataFrame) -> DataFrame:
+    """`not_excluded` for any number of prefixes (lower-case, distinct, not empty).
+
     A path can only be excluded by a prefix of one of the lengths that occur, so it meets the prefixes in an equi
     join, once per length. Prefixes that end inside a directory's path exclude the whole directory: distinct
-    directories are tested first, and files only against the longer prefixes. A null path is never excluded.
+    directories are tested first, and files only against the longer prefixes.
     """
-    known = exclusions.select(F.lower("path").alias("prefix")).filter("prefix <> ''").distinct()
     # Distinct lengths are bounded by the longest path a file system allows.
     sizes = F.lit(sorted(r.n for r in known.select(F.length("prefix").alias("n")).distinct().collect())).cast("array<int>")
 

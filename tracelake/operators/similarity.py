@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -9,8 +10,12 @@ from pyspark.sql import functions as F
 
 from tracelake import fixed
 from tracelake.functions import paths
-from tracelake.session import stored
+from tracelake.session import discard, stored
 
+#: Documents in one folder of an index's counts; the part of a query's postings that its first look may read.
+SLOT_DOCUMENTS, SEED_PART = 20_000, 10
+#: Scores that round alike may change places; bounds are taken this much too large against rounding.
+ROUNDED, SLACK = 0.001, 1e-9
 STOP_WORDS = fixed.STOP_WORDS_RU + fixed.STOP_WORDS_EN
 
 
@@ -43,52 +48,153 @@ def weight(n: Column, total: Column, documents: Column, df: Column) -> Column:
     return (0.5 + 0.5 * n / total) * (F.log((1 + documents) / (1 + df)) + 1.0)
 
 
-def tf_idf(counts: DataFrame, key: str = "doc_id") -> DataFrame:
-    """SIM-3: (key, total, term, n, df, w) over the whole corpus. The counts are read three times, so store them.
+def weighted(counts: DataFrame, terms: DataFrame, documents) -> DataFrame:
+    """SIM-3: counts with the frequency df and the weight w of each term.
 
     A term meets its one frequency in a join; AQE splits the rows of a term that half the documents have.
     """
+    return counts.join(terms, "term").withColumn("w", weight(F.col("n"), F.col("total"), documents, F.col("df")))
+
+
+def tf_idf(counts: DataFrame, key: str = "doc_id") -> DataFrame:
+    """SIM-3: (key, total, term, n, df, w) over the whole corpus. The counts are read three times, so store them."""
     counts = stored(counts)
-    documents = document_count(counts, key)
-    weighted = counts.join(document_frequency(counts), "term")
-    return weighted.withColumn("w", weight(F.col("n"), F.col("total"), documents, F.col("df")))
+    return weighted(counts, document_frequency(counts), document_count(counts, key))
 
 
 @dataclass
 class TermIndex:
-    """Weights of a corpus, built once and read by every request: `postings` (term, key, w) in the order of terms,
-    `documents` (key, term, w) in the order of keys and `norms` (key, norm). A request reads the row groups of one
-    document and of its terms."""
+    """An inverted index, built once and read by every request.
+
+    `counts` (key, total, term, n, slot) holds what each document says, in folders of SLOT_DOCUMENTS documents.
+    `postings` (term, key, u, band) holds the weights of unit vectors, in folders by band (the logarithm of the term's document
+    frequency) and by falling weight inside. `terms` (term, df, band, top) knows each term's largest weight.
+    A request leaves out the bands of its commonest terms and the tail of light postings of the others, as far as all
+    they could add up to stays below the score it needs.
+    """
 
     key: str
+    counts: DataFrame
     postings: DataFrame
-    documents: DataFrame
-    norms: DataFrame
+    terms: DataFrame
+    documents: int
+    slots: int
 
     @staticmethod
     def of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> TermIndex:
-        weights = stored(tf_idf(term_counts(docs, key, text), key).select(key, "term", "w"))
-        return TermIndex(key, stored(weights.repartitionByRange("term", key).sortWithinPartitions("term")),
-                         stored(weights.repartitionByRange(key, "term").sortWithinPartitions(key)),
-                         stored(weights.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))))
+        slots = max(1, docs.count() // SLOT_DOCUMENTS)
+        return TermIndex.over(key, stored(slotted(term_counts(docs, key, text), key, slots), "slot"), slots)
+
+    @staticmethod
+    def over(key: str, counts: DataFrame, slots: int) -> TermIndex:
+        """The index of stored counts."""
+        documents = counts.agg(F.count_distinct(key)).first()[0]
+        frequency = stored(document_frequency(counts))
+        weights = weighted(counts, frequency, F.lit(documents))
+        norms = weights.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+        unit = weights.join(norms, key).select("term", key, (F.col("w") / F.col("norm")).alias("u"),
+                                               F.floor(F.log2("df")).cast("int").alias("band"))
+        postings = stored(unit.repartitionByRange("band", F.desc("u"), "term", key).sortWithinPartitions("band", F.desc("u")), "band")
+        terms = stored(postings.groupBy("term", "band").agg(F.count("*").alias("df"), F.max("u").alias("top"))
+                       .select("term", "df", "band", "top"))
+        discard(frequency)
+        return TermIndex(key, counts, postings, terms, documents, slots)
+
+    def added(self, docs: DataFrame, text: str = "text") -> TermIndex:
+        """The index with further documents (of new keys). Texts that are in it are not read again; frequencies, and with
+        them all weights, are worked out anew from the counts."""
+        new = slotted(term_counts(docs, self.key, text), self.key, self.slots)
+        return TermIndex.over(self.key, stored(self.counts.unionByName(new), "slot"), self.slots)
+
+    def discard(self) -> None:
+        discard(self.counts, self.postings, self.terms)
+
+    def weights(self) -> DataFrame:
+        """(key, total, term, n, slot, df, w) of all documents."""
+        return weighted(self.counts, self.terms.select("term", "df"), F.lit(self.documents))
+
+
+def slotted(counts: DataFrame, key: str, slots: int) -> DataFrame:
+    rows = counts.withColumn("slot", F.pmod(F.xxhash64(key), F.lit(slots)).cast("int"))
+    return rows.repartition("slot") if slots > 1 else rows
+
+
+@dataclass
+class Pruning:
+    """Bands whose postings are read, the least weight read, and the most that everything else adds to a score."""
+
+    bands: list[int]
+    least: float
+    rest: float
+
+    @staticmethod
+    def of(bands: list, needed: float) -> Pruning:
+        """bands: rows (band, energy, most, sum, n) of the query: the sums of its squared weights, of its weights by the terms'
+        largest ones, and of its weights, and the number of postings.
+
+        Left-out terms add at most the root of their energy (documents are unit vectors), and at most `most`. A
+        document that has no more than `least` on any term read gains at most `least` times their sum.
+        """
+        bands = sorted(bands, key=lambda b: -b["band"])
+        energy = most = rest = 0.0
+        kept = list(bands)
+        while kept:
+            energy, most = energy + kept[0]["energy"], most + kept[0]["most"]
+            bound = min(math.sqrt(energy), most)
+            if bound >= needed * (1 - SLACK):
+                break
+            rest, kept = bound, kept[1:]
+        total = sum(b["sum"] for b in kept)
+        return Pruning([b["band"] for b in kept], max(0.0, (needed * (1 - SLACK) - rest) / total) if total else 0.0, rest)
 
 
 def similar_documents(index: TermIndex, query_id, floor: float = fixed.DOCUMENT_SIMILARITY_FLOOR,
                       limit: int = fixed.SIMILAR_LIMIT) -> DataFrame:
-    """SIM-4, TOP-2: the best matches of one document among all others of the index."""
+    """SIM-4, TOP-2: the best matches of one document among all others of the index, exactly.
+
+    The rarest terms name some documents, whose exact scores tell how good a match has to be to be among the best. With
+    that, `Pruning` chooses what is read of the postings; documents found there are scored exactly from their counts.
+    """
     key = index.key
-    query = index.documents.filter(F.col(key) == query_id).select("term", F.col("w").alias("qw"))
-    dots = index.postings.join(query, "term").groupBy(key).agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    own = index.norms.filter(F.col(key) == query_id).select("norm").scalar()
-    cosine = F.col("dot") / (F.col("norm") * own)
-    return (dots.filter(F.col(key) != query_id).join(index.norms, key).withColumn("cosine", cosine)
-            .filter(F.col("cosine") >= floor)
+    own = index.counts.filter((F.col(key) == query_id) & (F.col("slot") == slot_of(index, query_id)))
+    vector = stored(weighted(own, index.terms, F.lit(index.documents)).select("term", "w", "df", "band", "top"))
+    norm = math.sqrt(vector.agg(F.coalesce(F.sum(F.col("w") * F.col("w")), F.lit(0.0))).first()[0]) or 1.0
+    query = vector.select("term", (F.col("w") / norm).alias("q"), "df", "band", "top")
+    bands = query.groupBy("band").agg(F.sum(F.col("q") * F.col("q")).alias("energy"), F.sum(F.col("q") * F.col("top")).alias("most"),
+                                      F.sum("q").alias("sum"), F.sum("df").alias("n")).collect()
+    rare, room = [], sum(b["n"] for b in bands) // SEED_PART
+    for b in sorted(bands, key=lambda b: b["band"]):
+        if rare and b["n"] > room:
+            break
+        rare, room = [*rare, b["band"]], room - b["n"]
+    met = index.postings.filter(F.col("band").isin(rare)).join(query.select("term", "q"), "term")
+    seeds = (met.filter(F.col(key) != query_id).groupBy(key).agg(F.sum(F.col("q") * F.col("u")).alias("part"))
+             .orderBy(F.desc("part"), key).limit(2 * limit).select(key))
+    first = sorted((r["cosine"] for r in scored(index, seeds, query).collect()), reverse=True)
+    needed = max(floor, first[limit - 1] - ROUNDED) if len(first) >= limit else floor
+    plan = Pruning.of(bands, needed)
+    read = index.postings.filter(F.col("band").isin(plan.bands) & (F.col("u") >= plan.least) & (F.col(key) != query_id))
+    found = read.join(query.select("term", "q"), "term", "left_semi").select(key).distinct()
+    return (scored(index, found, query).filter(F.col("cosine") >= needed)
             .select(key, F.bround(F.least(F.lit(1.0), F.col("cosine")), 3).alias("score"),
                     F.concat(F.lit("TF-IDF Cosine Similarity: "),
                              F.bround(F.col("cosine") * 100, 0).cast("int").cast("string"), F.lit(" %")).alias("details"))
             .orderBy(F.desc("score"), F.asc(key)).limit(limit))
 
 
+def slot_of(index: TermIndex, query_id) -> Column:
+    kind = index.counts.schema[index.key].dataType
+    return F.pmod(F.xxhash64(F.lit(query_id).cast(kind)), F.lit(index.slots)).cast("int")
+
+
+def scored(index: TermIndex, keys: DataFrame, query: DataFrame) -> DataFrame:
+    """(key, cosine) of the documents `keys` names, from all their terms."""
+    rows = index.weights().join(keys, index.key, "left_semi")
+    return (rows.join(query.select("term", "q"), "term", "left").groupBy(index.key)
+            .agg(F.sum(F.col("w") * F.coalesce("q", F.lit(0.0))).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+            .select(index.key, (F.col("dot") / F.col("norm")).alias("cosine")))
+
+
 def candidate_documents(findings: DataFrame, texts: DataFrame, query_id, key: str = "doc_id") -> DataFrame:
     """Visible, readable findings with another path and some text, plus the query itself."""
     keep = (~F.col("ignored") & paths.is_text("path")) | (F.col(key) == query_id)

@@ -8,20 +8,21 @@ from tracelake.operators import similarity
 from tracelake.plans import oracle as o
 from tracelake.plans.registry import query
 from tracelake.plans.views import AS_OF, Views
+from tracelake.session import version
 
 c = F.col
 QUERY_DOC, QUERY_IMAGE = 3, 7
 
 
-INDEXES: dict[tuple[str, str], similarity.TermIndex] = {}
+INDEXES: dict[tuple[str, str], tuple[str, similarity.TermIndex]] = {}
 
 
 def index_of(v: Views) -> similarity.TermIndex:
-    """The index of a folder's documents, built by the first request of a session."""
-    name = (v.spark.sparkContext.applicationId, v.folder)
-    if name not in INDEXES:
-        INDEXES[name] = similarity.TermIndex.of(v.document_texts.select("doc_id", "text"))
-    return INDEXES[name]
+    """The index of a folder's documents, built by the first request of a session and anew when the files change."""
+    name, state = (v.spark.sparkContext.applicationId, v.folder), version(v.documents)
+    if name not in INDEXES or INDEXES[name][0] != state:
+        INDEXES[name] = (state, similarity.TermIndex.of(v.document_texts.select("doc_id", "text")))
+    return INDEXES[name][1]
 
 
 @query("sim1_term_counts", """
@@ -38,7 +39,7 @@ def _(v: Views):
 
 @query("sim3_tf_idf", "SELECT doc_id, round(sum(w), 4) AS weight, round(max(w), 4) AS top_weight FROM doc_weights GROUP BY doc_id", ("doc_weights",))
 def _(v: Views):
-    weights = index_of(v).documents
+    weights = index_of(v).weights()
     return weights.groupBy("doc_id").agg(F.round(F.sum("w"), 4).alias("weight"), F.round(F.max("w"), 4).alias("top_weight"))
 
 

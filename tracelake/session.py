@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import tempfile
@@ -63,14 +64,14 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, *by: str) -> DataFrame:
     """Write an expensive intermediate table once, as Parquet beside the checkpoints, and read it back: several
-    consumers then share the work and each reads only its columns."""
+    consumers then share the work and each reads only its columns. Columns `by` (of few values) become folders."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
-    out = spark.read.schema(df.schema).parquet(folder)
+    df.write.partitionBy(*by).parquet(folder)
+    out = spark.read.schema(df.schema).parquet(folder).select(*df.columns)
     out.stored_in = folder
     return out
 
@@ -85,6 +86,16 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def version(df: DataFrame) -> str:
+    """What tells one state of a table's files from another: a digest of their names, lengths and times."""
+    spark, digest = df.sparkSession, hashlib.sha256()
+    for name in sorted(df.inputFiles()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        state = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        digest.update(f"{name} {state.getLen()} {state.getModificationTime()}\n".encode())
+    return digest.hexdigest()
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Deal the rows of a table by key into as many partitions as the session setting `spark.tracelake.spread` names;
     without it (a cluster, where the reader's split size decides) the table is left as it is, and no text is moved.
