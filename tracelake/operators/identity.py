@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from tracelake import fixed
 from tracelake.functions import paths
 from tracelake.session import stored
 
+#: Terms that are put into the plan; bits of the filter over the anchors of more.
+FEW_TERMS, FILTER_BITS = 10_000, 1 << 20
 WORD = r"(?U)\w+"
 TERM_TYPE = "array<struct<term:string,category:string,pattern:string,anchor:string>>"
 
@@ -72,15 +75,18 @@ def identity_struct(hits: Column) -> Column:
 
 
 def with_identity(docs: DataFrame, terms: DataFrame, path: str = "path", text: str = "text", out: str = "identity",
-                  max_text_bytes: int | None = None) -> DataFrame:
+                  max_text_bytes: int | None = None, few: int = FEW_TERMS) -> DataFrame:
     """IDT-2: count every term in every document, in the row that owns the text.
 
-    The dictionary (names of one audit's people, accounts and hosts) travels inside the expression as a map from
+    Up to `few` terms (names of one audit's people, accounts and hosts) travel inside the expression as a map from
     anchor to terms: the words of the document are intersected with the anchors and only terms whose anchor occurs
-    are counted. `identity_by_join` is for dictionaries too large for that and gives the same rows.
+    are counted. More are met in a join (`identity_by_join`), which gives the same rows.
     """
+    ready = prepared_terms(terms).limit(few + 1).collect()
+    if len(ready) > few:
+        return identity_by_join(docs, terms, path, text, out, max_text_bytes)
     known_terms: dict[str, list[dict]] = {}
-    for row in prepared_terms(terms).orderBy(F.lower("term")).collect():
+    for row in ready:
         known_terms.setdefault(row["anchor"] or "", []).append(row.asDict())
     body = paths.settled(docs, "__body", content(F.col(path), F.col(text), max_text_bytes))
     known = F.from_json(F.lit(json.dumps(known_terms)), f"map<string,{TERM_TYPE}>")
@@ -88,37 +94,64 @@ def with_identity(docs: DataFrame, terms: DataFrame, path: str = "path", text: s
     # "" holds the terms without an anchor; they are tried on every document
     anchors = F.concat(F.array_intersect(words, F.map_keys(known)), F.array(F.lit("")))
     possible = F.flatten(F.array_compact(F.transform(anchors, lambda a: F.try_element_at(known, a))))
-    counted = F.transform(possible, lambda t: F.struct(
+    return counted(body, possible, out)
+
+
+def counted(body: DataFrame, possible: Column, out: str) -> DataFrame:
+    """The identity of rows with the text in __body, from the terms that may occur there."""
+    found = F.transform(possible, lambda t: F.struct(
         F.lower(t["term"]).alias("order"), t["term"].alias("term"), t["category"].alias("category"),
         F.regexp_count(F.col("__body"), t["pattern"]).alias("n")))
-    hits = F.array_sort(F.filter(counted, lambda h: h["n"] > 0))
+    hits = F.array_sort(F.filter(found, lambda h: h["n"] > 0))
     return (paths.settled(body, "__hits", hits).withColumn(out, identity_struct(F.col("__hits")))
             .drop("__body", "__hits"))
 
 
+def word_filter(words: DataFrame, name: str) -> Callable[[Column], Column]:
+    """A Bloom filter of one hash over a column of words, FILTER_BITS bits whatever their number: a test that lets
+    all of them through, and few others."""
+    slot = lambda w: F.pmod(F.xxhash64(w), F.lit(FILTER_BITS))
+    bits = (words.select(slot(F.col(name)).alias("slot")).groupBy(F.expr("slot div 64").cast("int").alias("part"))
+            .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")).collect())
+    flags = [0] * (FILTER_BITS // 64)
+    for part, value in bits:
+        flags[part] = value
+    table = F.from_json(F.lit(json.dumps(flags)), "array<long>")
+
+    def may_hold(word: Column) -> Column:
+        place = slot(word)
+        part = F.get(table, F.floor(place / 64).cast("int"))
+        return F.call_function("shiftright", part, (place % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    return may_hold
+
+
 def identity_by_join(docs: DataFrame, terms: DataFrame, path: str = "path", text: str = "text", out: str = "identity",
                      max_text_bytes: int | None = None) -> DataFrame:
-    """JN-11: candidates by equi join, then an exact count. Terms with an anchor meet the words of a document; the
-    others meet those of its three-character pieces that some term begins with (no term is shorter). Rows are told
-    apart by a number of their own, so repeated keys stay apart; the numbered rows are stored once."""
+    """JN-11: candidates by equi join, gathered to one list a row, then counted in the row that owns the text.
+
+    Terms with an anchor meet the words of a document, of which a filter lets only likely anchors leave their row. The other
+    terms meet the three-character pieces of a document that begin like one of them (no term is shorter). Rows are told
+    apart by a number of their own, so repeated keys stay apart; the numbered rows are stored once, and texts move once.
+    """
     ready = prepared_terms(terms)
     body = stored(paths.settled(docs, "__body", content(F.col(path), F.col(text), max_text_bytes))
                   .withColumn("__row", F.monotonically_increasing_id()))
+    anchored = ready.filter("anchor is not null")
     words = F.array_distinct(F.regexp_extract_all(F.lower("__body"), F.lit(WORD), F.lit(0)))
-    tokens = body.select("__row", F.explode(words).alias("anchor"))
-    pairs = tokens.join(ready.filter("anchor is not null"), "anchor").select("__row", "term", "category", "pattern")
+    tokens = body.select("__row", F.explode(F.filter(words, word_filter(anchored, "anchor"))).alias("anchor"))
+    pairs = tokens.join(anchored, "anchor").select("__row", "term", "category", "pattern")
     loose = ready.filter("anchor is null").withColumn("piece", F.lower(F.substring("term", 1, 3)))
-    wanted = F.lit([r.piece for r in loose.select("piece").distinct().collect()]).cast("array<string>")
-    pieces = F.array_intersect(F.regexp_extract_all(F.lower("__body"), F.lit("(?s)(?=(...))"), F.lit(1)), wanted)
-    near = body.select("__row", F.explode(pieces).alias("piece")).join(loose, "piece")
-    pairs = pairs.unionByName(near.select("__row", "term", "category", "pattern"))
-    counted = pairs.join(body.select("__row", "__body"), "__row").select(
-        "__row", "term", "category", F.regexp_count("__body", F.col("pattern")).alias("n"))
-    hits = counted.filter("n > 0").groupBy("__row").agg(
-        F.array_sort(F.collect_list(F.struct(F.lower("term").alias("order"), "term", "category", "n"))).alias("__hits"))
-    empty = F.array().cast("array<struct<order:string,term:string,category:string,n:int>>")
-    return (body.drop("__body").join(hits, "__row", "left")
-            .withColumn(out, identity_struct(F.coalesce("__hits", empty))).drop("__hits", "__row"))
+    # the first characters are bounded by the alphabet
+    first = [f"\\x{{{ord(r.c):x}}}" for r in loose.select(F.substring("piece", 1, 1).alias("c")).distinct().collect()]
+    if first:
+        pieces = F.array_distinct(F.regexp_extract_all(F.lower("__body"), F.lit(f"(?s)(?=([{''.join(first)}]..))"), F.lit(1)))
+        near = body.select("__row", F.explode(F.filter(pieces, word_filter(loose, "piece"))).alias("piece")).join(loose, "piece")
+        pairs = pairs.unionByName(near.select("__row", "term", "category", "pattern"))
+    lists = pairs.groupBy("__row").agg(F.collect_list(F.struct("term", "category", "pattern")).alias("__terms"))
+    met = body.join(lists, "__row", "left")
+    none = F.array().cast("array<struct<term:string,category:string,pattern:string>>")
+    return counted(met, F.coalesce("__terms", none), out).drop("__row", "__terms")
 
 
 def repaired(identity: Column) -> Column:
