@@ -96,13 +96,29 @@ def test_positions_with_a_constant_leading_key(spark):
 
 def test_circular_pages(spark):
     rows = spark.range(25)
-    for requested in (0, -1, 7, 2):
-        found, info = ordering.page(rows, [F.asc("id")], requested, 10, "id")
+    for requested, small in ((0, 1), (-1, 1), (7, 50), (2, 3)):
+        found, info = ordering.page(rows, [ordering.By("id")], requested, 10, "id", small)
         index = requested % 3
         assert info == {"page": index, "page_count": 3, "total": 25, "page_size": 10}
         assert sorted(r.id for r in found.collect()) == list(range(25))[index * 10:index * 10 + 10]
 
 
+@pytest.mark.parametrize("small", [1, 40])
+def test_first_rows_by_counting(spark, small):
+    """Ties, nulls, extremes and strings in common: the same rows as a sort, and the cut holds few of them."""
+    rng = random.Random(small)
+    rows = [(rng.choice([None, 5, 5, 5, -(1 << 63), (1 << 63) - 1, rng.randrange(100)]), rng.choice([None, 0.5, -1e300, 1e300, rng.random()]),
+             rng.choice([None, "", "same prefix a", "same prefix b", "é", "\U0001f600", str(rng.random())]), i) for i in range(700)]
+    table = spark.createDataFrame(rows, "a long, b double, s string, id long").withColumn("t", F.timestamp_seconds(F.col("id") % 50)).repartition(4).cache()
+    B = ordering.By
+    orders = [[B("a"), B("id")], [B("a", True), B("b"), B("id", True)], [B("s"), B("id")], [B("s", True), B("b", True), B("id")], [B("t", True), B("id")]]
+    for order in orders:
+        want = [r.id for r in table.orderBy(*(by.sort() for by in order)).select("id").collect()]
+        for k in (0, 1, 350, 699, 700, 900):
+            assert sorted(r.id for r in ordering.first_rows(table, order, k, "id", small).select("id").collect()) == sorted(want[:k])
+    table.unpersist()
+
+
 def test_exclusions_have_no_separator_boundary(spark):
     files = spark.createDataFrame([("C:\\r\\Archive\\i.txt",), ("C:\\r\\archives.txt",), ("C:\\r\\other\\i.txt",), (None,), ("",)], "path string")
     banned = spark.createDataFrame([("c:\\R\\archive",), ("",), (None,)], "path string")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
 
@@ -13,6 +14,9 @@ from tracelake import fixed
 from tracelake.functions import scalars
 from tracelake.session import pinned
 
+#: Ranges of a histogram, and rows level with a cut that are left to a sort.
+CELLS, SMALL = 4096, 50_000
+
 
 def first_per_group(df: DataFrame, keys: list, *order: Column) -> DataFrame:
     """WIN-1, WIN-2: one row per key. The limit runs before the shuffle, so a hot key ships one row per task."""
@@ -60,6 +64,88 @@ def positions(df: DataFrame, key: str, *order: Column) -> DataFrame:
     return _numbered(ranged, "position")
 
 
+# --- selection ------------------------------------------------------------------------------------
+
+@dataclass(frozen=True)
+class By:
+    """A column to order by: rising with nulls first, or falling with nulls last."""
+
+    name: str
+    falling: bool = False
+
+    def sort(self) -> Column:
+        return F.desc_nulls_last(self.name) if self.falling else F.asc_nulls_first(self.name)
+
+    def image(self, df: DataFrame) -> tuple[Column, bool]:
+        """A long that follows the order, and whether different values have different ones."""
+        kind, value, exact = df.schema[self.name].dataType.typeName(), F.col(self.name), True
+        if kind in ("timestamp", "timestamp_ntz"):
+            value = F.unix_micros(value.cast("timestamp"))
+        elif kind == "date":
+            value = F.unix_date(value).cast("long")
+        elif kind == "string":
+            value, exact = F.conv(F.rpad(F.hex(F.substring(value.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long"), False
+        elif kind in ("byte", "short", "integer", "long", "boolean"):
+            value = value.cast("long")
+        else:  # fractions fall together, larger ones than a long holds as well
+            wide = F.lit(float(1 << 62))
+            held = F.when(value.isNotNull(), F.greatest(-wide, F.least(wide, value.cast("double"))))
+            value, exact = F.floor(held).cast("long"), False
+        return (F.bitwise_not(value) if self.falling else value), exact
+
+
+@dataclass
+class Cut:
+    """The first rows of an order: those that `sure` names, `n_sure` of them, and some of the `n_maybe` that `maybe` names."""
+
+    sure: Column
+    maybe: Column
+    n_sure: int
+    n_maybe: int
+
+
+def cut(df: DataFrame, order: list[By], k: int, small: int = SMALL) -> Cut:
+    """Where the first k rows end, by counting: no row is moved. A histogram of CELLS ranges of the first column tells the range
+    that holds row k; it is counted in finer ranges, then by the next column, until it has at most `small` rows."""
+    sure, within, before, left = F.lit(False), F.lit(True), 0, None
+    for by in order:
+        value, exact = by.image(df)
+        low, high = df.filter(within).agg(F.min(value), F.max(value)).first()
+        while left is None or left > small:
+            low, high = (0, 0) if low is None else (low, high)
+            width = -(-(high - low + 1) // CELLS)
+            wide = "decimal(20,0)" if high - low >= 1 << 62 else "long"
+            cell = F.call_function("div", value.cast(wide) - F.lit(low).cast(wide), F.lit(width).cast(wide))
+            cell = F.when(value.isNull(), F.lit(CELLS if by.falling else -1)).otherwise(cell.cast("long"))
+            counts = sorted((r["cell"], r["count"]) for r in df.filter(within).groupBy(cell.alias("cell")).count().collect())
+            at, left = None, 0
+            for at, left in counts:
+                if before + left >= k:
+                    break
+                before += left
+            else:
+                return Cut(sure | within, F.lit(False), before, 0)
+            sure, within = sure | (within & (cell < at)), within & (cell == at)
+            if at in (-1, CELLS):
+                break
+            low, high = low + at * width, min(high, low + (at + 1) * width - 1)
+            if low == high:
+                break
+        if left is not None and (left <= small or not exact and at not in (-1, CELLS)):
+            break
+    return Cut(sure, within, before, left or 0)
+
+
+def first_rows(df: DataFrame, order: list[By], k: int, key: str, small: int = SMALL) -> DataFrame:
+    """Exactly the first k rows of an order that ends in the unique `key`; only rows level with row k are sorted."""
+    found = cut(df, order, k, small)
+    if found.n_sure + found.n_maybe <= k:
+        return df.filter(found.sure | found.maybe)
+    level = df.filter(found.maybe)
+    kept = positions(level, key, *(by.sort() for by in order)).filter(F.col("position") < k - found.n_sure).select(key)
+    return df.filter(found.sure).unionByName(level.join(kept, key, "left_semi"))
+
+
 # --- sorts ----------------------------------------------------------------------------------------
 
 SORT_KEYS = {
@@ -84,9 +170,12 @@ def finding_order(name: str, descending: bool) -> list[Column]:
     return [key.desc_nulls_last() if descending else key.asc_nulls_first(), F.asc("ordinal")]
 
 
+INITIAL = [By("exposure_score", True), By("size_bytes", True), By("ordinal")]
+
+
 def initial_order() -> list[Column]:
     """SRT-2."""
-    return [F.desc("exposure_score"), F.desc("size_bytes"), F.asc("ordinal")]
+    return [by.sort() for by in INITIAL]
 
 
 def media_order() -> list[Column]:
@@ -103,11 +192,11 @@ def report_order(sort: str) -> list[Column]:
     return [F.desc("detection_rank"), F.asc("ordinal")]
 
 
-def page(df: DataFrame, order: list[Column], requested: int, size: int = fixed.LIST_PAGE_SIZE, key: str = "finding_id"):
-    """TOP-1: rows of one circular page and its counters (page, page_count, total, size).
+def page(df: DataFrame, order: list[By], requested: int, size: int = fixed.LIST_PAGE_SIZE, key: str = "finding_id", small: int = SMALL):
+    """TOP-1: rows of one circular page and its counters (page, page_count, total, size). The order ends in a unique column.
 
-    A range sort of the order's columns and the unique key numbers all rows; the rows of the page are then fetched
-    by key. No task gathers the rows before the page.
+    Counting finds where the page starts and ends (`cut`); only its rows and those level with its ends are sorted, by the order's
+    columns and the key, and the rows of the page are then fetched by key.
     """
     if size < 1:
         raise ValueError("page size must be positive")
@@ -115,7 +204,15 @@ def page(df: DataFrame, order: list[Column], requested: int, size: int = fixed.L
     pages = max(1, math.ceil(total / size))
     index = requested % pages
     start = index * size
-    wanted = positions(df, key, *order).filter(F.col("position").between(start, start + size - 1)).select(key)
+    near, skipped = df, 0
+    if start + size < total:
+        end = cut(df, order, start + size, small)
+        near = near.filter(end.sure | end.maybe)
+    if start:
+        begin = cut(df, order, start, small)
+        near, skipped = near.filter(~begin.sure), begin.n_sure
+    place = F.col("position") + skipped
+    wanted = positions(near, key, *(by.sort() for by in order)).filter(place.between(start, start + size - 1)).select(key)
     return df.join(wanted, key, "left_semi"), {"page": index, "page_count": pages, "total": total, "page_size": size}
 
 
@@ -128,11 +225,10 @@ def presentation_page_size(tile_mode: bool, image_category: bool, tile_size: flo
 
 # --- retention ------------------------------------------------------------------------------------
 
-def kept_by_rank(rows: DataFrame, keep: int, key: str, *order: Column) -> DataFrame:
+def kept_by_rank(rows: DataFrame, keep: int, key: str, *order: By) -> DataFrame:
     """WIN-4: the first `keep` rows of an order that ends in the unique `key`. Events keep the newest ids
     (descending id); feedback literally keeps the oldest updates (ascending update time)."""
-    kept = positions(rows, key, *order).filter(F.col("position") < keep).select(key)
-    return rows.join(kept, key, "left_semi")
+    return first_rows(rows, list(order), keep, key)
 
 
 def retained(scans: DataFrame, findings: DataFrame, provenance: DataFrame, evidence: DataFrame, as_of: datetime,

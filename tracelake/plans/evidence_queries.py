@@ -152,7 +152,7 @@ PAGE = """SELECT finding_id, CAST({page} AS BIGINT) AS page, total FROM (SELECT
 
 
 def page_rows(v: Views, requested: int):
-    rows, info = ordering.page(v.findings, ordering.initial_order(), requested, 60)
+    rows, info = ordering.page(v.findings, ordering.INITIAL, requested, 60)
     return rows.select("finding_id", F.lit(info["page"]).cast("long").alias("page"), F.lit(info["total"]).cast("long").alias("total"))
 
 

@@ -155,12 +155,12 @@ def _(v: Views):
 
 @query("win4_newest_events", "SELECT event_id AS id FROM events ORDER BY event_id DESC LIMIT 700")
 def _(v: Views):
-    return ordering.kept_by_rank(v.feature_events, 700, "id", F.desc("id")).select("id")
+    return ordering.kept_by_rank(v.feature_events, 700, "id", ordering.By("id", True)).select("id")
 
 
 @query("win4_oldest_feedback", "SELECT path_key FROM feedback ORDER BY updated_at ASC, path_key LIMIT 60", ("feedback",))
 def _(v: Views):
-    return ordering.kept_by_rank(v.feedback, 60, "path_key", F.asc("updated_at"), F.asc("path_key")).select("path_key")
+    return ordering.kept_by_rank(v.feedback, 60, "path_key", ordering.By("updated_at"), ordering.By("path_key")).select("path_key")
 
 
 @query("set2_distinct_paths", "SELECT arg_min(target_path, ordinal) AS target_path FROM history_entries GROUP BY lower(target_path)", ("history_entries",))
