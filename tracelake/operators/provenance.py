@@ -104,24 +104,37 @@ def installed_match(names: DataFrame, installed: DataFrame) -> DataFrame:
     return pairs.groupBy("application").agg(F.min_by(F.struct("name", "publisher", "executable"), "position").alias("product"))
 
 
-def directory_children(inventory: DataFrame) -> DataFrame:
-    """(directory, name) of every file and subdirectory."""
-    parts = F.split(paths.backslashed("path"), r"\\")
+def subdirectories(inventory: DataFrame) -> DataFrame:
+    """(directory, name) of every directory below another. Distinct folders of files come first; only these are taken
+    apart into the folders above them."""
+    folder = F.regexp_replace(paths.backslashed("path"), r"\\[^\\]*$", "")
+    folders = inventory.filter(paths.backslashed("path").contains("\\")).select(folder.alias("__folder")).distinct()
+    parts = F.split("__folder", r"\\")
     steps = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.struct(
         F.array_join(F.slice(parts, F.lit(1), i), "\\").alias("directory"), F.get(parts, i).alias("name")))
-    return inventory.select(F.inline(F.filter(steps, lambda s: s["name"] != ""))).distinct()
+    above = F.when(F.size(parts) > 1, F.filter(steps, lambda s: s["name"] != ""))
+    return folders.select(F.inline(above)).distinct()
+
+
+def files_in(inventory: DataFrame) -> DataFrame:
+    """(directory, name) of every file, no shuffle."""
+    path = paths.backslashed("path")
+    name = F.regexp_extract(path, r"\\([^\\]*)$", 1)
+    return (inventory.select(F.regexp_replace(path, r"\\[^\\]*$", "").alias("directory"), name.alias("name"))
+            .filter(F.col("name") != ""))
 
 
 def directory_listing(inventory: DataFrame, names: int | None = None) -> DataFrame:
-    """(directory, has_manifest, names) of every directory. Whether it holds a manifest is known from all its names;
+    """(directory, has_manifest, names) of every directory. Whether it holds a manifest is known from all its names, by
+    partial maxima;
     the list itself is only for show: without `names` it is left out, else the first `names` in name order, and the
     row limit runs before the shuffle, so a directory with a third of all files ships that many rows per task."""
-    children = directory_children(inventory)
+    children = files_in(inventory).unionByName(subdirectories(inventory))
     marks = children.groupBy("directory").agg(F.max(F.lower("name").isin(NEIGHBOR_FILES)).alias("has_manifest"))
     if names is None:
         return marks.withColumn("names", F.lit(None).cast("array<string>"))
     place = Window.partitionBy("directory").orderBy("name")
-    first = (children.withColumn("n", F.row_number().over(place)).filter(F.col("n") <= names)
+    first = (children.distinct().withColumn("n", F.row_number().over(place)).filter(F.col("n") <= names)
              .groupBy("directory").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "name"))),
                                                    lambda s: s["name"]).alias("names")))
     return marks.join(first, "directory")
@@ -129,30 +142,27 @@ def directory_listing(inventory: DataFrame, names: int | None = None) -> DataFra
 
 def with_neighbors(findings: DataFrame, listing: DataFrame, shown: int | None = None) -> DataFrame:
     """PRV-6: names around the three nearest ancestors (with `shown`, the first so many). A manifest near the file counts for every ancestor above
-    it as well. Ancestors are resolved once per distinct directory; findings take part in one join."""
-    near = paths.parent(paths.backslashed("path"))
-    rows = findings.withColumn("__dir1", near)
-    around = rows.select("__dir1").distinct()
-    for i in range(2, ANCESTORS + 1):
-        around = around.withColumn(f"__dir{i}", paths.parent(F.col(f"__dir{i - 1}")))
-    for i in range(1, ANCESTORS + 1):
-        side = listing.select(F.col("directory").alias(f"__dir{i}"), F.col("names").alias(f"__names{i}"),
-                              F.col("has_manifest").alias(f"__has{i}"))
-        around = around.join(side, f"__dir{i}", "left")
+    it as well. Ancestors are resolved once per distinct directory, all in one join with the listing; findings take part in
+    another."""
+    rows = findings.withColumn("__dir", paths.parent(paths.backslashed("path")))
+    climbed = [F.col("__dir")]
+    for _ in range(1, ANCESTORS):
+        climbed.append(paths.parent(climbed[-1]))
+    around = (rows.select("__dir").distinct().filter("__dir IS NOT NULL")
+              .select("__dir", F.posexplode(F.array_compact(F.array(*climbed))).alias("__step", "directory")))
     empty = F.array().cast("array<string>")
-    seen, found, marks = empty, F.lit(False), []
-    for i in range(1, ANCESTORS + 1):
-        seen = F.concat(seen, F.coalesce(f"__names{i}", empty))
-        found = found | F.coalesce(f"__has{i}", F.lit(False))
-        marks.append(F.when(F.col(f"__dir{i}").isNotNull() & found, item(
-            "DIRECTORY_FINGERPRINT", "Parent directory contains application manifest/package metadata", 15,
-            F.col(f"__dir{i}"))))
-    first = F.transform(seen, lambda n: n)
-    distinct = F.filter(first, lambda n, i: F.array_position(F.transform(first, F.lower), F.lower(n)) == i + 1)
+    met = (around.join(listing, "directory", "left")
+           .groupBy("__dir").agg(F.array_sort(F.collect_list(F.struct(
+               "__step", "directory", F.coalesce("has_manifest", F.lit(False)).alias("has"), F.coalesce("names", empty).alias("names")))).alias("up")))
+    marks = F.transform("up", lambda x, i: F.when(F.exists(F.slice("up", F.lit(1), i + 1), lambda y: y["has"]), item(
+        "DIRECTORY_FINGERPRINT", "Parent directory contains application manifest/package metadata", 15, x["directory"])))
+    seen = F.flatten(F.transform("up", lambda x: x["names"]))
+    met = met.select("__dir", F.array_compact(marks).alias("directory_evidence"), seen.alias("__seen"))
+    distinct = F.filter("__seen", lambda n, i: F.array_position(F.transform("__seen", F.lower), F.lower(n)) == i + 1)
     if shown is not None:
         distinct = F.slice(distinct, 1, shown)
-    around = around.select("__dir1", distinct.alias("neighbors"), F.array_compact(F.array(*marks)).alias("directory_evidence"))
-    known = rows.join(around, "__dir1", "left").drop("__dir1")
+    met = met.select("__dir", "directory_evidence", distinct.alias("neighbors"))
+    known = rows.join(met, "__dir", "left").drop("__dir")
     nothing = F.array().cast(EVIDENCE_TYPE)
     return (known.withColumn("neighbors", F.coalesce("neighbors", empty))
             .withColumn("directory_evidence", F.coalesce("directory_evidence", nothing)))
