@@ -82,14 +82,17 @@ def image_disclosure(tags: DataFrame) -> DataFrame:
 
 
 def office_disclosure(members: DataFrame) -> DataFrame:
-    """EXF-2: members (path, member, xml) of Office files; only the core properties are used."""
+    """EXF-2: elements (path, position, member, piece, element, text) of Office files; only the core properties are used, the
+    first element of each name."""
     def element(name: str) -> Column:
-        return F.nullif(F.trim(F.xpath_string("xml", F.lit(f'//*[local-name()="{name}"]'))), F.lit(""))
+        first = F.min(F.when(F.col("element") == name, F.struct("position", "piece", "text")))
+        return F.nullif(F.trim(first["text"]), F.lit(""))
 
-    author, last, created = element("creator"), element("lastModifiedBy"), element("created")
+    core = members.filter("member = 'docProps/core.xml'").groupBy("path").agg(
+        F.max(F.col("error").isNotNull()).alias("bad"), element("creator").alias("author"),
+        element("lastModifiedBy").alias("last"), element("created").alias("created")).filter("NOT bad")
     none = F.lit(None).cast("string")
-    return (members.filter("member = 'docProps/core.xml'")
-            .select("path", author.alias("author"), last.alias("last"), created.alias("created"))
+    return (core
             .select("path", F.struct(
                 F.lit(False).alias("has_geolocation"), F.lit(None).cast("double").alias("latitude"),
                 F.lit(None).cast("double").alias("longitude"), F.lit(None).cast("double").alias("altitude"),

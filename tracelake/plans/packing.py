@@ -26,13 +26,14 @@ PARTS = {"docx": "word/document.xml", "xlsx": "xl/sharedStrings.xml", "pptx": "p
 
 def zipped(text: str, author: str, part: str, damage: str) -> bytes:
     """A zip with the text, a core-properties part and some entries. Damage: `malformed` footnotes, a `marked`
-    (byte-order mark) text, a `torn` text whose data no longer match their checksum, or `none` of a zip at all."""
+    (byte-order mark) text, a `torn` text whose data no longer match their checksum, `vast` footnotes that unpack to two megabytes, or `none`
+    of a zip at all."""
     if damage == "none":
         return text.encode()[:50]
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w", zipfile.ZIP_STORED if damage == "torn" else zipfile.ZIP_DEFLATED) as out:
         out.writestr("docs/passport_scan.jpg", b"x" * 10)
-        out.writestr("word/footnotes.xml", paragraphs("note", "t")[: -5 if damage == "malformed" else None])
+        out.writestr("word/footnotes.xml", paragraphs("note " * 400_000 if damage == "vast" else "note", "t")[: -5 if damage == "malformed" else None])
         body = paragraphs(text, "t")
         out.writestr(part, body.encode("utf-8-sig") if damage == "marked" else body)
         core = f"<c:p xmlns:c='urn:c'><c:creator> {escape(author)} </c:creator><c:created>2020-01-01</c:created></c:p>"

@@ -74,6 +74,19 @@ def _(v: Views):
             .select("path", "text", F.coalesce("errors", F.lit(0).cast("long")).alias("errors")))
 
 
+@query("src5_vast_members", f"""
+    SELECT 'C:\\office\\d' || doc_id || '.docx' AS path, nullif({LINES} || (CASE WHEN doc_id % 3 = 0 THEN '' ELSE ' note' END), '') AS text,
+           CASE WHEN doc_id % 3 = 0 THEN 'word/footnotes.xml' END AS member, CASE WHEN doc_id % 3 = 0 THEN 'ValueError: more than 1000000 bytes unpacked' END AS error
+    FROM documents""")
+def _(v: Views):
+    """A member that unpacks to far more than its file is given up at a bound and reported; the rest is read."""
+    damage = F.when(c("doc_id") % 3 == 0, F.lit("vast")).otherwise(F.lit(""))
+    files = pack(v.documents.select(F.concat(F.lit("C:\\office\\d"), c("doc_id").cast("string"), F.lit(".docx")).alias("path"), "text",
+                                    c("source").alias("author"), damage.alias("damage")))
+    members = stored(text.office_members(files, 1_000_000))
+    return text.office_text(members).join(text.reading_errors(members), "path", "full")
+
+
 @query("src5_sheets_and_slides", f"""
     SELECT 'C:\\office\\d' || doc_id || (CASE WHEN doc_id % 2 = 0 THEN '.xlsx' ELSE '.pptx' END) AS path, length({LINES}) AS chars, md5({LINES}) AS digest FROM documents""")
 def _(v: Views):

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from xml.parsers import expat
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,13 @@ OFFICE_MEMBERS = [
     (".pptx", r"(?i)ppt/slides/slide.*\.xml", ["t"]),
 ]
 
+# The part with a file's properties, and the elements read from it.
+CORE, PROPERTIES = "docProps/core.xml", ["creator", "lastModifiedBy", "created"]
+#: Bytes unpacked at a time, characters in a row, and unpacked bytes of a member that is read.
+CHUNK, PIECE, MOST_BYTES = 1 << 16, 1 << 20, 1 << 30
+COLUMNS = pa.schema([("path", pa.string()), ("position", pa.int32()), ("member", pa.string()), ("place", pa.int32()), ("piece", pa.int32()),
+                     ("element", pa.string()), ("text", pa.string()), ("error", pa.string())])
+
 
 def plain_files(files: DataFrame) -> DataFrame:
     """SRC-4 over (path, content): supported types that are not Office files. Other columns are kept."""
@@ -39,32 +48,108 @@ def reason(problem: Exception) -> str:
     return f"{type(problem).__name__}: {problem}"[:500]
 
 
-def read_member(archive: zipfile.ZipFile, info: zipfile.ZipInfo) -> str:
-    """The XML of a member, checked so that no later step meets a broken one."""
-    raw = archive.read(info)
-    expat.ParserCreate().Parse(raw, True)
-    return raw.decode("utf-8-sig", "replace")
-
-
-def read_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(path, content) to (path, position, member, xml, error), a row per XML member. A file that is no zip and a member
-    that is damaged, encrypted or not well-formed give a row with the error and no xml."""
-    columns = ["path", "position", "member", "xml", "error"]
-    for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
-            rows = []
-            try:
-                archive = opened(content)
-                members = [(i, m) for i, m in enumerate(archive.infolist()) if m.filename.lower().endswith(".xml")]
-            except Exception as problem:  # whatever is wrong with one file must not end the job
-                yield pd.DataFrame([(path, -1, None, None, reason(problem))], columns=columns)
-                continue
-            for i, info in members:
+class Texts:
+    """Reads an XML member as it is unpacked: the text of the wanted elements, in document order."""
+
+    def __init__(self, wanted: set[str]):
+        self.wanted, self.found, self.depth, self.name = wanted, [], 0, ""
+        self.parts: list[str] = []
+        self.parser = expat.ParserCreate()
+        self.parser.StartElementHandler, self.parser.EndElementHandler = self.start, self.end
+        self.parser.CharacterDataHandler, self.parser.EntityDeclHandler = self.data, self.entity
+
+    def start(self, name: str, _) -> None:
+        if self.depth:
+            self.depth += 1
+        elif (local := name.rpartition(":")[2]) in self.wanted:
+            self.depth, self.name, self.parts = 1, local, []
+
+    def end(self, _) -> None:
+        if self.depth:
+            self.depth -= 1
+            if not self.depth:
+                self.found.append((self.name, "".join(self.parts)))
+
+    def data(self, text: str) -> None:
+        if self.depth:
+            self.parts.append(text)
+
+    def entity(self, *_) -> None:
+        raise ValueError("entity declarations are not read")
+
+
+def element_texts(archive: zipfile.ZipFile, info: zipfile.ZipInfo, wanted: set[str], most: int) -> Iterator[tuple[str, str]]:
+    """(element, text) of a member, unpacked CHUNK bytes at a time; over `most` unpacked bytes it is given up."""
+    texts, size = Texts(wanted), 0
+    with archive.open(info) as stream:
+        while chunk := stream.read(CHUNK):
+            size += len(chunk)
+            if size > most:
+                raise ValueError(f"more than {most} bytes unpacked")
+            texts.parser.Parse(chunk, False)
+            yield from texts.found
+            texts.found.clear()
+        texts.parser.Parse(b"", True)
+
+
+def member_elements(extension: str, name: str) -> tuple[int | None, set[str]] | None:
+    """The reading order and the elements of a member that holds text (order null: properties), else nothing."""
+    for order, (kind, pattern, elements) in enumerate(OFFICE_MEMBERS):
+        if kind == extension and re.fullmatch(pattern, name):
+            return order, set(elements)
+    return (None, set(PROPERTIES)) if name == CORE else None
+
+
+def read_members(most: int):
+    """A function from (path, content) to rows of COLUMNS: the text of a file's members in pieces of about PIECE characters,
+    each property of its core part, and every problem. A file that is no zip and a member that is damaged, encrypted, not
+    well-formed or larger than `most` bytes give a row with the error; a member's pieces may come before its error."""
+
+    def run(batches):
+        rows: list[tuple] = []
+
+        def flushed(least: int = 0):
+            if rows and sum(len(r[6] or "") for r in rows) >= least:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), COLUMNS)], schema=COLUMNS)
+                rows.clear()
+
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
                 try:
-                    rows.append((path, i, info.filename, read_member(archive, info), None))
-                except Exception as problem:
-                    rows.append((path, i, info.filename, None, reason(problem)))
-            yield pd.DataFrame(rows, columns=columns)
+                    archive = opened(content.as_py())
+                    members = list(enumerate(archive.infolist()))
+                except Exception as problem:  # whatever is wrong with one file must not end the job
+                    rows.append((path, -1, None, None, 0, None, None, reason(problem)))
+                    continue
+                extension = "." + path.rpartition(".")[2].lower()
+                for i, info in members:
+                    rule = member_elements(extension, info.filename)
+                    if rule is None:
+                        continue
+                    place, number, size, held = rule[0], 0, 0, []
+                    error = None
+                    try:
+                        for name, text in element_texts(archive, info, rule[1], most):
+                            if place is None:
+                                rows.append((path, i, info.filename, None, number, name, text, None))
+                                number += 1
+                            elif text.strip(" "):
+                                held.append(text)
+                                size += len(text)
+                                if size >= PIECE:
+                                    rows.append((path, i, info.filename, place, number, None, " ".join(held), None))
+                                    number, size, held = number + 1, 0, []
+                                    yield from flushed(4 * PIECE)
+                    except Exception as problem:
+                        error = reason(problem)
+                    if held:
+                        rows.append((path, i, info.filename, place, number, None, " ".join(held), None))
+                    if error:
+                        rows.append((path, i, info.filename, place, number + 1, None, None, error))
+                yield from flushed(4 * PIECE)
+        yield from flushed()
+
+    return run
 
 
 def list_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -80,11 +165,12 @@ def list_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=columns).astype({"size_bytes": "Int64"})
 
 
-def office_members(files: DataFrame) -> DataFrame:
-    """XML members of Office files; rows with an error have no xml."""
+def office_members(files: DataFrame, most: int = MOST_BYTES) -> DataFrame:
+    """Text and properties of Office files, in pieces (see `read_members`): path, position, member, place, piece, element,
+    text, error. Memory is bounded by a piece, whatever a member unpacks to; members over `most` bytes are reported."""
     office = files.filter(paths.extension("path").isin(".docx", ".xlsx", ".pptx"))
-    return office.select("path", "content").mapInPandas(
-        read_members, "path string, position int, member string, xml string, error string")
+    return office.select("path", "content").mapInArrow(
+        read_members(most), "path string, position int, member string, place int, piece int, element string, text string, error string")
 
 
 def reading_errors(members: DataFrame) -> DataFrame:
@@ -104,28 +190,12 @@ def archive_entries(files: DataFrame) -> DataFrame:
         list_members, "archive string, position int, entry_name string, size_bytes long, error string")
 
 
-def member_rule(attribute: int) -> Column:
-    value = None
-    for order, (ext, pattern, elements) in enumerate(OFFICE_MEMBERS):
-        names = " or ".join(f'local-name()="{e}"' for e in elements)
-        chosen = F.lit((order, f"//*[{names}]/text()")[attribute])
-        hit = (paths.extension("path") == ext) & F.col("member").rlike(f"^{pattern}$")
-        value = F.when(hit, chosen) if value is None else value.when(hit, chosen)
-    return value
-
-
 def office_text(members: DataFrame) -> DataFrame:
-    """SRC-5: text elements joined by spaces, members in reading order. Spark parses the XML; members that could not
-    be read are left out (see `reading_errors`)."""
-    texts = None
-    for _, _, elements in OFFICE_MEMBERS:
-        names = " or ".join(f'local-name()="{e}"' for e in elements)
-        query = F.xpath("xml", F.lit(f"//*[{names}]/text()"))
-        hit = member_rule(1) == f"//*[{names}]/text()"
-        texts = F.when(hit, query) if texts is None else texts.when(hit, query)
-    kept = F.filter(texts, lambda t: F.trim(t) != "")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "position", "text"))),
-                                      lambda s: s["text"]), " ")
-    return (members.filter("xml is not null").withColumn("place", member_rule(0)).filter("place is not null")
-            .withColumn("text", F.array_join(kept, " ")).filter("text <> ''")
-            .groupBy("path").agg(joined.alias("text")))
+    """SRC-5: text elements joined by spaces, members in reading order. Members that could not be read to their end are
+    left out (see `reading_errors`)."""
+    rows = members.filter("place IS NOT NULL")
+    pieces = F.array_sort(F.collect_list(F.struct("place", "position", "piece", "text")))
+    bad = F.collect_set(F.when(F.col("error").isNotNull(), F.col("position")))
+    whole = F.filter("pieces", lambda p: p["text"].isNotNull() & ~F.array_contains("bad", p["position"]))
+    return (rows.groupBy("path").agg(pieces.alias("pieces"), bad.alias("bad"))
+            .select("path", F.array_join(F.transform(whole, lambda p: p["text"]), " ").alias("text")).filter("text <> ''"))
