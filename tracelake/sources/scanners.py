@@ -78,19 +78,22 @@ class Registry:
 def run_stages(spark: SparkSession, registry: Registry, routes: DataFrame, findings: DataFrame,
                state: DataFrame | None = None,
                on_stage: Callable[[str, DataFrame], None] | None = None,
-               on_error: Callable[[str, Exception], None] | None = None) -> tuple[DataFrame, DataFrame]:
-    """TRI-6: one Spark job per detector over its pending routes. Unavailable detectors and failing stages are
-    skipped (`on_error` hears why). After a stage every route of it is completed, also those of findings that are gone;
-    failing rows are failed in addition, so they are not tried again. Returns the findings with their new evidence
-    and the route states.
-
-    Findings and routes are stored once; a finding carries the detectors it is routed to, so a stage is a filter.
+               on_error: Callable[[str, Exception], None] | None = None, texts: tuple[str, ...] = ("text", "content")) -> tuple[DataFrame, DataFrame]:
+    """TRI-6: one Spark job per detector over its pending routes. Unavailable detectors, those whose findings are all gone
+    and failing stages are skipped (`on_error` hears why). After a stage every route of it is completed, also those of
+    findings that are gone; failing rows are failed in addition, so they are not tried again. Returns the findings with
+    their new evidence, without the columns `texts`, and the route states.
+
+    Columns `texts` stay where they are: a stage reads those of its findings, and what is stored and checkpointed are
+    the other columns. A finding carries the detectors it is routed to, so a stage is a filter.
     """
     states = state if state is not None else spark.createDataFrame([], STATE_TYPE)
     pending = stored(joins.pending_routes(routes, states).select("finding_id", "scanner_id"))
     scanners = [r["scanner_id"] for r in routes.select("scanner_id").distinct().orderBy("scanner_id").collect()]
     asked = pending.groupBy("finding_id").agg(F.collect_set("scanner_id").alias("__asked"))
-    findings = stored(findings.join(asked, "finding_id", "left"))
+    wide = [c for c in findings.columns if c in texts]
+    bodies = findings.select("finding_id", *wide)
+    findings = stored(findings.drop(*wide).join(asked, "finding_id", "left"))
     results = [states]
     for scanner in scanners:
         todo = pending.filter(F.col("scanner_id") == scanner)
@@ -101,16 +104,22 @@ def run_stages(spark: SparkSession, registry: Registry, routes: DataFrame, findi
         mine = F.coalesce(F.array_contains("__asked", scanner), F.lit(False))
         try:
             failed = F.lit(False) if detector.failed is None else F.coalesce(detector.failed, F.lit(False))
-            detected = pinned(detector.detect(findings.filter(mine)).withColumn("__failed", failed)
+            given = findings.filter(mine)
+            given = given.join(bodies, "finding_id") if wide else given
+            detected = pinned(detector.detect(given).withColumn("__failed", failed)
                               .withColumn("__confirmed", F.coalesce(detector.confirmed, F.lit(False)))
                               .withColumn("scan_status", F.when(failed, F.col("scan_status"))
-                                          .otherwise(ev.status_with(scanner))))
+                                          .otherwise(ev.status_with(scanner))).drop(*wide))
+            gone = detected.isEmpty()
         except Exception as problem:  # a broken stage must not end the audit
             logging.getLogger(__name__).warning("stage %s is skipped: %s", scanner, problem)
             if on_error is not None:
                 on_error(scanner, problem)
             results.append(todo.withColumn("state", F.lit("skipped")))
             continue
+        if gone:
+            results.append(todo.withColumn("state", F.lit("skipped")))
+            continue
         results.append(todo.withColumn("state", F.lit("completed")))
         results.append(detected.filter("__failed").select("finding_id", F.lit(scanner).alias("scanner_id"),
                                                           F.lit("failed").alias("state")))
