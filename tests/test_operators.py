@@ -446,3 +446,17 @@ def test_common_terms_read_a_fraction_of_the_postings():
     assert plan.bands == [3] and 0 < plan.least < 0.2 and plan.rest <= 0.2
     everything = similarity.Pruning.of([bands, rare], 0.0)
     assert everything.bands == [15, 3] and everything.least == 0
+
+
+def test_walked_folders(spark, tmp_path):
+    """Nested, empty and missing folders, links in a circle, and roots inside roots."""
+    for name in ("a/b/c/x.txt", "a/y.bin", "z"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(name.encode())
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "a" / "again").symlink_to(tmp_path)
+    rows = inventory.walked(spark, [f"{tmp_path}/", f"{tmp_path}/a", f"file://{tmp_path}/a/b", f"{tmp_path}-missing"]).collect()
+    plain = [(r.path.removeprefix(f"{tmp_path}/"), r.is_directory) for r in rows if not r.path.startswith("file:") and r.error is None]
+    assert sorted(plain) == [("a", True), ("a/b", True), ("a/b/c", True), ("a/b/c/x.txt", False), ("a/y.bin", False), ("empty", True), ("z", False)]
+    assert {r.path.rpartition("/")[2]: r.size_bytes for r in rows if r.is_directory is False} == {"x.txt": 11, "y.bin": 7, "z": 1}
+    assert [r.path for r in rows if r.error] == [f"{tmp_path}-missing"] and all(r.modified_at for r in rows if not r.error)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 import uuid
 
 from pyspark.sql import functions as F
@@ -32,6 +34,33 @@ def _(v: Views):
     return inv.files_below(v.inventory, roots).select("path", "size_bytes")
 
 
+def unpacked(root: str):
+    """Writes (name, text) as files below a folder that all tasks see, and gives back the names."""
+    def run(batches):
+        for batch in batches:
+            for name, body in zip(batch.column("name").to_pylist(), batch.column("text").to_pylist()):
+                path = f"{root}/{name}"
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(path, "wb") as out:
+                    out.write((body or "").encode())
+            yield batch.select(["name"])
+
+    return run
+
+
+@query("src1_walked_folders", """
+    SELECT name, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS size_bytes FROM (
+      SELECT coalesce(lang, 'none') || '/' || (doc_id % 7) || '/' || (doc_id % 3) || '/' || doc_id || '.txt' AS name, text FROM documents)""")
+def _(v: Views):
+    """The documents as files of a tree, found again by walking it."""
+    root = re.sub(r"^file:/*", "/", scratch(v))
+    number = lambda n: (c("doc_id") % n).cast("string")
+    name = F.concat_ws("/", F.coalesce("lang", F.lit("none")), number(7), number(3), F.concat(c("doc_id").cast("string"), F.lit(".txt")))
+    v.documents.select(name.alias("name"), "text").mapInArrow(unpacked(root), "name string").write.format("noop").mode("overwrite").save()
+    files = inv.walked(v.spark, [root]).filter("NOT is_directory")
+    return files.select(F.expr(f"substring(path, {len(root) + 2})").alias("name"), "size_bytes")
+
+
 @query("src4_plain_text", f"""
     SELECT finding_id, length(text) AS chars, md5(text) AS digest FROM documents JOIN inventory ON ordinal = doc_id
     WHERE {o.extension('path')} IN {o.in_list(o.fixed.PLAIN_TEXT_EXTENSIONS)}""", ("inventory",))

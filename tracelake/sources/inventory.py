@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import os
+import re
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake import fixed
 from tracelake.functions import paths
 from tracelake.operators.joins import not_excluded
+from tracelake.session import stored
+
+LISTED = 10_000  # rows that a task gathers while it lists
 
 
 def listed_files(spark: SparkSession, roots: list[str]) -> DataFrame:
@@ -16,6 +26,64 @@ def listed_files(spark: SparkSession, roots: list[str]) -> DataFrame:
             .select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at")))
 
 
+WALKED = "path string, size_bytes long, modified_at timestamp, is_directory boolean, error string"
+
+
+def children(folder: str) -> Iterator[tuple[str, int, float, bool]]:
+    """(path, size, seconds, is a folder) of what lies in a folder; links are not followed. A path without scheme, or of the
+    scheme file, is read where the task runs (a mounted file system), others through Arrow's file systems."""
+    scheme, _, rest = folder.partition(":")
+    if not rest or len(scheme) == 1 or scheme == "file":
+        with os.scandir(re.sub(r"^file:/*", "/", folder)) as found:
+            for entry in found:
+                if not entry.is_symlink():
+                    state = entry.stat()
+                    yield f"{folder.rstrip('/')}/{entry.name}", state.st_size, state.st_mtime, entry.is_dir()
+        return
+    system, path = fs.FileSystem.from_uri(folder)
+    for info in system.get_file_info(fs.FileSelector(path)):
+        at = info.mtime.timestamp() if info.mtime else 0.0
+        yield f"{folder.rstrip('/')}/{info.base_name}", info.size or 0, at, info.type == fs.FileType.Directory
+
+
+def list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What lies in each folder, LISTED rows at a time; a folder that cannot be read is one row with the error."""
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        path, size, at, folder, error = zip(*rows)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(path, pa.string()), pa.array(size, pa.int64()),
+             pa.array([None if t is None else int(t * 1_000_000) for t in at], pa.timestamp("us", "UTC")), pa.array(folder, pa.bool_()),
+             pa.array(error, pa.string())], ["path", "size_bytes", "modified_at", "is_directory", "error"])
+
+    for batch in batches:
+        rows: list[tuple] = []
+        for folder in batch.column("path").to_pylist():
+            try:
+                for child in children(folder):
+                    rows.append((*child, None))
+                    if len(rows) >= LISTED:
+                        yield batch_of(rows)
+                        rows = []
+            except Exception as problem:  # one folder must not end the walk
+                rows.append((folder, None, None, True, f"{type(problem).__name__}: {problem}"[:500]))
+        if rows:
+            yield batch_of(rows)
+
+
+def walked(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """SRC-1: everything below the roots (WALKED), listed by tasks. Each round lists the folders that the round before has
+    found, until none is left, so the driver sees neither files nor folders. Roots inside others are left out; links are not followed."""
+    outer = [r for r in sorted({r.rstrip("/") or "/" for r in roots})]
+    outer = [r for r in outer if not any(r != o and r.startswith(o.rstrip("/") + "/") for o in outer)]
+    folders, found = spark.createDataFrame([(r,) for r in outer], "path string"), []
+    while True:
+        dealt = folders.repartition(max(2, spark.sparkContext.defaultParallelism), F.xxhash64("path"))
+        found.append(stored(dealt.mapInArrow(list_folders, WALKED)))
+        folders = found[-1].filter("is_directory AND error IS NULL").select("path")
+        if folders.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+
+
 def files_below(inventory: DataFrame, roots: DataFrame) -> DataFrame:
     """SRC-1 from an inventory table (path, size_bytes, modified_at, is_directory): the files below the roots (path).
     Every directory of the table meets the roots once for each of its ancestors, in an equi join."""
