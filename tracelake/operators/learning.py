@@ -9,17 +9,16 @@ from datetime import datetime
 from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracelake import fixed
 from tracelake.functions import paths, scalars
 from tracelake.operators import evidence as ev
-from tracelake.session import stored
+from tracelake.session import discard, stored
 
 # Feature names in the stored feature document.
 NUMERIC = [
@@ -162,8 +161,14 @@ def pipeline() -> Pipeline:
 
 
 def samples(rows: DataFrame) -> DataFrame:
-    """Training rows (label, features) as flat columns."""
-    return rows.select("features.*", F.col("label").cast("double").alias("target"))
+    """Training rows (label, features, perhaps path_key) as flat columns, with a key of their own."""
+    key = F.col("path_key") if "path_key" in rows.columns else F.to_json("features")
+    return rows.select("features.*", F.col("label").cast("double").alias("target"), key.alias("row_id"))
+
+
+def fold(key: str, folds: int = 5) -> Column:
+    """A number below `folds` from the md5 of the key, which any database can repeat."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{SPLIT_SEED}:"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long") % folds
 
 
 def precision_at(scored: DataFrame, order: str, top: int = TOP) -> tuple[int, int]:
@@ -173,29 +178,47 @@ def precision_at(scored: DataFrame, order: str, top: int = TOP) -> tuple[int, in
     return row["good"], row["n"]
 
 
+def score_metrics(scored: DataFrame) -> DataFrame:
+    """ML-4 of stored scores (row_id, target 0 or 1, score 0 to 1, baseline), one row: accuracy, precision, recall and F1 at one
+    half, the area under the receiver curve by rank sums (ties count half), average precision, and the positives among
+    the first 20 by score and by baseline. Counts are gathered by distinct score first; without positives or
+    negatives the figures that need them are 0.
+    """
+    positive, liked = F.col("target") > 0, F.col("score") > 0.5
+    share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    by = scored.groupBy("score").agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
+    falling = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = by.select("score", "pos", "neg", F.sum("pos").over(falling).alias("tp"), F.sum("neg").over(falling).alias("fp"))
+    sums = run.agg(
+        F.coalesce(F.sum(F.col("pos") + F.col("neg")), F.lit(0)).alias("n"), F.coalesce(F.sum("pos"), F.lit(0)).alias("p"),
+        F.coalesce(F.sum("neg"), F.lit(0)).alias("f"),
+        F.coalesce(F.sum(F.when(liked, F.col("pos")).otherwise(0)), F.lit(0)).alias("tp"),
+        F.coalesce(F.sum(F.when(liked, F.col("neg")).otherwise(0)), F.lit(0)).alias("fp"),
+        F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)).alias("wins"),
+        F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precisions"))
+    top = lambda order: (scored.orderBy(F.desc(order), F.asc("row_id")).limit(TOP)
+                         .agg(F.count("*").alias(f"shown_{order}"), F.count_if(positive).alias(f"good_{order}")))
+    row = sums.crossJoin(top("score")).crossJoin(top("baseline"))  # one row each
+    c = F.col
+    precision, recall = share(c("tp"), c("tp") + c("fp")), share(c("tp"), c("p"))
+    return row.select(
+        c("n").alias("validation_samples"), share(c("tp") + c("f") - c("fp"), c("n")).alias("accuracy"),
+        precision.alias("precision"), recall.alias("recall"), share(2 * precision * recall, precision + recall).alias("f1"),
+        share(c("wins"), c("p") * c("f")).alias("roc_auc"), share(c("precisions"), c("p")).alias("pr_auc"),
+        share(c("good_score"), c("shown_score")).alias("precision_at_20"),
+        share(c("good_baseline"), c("shown_baseline")).alias("baseline_precision_at_20"),
+        F.greatest(F.lit(0).cast("long"), c("good_score") - c("good_baseline")).alias("lifted_into_top_20"))
+
+
 def validation_metrics(rows: DataFrame) -> dict:
-    """ML-4: accuracy, precision, recall, F1, both areas and the lift at 20 on a held-out fifth. The fifth is
-    chosen by a hash of the row, so training and test never share one; scores are stored once for all metrics."""
-    fold = F.pmod(F.xxhash64(*rows.columns, F.lit(SPLIT_SEED)), F.lit(5))
-    scored = pipeline().fit(rows.filter(fold != 0)).transform(rows.filter(fold == 0))
-    scored = stored(scored.withColumn("probability_of_interest", vector_to_array("probability")[1])
-                    .withColumn("row_id", F.xxhash64(*NUMERIC, *CATEGORICAL)))
-
-    def multi(name: str) -> float:
-        return MulticlassClassificationEvaluator(labelCol="target", metricName=name, metricLabel=1.0).evaluate(scored)
-
-    def area(name: str) -> float:
-        return BinaryClassificationEvaluator(labelCol="target", metricName=name).evaluate(scored)
-
-    good, shown = precision_at(scored, "probability_of_interest")
-    base_good, base_shown = precision_at(scored, "ExposureScore")
-    return {
-        "validation_samples": scored.count(), "accuracy": multi("accuracy"), "precision": multi("precisionByLabel"),
-        "recall": multi("recallByLabel"), "f1": multi("fMeasureByLabel"), "roc_auc": area("areaUnderROC"),
-        "pr_auc": area("areaUnderPR"), "precision_at_20": good / shown if shown else 0.0,
-        "baseline_precision_at_20": base_good / base_shown if base_shown else 0.0,
-        "lifted_into_top_20": max(0, good - base_good),
-    }
+    """ML-4: metrics on a held-out fifth, chosen by a hash of the row's key, so that training and test never share one.
+    Scores are stored once for all metrics."""
+    held = fold("row_id") == 0
+    scored = pipeline().fit(rows.filter(~held)).transform(rows.filter(held))
+    scored = stored(scored.select("row_id", "target", vector_to_array("probability")[1].alias("score"), F.col("ExposureScore").alias("baseline")))
+    metrics = score_metrics(scored).first().asDict()
+    discard(scored)
+    return metrics
 
 
 def train(rows: DataFrame) -> tuple[PipelineModel, dict]:

@@ -92,6 +92,35 @@ def _(v: Views):
     return scored.agg(F.lit(shown_rows).cast("long").alias("shown"), F.lit(good).cast("long").alias("positives"))
 
 
+HELD = "('0x' || substr(md5('1701:' || path_key), 1, 8))::BIGINT % 5 = 0"
+
+
+@query("ml4_score_metrics", f"""
+    WITH scored AS (
+      SELECT r.path_key AS row_id, r.label, f.exposure_score / CAST(100 AS DOUBLE) AS score, f.size_bytes AS baseline
+      FROM findings f JOIN (SELECT path_key, arg_max(label, updated_at) AS label FROM feedback GROUP BY path_key) r ON upper(f.path) = r.path_key WHERE {HELD}),
+    pairs AS (SELECT sum(CASE WHEN p.score > n.score THEN 1 WHEN p.score = n.score THEN 0.5::DOUBLE ELSE 0 END) AS wins FROM scored p JOIN scored n ON p.label AND NOT n.label),
+    points AS (SELECT score, count(*) FILTER (label) AS pos, sum(count(*) FILTER (label)) OVER w AS tp, sum(count(*)) OVER w AS seen FROM scored GROUP BY score WINDOW w AS (ORDER BY score DESC)),
+    sums AS (SELECT count(*) AS n, count(*) FILTER (label) AS p, count(*) FILTER (NOT label) AS f, count(*) FILTER (label AND score > 0.5) AS tp, count(*) FILTER (NOT label AND score > 0.5) AS fp FROM scored),
+    first AS (SELECT (SELECT count(*) FILTER (label) FROM (SELECT label FROM scored ORDER BY score DESC, row_id LIMIT 20)) AS good,
+                     (SELECT count(*) FILTER (label) FROM (SELECT label FROM scored ORDER BY baseline DESC, row_id LIMIT 20)) AS base)
+    SELECT CAST(n AS BIGINT) AS validation_samples, round(CASE WHEN n > 0 THEN (tp + f - fp) / CAST(n AS DOUBLE) ELSE 0 END, 9) AS accuracy,
+           round(CASE WHEN tp + fp > 0 THEN tp / CAST(tp + fp AS DOUBLE) ELSE 0 END, 9) AS precision, round(CASE WHEN p > 0 THEN tp / CAST(p AS DOUBLE) ELSE 0 END, 9) AS recall,
+           round(CASE WHEN tp > 0 THEN 2 * tp / CAST(2 * tp + fp + p - tp AS DOUBLE) ELSE 0 END, 9) AS f1,
+           round(CASE WHEN p * f > 0 THEN wins / CAST(p * f AS DOUBLE) ELSE 0 END, 9) AS roc_auc,
+           round(CASE WHEN p > 0 THEN (SELECT sum(pos * tp / CAST(seen AS DOUBLE)) FROM points) / CAST(p AS DOUBLE) ELSE 0 END, 9) AS pr_auc,
+           round(CASE WHEN n > 0 THEN good / CAST(least(n, 20) AS DOUBLE) ELSE 0 END, 9) AS precision_at_20,
+           round(CASE WHEN n > 0 THEN base / CAST(least(n, 20) AS DOUBLE) ELSE 0 END, 9) AS baseline_precision_at_20, CAST(greatest(0, good - base) AS BIGINT) AS lifted_into_top_20
+    FROM sums, pairs, first""", ("feedback", "findings"))
+def _(v: Views):
+    """All metrics over the same fifth of the rated findings that training holds out, with their exposure as the score."""
+    rated = joins.with_feedback(v.findings, v.feedback).filter("personal_label is not null").withColumn("row_id", F.upper("path"))
+    scored = rated.filter(learning.fold("row_id") == 0).select(
+        "row_id", c("personal_label").cast("double").alias("target"), (c("exposure_score") / 100).alias("score"), c("size_bytes").cast("double").alias("baseline"))
+    found = learning.score_metrics(scored)
+    return found.select(*[F.round(n, 9).alias(n) if t == "double" else c(n).cast("long").alias(n) for n, t in found.dtypes])
+
+
 @query("ml4_training_metrics")
 def _(v: Views):
     _, facts = learning.train(training(v))
