@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tracelake import fixed
+from tracelake.operators import config
 
 DAY0 = "TIMESTAMP '2024-06-01'"
 
@@ -391,12 +392,37 @@ CTES: dict[str, tuple[list[str], str]] = {
 }
 
 
+def named_parts(parts: list[str], name: str) -> str:
+    return "(" + " OR ".join(f"contains({name}, '_{part}_')" for part in parts) + ")"
+
+
+SNAKE = ("'_' || lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(name, '([A-Z]+)([A-Z][a-z])', '\\1_\\2', 'g'), "
+         "'([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) || '_'")
+ASSIGNED_LINE = config.ASSIGNMENT.replace("'", "''")
+CTES["config_counts"] = ([], f"""
+        SELECT doc_id, count(*) AS n FROM (
+          SELECT *, {SNAKE} AS snake, regexp_replace(trim(value), '^["'']+|["'',;]+$', '', 'g') AS bare FROM (
+            SELECT doc_id, unnest(regexp_extract_all(text, '{ASSIGNED_LINE}', 1)) AS name, unnest(regexp_extract_all(text, '{ASSIGNED_LINE}', 2)) AS value
+            FROM documents))
+        WHERE {named_parts(config.SENSITIVE_PARTS, 'snake')} AND NOT {named_parts(config.HARMLESS_PARTS, 'snake')}
+          AND CASE WHEN regexp_matches(lower(value), '^{config.ENVIRONMENT_READ}') THEN regexp_extract(value, '{config.FALLBACK.replace("'", "''")}', 1) <> ''
+                   ELSE NOT regexp_matches(bare, '^(?:\\$\\{{[A-Za-z0-9_]+\\}}|\\$[A-Z][A-Z0-9_]*|%[A-Za-z0-9_]+%|<[^>]*>)$')
+                        AND lower(bare) NOT IN {in_list(config.PLACEHOLDERS)} AND NOT regexp_matches(lower(bare), '^(?:your[_-].*|x+|\\*+)$')
+                        AND NOT (trim(value) = bare AND regexp_matches(bare, '^[A-Za-z_][A-Za-z0-9_]*(?:\\.[A-Za-z_][A-Za-z0-9_]*)+(?:\\(.*)?$')) END
+        GROUP BY doc_id""")
+
+
 # The audit with the evidence that detectors found in the texts; `secret_counts` is added where its patterns are.
-CTES["text_audited"] = (["audited", "pii_counts", "secret_counts", "identity_counts"], f"""
+# Every zip made of a text lists one sensitive entry, every Office file names its author and a date.
+CTES["text_audited"] = (["audited", "pii_counts", "secret_counts", "identity_counts", "config_counts"], f"""
         SELECT a.* REPLACE (coalesce(p.n, 0) AS pii_total, coalesce(s.total_matches, 0) AS sec_total, coalesce(i.n, 0) AS idt_total,
-                            true AS done_pii, true AS done_secrets, true AS done_identity)
+                            g.n IS NOT NULL AS cfg_is, CASE WHEN ext = '.zip' THEN 1 END AS arc_sensitive, CASE WHEN ext = '.zip' THEN 'Critical' END AS arc_score,
+                            CASE WHEN ext <> '.docx' THEN exif_fields WHEN coalesce(author, '') <> '' THEN 2 ELSE 1 END AS exif_fields,
+                            exif_gps AND ext <> '.docx' AS exif_gps, ext = '.docx' OR done_exif AS done_exif,
+                            true AS done_pii, true AS done_secrets, true AS done_identity, true AS done_configs)
         FROM audited a LEFT JOIN (SELECT key, {' + '.join(KINDS)} AS n FROM pii_counts) p ON p.key = 'd' || a.ordinal
-        LEFT JOIN secret_counts s ON s.key = 'd' || a.ordinal
+        LEFT JOIN secret_counts s ON s.key = 'd' || a.ordinal LEFT JOIN config_counts g ON g.doc_id = a.ordinal
+        LEFT JOIN (SELECT doc_id, trim(source, ' ') AS author FROM documents) d ON d.doc_id = a.ordinal
         LEFT JOIN (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n FROM identity_counts GROUP BY doc_id) i ON i.doc_id = a.ordinal""")
 CTES["text_ranked"] = (["text_audited"], CTES["ranked"][1].replace("FROM audited", "FROM text_audited"))
 

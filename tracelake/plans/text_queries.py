@@ -235,14 +235,16 @@ def _(v: Views):
 
 @query("audit_ranks_from_texts", """
     SELECT finding_id, CAST(pii_total AS BIGINT) AS personal, CAST(sec_total AS BIGINT) AS secrets, CAST(idt_total AS BIGINT) AS mentions,
-           CAST(confirmed_categories AS BIGINT) AS confirmed_categories, CAST(evidence_count AS BIGINT) AS evidence_count,
+           cfg_is AS configured, CAST(arc_sensitive AS BIGINT) AS archived, CAST(exif_fields AS BIGINT) AS disclosed, CAST(confirmed_categories AS BIGINT) AS confirmed_categories, CAST(evidence_count AS BIGINT) AS evidence_count,
            CAST(objective_risk AS BIGINT) AS objective_risk, CAST(privacy_rank AS BIGINT) AS privacy_rank, CAST(detection_rank AS BIGINT) AS detection_rank
     FROM text_ranked""", ("text_ranked",))
 def _(v: Views):
     """The audit from end to end: detectors over the texts, their evidence merged into the findings, then the ranks."""
     rows = evidence.with_ranks(v.text_audited)
     return rows.select("finding_id", *(c(f).cast("long").alias(n) for f, n in (
-        ("pii.total_matches", "personal"), ("secrets.total_matches", "secrets"), ("identity.total_mentions", "mentions"))),
+        ("pii.total_matches", "personal"), ("secrets.total_matches", "secrets"), ("identity.total_mentions", "mentions"),
+        ("archive.sensitive_entries_count", "archived"))), c("config.is_credential_config").alias("configured"),
+        F.size("exif.disclosed_fields").cast("long").alias("disclosed"),
         *(c(n).cast("long").alias(n) for n in ("confirmed_categories", "evidence_count", "objective_risk", "privacy_rank", "detection_rank")))
 
 

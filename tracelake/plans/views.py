@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake import fixed
-from tracelake.operators import evidence, history, identity, joins, media, pii, secrets
+from tracelake.operators import archive, config, evidence, exif, history, identity, joins, media, pii, secrets
+from tracelake.plans.packing import pack
 from tracelake.session import prepare, spread
 from tracelake.sources import inventory as inv
+from tracelake.sources import text as readers
 
 AS_OF = datetime(2024, 6, 1)
 
@@ -165,15 +167,24 @@ class Views:
 
     @cached_property
     def text_audited(self) -> DataFrame:
-        """Like `audited`, with the evidence that the detectors find in the text of every file. Texts stay where
-        they are; only the evidence meets the findings."""
-        docs = self.document_texts.select(c("doc_id").alias("ordinal"), "text", file_path(c("doc_id")).alias("path"))
-        found = identity.with_identity(secrets.with_secrets(pii.with_pii(docs)), identity.identity_terms(self.raw_terms))
-        rows = self.audited.drop("pii", "secrets", "identity").join(
-            found.select("ordinal", "pii", "secrets", "identity"), "ordinal")
-        for scanner in ("pii", "secrets", "identity"):
+        """Like `audited`, with the evidence that the detectors find in the text of every file, in the listings of
+        archives and in the properties of Office files made of the texts. Texts stay where they are; only the evidence
+        meets the findings. People, documents on images, image safety and image metadata come from decoders outside."""
+        docs = self.document_texts.select(c("doc_id").alias("ordinal"), "text", F.coalesce("source", F.lit("")).alias("author"),
+                                          file_path(c("doc_id")).alias("path"))
+        found = identity.with_identity(config.with_config(secrets.with_secrets(pii.with_pii(docs))), identity.identity_terms(self.raw_terms))
+        rows = self.audited.drop("pii", "secrets", "identity", "config", "archive").join(
+            found.select("ordinal", "pii", "secrets", "identity", "config"), "ordinal")
+        zips = archive.inspected(readers.archive_entries(pack(docs.filter(c("path").endswith(".zip")))))
+        office = exif.office_disclosure(readers.office_members(pack(docs.filter(c("path").endswith(".docx")))))
+        rows = (rows.join(zips.select(c("archive").alias("path"), c("archive_inspection").alias("archive")), "path", "left")
+                .join(office.select("path", c("exif").alias("disclosed")), "path", "left"))
+        shown = [f.name for f in self.audited.schema["exif"].dataType.fields]
+        rows = rows.withColumn("exif", F.when(c("disclosed").isNotNull(), F.struct(*[c(f"disclosed.{n}").alias(n) for n in shown])).otherwise(c("exif")))
+        for scanner in ("pii", "secrets", "identity", "configs"):
             rows = rows.withColumn("scan_status", evidence.status_with(scanner))
-        return computed(rows)
+        return computed(rows.withColumn("scan_status", F.when(c("disclosed").isNotNull(), evidence.status_with("exif"))
+                                        .otherwise(c("scan_status"))).drop("disclosed"))
 
     @cached_property
     def feedback(self) -> DataFrame:
