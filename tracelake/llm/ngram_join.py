@@ -7,9 +7,13 @@ a tenth of an average set element for element, which unrelated texts with a comm
 
 Inside a tile, documents carry parity bitmaps of their hashed shingles. The number of differing bits is at most the
 size of the symmetric difference, so it bounds the overlap from above; pairs that pass are decided on the exact
-sorted arrays. First every document meets one pivot per tile; afterwards only pairs from different components are
-tested, until no such pair is left untested. Groups of copies thus cost time in proportion to their members, and
-no link between components is lost.
+sorted arrays. First every document meets one pivot per tile. Then the pairs of a tile from different components whose bitmaps
+allow a link are listed once, each in the first tile that both have, and decided in slices of bounded size; components
+only grow meanwhile, so no other pair can matter, and pairs that have come into one component are left out. Groups of copies
+thus cost time in proportion to their members, and no link between components is lost.
+
+One pass over the texts yields sizes, tiles and bitmaps; sorted arrays are made from the texts of those documents alone
+that are in a pair to be decided.
 """
 
 from __future__ import annotations
@@ -27,8 +31,8 @@ from tracelake.llm.words import mix, shingle_hashes
 
 #: Rows of one side of a tile that meet in one step; larger tiles are dealt into several.
 BLOCK_ROWS, OTHER_ROWS = 512, 4096
-#: Turns that test one pair per document at a time before all remaining pairs are tested at once.
-SINGLE_TURNS = 3
+#: Turns that test one pair per document, and pairs a set that one slice of the remaining ones holds on average.
+SINGLE_TURNS, PAIRS_A_SET = 1, 2
 FILTER_BITS = 1 << 22
 
 
@@ -102,27 +106,28 @@ def sets_of(batch: pa.RecordBatch, size: int) -> Iterator[np.ndarray]:
 
 
 def document_sets(docs: DataFrame, size: int, sizes: Sizes) -> DataFrame:
-    """(doc_id, n_shingles, set_id, keys) of every document; set_id is null without words."""
+    """(doc_id, n_shingles, set_id, keys, bits) of every document; set_id is null without words."""
 
     def run(batches):
         for batch in batches:
-            n, ids, lengths, keys = [], [], [0], []
+            n, ids, lengths, keys, bits = [], [], [0], [], []
             for found in sets_of(batch, size):
                 n.append(len(found))
                 ids.append(set_id(found) if len(found) else None)
                 keys.append(tile_keys(found, sizes) if len(found) else np.empty(0, np.int64))
                 lengths.append(len(keys[-1]))
+                bits.append(bitmap(found).tobytes() if len(found) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.int64()),
                  pa.ListArray.from_arrays(pa.array(np.cumsum(lengths), pa.int32()),
-                                          pa.array(np.concatenate(keys) if keys else [], pa.int64()))],
-                ["doc_id", "n_shingles", "set_id", "keys"])
+                                          pa.array(np.concatenate(keys) if keys else [], pa.int64())),
+                 pa.array(bits, pa.binary())], ["doc_id", "n_shingles", "set_id", "keys", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_id long, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_id long, keys array<long>, bits binary")
 
 
-def candidate_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(set_id, n, bits, shingles) for the sets `wanted` (doc_id, set_id) names.
+def exact_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(set_id, shingles) for the sets `wanted` (doc_id, set_id) names, a stored table.
 
     A fixed-size bit filter of the wanted ids keeps most other texts from being moved or read twice.
     """
@@ -143,21 +148,18 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids, wants, n, bits, raw = batch.column("set_id").to_pylist(), [], [], [], []
+            ids, wants, raw = batch.column("set_id").to_pylist(), [], []
             for want, found in zip(ids, sets_of(batch, size)):
                 if len(found) and set_id(found) == want:
                     wants.append(want)
-                    n.append(len(found))
-                    bits.append(bitmap(found).tobytes())
                     raw.append(found.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(wants, pa.int64()), pa.array(n, pa.int64()),
-                                              pa.array(bits, pa.binary()), pa.array(raw, pa.binary())],
-                                             ["set_id", "n", "bits", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(wants, pa.int64()), pa.array(raw, pa.binary())], ["set_id", "shingles"])
 
     some = (docs.where("doc_id IS NOT NULL").select("doc_id", "text", slot.alias("slot"))
             .mapInArrow(near, "doc_id long, text string"))
-    return (some.join(wanted, "doc_id").mapInArrow(run, "set_id long, n long, bits binary, shingles binary")
-            .dropDuplicates(["set_id"]))
+    out = stored(some.join(wanted, "doc_id").mapInArrow(run, "set_id long, shingles binary").dropDuplicates(["set_id"]))
+    shared.destroy()
+    return out
 
 
 def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -202,7 +204,8 @@ def decided(pairs: DataFrame, sets: DataFrame, sizes: Sizes) -> DataFrame:
 
 
 def open_pairs(tiles: DataFrame, sets: DataFrame, labels: DataFrame, sizes: Sizes) -> DataFrame:
-    """(a, b, most): all pairs of a tile from different components whose bitmaps allow the threshold.
+    """(a, b, most): all pairs of a tile from different components whose bitmaps allow the threshold, each once: in the
+    smallest tile that both sets are in.
 
     Rows outside a tile's largest component meet all others, in steps of bounded size.
     """
@@ -213,37 +216,39 @@ def open_pairs(tiles: DataFrame, sets: DataFrame, labels: DataFrame, sizes: Size
                   F.max("count").alias("most"), F.count("*").alias("parts")).where("parts > 1")
              .select("key", "major", F.ceil((F.col("total") - F.col("most")) / BLOCK_ROWS).cast("int").alias("nb"),
                      F.ceil(F.col("total") / OTHER_ROWS).cast("int").alias("ns")))
-    rows = rows.join(mixed, "key")
+    rows = rows.join(mixed, "key").withColumn("outside", F.col("label") != F.col("major"))
     i, s = F.pmod(F.hash("set_id"), "nb"), F.pmod(F.xxhash64("set_id", "key"), F.col("ns").cast("long")).cast("int")
-    asking = (rows.where("label <> major").withColumn("i", i)
+    asking = (rows.where("outside").withColumn("i", i)
               .withColumn("s", F.explode(F.sequence(F.lit(0), F.col("ns") - 1))).withColumn("asks", F.lit(True)))
     asked = (rows.withColumn("s", s).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
              .withColumn("asks", F.lit(False)))
-    columns = ["key", "i", "s", "asks", "set_id", "label"]
+    columns = ["key", "i", "s", "asks", "outside", "set_id", "label"]
     wide = (asking.select(*columns).unionByName(asked.select(*columns))
-            .join(sets.select("set_id", "n", "bits"), "set_id")
+            .join(sets.select("set_id", "n", "bits", "keys"), "set_id")
             .repartition("key", "i", "s").sortWithinPartitions("key", "i", "s"))
 
-    def meet(group: dict[str, list], seen: set) -> Iterator[tuple]:
+    def meet(group: dict[str, list]) -> Iterator[tuple]:
         asks = np.array(group["asks"], bool)
         if asks.all() or not asks.any():
             return
         n, ids, label = (np.array(group[c], np.int64) for c in ("n", "set_id", "label"))
         width = min(len(b) for b in group["bits"]) // 8
         bits = np.stack([folded(np.frombuffer(b, np.uint64), width) for b in group["bits"]])
-        others = np.flatnonzero(~asks)
+        others, tiles_below = np.flatnonzero(~asks), {}
+        outside = np.array(group["outside"], bool)
         for q in np.flatnonzero(asks):
             total = n[q] + n[others]
             most = (total - np.bitwise_count(bits[q] ^ bits[others]).sum(axis=1, dtype=np.int64)) // 2
             for k in np.flatnonzero((label[others] != label[q]) & sizes.enough(most, total)):
-                x, y = int(ids[q]), int(ids[others[k]])
-                if (pair := (min(x, y), max(x, y))) not in seen:
-                    seen.add(pair)
-                    yield (*pair, int(most[k]))
+                x, y, here = int(ids[q]), int(ids[others[k]]), group["key"][0]
+                lower = tiles_below[q] if q in tiles_below else tiles_below.setdefault(q, {t for t in group["keys"][q] if t < here})
+                # between two rows that both ask, the smaller asks; another common tile before this one has the pair
+                if (not outside[others[k]] or x < y) and lower.isdisjoint(group["keys"][others[k]]):
+                    yield min(x, y), max(x, y), int(most[k])
 
     def run(batches):
-        seen, held, at = set(), None, None
-        names = ["key", "i", "s", "asks", "set_id", "label", "n", "bits"]
+        held, at = None, None
+        names = ["key", "i", "s", "asks", "outside", "set_id", "label", "n", "bits", "keys"]
 
         def out(rows):
             found = list(rows)
@@ -259,15 +264,15 @@ def open_pairs(tiles: DataFrame, sets: DataFrame, labels: DataFrame, sizes: Size
                     continue
                 if groups[a] != at:
                     if held:
-                        yield from out(meet(held, seen))
+                        yield from out(meet(held))
                     held, at = {c: [] for c in names}, groups[a]
                 for c in names:
                     held[c] += columns[c][a:b]
         if held:
-            yield from out(meet(held, seen))
+            yield from out(meet(held))
 
-    return (wide.select("key", "i", "s", "asks", "set_id", "label", "n", "bits")
-            .mapInArrow(run, "a long, b long, most long").groupBy("a", "b").agg(F.min("most").alias("most")))
+    return (wide.select("key", "i", "s", "asks", "outside", "set_id", "label", "n", "bits", "keys")
+            .mapInArrow(run, "a long, b long, most long"))
 
 
 def best(pairs: DataFrame) -> DataFrame:
@@ -277,36 +282,60 @@ def best(pairs: DataFrame) -> DataFrame:
 
 def grouped(docs: DataFrame, size: int, part: int, whole: int) -> DataFrame:
     """The rows of `jaccard_groups` with the group as the smallest of its set_ids too; a stored table."""
-    sizes = Sizes(part, whole)
+    spark, sizes = docs.sparkSession, Sizes(part, whole)
     found = stored(document_sets(docs, size, sizes))
-    keyed = found.where("set_id IS NOT NULL AND doc_id IS NOT NULL")
-    keys = keyed.dropDuplicates(["set_id"]).select("set_id", F.explode("keys").alias("key"))
-    tiles = stored(keys.join(keys.groupBy("key").count().where("count > 1").select("key"), "key").select("key", "set_id"))
+    sets = stored(found.where("set_id IS NOT NULL AND doc_id IS NOT NULL").dropDuplicates(["set_id"])
+                  .select("set_id", "doc_id", F.col("n_shingles").alias("n"), "keys", "bits"))
     own = stored(found.select("doc_id", "n_shingles", "set_id"))
     discard(found)
     usable = own.where("set_id IS NOT NULL AND doc_id IS NOT NULL")
-    wanted = stored(usable.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-                    .join(tiles.select("set_id").distinct(), "set_id"))
-    sets = stored(candidate_sets(docs, wanted, size))
-    discard(wanted)
+    keys = sets.select("set_id", F.explode("keys").alias("key"))
+    tiles = stored(keys.join(keys.groupBy("key").count().where("count > 1").select("key"), "key").select("key", "set_id"))
 
     pivots = tiles.groupBy("key").agg(F.min_by("set_id", F.xxhash64("set_id")).alias("b"))
     pairs = tiles.join(pivots, "key").where("set_id <> b").select(F.col("set_id").alias("a"), "b").distinct()
-    tested = stored(decided(best(bounded(pairs, sets, sizes)), sets, sizes))
+    first = stored(best(bounded(pairs, sets, sizes)))
+    tidy(spark)
+
+    def exact(pairs: DataFrame) -> DataFrame:
+        named = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
+        return exact_sets(docs, sets.select("set_id", "doc_id").join(named, "set_id"), size)
+
+    arrays = exact(first)
+    tested = stored(decided(first, arrays, sizes))
+    discard(first, arrays)
+    tidy(spark)
+    found = components(tested.where("linked"), "a", "b", "label")
+    known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    left = stored(open_pairs(tiles, sets, found.withColumnRenamed("a", "set_id"), sizes).join(known, ["a", "b"], "left_anti"))
+    discard(tiles)
+    tidy(spark)
+    arrays, slices_ = exact(left), None
     for turn in count():
-        tidy(docs.sparkSession)
-        found = components(tested.where("linked"), "a", "b", "label")
         labels = found.withColumnRenamed("a", "set_id")
-        tidy(docs.sparkSession)
-        known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        still = stored(open_pairs(tiles, sets, labels, sizes).join(known, ["a", "b"], "left_anti"))
-        if still.isEmpty():
-            break
-        discard(found)
-        more = best(still) if turn < SINGLE_TURNS else still
-        before, tested = tested, stored(tested.unionByName(decided(more, sets, sizes)))
-        discard(before, still)
-    discard(tiles, sets, tested, still)
+        apart = lambda side: labels.select(F.col("set_id").alias(side), F.col("label").alias(f"label_{side}"))
+        still = left.join(apart("a"), "a", "left").join(apart("b"), "b", "left").where(
+            F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b", "most")
+        if turn < SINGLE_TURNS:
+            more = best(still)
+        else:
+            if slices_ is None:
+                slices_ = max(1, -(-left.count() // max(1, PAIRS_A_SET * sets.count())))
+            if turn - SINGLE_TURNS >= slices_:
+                break
+            more = still.where(F.pmod(F.xxhash64("a", "b"), F.lit(slices_)) == turn - SINGLE_TURNS)
+        now = stored(decided(more, arrays, sizes).where("linked"))
+        if now.isEmpty():
+            discard(now)
+            if turn < SINGLE_TURNS and still.isEmpty():
+                break
+            continue
+        before, tested = tested, stored(tested.where("linked").unionByName(now))
+        discard(before, now, found)
+        found = components(tested, "a", "b", "label")
+        tidy(spark)
+    labels = found.withColumnRenamed("a", "set_id")
+    discard(sets, tested, left, arrays)
 
     groups = (usable.groupBy("set_id").agg(F.min("doc_id").alias("least"))
               .join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id")))
