@@ -331,7 +331,9 @@ def test_urls(spark):
     urls = {1: "http://a.Example.NET/en/1?x", 2: "https://example.net/de/", 3: "http://net", 4: "http://xnet/", 5: None, 6: "no scheme",
             7: "http://example.com/de/x#y", 8: "http://www.example.org/fr/", 9: "http://example.com/DE/", 10: "x://y://z.net/", 11: ""}
     pages = spark.createDataFrame([(k, u, "clash") for k, u in urls.items()] + [(2, urls[2], "again")], "page_id long, url string, host string")
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_digests.judged(pages, rules).collect()}
+    got, cut = ({r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_digests.judged(pages, rules, most=most).collect()}
+                for most in (url_digests.FILE_BYTES, 50))  # one file and several
+    assert cut == got and len(url_digests.files(rules, 50)) > 1
     assert got == {1: ("a.example.net", "/en/1", "example.net/en/", "allow"), 2: ("example.net", "/de/", "net/", "block"),
                    3: ("net", "", None, "allow"), 4: ("xnet", "/", None, "allow"), 5: ("", "", None, "allow"),
                    6: ("", "", None, "allow"), 7: ("example.com", "/de/x", "example.com/de/", "block"),
@@ -344,8 +346,9 @@ def test_url_digest_collisions(monkeypatch, tmp_path):
     """Equal digests of different strings are told apart by the stored strings."""
     monkeypatch.setattr(url_digests.xxhash, "xxh64_intdigest", lambda text: len(text))
     path = tmp_path / "rules"
-    path.write_bytes(url_digests.packed([("block", "aa.b/"), ("allow", "cc.d/"), ("block", "e.f/gh")]))
-    rules = url_digests.Rules(str(path))
-    assert rules.found([b"cc.d/", b"aa.b/", b"xx.y/", b"e.f/gh"])[2] == -1
+    (data,) = url_digests.files([("block", "aa.b/"), ("allow", "cc.d/"), ("block", "e.f/gh")])
+    path.write_bytes(data)
+    rules = url_digests.Rules([str(path)])
+    assert rules.parts[0].found([b"cc.d/", b"aa.b/", b"xx.y/", b"e.f/gh"])[2] == -1
     assert rules.longest(["x.cc.d", "aa.b", "e.f", "q"], ["/", "/z", "/ghi", "/"]) == [
         ("cc.d/", "allow"), ("aa.b/", "block"), ("e.f/gh", "block"), None]

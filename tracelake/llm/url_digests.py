@@ -1,7 +1,7 @@
 """URL filter on a sorted array of digests.
 
 Rules such as `example.net/en/` (a host with all its subdomains, and the start of a path) are kept as a sorted array
-of 64-bit xxhash digests with their full strings beside it, in one file that every executor maps into memory. For a
+of 64-bit xxhash digests with their full strings beside it, in files by ranges of digests that every executor maps into memory. For a
 URL all host suffixes with all path starts of a length that rules have are hashed and looked up together by binary
 search; a hit counts once the stored string equals the one asked for.
 """
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from tracelake.session import ensure_checkpoint_dir
 
-#: The largest file of rules that is copied to every executor.
-MOST_BYTES = 256 << 20
+#: Bytes of rules in one file; more rules are cut into several files by their digests.
+FILE_BYTES = 64 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 AFTER_SCHEME = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -32,26 +32,40 @@ def digests(texts: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, texts), np.uint64, len(texts))
 
 
-def packed(rules: list[tuple[str, str]]) -> bytes:
-    """The file for (verdict, rule) pairs; of equal rules the last one holds."""
+def files(rules: list[tuple[str, str]], most: int = FILE_BYTES) -> list[bytes]:
+    """Files for (verdict, rule) pairs, of about `most` bytes each; of equal rules the last one holds. Files are cut
+    by the sorted digests, equal digests stay together."""
     last = {rule.encode(): verdict == "block" for verdict, rule in rules}
     texts = list(last)
     keys = digests(texts)
     by = np.argsort(keys, kind="stable")
-    texts = [texts[i] for i in by]
+    keys, texts = keys[by], [texts[i] for i in by]
+    sizes = np.cumsum([0, *(len(t) + 17 for t in texts)])
+    out, a = [], 0
+    while a < len(texts) or not out:
+        b = max(a + 1, int(np.searchsorted(sizes, sizes[a] + most, "right")) - 1)
+        while b < len(texts) and keys[b] == keys[b - 1]:
+            b += 1
+        out.append(packed(keys[a:b], texts[a:b], last))
+        a = b
+    return out
+
+
+def packed(keys: np.ndarray, texts: list[bytes], last: dict[bytes, bool]) -> bytes:
+    """One file of rules in the order of their digests."""
     ends = np.cumsum([0, *map(len, texts)], dtype=np.int64)
     block = np.array([last[t] for t in texts], np.uint8)
     lengths = np.array(sorted({len(t) - (t + b"/").index(b"/") for t in texts}), np.int64)
     out = io.BytesIO()
     out.write(struct.pack("<qq", len(texts), len(lengths)))
-    for part in (keys[by], ends, lengths, block):
+    for part in (keys, ends, lengths, block):
         out.write(part.tobytes())
     out.write(b"".join(texts))
     return out.getvalue()
 
 
-class Rules:
-    """The file of `packed`, mapped into memory."""
+class Part:
+    """A file of `packed`, mapped into memory."""
 
     def __init__(self, path: str):
         raw = np.memmap(path, np.uint8, "r")
@@ -80,6 +94,14 @@ class Rules:
                 k += 1
         return out
 
+
+class Rules:
+    """All files of a set of rules."""
+
+    def __init__(self, paths: list[str]):
+        self.parts = [Part(path) for path in paths]
+        self.lengths = sorted({n for part in self.parts for n in part.lengths})
+
     def longest(self, hosts: list[str], paths: list[str]) -> list[tuple[str, str] | None]:
         """(rule, verdict) of the longest rule that fits each host and path; the longer host wins between equals."""
         asked, owner = [], []
@@ -93,37 +115,37 @@ class Rules:
                 owner += [i] * len(starts)
                 at = host.find(b".", at) + 1 or -1
         best: list[tuple | None] = [None] * len(hosts)
-        for i, text, k in zip(owner, asked, self.found(asked)):
-            if k >= 0:
-                size = (len(text), (text + b"/").index(b"/"))
-                if best[i] is None or size > best[i][0]:
-                    best[i] = (size, text.decode(), "block" if self.block[k] else "allow")
+        for part in self.parts:
+            for i, text, k in zip(owner, asked, part.found(asked)):
+                if k >= 0:
+                    size = (len(text), (text + b"/").index(b"/"))
+                    if best[i] is None or size > best[i][0]:
+                        best[i] = (size, text.decode(), "block" if part.block[k] else "allow")
         return [b and b[1:] for b in best]
 
 
 @lru_cache(8)
-def opened(name: str) -> Rules:
-    return Rules(SparkFiles.get(name))
+def opened(names: tuple[str, ...]) -> Rules:
+    return Rules([SparkFiles.get(name) for name in names])
 
 
-def shipped(spark: SparkSession, rules: list[tuple[str, str]]) -> str:
-    """Write the rules beside the checkpoints and have Spark copy the file to every executor; its name."""
-    data = packed(rules)
-    if len(data) > MOST_BYTES:
-        raise ValueError(f"rules take {len(data)} bytes, more than {MOST_BYTES}")
+def shipped(spark: SparkSession, rules: list[tuple[str, str]], most: int = FILE_BYTES) -> tuple[str, ...]:
+    """Write the rules beside the checkpoints and have Spark copy the files to every executor; their names."""
     ensure_checkpoint_dir(spark)
-    context, name = spark.sparkContext, f"rules-{uuid.uuid4().hex}"
-    path = context._jvm.org.apache.hadoop.fs.Path(f"{context.getCheckpointDir()}/{name}")
-    out = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path)
-    try:
-        out.write(data)
-    finally:
-        out.close()
-    context.addFile(path.toString())
-    return name
-
-
-def judged(pages: DataFrame, rules: list[tuple[str, str]], default: str = "allow") -> DataFrame:
+    context, names = spark.sparkContext, []
+    for data in files(rules, most):
+        names.append(f"rules-{uuid.uuid4().hex}")
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{context.getCheckpointDir()}/{names[-1]}")
+        out = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path)
+        try:
+            out.write(data)
+        finally:
+            out.close()
+        context.addFile(path.toString())
+    return tuple(names)
+
+
+def judged(pages: DataFrame, rules: list[tuple[str, str]], default: str = "allow", most: int = FILE_BYTES) -> DataFrame:
     """The longest rule that fits each URL, and its verdict.
 
     pages: page_id long, url string; other columns are ignored; one row per input row. rules: (`block` or `allow`,
@@ -132,12 +154,12 @@ def judged(pages: DataFrame, rules: list[tuple[str, str]], default: str = "allow
     url is null or has no `://`. Without a rule that fits, rule is null and verdict is `default`. Repeated urls get
     equal results; an empty table gives an empty result.
     """
-    name = shipped(pages.sparkSession, rules)
+    names = shipped(pages.sparkSession, rules, most)
     part = lambda k: F.coalesce(F.regexp_extract("url", AFTER_SCHEME, k), F.lit(""))
     split = pages.select("page_id", F.translate(part(1), UPPER, LOWER).alias("host"), part(2).alias("path"))
 
     def run(batches):
-        book = opened(name)
+        book = opened(names)
         for batch in batches:
             found = book.longest(batch.column("host").to_pylist(), batch.column("path").to_pylist())
             yield pa.RecordBatch.from_arrays(
