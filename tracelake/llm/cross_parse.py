@@ -96,8 +96,9 @@ class Parser:
         symbol = np.full(256, len(used), np.int64)
         symbol[used] = np.arange(len(used))
         width, tables, roots, at = len(used) + 1, [], [], 0
+        kind = np.int32 if 4 * width * sum(len(samples[k]) + 1 for k in languages) < 1 << 31 else np.int64
         for k in languages:
-            steps = automaton(bytes(symbol[np.frombuffer(samples[k], np.uint8)].astype(np.uint8)), width)
+            steps = automaton(bytes(symbol[np.frombuffer(samples[k], np.uint8)].astype(np.uint8)), width).astype(kind, copy=False)
             to = (steps * width + at) << 1
             start = np.where(steps[0] >= 0, to[0], at << 1) | 1  # an unknown symbol is a phrase that leads nowhere
             table = np.where(steps >= 0, to, start)
@@ -106,7 +107,7 @@ class Parser:
             roots.append(at)
             at += table.size
         return Parser(languages, np.log2([len(samples[k]) + 1 for k in languages]), symbol,
-                      np.concatenate(tables) if tables else np.empty(0, np.int32), np.array(roots, np.int32))
+                      np.concatenate(tables) if tables else np.empty(0, kind), np.array(roots, kind))
 
     def phrases(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Phrases (language x text) of texts given as symbols."""
@@ -118,7 +119,7 @@ class Parser:
         size = np.minimum(SEGMENT, offsets[1:][text] - begin)
         by = np.argsort(-size, kind="stable")
         begin, size, text = begin[by], size[by], text[by]
-        coded = self.symbol[data].astype(np.int32)
+        coded = self.symbol[data].astype(self.table.dtype)
         state = np.repeat(self.roots[:, None], len(by), axis=1)
         found = np.zeros(state.shape, np.int32)
         active = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), "left")
@@ -156,7 +157,8 @@ def fitted(docs: DataFrame) -> Parser:
 
 def identified(docs: DataFrame, parser: Parser) -> DataFrame:
     """docs (text and other columns) with lang_pred, score, bits (a symbol's cost in the language found) and symbols;
-    columns of these names are replaced."""
+    columns of these names are replaced. A null or empty text and one without letters is undetermined; repeated rows get equal
+    results; an empty table gives an empty result."""
     docs = docs.drop(*FOUND)
     shared = docs.sparkSession.sparkContext.broadcast(parser)
 
@@ -198,7 +200,8 @@ def languages(docs: DataFrame) -> DataFrame:
     whose crc32(doc_id as text) mod 3 is not 1 (rows without doc_id, lang or letters teach nothing). Returns a row per
     input row: doc_id, held_out, lang_pred, score (0 to 1: by how much the best language beats the next), bits
     (cost of a symbol) and symbols. lang_pred is `und`, with score 0, if text is null or has no letter or nothing was
-    learnt; ties go to the first name. Equal texts get equal results. An empty table gives an empty result.
+    learnt; ties go to the first name. Equal texts get equal results. Texts are parsed whole, however long. An empty
+    table gives an empty result.
     """
     parser = fitted(docs.select("doc_id", "text", "lang"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
@@ -209,7 +212,9 @@ def in_known_language(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, whose language is determined and whose text looks like it.
 
     Rejected are texts that are null or have no letter, and texts of `JUDGED` symbols or more that cost `STRANGE` bits
-    a symbol or more in every language learnt: more than evenly drawn letters would.
+    a symbol or more in every language learnt: more than evenly drawn letters would. Shorter texts are never rejected as
+    strange, because their cost says too little. Repeated rows are judged alike, whole texts however long; an empty table
+    stays empty.
     """
     renamed = docs.withColumnsRenamed({c: f"column_{i}" for i, c in enumerate(docs.columns) if c != "text"})
     found = identified(renamed, fitted(docs.select("doc_id", "text", "lang")))

@@ -393,8 +393,8 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     docs: doc_id long, text string; other columns are ignored. Returns a row per input row: doc_id, held_out,
     n_tokens, n_known, train_tokens, base_score (smoothed unigram) and score (this model), both log10
     probabilities of the words and the end of the text. A null text counts as empty: its end alone is scored. A row
-    without doc_id is not held out. Repeated rows are scored, and train, once each. With an empty table the result is
-    empty; without training tokens every word is unknown.
+    without doc_id is not held out. Repeated rows are scored, and train, once each. Texts are scored whole, however long.
+    With an empty table the result is empty; without training tokens every word is unknown.
     """
     docs = docs.select("doc_id", "text", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
                        .alias("held_out"))

@@ -283,7 +283,8 @@ def stored_texts(docs: DataFrame) -> DataFrame:
 
     docs: doc_id long, text string; other columns are ignored; one row per input row, so repeated rows give equal
     rows. A null text counts as empty: its payload is 64 zero bytes. Returns doc_id, n_bytes, payload_bytes,
-    payload_sha256, tail_crc32, media_bytes, media_sha256, feature, seconds. An empty table gives an empty result.
+    payload_sha256, tail_crc32, media_bytes, media_sha256, feature, seconds. Texts are stored whole, one stream each,
+    however long. An empty table gives an empty result.
     """
 
     def run(batches):

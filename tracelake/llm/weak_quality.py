@@ -279,13 +279,15 @@ def quality(docs: DataFrame) -> DataFrame:
 
     docs: doc_id long, text string; other columns are ignored; one row per input row. score is the linear scorer's
     probability that a text is good, keep whether it is `KEEP_FROM` or more; posterior is what the votes alone say.
-    Texts that are null, empty or blank have score 0 and aren't kept. Equal texts get equal results. An empty table
-    gives an empty result.
+    Texts that are null, empty or blank have score 0 and aren't kept. Equal texts, and rows that repeat a doc_id, get
+    equal results for equal texts. Texts are judged whole, however long, one at a time where they are over 1 MB. An
+    empty table gives an empty result.
     """
     return judged(docs.select("doc_id", "text")).drop("text")
 
 
 def good_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that the classifier keeps."""
+    """The rows of docs, with all their columns, that the classifier keeps. Rows whose text is null, empty or blank go;
+    repeated rows are judged alike, whole texts however long. An empty table stays empty."""
     plain = {c: f"column_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
     return judged(docs.withColumnsRenamed(plain)).where("keep").drop(*FOUND).toDF(*docs.columns)

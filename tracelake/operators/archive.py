@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from tracelake import fixed
 from tracelake.functions import paths
+from tracelake.operators.ordering import with_positions
 
+#: Sensitive entries that an archive's row lists, and that a block holds.
+LISTED = 1000
 ENTRY_TYPE = "array<struct<name:string,size_bytes:bigint,is_sensitive:boolean,sensitivity_category:string>>"
 ARCHIVE_TYPE = ("struct<is_archive:boolean,total_entries:int,sensitive_entries_count:int,privacy_score:string,"
                 f"entries:{ENTRY_TYPE},tree_view:string>")
@@ -74,9 +77,27 @@ def tree_view(archive: Column, total: Column, sensitive: Column, shown: Column)
     return F.array_join(F.concat(F.array(head), lines, F.array(more)), "\n")
 
 
-def inspected(entries: DataFrame, limit: int | None = None) -> DataFrame:
-    """ARC-3: one row per archive with its sensitive entries in order. `limit` is for display: the first so many are
-    listed, and the row limit reaches the map side."""
+def sensitive_entries(entries: DataFrame) -> DataFrame:
+    """ARC-3 as a table, a row per sensitive entry: (archive, position, entry_name, size_bytes, category, level)."""
+    return classified(entries).filter("rule is not null").select(
+        "archive", F.col("position").cast("long").alias("position"), "entry_name", F.col("size_bytes").cast("long").alias("size_bytes"),
+        "rule.category", "rule.level")
+
+
+def entry_blocks(entries: DataFrame, size: int = LISTED) -> DataFrame:
+    """(archive, block, entries): the sensitive entries of every archive in order, `size` in a row. Places come from one range
+    sort, so an archive with a third of all entries is dealt with by many tasks."""
+    placed = with_positions(sensitive_entries(entries), F.asc("archive"), F.asc("position"), F.asc("entry_name"), out="place")
+    first = placed.groupBy("archive").agg(F.min("place").alias("first"))
+    block = F.floor((F.col("place") - F.col("first")) / size)
+    return (placed.join(first, "archive").groupBy("archive", block.alias("block"))
+            .agg(F.array_sort(F.collect_list(F.struct("place", "entry_name", "size_bytes", "category", "level"))).alias("entries"))
+            .withColumn("entries", F.transform("entries", lambda e: e.dropFields("place"))))
+
+
+def inspected(entries: DataFrame, limit: int | None = LISTED) -> DataFrame:
+    """ARC-3: one row per archive with its first sensitive entries in order, `limit` at most (None: all); the row limit reaches the
+    map side. `sensitive_entries` and `entry_blocks` have them all."""
     marked = classified(entries)
     totals = marked.groupBy("archive").agg(
         F.count(F.lit(1)).cast("int").alias("total"), F.count("rule").cast("int").alias("sensitive"),

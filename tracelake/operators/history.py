@@ -13,6 +13,8 @@ from tracelake import fixed
 from tracelake.functions import paths, scalars
 from tracelake.operators.ordering import first_per_group
 
+#: Application names that a path's row lists.
+NAMES = 1000
 ENTRY_FIELDS = [
     "target_path", "last_interaction", "exists", "is_directory", "size_bytes", "target_modified_at", "source_kind",
     "related_finding_id", "related_risk", "historical_score", "ordinal",
@@ -115,11 +117,19 @@ def application_order(by_score: bool = False) -> list[Column]:
             F.lower("display_name").asc(), F.asc("application_key")]
 
 
-def listed_names(order: Column, name: Column) -> Column:
-    """Application names of one path in list order. A path meets an application once, so the array never holds
-    more than one element per application."""
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), name.alias("n")))),
-                                    lambda s: s["n"]), ", ")
+def path_applications(entries: DataFrame, path: str) -> DataFrame:
+    """The table behind the lists of names: (path, fewer, display_name), a row per path and application, in list order by
+    `fewer` and name."""
+    return entries.select(path, "application_key", "fewer", "display_name").distinct()
+
+
+def listed_names(entries: DataFrame, path: str, out: str) -> DataFrame:
+    """(path, out): names of the applications of each path in list order, NAMES at most; tasks trim to that before the shuffle.
+    `path_applications` has them all."""
+    place = F.row_number().over(Window.partitionBy(path).orderBy("fewer", "display_name"))
+    first = entries.withColumn("place", place).filter(F.col("place") <= NAMES)
+    names = F.array_sort(F.collect_list(F.struct("place", F.col("display_name").alias("n"))))
+    return first.groupBy(path).agg(F.array_join(F.transform(names, lambda s: s["n"]), ", ").alias(out))
 
 
 def with_application_size(merged_entries: DataFrame) -> DataFrame:
@@ -134,8 +144,7 @@ def significant(merged_entries: DataFrame) -> DataFrame:
     lone = with_application_size(merged_entries).filter("related_finding_id is null and historical_score >= 30")
     best = F.min_by(F.struct("target_path", "exists", "last_interaction", "historical_score", "interactions"),
                     F.struct(-F.col("historical_score"), F.col("fewer"), F.col("display_name")))
-    rows = lone.groupBy("path_match").agg(
-        best.alias("b"), listed_names(F.col("fewer"), F.col("display_name")).alias("applications"))
+    rows = lone.groupBy("path_match").agg(best.alias("b")).join(listed_names(lone, "path_match", "applications"), "path_match")
     retained = F.concat(F.lit("Windows application history retains this path through "), F.col("applications"))
     gone = F.concat(F.lit("The object no longer exists, but Windows application history retains its path through "),
                     F.col("applications"))
@@ -154,9 +163,10 @@ def significant(merged_entries: DataFrame) -> DataFrame:
 def finding_context(merged_entries: DataFrame) -> DataFrame:
     """AGG-10: distinct applications, last seen and highest count per related finding."""
     known = with_application_size(merged_entries).filter("related_finding_id is not null")
-    return known.groupBy(F.col("related_finding_id").alias("finding_id")).agg(
-        listed_names(F.col("fewer"), F.col("display_name")).alias("history_refs"),
-        F.max("last_interaction").alias("history_last_seen"), F.max("interactions").alias("history_interactions"))
+    known = known.withColumnRenamed("related_finding_id", "finding_id")
+    return known.groupBy("finding_id").agg(
+        F.max("last_interaction").alias("history_last_seen"), F.max("interactions").alias("history_interactions")).join(
+        listed_names(known, "finding_id", "history_refs"), "finding_id")
 
 
 def entry_findings(entries: DataFrame, findings: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:

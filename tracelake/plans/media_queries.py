@@ -27,7 +27,7 @@ SIZE = """(CASE WHEN size_bytes < 1024 THEN size_bytes || ' B' ELSE CAST(round(s
 @query("arc3_archive_summary", """
     SELECT archive, count(*) AS total_entries, count(rule_level) AS sensitive_entries_count,
            CASE max(CASE rule_level WHEN 'Critical' THEN 4 WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 ELSE 0 END)
-             WHEN 4 THEN 'Critical' WHEN 3 THEN 'High' WHEN 2 THEN 'Medium' ELSE 'Safe' END AS privacy_score, count(rule_level) AS listed
+             WHEN 4 THEN 'Critical' WHEN 3 THEN 'High' WHEN 2 THEN 'Medium' ELSE 'Safe' END AS privacy_score, least(count(rule_level), 1000) AS listed
     FROM rated_entries GROUP BY archive""", ("rated_entries",))
 def _(v: Views):
     return archive.inspected(v.archive_entries).select(
@@ -36,10 +36,21 @@ def _(v: Views):
         "archive_inspection.privacy_score", F.size("archive_inspection.entries").cast("long").alias("listed"))
 
 
+@query("arc3_entry_blocks", """
+    SELECT archive, block, count(*) AS entries, string_agg(entry_name, '|' ORDER BY n) AS names, string_agg(DISTINCT rule_level, ',' ORDER BY rule_level) AS levels
+    FROM (SELECT *, (row_number() OVER (PARTITION BY archive ORDER BY position, entry_name) - 1) AS n, n // 7 AS block FROM rated_entries WHERE rule_level IS NOT NULL)
+    GROUP BY archive, block""", ("rated_entries",))
+def _(v: Views):
+    """All sensitive entries, seven in a row."""
+    rows = archive.entry_blocks(v.archive_entries, 7)
+    return rows.select("archive", "block", F.size("entries").cast("long").alias("entries"), F.array_join("entries.entry_name", "|").alias("names"),
+                       F.array_join(F.array_sort(F.array_distinct("entries.level")), ",").alias("levels"))
+
+
 @query("arc4_tree_view", f"""
     SELECT archive, regexp_extract(archive, '[^\\\\]*$') || ' (' || total || ' files, ' || sensitive || ' sensitive):' || coalesce(chr(10) ||
-           string_agg(CASE WHEN n >= 1 THEN (CASE WHEN n = sensitive THEN '    └─ ' ELSE '    ├─ ' END) || entry_name || ' [' || rule_category || '] (' || {SIZE} || ')' END,
-                      chr(10) ORDER BY n), '') AS tree
+           string_agg(CASE WHEN n BETWEEN 1 AND 1000 THEN (CASE WHEN n = least(sensitive, 1000) THEN '    └─ ' ELSE '    ├─ ' END) || entry_name || ' [' || rule_category || '] (' || {SIZE} || ')' END,
+                      chr(10) ORDER BY n), '') || CASE WHEN sensitive > 1000 THEN chr(10) || '    ... and ' || (sensitive - 1000) || ' more sensitive files inside.' ELSE '' END AS tree
     FROM (SELECT *, count(*) OVER (PARTITION BY archive) AS total, count(rule_level) OVER (PARTITION BY archive) AS sensitive,
                  CASE WHEN rule_level IS NOT NULL THEN row_number() OVER (PARTITION BY archive, rule_level IS NULL ORDER BY position) END AS n FROM rated_entries)
     GROUP BY archive, total, sensitive""", ("rated_entries",))
