@@ -126,22 +126,53 @@ def document_sets(docs: DataFrame, size: int, sizes: Sizes) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_id long, keys array<long>, bits binary")
 
 
+def bit_filter(slots: DataFrame):
+    """A broadcast of FILTER_BITS bits, packed, of which those that `slots` (slot) names are set."""
+    words = (slots.groupBy(F.expr("slot div 32").alias("word"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot % 32 AS INT))")).alias("bits")).collect())
+    flags = np.zeros(FILTER_BITS // 32, np.int64)
+    for word, bits in words:
+        flags[word] = bits
+    return slots.sparkSession.sparkContext.broadcast(flags.astype(np.uint32).view(np.uint8))
+
+
+def shared_tiles(found: DataFrame) -> DataFrame:
+    """(key, set_id) of the tiles that two sets at least are in, a stored table. found: (doc_id, set_id, keys).
+
+    A key's smallest and largest set tell whether it is shared, by partial aggregates; a bit filter of the shared ones then
+    keeps most other keys, which are ten times as many, from being moved again."""
+    usable = found.where("set_id IS NOT NULL AND doc_id IS NOT NULL").select("set_id", "keys")
+    ends = usable.select("set_id", F.explode("keys").alias("key")).groupBy("key").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b"))
+    keys = stored(ends.where("a < b").select("key"))
+    tidy(found.sparkSession)
+    shared = bit_filter(keys.select(F.pmod("key", F.lit(FILTER_BITS)).alias("slot")))
+
+    def run(batches):
+        mask = np.unpackbits(shared.value, bitorder="little").astype(bool)
+        for batch in batches:
+            lists = batch.column("keys")
+            key = lists.flatten().to_numpy()
+            ids = np.repeat(batch.column("set_id").to_numpy(), np.diff(lists.offsets.to_numpy()))
+            some = mask[key & (FILTER_BITS - 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(ids[some])], ["key", "set_id"])
+
+    out = stored(usable.mapInArrow(run, "key long, set_id long").join(keys, "key").distinct())
+    shared.destroy()
+    discard(keys)
+    tidy(found.sparkSession)
+    return out
+
+
 def exact_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(set_id, shingles) for the sets `wanted` (doc_id, set_id) names, a stored table.
 
     A fixed-size bit filter of the wanted ids keeps most other texts from being moved or read twice.
     """
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    words = (wanted.select(slot.alias("slot")).groupBy(F.expr("slot div 32").alias("word"))
-             .agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot % 32 AS INT))")).alias("bits")).collect())
-    flags = np.zeros(FILTER_BITS // 32, np.int64)
-    for word, bits in words:
-        flags[word] = bits
-    flags = np.unpackbits(flags.astype(np.uint32).view(np.uint8), bitorder="little").astype(bool)
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(flags))
+    shared = bit_filter(wanted.select(slot.alias("slot")))
 
     def near(batches):
-        mask = np.unpackbits(shared.value).astype(bool)
+        mask = np.unpackbits(shared.value, bitorder="little").astype(bool)
         for batch in batches:
             at = batch.column("slot").to_numpy(zero_copy_only=False)
             yield batch.filter(pa.array(mask[at])).select(["doc_id", "text"])
@@ -224,7 +255,8 @@ def open_pairs(tiles: DataFrame, sets: DataFrame, labels: DataFrame, sizes: Size
              .withColumn("asks", F.lit(False)))
     columns = ["key", "i", "s", "asks", "outside", "set_id", "label"]
     wide = (asking.select(*columns).unionByName(asked.select(*columns))
-            .join(sets.select("set_id", "n", "bits", "keys"), "set_id")
+            .join(sets.select("set_id", "n", "bits"), "set_id")
+            .join(tiles.groupBy("set_id").agg(F.collect_list("key").alias("keys")), "set_id")
             .repartition("key", "i", "s").sortWithinPartitions("key", "i", "s"))
 
     def meet(group: dict[str, list]) -> Iterator[tuple]:
@@ -284,13 +316,13 @@ def grouped(docs: DataFrame, size: int, part: int, whole: int) -> DataFrame:
     """The rows of `jaccard_groups` with the group as the smallest of its set_ids too; a stored table."""
     spark, sizes = docs.sparkSession, Sizes(part, whole)
     found = stored(document_sets(docs, size, sizes))
-    sets = stored(found.where("set_id IS NOT NULL AND doc_id IS NOT NULL").dropDuplicates(["set_id"])
-                  .select("set_id", "doc_id", F.col("n_shingles").alias("n"), "keys", "bits"))
+    tiles = shared_tiles(found)
+    usable = found.where("set_id IS NOT NULL AND doc_id IS NOT NULL")
+    sets = stored(usable.select("set_id", "doc_id", F.col("n_shingles").alias("n"), "bits").dropDuplicates(["set_id"]))
     own = stored(found.select("doc_id", "n_shingles", "set_id"))
     discard(found)
     usable = own.where("set_id IS NOT NULL AND doc_id IS NOT NULL")
-    keys = sets.select("set_id", F.explode("keys").alias("key"))
-    tiles = stored(keys.join(keys.groupBy("key").count().where("count > 1").select("key"), "key").select("key", "set_id"))
+    tidy(spark)
 
     pivots = tiles.groupBy("key").agg(F.min_by("set_id", F.xxhash64("set_id")).alias("b"))
     pairs = tiles.join(pivots, "key").where("set_id <> b").select(F.col("set_id").alias("a"), "b").distinct()
