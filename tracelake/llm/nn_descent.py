@@ -1,8 +1,9 @@
 """Approximate nearest neighbours by largest inner product: NN-descent and greedy graph search.
 
-Equal vectors are one node. Neighbour lists start from random groups and improve in rounds: every node calls together
-some of its neighbours and of the nodes that list it (a join), all of them are compared with each other there, and
-each takes over the better ones (a second join, by node). Queries then walk the graph: their best nodes not yet
+Equal vectors are one node. Neighbour lists start from groups of nodes on the same sides of random planes and improve in
+rounds: every node calls together its new neighbours, some of the old ones and of the nodes that list it as new (a join), all
+of them are compared with each other there, and each takes over the better ones (a second join, by node). Rounds end
+when few neighbours are new. Queries then walk the graph: their best nodes not yet
 visited fetch their neighbours (a join with the lists, which carry the neighbours' vectors), and the best found go
 on. Meetings and walks compare the original vectors in double precision: among many nearly equal vectors a rounded
 one would order by its rounding. The result is computed anew for all that are level with the last place.
@@ -20,14 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.tables import stored, tidy
+from tracelake.llm.tables import discard, stored, tidy
 
-#: Length of neighbour lists; neighbours and reverse neighbours that meet at a node; what one meeting hands each.
-LIST, MEET, HANDED, ROUNDS = 32, 16, 6, 8
+#: Length of neighbour lists; new neighbours, old ones and reverse neighbours that meet at a node; what one meeting hands each.
+LIST, MEET, OLD, HANDED, ROUNDS = 32, 16, 8, 6, 8
+#: Groupings at the start and members of a group; part of new neighbours at which the lists are done.
+STARTS, GROUP, FEW = 6, 128, 0.005
 #: Nodes a query visits in a round, rounds, and how many of the best found it keeps.
 VISITS, WALKS, KEPT = 64, 6, 400
 #: Scores this close to the last place, as a part of the largest, are level with it until they are computed anew.
 LEVEL = 1e-9
+SEED = 7
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -69,21 +73,14 @@ def lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else [], kind))
 
 
-def best_distinct(ids: np.ndarray, scores: np.ndarray, most: int) -> np.ndarray:
-    """Places of the `most` best distinct ids, best first, ties to the smaller id."""
-    by = np.lexsort((ids, -scores))
-    first = np.sort(np.unique(ids[by], return_index=True)[1])
-    return by[first[:most]]
-
-
 def meetings(rows: DataFrame, handed: int = HANDED) -> DataFrame:
-    """(node, ids, scores): what each node of a meeting hears there. rows: (m, node, vec, least)."""
+    """(node, ids, scores, fresh): what each node of a meeting hears there. rows: (m, node, vec, least)."""
 
     def run(batches):
         for table in groups(batches, "m"):
             m, node = table.column("m").to_numpy(), table.column("node").to_numpy()
             least, vectors = table.column("least").to_numpy(), matrix(table.column("vec")).astype(np.float64)
-            names, ids, scores = [], [], []
+            names, sizes, ids, scores = [], [], [], []
             at = cuts(m)
             for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
                 own, first = np.unique(node[a:b], return_index=True)
@@ -96,62 +93,99 @@ def meetings(rows: DataFrame, handed: int = HANDED) -> DataFrame:
                 top = np.argpartition(-like, some - 1, axis=1)[:, :some]
                 value = np.take_along_axis(like, top, 1)
                 good = value > least[a:b][first][:, None]
-                for i in np.flatnonzero(good.any(axis=1)).tolist():
-                    names.append(own[i])
-                    ids.append(own[top[i, good[i]]])
-                    scores.append(value[i, good[i]])
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), lists(ids, pa.int64()), lists(scores, pa.float64())],
-                                             ["node", "ids", "scores"])
+                many = good.sum(axis=1)
+                hears = many > 0
+                names.append(own[hears])
+                sizes.append(many[hears])
+                ids.append(own[top][good])
+                scores.append(value[good])
+            if names:
+                names, sizes, ids, scores = (np.concatenate(x) for x in (names, sizes, ids, scores))
+                yield pa.RecordBatch.from_arrays([pa.array(names), *packed_lists(sizes, ids, scores, np.ones(len(ids), np.int8))],
+                                                 ["node", "ids", "scores", "fresh"])
 
     return (rows.select("m", "node", "vec", "least").repartition("m").sortWithinPartitions("m")
-            .mapInArrow(run, "node long, ids array<long>, scores array<double>"))
+            .mapInArrow(run, "node long, ids array<long>, scores array<double>, fresh array<tinyint>"))
+
+
+def packed_lists(sizes: np.ndarray, *values: np.ndarray) -> list[pa.ListArray]:
+    ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    return [pa.ListArray.from_arrays(ends, pa.array(v)) for v in values]
 
 
 def merged(rows: DataFrame, most: int) -> DataFrame:
-    """The best distinct ids of each node's lists: (node, ids, scores, least)."""
+    """The best distinct ids of each node's lists, best first, ties to the smaller id: (node, ids, scores, fresh, least).
+    An id that an old list holds is not fresh."""
 
     def run(batches):
         for table in groups(batches, "node"):
-            node, at = table.column("node").to_numpy(), None
-            flat = [table.column(c).combine_chunks() for c in ("ids", "scores")]
-            ends = np.concatenate([[0], np.cumsum(np.diff(flat[0].offsets.to_numpy()))])
-            ids, scores = (f.flatten().to_numpy() for f in flat)
+            lists_ = [table.column(c).combine_chunks() for c in ("ids", "scores", "fresh")]
+            sizes = np.diff(lists_[0].offsets.to_numpy())
+            node = np.repeat(table.column("node").to_numpy(), sizes)
+            ids, scores, fresh = (x.flatten().to_numpy() for x in lists_)
+            by = np.lexsort((fresh, ids, node))
+            node, ids, scores, fresh = (x[by] for x in (node, ids, scores, fresh))
+            first = np.concatenate([[True], (ids[1:] != ids[:-1]) | (node[1:] != node[:-1])])
+            node, ids, scores, fresh = (x[first] for x in (node, ids, scores, fresh))
+            by = np.lexsort((ids, -scores, node))
+            node, ids, scores, fresh = (x[by] for x in (node, ids, scores, fresh))
             at = cuts(node)
-            names, top_ids, top_scores, least = [], [], [], []
-            for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-                i, s = ids[ends[a]: ends[b]], scores[ends[a]: ends[b]]
-                top = best_distinct(i, s, most)
-                names.append(node[a])
-                top_ids.append(i[top])
-                top_scores.append(s[top])
-                least.append(s[top[-1]] if len(top) == most else -np.inf)
+            place = np.arange(len(node)) - np.repeat(at[:-1], np.diff(at))
+            kept = place < most
+            many = np.minimum(np.diff(at), most)
+            least = np.where(many == most, scores[at[:-1] + many - 1], -np.inf)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.int64()), lists(top_ids, pa.int64()), lists(top_scores, pa.float64()),
-                 pa.array(least, pa.float64())], ["node", "ids", "scores", "least"])
+                [pa.array(node[at[:-1]]), *packed_lists(many, ids[kept], scores[kept], fresh[kept]), pa.array(least)],
+                ["node", "ids", "scores", "fresh", "least"])
 
     return (rows.repartition("node").sortWithinPartitions("node")
-            .mapInArrow(run, "node long, ids array<long>, scores array<double>, least double"))
+            .mapInArrow(run, "node long, ids array<long>, scores array<double>, fresh array<tinyint>, least double"))
+
+
+def start_groups(nodes: DataFrame, count: int) -> DataFrame:
+    """(m, node, vec, least): every node in STARTS groups of about GROUP nodes. A group is on the same sides of random planes;
+    a side with many nodes is dealt into several groups, so a dense one is no larger group than others."""
+    bits = max(0, (count // GROUP).bit_length() - 1)
+
+    def run(batches):
+        for batch in batches:
+            x = matrix(batch.column("vec")).astype(np.float64)
+            planes = np.random.default_rng(SEED).normal(size=(STARTS, bits, x.shape[1]))
+            sides = [(x @ p.T > 0) @ (1 << np.arange(bits)) if bits else np.zeros(len(x), np.int64) for p in planes]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.tile(batch.column("node").to_numpy(), STARTS)), pa.array(np.repeat(np.arange(STARTS), len(x))),
+                 pa.array(np.concatenate(sides).astype(np.int64))], ["node", "start", "side"])
+
+    sided = nodes.mapInArrow(run, "node long, start long, side long")
+    sizes = sided.groupBy("start", "side").agg(F.ceil(F.count("*") / (2 * GROUP)).alias("parts"))
+    part = F.pmod(F.xxhash64("node", "start"), "parts")
+    return (sided.join(sizes, ["start", "side"]).select("node", F.xxhash64("start", "side", part).alias("m"))
+            .join(nodes, "node").withColumn("least", F.lit(float("-inf"))))
 
 
 def neighbour_lists(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(node, ids, scores) by NN-descent. nodes: (node, vec)."""
     count = nodes.count()
-    start = nodes.withColumn("least", F.lit(float("-inf")))
-    if count <= 2 * LIST:  # one meeting, which hands everyone to everyone
-        return stored(merged(meetings(start.withColumn("m", F.lit(0).cast("long")), 2 * LIST), 2 * LIST))
-    by = [start.withColumn("m", F.pmod(F.xxhash64("node", F.lit(k)), F.lit(max(1, count // (2 * LIST))))) for k in range(2)]
-    graph = stored(merged(meetings(by[0].withColumn("m", F.col("m") * 2).unionByName(by[1].withColumn("m", F.col("m") * 2 + 1))), LIST))
+    graph = stored(merged(meetings(start_groups(nodes, count), LIST), LIST))
     for turn in range(rounds):
-        lists_ = graph.select("node", F.slice(F.shuffle("ids", F.lit(turn)), 1, MEET).alias("some"))
-        ahead = stored(lists_.select(F.col("node").alias("m"), F.explode("some").alias("node")))
+        sides = F.arrays_zip("ids", "fresh")
+        some = lambda new, many: F.slice(F.shuffle(F.transform(
+            F.filter(sides, lambda x: x["fresh"] == new), lambda x: x["ids"]), F.lit(turn)), 1, many)
+        calls = stored(graph.filter(F.exists("fresh", lambda x: x == 1)).select("node", some(1, MEET).alias("new"), some(0, OLD).alias("old")))
+        ahead = calls.select(F.col("node").alias("m"), F.explode(F.concat("new", "old", F.array("node"))).alias("node"))
         few = Window.partitionBy("m").orderBy(F.xxhash64("node", F.lit(turn)), "node")
-        back = (ahead.select(F.col("node").alias("m"), F.col("m").alias("node")).withColumn("place", F.row_number().over(few))
+        back = (calls.select(F.explode("new").alias("m"), "node").withColumn("place", F.row_number().over(few))
                 .where(F.col("place") <= MEET).drop("place"))
         known = nodes.join(graph.select("node", "least"), "node", "left").withColumn(
             "least", F.coalesce("least", F.lit(float("-inf"))))
         heard = meetings(ahead.unionByName(back).join(known, "node"))
-        graph = stored(merged(graph.select("node", "ids", "scores").unionByName(heard), LIST))
+        old = graph.select("node", "ids", "scores", F.transform("fresh", lambda _: F.lit(0).cast("tinyint")).alias("fresh"))
+        before, graph = graph, stored(merged(old.unionByName(heard), LIST))
+        discard(before, calls)
         tidy(graph.sparkSession)
+        new = graph.agg(F.coalesce(F.sum(F.aggregate("fresh", F.lit(0).cast("long"), lambda t, x: t + x)), F.lit(0))).first()[0]
+        if new <= FEW * LIST * count:
+            break
     return graph
 
 
@@ -219,8 +253,10 @@ def walked(queries: DataFrame, nodes: DataFrame, graph: DataFrame) -> DataFrame:
         go = state.select("q", items).where("x.seen = 2").select("q", F.col("x.ids").alias("node"))
         found = go.join(queries, "q").join(around, "node").select("q", "vec", "ids", "vecs").mapInArrow(asked, kind)
         visited = state.withColumn("seen", F.transform("seen", lambda v: F.least(v, F.lit(1).cast("tinyint"))))
-        state = pool(visited.unionByName(found))
+        before, state = state, pool(visited.unionByName(found))
+        discard(before)
         tidy(state.sparkSession)
+    discard(around)
     return state.select("q", "ids", "scores")
 
 
@@ -255,6 +291,7 @@ def nearest(vectors: DataFrame, wanted: int = 20, every: int = 20) -> DataFrame:
     asking = ids.where(F.col("vec_id") % every == 0)
     queries = asking.select(F.col("node").alias("q")).distinct().join(nodes.withColumnRenamed("node", "q"), "q")
     found = walked(queries, nodes, graph)
+    discard(graph)
 
     last = F.coalesce(F.get("scores", F.lit(wanted)), F.element_at("scores", -1))
     level = last - LEVEL * F.greatest(F.abs(last), F.abs(F.get("scores", F.lit(0))))
