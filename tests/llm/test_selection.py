@@ -12,7 +12,7 @@ import pytest
 import xxhash
 
 from conftest import prose
-from tracelake.llm import cap_filters, fill_middle, importance_draw, ngram_join
+from tracelake.llm import cap_filters, fill_middle, importance_draw, maxent_lm, ngram_join
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -230,3 +230,48 @@ def test_first_of_groups_with_repeated_ids(spark):
     kept = [tuple(r) for r in ngram_join.first_of_groups(docs).collect()]
     texts = collections.Counter((d, t or "") for d, t, _ in kept)
     assert texts == {(1, a): 1, (1, b): 1, (4, ""): 1, (5, rows[8][1]): 1, (None, a): 2} and all(k in rows for k in kept)
+
+
+def plain_log10(model, counts, text):
+    """log10 probability of a text, token by token, from the model's tables."""
+    raw = np.frombuffer((text or "").encode(), np.uint8)
+    hashed, tail, _, _ = maxent_lm.tokens(raw, np.array([0, len(raw)]))
+    place = model.near(hashed).tolist()
+    classes = [int(model.classes[p]) if p >= 0 else int(t) for p, t in zip(place, tail)]
+    at = lambda values, k, fill: values[k] if k >= 0 else fill
+    number = lambda x: int(maxent_lm.bucket(np.array([x % (1 << 64)], np.uint64))[0])
+    seeds, total = [int(s) for s in maxent_lm.SEEDS], 0.0
+    for i, h in enumerate(hashed.tolist()):
+        one, two = (int(at(hashed, i - k, maxent_lm.START)) for k in (1, 2))
+        before, third, fourth = (at(classes, i - k, maxent_lm.UNKNOWN) for k in (1, 3, 4))
+        keys = [one + seeds[0], one * 0x9E3779B1 + two + seeds[1], two + seeds[2], third + seeds[3], fourth + seeds[4]]
+        logits = [float(model.bias[c]) + sum(float(model.weights[c, number(k)]) for k in keys) for c in range(maxent_lm.CLASSES)]
+        whole = math.log(sum(math.exp(x) for x in logits))
+        own = classes[i]
+        if place[i] >= 0:
+            a, b = model.cuts[own], model.cuts[own + 1]
+            inner = [float(model.word_bias[k]) + float(model.word_weights[before, k]) for k in range(a, b)]
+            word = float(model.word_bias[model.place[place[i]]]) + float(model.word_weights[before, model.place[place[i]]])
+            total += logits[own] - whole + word - math.log(sum(math.exp(x) for x in inner))
+        elif h in counts:
+            total += logits[own] - whole + math.log((counts[h] + 0.5) / max(float(model.tail_mass[own]), 0.5))
+        else:
+            total += logits[maxent_lm.UNKNOWN] - whole
+    return total / math.log(10)
+
+
+@pytest.mark.parametrize("head", [1 << 19, 12])
+def test_model_scores_token_by_token(spark, odd, monkeypatch, head):
+    """Also with most words' counts met in a join (a small head)."""
+    monkeypatch.setattr(maxent_lm, "HEAD", head)
+    monkeypatch.setattr(maxent_lm, "WORDS", 10)
+    rows = [(k, prose(k, 70), False) for k in range(30)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    counts = maxent_lm.count_words(train).cache()
+    model = maxent_lm.trained(train, maxent_lm.start_model(train, counts))
+    known = {r.word % (1 << 64): r.c for r in counts.collect()}
+    texts = [prose(3, 70), prose(99, 40), "never seen words The house river, 7", "", None, "the the the", "Ünïcödé ñandú of"]
+    docs = spark.createDataFrame([(k, t, True) for k, t in enumerate(texts)], "doc_id long, text string, held_out boolean")
+    got = {r.doc_id: r.head_score + r.rest_score for r in maxent_lm.scored(docs, model, counts).collect()}
+    for k, text in enumerate(texts):
+        assert got[k] == pytest.approx(plain_log10(model, known, text), rel=1e-4, abs=1e-3)

@@ -7,10 +7,10 @@ a tenth of an average set element for element, which unrelated texts with a comm
 
 Inside a tile, documents carry parity bitmaps of their hashed shingles. The number of differing bits is at most the
 size of the symmetric difference, so it bounds the overlap from above; pairs that pass are decided on the exact
-sorted arrays. First every document meets one pivot per tile. Then the pairs of a tile from different components whose bitmaps
-allow a link are listed once, each in the first tile that both have, and decided in slices of bounded size; components
-only grow meanwhile, so no other pair can matter, and pairs that have come into one component are left out. Groups of copies
-thus cost time in proportion to their members, and no link between components is lost.
+sorted arrays. In a few turns one document of each component of a tile meets a pivot, the first time every document. Then the
+pairs of a tile from different components whose bitmaps allow a link are listed once and decided in slices of bounded size;
+components only grow meanwhile, so no other pair can matter, and pairs that have come into one component are left out. Groups
+of copies thus cost time in proportion to their members, and no link between components is lost.
 
 One pass over the texts yields sizes, tiles and bitmaps; sorted arrays are made from the texts of those documents alone
 that are in a pair to be decided.
@@ -19,6 +19,7 @@ that are in a pair to be decided.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -33,6 +34,8 @@ from tracelake.llm.words import mix, shingle_hashes
 BLOCK_ROWS, OTHER_ROWS = 512, 4096
 #: Turns that test one pair per document, and pairs a set that one slice of the remaining ones holds on average.
 SINGLE_TURNS, PAIRS_A_SET = 1, 2
+#: Turns in which components of a tile meet by one document each, before pairs are listed.
+PIVOT_TURNS = 3
 FILTER_BITS = 1 << 22
 
 
@@ -235,8 +238,7 @@ def decided(pairs: DataFrame, sets: DataFrame, sizes: Sizes) -> DataFrame:
 
 
 def open_pairs(tiles: DataFrame, sets: DataFrame, labels: DataFrame, sizes: Sizes) -> DataFrame:
-    """(a, b, most): all pairs of a tile from different components whose bitmaps allow the threshold, each once: in the
-    smallest tile that both sets are in.
+    """(a, b, most): all pairs of a tile from different components whose bitmaps allow the threshold, each once.
 
     Rows outside a tile's largest component meet all others, in steps of bounded size.
     """
@@ -256,7 +258,6 @@ def open_pairs(tiles: DataFrame, sets: DataFrame, labels: DataFrame, sizes: Size
     columns = ["key", "i", "s", "asks", "outside", "set_id", "label"]
     wide = (asking.select(*columns).unionByName(asked.select(*columns))
             .join(sets.select("set_id", "n", "bits"), "set_id")
-            .join(tiles.groupBy("set_id").agg(F.collect_list("key").alias("keys")), "set_id")
             .repartition("key", "i", "s").sortWithinPartitions("key", "i", "s"))
 
     def meet(group: dict[str, list]) -> Iterator[tuple]:
@@ -266,21 +267,19 @@ def open_pairs(tiles: DataFrame, sets: DataFrame, labels: DataFrame, sizes: Size
         n, ids, label = (np.array(group[c], np.int64) for c in ("n", "set_id", "label"))
         width = min(len(b) for b in group["bits"]) // 8
         bits = np.stack([folded(np.frombuffer(b, np.uint64), width) for b in group["bits"]])
-        others, tiles_below = np.flatnonzero(~asks), {}
+        others = np.flatnonzero(~asks)
         outside = np.array(group["outside"], bool)
         for q in np.flatnonzero(asks):
             total = n[q] + n[others]
             most = (total - np.bitwise_count(bits[q] ^ bits[others]).sum(axis=1, dtype=np.int64)) // 2
             for k in np.flatnonzero((label[others] != label[q]) & sizes.enough(most, total)):
-                x, y, here = int(ids[q]), int(ids[others[k]]), group["key"][0]
-                lower = tiles_below[q] if q in tiles_below else tiles_below.setdefault(q, {t for t in group["keys"][q] if t < here})
-                # between two rows that both ask, the smaller asks; another common tile before this one has the pair
-                if (not outside[others[k]] or x < y) and lower.isdisjoint(group["keys"][others[k]]):
+                x, y = int(ids[q]), int(ids[others[k]])
+                if not outside[others[k]] or x < y:  # of two rows that both ask, the smaller asks
                     yield min(x, y), max(x, y), int(most[k])
 
     def run(batches):
         held, at = None, None
-        names = ["key", "i", "s", "asks", "outside", "set_id", "label", "n", "bits", "keys"]
+        names = ["key", "i", "s", "asks", "outside", "set_id", "label", "n", "bits"]
 
         def out(rows):
             found = list(rows)
@@ -303,8 +302,17 @@ def open_pairs(tiles: DataFrame, sets: DataFrame, labels: DataFrame, sizes: Size
         if held:
             yield from out(meet(held))
 
-    return (wide.select("key", "i", "s", "asks", "outside", "set_id", "label", "n", "bits", "keys")
-            .mapInArrow(run, "a long, b long, most long"))
+    return (wide.select("key", "i", "s", "asks", "outside", "set_id", "label", "n", "bits")
+            .mapInArrow(run, "a long, b long, most long").groupBy("a", "b").agg(F.min("most").alias("most")))
+
+
+def pivot_pairs(tiles: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """(a, b): in every tile, one set of each component with one of the component that has most of the tile."""
+    rows = tiles.join(labels, "set_id", "left").select("key", "set_id", F.coalesce("label", "set_id").alias("label"))
+    parts = rows.groupBy("key", "label").agg(F.count("*").alias("n"), F.min_by("set_id", F.xxhash64("set_id", F.lit(turn))).alias("a"))
+    most = (parts.groupBy("key").agg(F.max_by(F.struct("label", "a"), F.struct("n", "label")).alias("most"), F.count("*").alias("parts"))
+            .where("parts > 1").select("key", F.col("most.label").alias("major"), F.col("most.a").alias("b")))
+    return parts.join(most, "key").where("label <> major").select("a", "b").distinct()
 
 
 def best(pairs: DataFrame) -> DataFrame:
@@ -324,21 +332,23 @@ def grouped(docs: DataFrame, size: int, part: int, whole: int) -> DataFrame:
     usable = own.where("set_id IS NOT NULL AND doc_id IS NOT NULL")
     tidy(spark)
 
-    pivots = tiles.groupBy("key").agg(F.min_by("set_id", F.xxhash64("set_id")).alias("b"))
-    pairs = tiles.join(pivots, "key").where("set_id <> b").select(F.col("set_id").alias("a"), "b").distinct()
-    first = stored(best(bounded(pairs, sets, sizes)))
-    tidy(spark)
-
     def exact(pairs: DataFrame) -> DataFrame:
         named = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
         return exact_sets(docs, sets.select("set_id", "doc_id").join(named, "set_id"), size)
 
-    arrays = exact(first)
-    tested = stored(decided(first, arrays, sizes))
-    discard(first, arrays)
-    tidy(spark)
-    found = components(tested.where("linked"), "a", "b", "label")
-    known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    nothing = spark.createDataFrame([], "a long, label long")
+    found, tested, tried = nothing, None, []
+    for turn in range(PIVOT_TURNS):
+        first = stored(best(bounded(pivot_pairs(tiles, found.withColumnRenamed("a", "set_id"), turn), sets, sizes)))
+        tidy(spark)
+        arrays = exact(first)
+        now = stored(decided(first, arrays, sizes))
+        discard(first, arrays, found)
+        tried.append(now)
+        tested = now.where("linked") if tested is None else tested.unionByName(now.where("linked"))
+        found = components(tested, "a", "b", "label")
+        tidy(spark)
+    known = reduce(DataFrame.unionByName, tried).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left = stored(open_pairs(tiles, sets, found.withColumnRenamed("a", "set_id"), sizes).join(known, ["a", "b"], "left_anti"))
     discard(tiles)
     tidy(spark)
@@ -362,12 +372,12 @@ def grouped(docs: DataFrame, size: int, part: int, whole: int) -> DataFrame:
             if turn < SINGLE_TURNS and still.isEmpty():
                 break
             continue
-        before, tested = tested, stored(tested.where("linked").unionByName(now))
+        before, tested = tested, stored(tested.unionByName(now))
         discard(before, now, found)
         found = components(tested, "a", "b", "label")
         tidy(spark)
     labels = found.withColumnRenamed("a", "set_id")
-    discard(sets, tested, left, arrays)
+    discard(sets, tested, left, arrays, *tried)
 
     groups = (usable.groupBy("set_id").agg(F.min("doc_id").alias("least"))
               .join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id")))
