@@ -8,7 +8,6 @@ import zipfile
 from collections.abc import Iterator
 from xml.parsers import expat
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +30,10 @@ CORE, PROPERTIES = "docProps/core.xml", ["creator", "lastModifiedBy", "created"]
 CHUNK, PIECE, MOST_BYTES = 1 << 16, 1 << 20, 1 << 30
 COLUMNS = pa.schema([("path", pa.string()), ("position", pa.int32()), ("member", pa.string()), ("place", pa.int32()), ("piece", pa.int32()),
                      ("element", pa.string()), ("text", pa.string()), ("error", pa.string())])
+#: Entries that leave a task together.
+ENTRIES = 10_000
+LISTING = pa.schema([("archive", pa.string()), ("position", pa.int32()), ("entry_name", pa.string()), ("size_bytes", pa.int64()),
+                     ("error", pa.string())])
 
 
 def plain_files(files: DataFrame) -> DataFrame:
@@ -152,17 +155,24 @@ def read_members(most: int):
     return run
 
 
-def list_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(path, content) to (archive, position, entry_name, size_bytes, error): the central directory only. Content is
-    the bytes of the archive, or its path, of which only the end is then read."""
-    columns = ["archive", "position", "entry_name", "size_bytes", "error"]
+def list_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, content) to rows of LISTING: the central directory only. Content is the bytes of the archive, or its path, of
+    which only the end is then read."""
+    def listed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), LISTING)], schema=LISTING)
+
     for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
+        rows: list[tuple] = []
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
             try:
-                rows = [(path, i, info.filename, info.file_size, None) for i, info in enumerate(opened(content).infolist())]
+                rows += [(path, i, info.filename, info.file_size, None) for i, info in enumerate(opened(content.as_py()).infolist())]
             except Exception as problem:
-                rows = [(path, -1, None, None, reason(problem))]
-            yield pd.DataFrame(rows, columns=columns).astype({"size_bytes": "Int64"})
+                rows.append((path, -1, None, None, reason(problem)))
+            if len(rows) >= ENTRIES:
+                yield listed(rows)
+                rows = []
+        if rows:
+            yield listed(rows)
 
 
 def office_members(files: DataFrame, most: int = MOST_BYTES) -> DataFrame:
@@ -186,7 +196,7 @@ def archive_entries(files: DataFrame) -> DataFrame:
     """
     archives = files.filter(paths.is_openable_archive("path"))
     content = "content" if "content" in files.columns else F.col("path").alias("content")
-    return archives.select("path", content).mapInPandas(
+    return archives.select("path", content).mapInArrow(
         list_members, "archive string, position int, entry_name string, size_bytes long, error string")
 
 
