@@ -7,12 +7,14 @@ import re
 from datetime import datetime
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tracelake import fixed
 from tracelake.functions import paths, scalars
 from tracelake.operators import aggregates, evidence, filters, history, joins, learning, ordering, provenance, similarity, triage
+from tracelake.plans import packing
 from tracelake.plans.views import AS_OF, Views
 from tracelake.sources import inventory, scanners, store, text
 
@@ -460,3 +462,21 @@ def test_walked_folders(spark, tmp_path):
     assert sorted(plain) == [("a", True), ("a/b", True), ("a/b/c", True), ("a/b/c/x.txt", False), ("a/y.bin", False), ("empty", True), ("z", False)]
     assert {r.path.rpartition("/")[2]: r.size_bytes for r in rows if r.is_directory is False} == {"x.txt": 11, "y.bin": 7, "z": 1}
     assert [r.path for r in rows if r.error] == [f"{tmp_path}-missing"] and all(r.modified_at for r in rows if not r.error)
+
+
+def test_listings_and_files_leave_tasks_in_pieces():
+    """Archives that come together are listed together, and packed files leave in pieces instead of a whole batch."""
+    texts = [f"line {i} " + "".join(chr(97 + (i * j * j) % 26) for j in range(2000)) for i in range(40)]
+    names = ["path", "text", "author", "damage"]
+    batch = pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (
+        [f"a{i}.zip" for i in range(40)], texts, ["me"] * 40, ["", "vast"] * 20)], names)
+    most, packing.OUT_BYTES = packing.OUT_BYTES, 20_000
+    try:
+        files = list(packing.packed([batch]))
+    finally:
+        packing.OUT_BYTES = most
+    assert len(files) > 2 and sum(f.num_rows for f in files) == 40
+    (listing,) = text.list_members([pa.Table.from_batches(files).combine_chunks().to_batches()[0]])
+    assert listing.num_rows == 40 * 5 and listing.column("error").null_count == 200
+    sizes = {(r["archive"], r["entry_name"]): r["size_bytes"] for r in listing.to_pylist()}
+    assert sizes["a1.zip", "word/footnotes.xml"] > 2_000_000 and sizes["a39.zip", "README.md"] == len(texts[39])

@@ -5,9 +5,10 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from functools import cache
 from xml.sax.saxutils import escape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +21,24 @@ def paragraphs(text: str, element: str) -> str:
     return f'<w:document xmlns:w="urn:w">{lines}</w:document>'
 
 
+@cache
+def opening(damage: str) -> bytes:
+    """A zip with the entries that do not depend on the text."""
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", compression(damage), compresslevel=1) as out:
+        out.writestr("docs/passport_scan.jpg", b"x" * 10)
+        out.writestr("word/footnotes.xml", paragraphs("note " * 400_000 if damage == "vast" else "note", "t")[: -5 if damage == "malformed" else None])
+    return buffer.getvalue()
+
+
+def compression(damage: str) -> int:
+    return zipfile.ZIP_STORED if damage == "torn" else zipfile.ZIP_DEFLATED
+
+
 #: The part that holds the text, by kind of file.
 PARTS = {"docx": "word/document.xml", "xlsx": "xl/sharedStrings.xml", "pptx": "ppt/slides/slide1.xml", "zip": "word/document.xml"}
+#: Bytes of files that leave a task together.
+OUT_BYTES = 1 << 22
 
 
 def zipped(text: str, author: str, part: str, damage: str) -> bytes:
@@ -30,10 +47,8 @@ def zipped(text: str, author: str, part: str, damage: str) -> bytes:
     of a zip at all."""
     if damage == "none":
         return text.encode()[:50]
-    buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_STORED if damage == "torn" else zipfile.ZIP_DEFLATED) as out:
-        out.writestr("docs/passport_scan.jpg", b"x" * 10)
-        out.writestr("word/footnotes.xml", paragraphs("note " * 400_000 if damage == "vast" else "note", "t")[: -5 if damage == "malformed" else None])
+    buffer = io.BytesIO(opening(damage))
+    with zipfile.ZipFile(buffer, "a", compression(damage), compresslevel=1) as out:
         body = paragraphs(text, "t")
         out.writestr(part, body.encode("utf-8-sig") if damage == "marked" else body)
         core = f"<c:p xmlns:c='urn:c'><c:creator> {escape(author)} </c:creator><c:created>2020-01-01</c:created></c:p>"
@@ -45,15 +60,23 @@ def zipped(text: str, author: str, part: str, damage: str) -> bytes:
     return bytes(raw)
 
 
-def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(path, text, author, damage) to (path, content)."""
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, text, author, damage) to (path, content), some OUT_BYTES of content at a time."""
     for batch in batches:
-        rows = [(path, zipped(text, author, PARTS[path.rpartition(".")[2]], damage)) for path, text, author, damage in
-                zip(batch["path"], batch["text"], batch["author"], batch["damage"])]
-        yield pd.DataFrame(rows, columns=["path", "content"])
+        paths, contents, size = [], [], 0
+        for row in zip(*(batch.column(n) for n in ("path", "text", "author", "damage"))):
+            path, text, author, damage = (value.as_py() for value in row)
+            paths.append(path)
+            contents.append(zipped(text, author, PARTS[path.rpartition(".")[2]], damage))
+            size += len(contents[-1])
+            if size >= OUT_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], ["path", "content"])
+                paths, contents, size = [], [], 0
+        if paths:
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], ["path", "content"])
 
 
 def pack(texts: DataFrame) -> DataFrame:
     """Files from texts (path, text, author and perhaps damage)."""
     damage = "damage" if "damage" in texts.columns else F.lit("").alias("damage")
-    return texts.select("path", "text", "author", damage).mapInPandas(packed, "path string, content binary")
+    return texts.select("path", "text", "author", damage).mapInArrow(packed, "path string, content binary")
