@@ -16,6 +16,7 @@ from tracelake.functions import paths, scalars
 from tracelake.operators import aggregates, evidence, filters, history, joins, learning, ordering, provenance, similarity, triage
 from tracelake.plans import packing
 from tracelake.plans.views import AS_OF, Views
+from tracelake.session import dealt
 from tracelake.sources import inventory, scanners, store, text
 
 c = F.col
@@ -496,3 +497,10 @@ def test_terms_are_counted_and_weighted_where_they_are(spark):
     weights = [sorted(map(tuple, similarity.weighted_in_place(kept, terms, F.lit(3), least).select("doc_id", "term", "n", "df", "w").collect()))
                for least in (1, 2, 4)]
     assert len(weights[0]) == 8 and weights[0] == weights[1] == weights[2]
+
+
+def test_few_bytes_with_much_work_are_dealt_out(spark):
+    """A table of narrow rows is one split; the texts made of them are searched by as many tasks as its rows need."""
+    keys = spark.range(0, 25_000, 1, 1)
+    assert dealt(keys, 1_000, "id").rdd.getNumPartitions() == 25
+    assert dealt(keys, 1_000, "id").select(F.sum("id")).first()[0] == sum(range(25_000))

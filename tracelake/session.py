@@ -102,3 +102,10 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     Local sessions of this package set it, because their small test tables are a single split."""
     parts = df.sparkSession.conf.get("spark.tracelake.spread", None)
     return df.repartition(int(parts), *keys) if parts else df
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """Deal a table's narrow rows into tasks of about `rows` rows each, before costly columns are derived from them: a small
+    file is a single split, whatever work its rows mean. The count comes from the files' footers."""
+    parts = int(df.sparkSession.conf.get("spark.tracelake.spread", None) or 1)
+    return df.repartition(max(parts, -(-df.count() // rows)), *keys)
