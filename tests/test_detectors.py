@@ -172,6 +172,19 @@ def test_identity_both_ways(spark, counted):
     assert not found[3].has_identity_trace
 
 
+def test_many_terms_of_which_few_occur_leave_texts_where_they_are(spark, monkeypatch):
+    """Terms beyond the bound move no text when those that stand in any text are within it."""
+    docs = spark.createDataFrame([(1, "C:\\x\\a.txt", "by alice_dev, ax.yb, ALICE_DEV"), (2, "C:\\x\\b.txt", None)], "doc_id long, path string, text string")
+    terms = identity.identity_terms(spark.createDataFrame(TERMS + [(f"nobody{i}", "Account", 10 + i) for i in range(30)], "term string, category string, position int"))
+    expected = {r.doc_id: r.identity for r in identity.identity_by_join(docs, terms).collect()}
+    with monkeypatch.context() as patch:
+        patch.setattr(identity, "identity_by_join", None)
+        found = {r.doc_id: r.identity for r in identity.with_identity(docs, terms, few=3).collect()}
+    assert found == expected and found[1].matched_terms == {"alice_dev": "Account (2x)", "x.y": "Loose (1x)"}
+    with_all = {r.doc_id: r.identity for r in identity.with_identity(docs, terms, few=1).collect()}
+    assert with_all == expected
+
+
 def test_identity_size_gate_leaves_text_out_whole(spark):
     docs = spark.createDataFrame([(1, "C:\\x\\alice_dev.txt", "alice_dev " * 10)], "doc_id long, path string, text string")
     terms = identity.identity_terms(spark.createDataFrame(TERMS, "term string, category string, position int"))

@@ -80,15 +80,18 @@ def with_identity(docs: DataFrame, terms: DataFrame, path: str = "path", text: s
 
     Up to `few` terms (names of one audit's people, accounts and hosts) travel inside the expression as a map from
     anchor to terms: the words of the document are intersected with the anchors and only terms whose anchor occurs
-    are counted. More are met in a join (`identity_by_join`), which gives the same rows.
+    are counted. Of more terms those are taken whose anchor stands in any text at all; only if these are more than `few`
+    too, texts and terms meet in a join (`identity_by_join`), which gives the same rows.
     """
+    body = paths.settled(docs, "__body", content(F.col(path), F.col(text), max_text_bytes))
     ready = prepared_terms(terms).limit(few + 1).collect()
+    if len(ready) > few:
+        ready = occurring(body, prepared_terms(terms)).limit(few + 1).collect()
     if len(ready) > few:
         return identity_by_join(docs, terms, path, text, out, max_text_bytes)
     known_terms: dict[str, list[dict]] = {}
     for row in ready:
         known_terms.setdefault(row["anchor"] or "", []).append(row.asDict())
-    body = paths.settled(docs, "__body", content(F.col(path), F.col(text), max_text_bytes))
     known = F.from_json(F.lit(json.dumps(known_terms)), f"map<string,{TERM_TYPE}>")
     words = F.regexp_extract_all(F.lower("__body"), F.lit(WORD), F.lit(0))
     # "" holds the terms without an anchor; they are tried on every document
@@ -126,6 +129,20 @@ def word_filter(words: DataFrame, name: str) -> Callable[[Column], Column]:
     return may_hold
 
 
+def filtered_words(anchored: DataFrame) -> Column:
+    """The distinct words of a row's text that are likely anchors."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("__body"), F.lit(WORD), F.lit(0)))
+    return F.filter(words, word_filter(anchored, "anchor"))
+
+
+def occurring(body: DataFrame, ready: DataFrame) -> DataFrame:
+    """The terms that may be found in the texts: those without an anchor, and those whose anchor is a word of any text. Only
+    distinct words move."""
+    anchored = ready.filter("anchor is not null")
+    seen = body.select(F.explode(filtered_words(anchored)).alias("anchor")).distinct()
+    return anchored.join(seen, "anchor", "left_semi").unionByName(ready.filter("anchor is null"))
+
+
 def identity_by_join(docs: DataFrame, terms: DataFrame, path: str = "path", text: str = "text", out: str = "identity",
                      max_text_bytes: int | None = None) -> DataFrame:
     """JN-11: candidates by equi join, gathered to one list a row, then counted in the row that owns the text.
@@ -138,8 +155,7 @@ def identity_by_join(docs: DataFrame, terms: DataFrame, path: str = "path", text
     body = stored(paths.settled(docs, "__body", content(F.col(path), F.col(text), max_text_bytes))
                   .withColumn("__row", F.monotonically_increasing_id()))
     anchored = ready.filter("anchor is not null")
-    words = F.array_distinct(F.regexp_extract_all(F.lower("__body"), F.lit(WORD), F.lit(0)))
-    tokens = body.select("__row", F.explode(F.filter(words, word_filter(anchored, "anchor"))).alias("anchor"))
+    tokens = body.select("__row", F.explode(filtered_words(anchored)).alias("anchor"))
     pairs = tokens.join(anchored, "anchor").select("__row", "term", "category", "pattern")
     loose = ready.filter("anchor is null").withColumn("piece", F.lower(F.substring("term", 1, 3)))
     # the first characters are bounded by the alphabet
