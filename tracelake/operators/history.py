@@ -16,8 +16,7 @@ from tracelake.operators.ordering import first_per_group
 #: Application names that a path's row lists.
 NAMES = 1000
 ENTRY_FIELDS = [
-    "target_path", "last_interaction", "exists", "is_directory", "size_bytes", "target_modified_at", "source_kind",
-    "related_finding_id", "related_risk", "historical_score", "ordinal",
+    "target_path", "last_interaction", "exists", "is_directory", "size_bytes", "target_modified_at", "source_kind", "ordinal",
 ]
 
 
@@ -61,24 +60,25 @@ def with_effective_risk(entries: DataFrame) -> DataFrame:
 def merged(entries: DataFrame, *application: str) -> DataFrame:
     """AGG-5, AGG-6: one entry per application and path: the latest row, the highest count, any pin.
 
-    Group by `app_id` for single containers' applications, by the application key for merged ones.
+    Group by `app_id` for single containers' applications, by the application key for merged ones. Merge first and let
+    the result meet the findings (`related`): what an entry gets there depends on its path only, and a path that holds
+    a large share of the entries is by then a row per application.
     """
     latest = F.max_by(F.struct(*ENTRY_FIELDS), F.struct(F.col("last_interaction"), -F.col("ordinal")))
-    return with_effective_risk(
-        entries.groupBy(*application, "path_match")
-        .agg(latest.alias("e"), F.max("interactions").alias("interactions"), F.bool_or("pinned").alias("pinned"))
-        .select(*application, "path_match", "e.*", "interactions", "pinned"))
+    return (entries.groupBy(*application, paths.match_key("target_path").alias("path_match"))
+            .agg(latest.alias("e"), F.max("interactions").alias("interactions"), F.bool_or("pinned").alias("pinned"))
+            .select(*application, "path_match", "e.*", "interactions", "pinned"))
 
 
 APPLICATION = ("application_key", "application_name", "display_name", "known")
 
 
-def applications(entries: DataFrame, containers: DataFrame) -> DataFrame:
+def applications(merged_entries: DataFrame, containers: DataFrame) -> DataFrame:
     """AGG-6: entries of known applications meet under their name, unknown ones under their id; containers and
     warnings add up; applications without entries drop out. `containers`: container, warning (boolean)."""
     held = (identified(first_per_group(containers.withColumn("key", F.lower("container")), ["key"], F.asc("container")))
             .groupBy("application_key").agg(F.count(F.lit(1)).alias("containers"), F.count_if("warning").alias("warnings")))
-    return stats(merged(entries, *APPLICATION)).join(held, "application_key", "left")
+    return stats(merged_entries).join(held, "application_key", "left")
 
 
 def stats(merged_entries: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ def _(v: Views):
     SELECT app_id, path_match, max(last_interaction) AS last_interaction, CAST(max(interactions) AS BIGINT) AS interactions, bool_or(pinned) AS pinned
     FROM history GROUP BY app_id, path_match""", ("history",))
 def _(v: Views):
-    return history.merged(v.history, "app_id").select("app_id", "path_match", "last_interaction", long("interactions"), "pinned")
+    return history.merged(v.dealt_entries, "app_id").select("app_id", "path_match", "last_interaction", long("interactions"), "pinned")
 
 
 @query("agg6_applications", f"""
@@ -55,7 +55,7 @@ def _(v: Views):
                                 FROM history_entries GROUP BY application_key) c USING (application_key)
     GROUP BY m.application_key, m.shown_name""", ("merged_history",))
 def _(v: Views):
-    return history.applications(v.history, v.containers).select(
+    return history.applications(v.merged_history, v.containers).select(
         "application_key", "display_name", "remembered", "missing", "sensitive", "last_interaction", "containers", "warnings")
 
 
@@ -128,9 +128,10 @@ def _(v: Views):
     SELECT ordinal FROM merged_history WHERE NOT exists_now AND {o.order_sql('effective_risk')} > 0 AND pinned IN (true, false)
     UNION ALL SELECT ordinal FROM merged_history WHERE pinned AND {o.order_sql('effective_risk')} = 0""", ("merged_history",))
 def _(v: Views):
-    missing = v.merged_history.filter(filters.history_view(AS_OF, "Missing", risk_filter="Finding"))
-    calm = v.merged_history.filter(filters.history_view(AS_OF, pinned="Pinned", risk_filter="None"))
-    return missing.select("ordinal").unionByName(calm.select("ordinal"))
+    """No entry has a risk and none, so both filters are one over a single pass."""
+    missing = filters.history_view(AS_OF, "Missing", risk_filter="Finding")
+    calm = filters.history_view(AS_OF, pinned="Pinned", risk_filter="None")
+    return v.merged_history.filter(missing | calm).select("ordinal")
 
 
 @query("srt5_history_order", f"""
