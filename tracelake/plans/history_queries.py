@@ -163,7 +163,7 @@ def _(v: Views):
            CAST(coalesce(f.exposure_score, h.historical_score) AS BIGINT) AS exposure_score
     FROM history h LEFT JOIN findings f ON h.related_finding_id = f.finding_id""", ("history", "findings"))
 def _(v: Views):
-    return history.entry_findings(v.history, v.findings).select(
+    return history.entry_findings(v.history, v.remembered).select(
         "ordinal", "scanner_id", "category", "subcategory", "path", "modified_at", long("exposure_score"))
 
 

@@ -47,7 +47,7 @@ def _(v: Views):
 
 
 def history_features(v: Views):
-    rows = history.entry_findings(v.history, v.audited, EVIDENCE)
+    rows = history.entry_findings(v.history, v.remembered, EVIDENCE)
     return learning.with_history_features(rows, AS_OF)
 
 
