@@ -234,6 +234,18 @@ def test_fold_equals_the_library(spark):
     assert ranks.merged_alone(long_word) == library.encode_ordinary(long_word.decode())
 
 
+def test_ranks_stay_out_of_plans(spark, odd, monkeypatch):
+    """As literals the ranks would be printed with every state of a plan and kept by the driver."""
+    sizes, keep, most = [], byte_bpe.stored, spark.conf.get("spark.sql.maxPlanStringLength")
+    monkeypatch.setattr(byte_bpe, "stored", lambda df, *by: sizes.append(len(df._jdf.queryExecution().analyzed().toString())) or keep(df, *by))
+    spark.conf.set("spark.sql.maxPlanStringLength", str(1 << 24))
+    try:
+        assert byte_bpe.encoded_texts(odd, RANKS).count() == odd.count()
+    finally:
+        spark.conf.set("spark.sql.maxPlanStringLength", most)
+    assert sizes and max(sizes) < 100_000
+
+
 @pytest.mark.parametrize("table", ["odd", "none"])
 def test_audio_round_trip(request, table):
     docs = request.getfixturevalue(table)

@@ -2,8 +2,9 @@
 
 A text is cut into words by the tokenizer's pattern and every word is merged on its own, so work is done once per
 distinct word. The most frequent words of the corpus (their number is bounded) are merged by Spark: a higher-order
-fold over the word's array of bytes merges the adjacent pair of lowest rank, found in a literal rank map, until no
-pair is in it; decoding concatenates the pieces of a literal table. Their results are broadcast. The other distinct
+fold over the word's array of bytes merges the adjacent pair of lowest rank, found in a rank map, until no pair is in
+it; decoding concatenates the pieces of a table. Map and table are one row that groups of words meet in a broadcast join.
+Their results are broadcast. The other distinct
 words of a batch are merged by the same rule over arrays of token numbers, many words at a time.
 """
 
@@ -24,11 +25,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.tables import extended, head_words, slices, stored, text_bytes
+from tracelake.llm.tables import discard, extended, head_words, slices, stored, text_bytes, tidy
 from tracelake.llm.words import BYTE_VALUES, Lookup, hashes, mix
 
-#: Words merged by Spark and broadcast; buckets of the literal rank map; bytes of words that are merged side by side.
+#: Words merged by Spark and broadcast; groups of them that meet the ranks; buckets of the rank map; bytes of words that are
+#: merged side by side.
 FREQUENT = 1 << 17
+GROUPS = 512
 MAP_BUCKETS = 1 << 13
 SIDE_BY_SIDE = 64
 NO_RANK = 1 << 30
@@ -199,16 +202,29 @@ class Ranks:
 
     # the same by Spark: bytes are the characters U+0000 to U+00FF
 
-    def rank_map(self) -> Column:
-        """The ranks as one literal: an array of small maps, chosen by hash."""
+    def rank_text(self) -> str:
+        """The ranks as one JSON text: an array of small maps, chosen by hash."""
         buckets: list[dict[str, int]] = [{} for _ in range(MAP_BUCKETS)]
         for piece, rank in self.of.items():
             name = piece.decode("latin-1")
             buckets[xxhash.xxh64_intdigest(name.encode(), seed=42) % MAP_BUCKETS][name] = rank
-        return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<map<string,int>>")
+        return json.dumps(buckets, separators=(",", ":"))
 
-    def piece_table(self) -> Column:
-        return F.from_json(F.lit(json.dumps([p.decode("latin-1") for p in self.pieces], separators=(",", ":"))), "array<string>")
+    def piece_text(self) -> str:
+        return json.dumps([p.decode("latin-1") for p in self.pieces], separators=(",", ":"))
+
+    def rank_map(self, text: Column | None = None) -> Column:
+        """The array of maps in a column of that text, or as a literal."""
+        return F.from_json(F.lit(self.rank_text()) if text is None else text, "array<map<string,int>>")
+
+    def piece_table(self, text: Column | None = None) -> Column:
+        return F.from_json(F.lit(self.piece_text()) if text is None else text, "array<string>")
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """(ranks, pieces): one row that meets others in a broadcast join. As literals they would be printed and kept, megabytes
+        each, with every state of a plan, and the driver's heap grows by that."""
+        row = spark.createDataFrame([(self.rank_text(), self.piece_text())], "ranks string, pieces string")
+        return row.select(self.rank_map(F.col("ranks")).alias("ranks"), self.piece_table(F.col("pieces")).alias("pieces"))
 
 
 def folded(word: Column, ranks: Column) -> Column:
@@ -293,10 +309,17 @@ def dictionary(docs: DataFrame, ranks: Ranks) -> Dictionary:
     found = stored(counted(docs))
     keys, c = head_words(found, FREQUENT)
     least = int(c.min()) if len(c) else 0
-    words = F.decode("bytes", "ISO-8859-1")
-    rows = (found.where(F.col("c") >= least).select("word", words.alias("text")).repartition(64, "word")
-            .select("word", folded(F.col("text"), ranks.rank_map()).alias("ids")))
-    rows = stored(rows).select("word", "ids", unfolded(F.col("ids"), ranks.piece_table()).alias("decoded")).toArrow()
+    words = F.struct("word", F.decode("bytes", "ISO-8859-1").alias("text"))
+    groups = (found.where(F.col("c") >= least).select(F.pmod("word", F.lit(GROUPS)).alias("part"), words.alias("x"))
+              .repartition(64, "part").groupBy("part").agg(F.collect_list("x").alias("words"))
+              .crossJoin(F.broadcast(ranks.table(docs.sparkSession))))
+    rows = groups.select("pieces", F.transform("words", lambda x: F.struct(
+        x["word"].alias("word"), folded_with(x["text"], F.col("ranks")).alias("ids"))).alias("found"))
+    kept = stored(rows.select(F.transform("found", lambda x: F.struct(
+        x["word"].alias("word"), x["ids"].alias("ids"), unfolded(x["ids"], F.col("pieces")).alias("decoded"))).alias("found")))
+    rows = kept.select(F.inline("found")).toArrow()
+    discard(found, kept)
+    tidy(docs.sparkSession)
     ids = rows.column("ids").to_pylist()
     return Dictionary(Lookup(rows.column("word").to_numpy().view(np.uint64)), [id_text(x) for x in ids],
                       np.array([len(x) for x in ids], np.int64), rows.column("decoded").to_pylist())

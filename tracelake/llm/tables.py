@@ -20,7 +20,7 @@ STEP_BYTES = 1 << 20
 #: Texts go to Python in small batches: tasks of one executor share its memory. Descriptions of plans, which the driver
 #: keeps, are cut.
 SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "4194304",
-            "spark.sql.maxPlanStringLength": "65536"}
+            "spark.sql.maxPlanStringLength": "8192"}
 
 
 def settled(spark: SparkSession) -> SparkSession:
