@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -275,3 +276,26 @@ def test_model_scores_token_by_token(spark, odd, monkeypatch, head):
     got = {r.doc_id: r.head_score + r.rest_score for r in maxent_lm.scored(docs, model, counts).collect()}
     for k, text in enumerate(texts):
         assert got[k] == pytest.approx(plain_log10(model, known, text), rel=1e-4, abs=1e-3)
+
+
+def test_class_probabilities_of_a_long_text():
+    """They are worked out some tokens at a time; those of all tokens would take 77 MB here."""
+    rng, n = np.random.default_rng(5), 300_000
+    weights = rng.normal(size=(maxent_lm.CLASSES, 1 << maxent_lm.BUCKET_BITS)).astype(np.float32)
+    none = np.zeros(0)
+    model = maxent_lm.Model(none, None, none, 0, 0, none, none, none, none, rng.normal(size=maxent_lm.CLASSES).astype(np.float32), weights,
+                            none, none, none)
+    buckets = [rng.integers(0, weights.shape[1], n) for _ in range(3)]
+    far, classes = rng.integers(0, maxent_lm.CLASSES ** 2, n), rng.integers(0, maxent_lm.CLASSES, n)
+    tables, sums = maxent_lm.class_tables(model), np.zeros(maxent_lm.CLASSES)
+    tracemalloc.start()
+    for _, p in maxent_lm.class_shares(tables, buckets, far):
+        sums += p.sum(axis=1)
+    own, unknown = maxent_lm.class_logs(tables, buckets, far, classes)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40 << 20
+    logits = maxent_lm.class_logits(model, buckets, far).astype(np.float64)
+    logits -= np.log(np.exp(logits).sum(axis=0))
+    assert sums == pytest.approx(np.exp(logits).sum(axis=1), rel=1e-5)
+    assert own == pytest.approx(logits[classes, np.arange(n)], abs=1e-5) and unknown == pytest.approx(logits[maxent_lm.UNKNOWN], abs=1e-5)

@@ -17,6 +17,7 @@ counts of at most `HEAD` words (the others meet their counts in a join) and the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -37,7 +38,8 @@ CONTEXT = 128  # frequent words that describe the others
 BUCKET_BITS = 13
 ROUNDS = 3
 SMOOTH = 20.0
-STEP = 1 << 17  # bytes of text whose class probabilities are worked out together
+STEP = 1 << 17  # bytes of text whose tokens are worked out together
+BLOCK, CHUNK = 1 << 11, 1 << 14  # tokens whose class weights are gathered together, and whose probabilities are added up
 END, START = np.uint64(0xD1B54A32D192ED03), np.uint64(0xABC98388FB8FAC03)
 SEEDS = np.array([0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0xCBBB9D5DC1059ED8, 0x629A292A367CD507, 0x9159015A3070DD17],
                  np.uint64)
@@ -104,13 +106,54 @@ def features(hashed: np.ndarray, classes: np.ndarray, starts: np.ndarray) -> tup
     return [bucket(k) for k in keys], third * CLASSES + fourth, before
 
 
-def class_logits(model: Model, buckets: list, far: np.ndarray) -> np.ndarray:
-    """Unnormalised log probabilities (class x token)."""
+def parts(n: int, size: int) -> list[slice]:
+    return [slice(a, min(a + size, n)) for a in range(0, n, size)]
+
+
+def class_tables(model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """The weights by bucket, and the biases with the weights of a pair of far classes by pair: rows of all classes, so that
+    what a token needs of a table lies together."""
     both = (model.weights[:, FAR[0], None] + model.weights[:, None, FAR[1]]).reshape(CLASSES, -1)
-    logits = np.take(both + model.bias[:, None], far, axis=1)
+    return np.ascontiguousarray(model.weights.T), np.ascontiguousarray((both + model.bias[:, None]).T)
+
+
+def class_rows(tables: tuple[np.ndarray, np.ndarray], buckets: list, far: np.ndarray) -> np.ndarray:
+    """Unnormalised log probabilities (token x class)."""
+    rows = np.take(tables[1], far, axis=0)
     for b in buckets:
-        logits += np.take(model.weights, b, axis=1)
-    return logits
+        rows += np.take(tables[0], b, axis=0)
+    return rows
+
+
+def class_logits(model: Model, buckets: list, far: np.ndarray) -> np.ndarray:
+    """Unnormalised log probabilities (class x token)."""
+    return class_rows(class_tables(model), buckets, far).T
+
+
+def class_shares(tables: tuple[np.ndarray, np.ndarray], buckets: list, far: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """Class probabilities (class x token) of the tokens, `CHUNK` at a time."""
+    for chunk in parts(len(far), CHUNK):
+        many, near = far[chunk], [b[chunk] for b in buckets]
+        p = np.empty((CLASSES, len(many)))
+        for at in parts(len(many), BLOCK):
+            rows = class_rows(tables, [b[at] for b in near], many[at])
+            np.exp(rows, out=rows)
+            rows /= rows.sum(axis=1, keepdims=True)
+            p[:, at] = rows.T
+        yield chunk, p
+
+
+def class_logs(tables: tuple[np.ndarray, np.ndarray], buckets: list, far: np.ndarray,
+               classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log probabilities of each token's class, and of the unknown outcome in its place."""
+    own, unknown = np.empty(len(far)), np.empty(len(far))
+    for at in parts(len(far), BLOCK):
+        rows = class_rows(tables, [b[at] for b in buckets], far[at])
+        own[at], unknown[at] = rows[np.arange(len(rows)), classes[at]], rows[:, UNKNOWN]
+        total = np.log(np.exp(rows, out=rows).sum(axis=1))
+        own[at] -= total
+        unknown[at] -= total
+    return own, unknown
 
 
 def word_table(model: Model) -> np.ndarray:
@@ -127,7 +170,7 @@ def word_table(model: Model) -> np.ndarray:
 def add_columns(table: np.ndarray, keys: np.ndarray, values: np.ndarray) -> None:
     """Add each row of values, summed by key, to the table's row."""
     for total, row in zip(table, values):
-        total += np.bincount(keys, row, len(total))
+        np.add.at(total, keys, row)
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -277,6 +320,7 @@ def gradient(docs: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.
 
     def run(batches):
         m = shared.value
+        tables = class_tables(m)
         seen, meant = np.zeros(CLASSES * high), np.zeros((CLASSES, high))
         far_seen, far_meant = np.zeros(CLASSES ** 3), np.zeros((CLASSES, CLASSES ** 2))
         word_seen = np.zeros(CLASSES * n)
@@ -286,16 +330,15 @@ def gradient(docs: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.
                 hashed, head, frequent, classes, _, starts = prepared(m, m.near, data[offsets[a]: offsets[b]],
                                                                       offsets[a: b + 1] - offsets[a])
                 buckets, far, before = features(hashed, classes, starts)
-                p = class_logits(m, buckets, far)
-                np.exp(p, out=p)
-                p /= p.sum(axis=0)
                 for k in buckets:
-                    seen += np.bincount(classes * high + k, minlength=len(seen))
-                    add_columns(meant, k, p)
-                far_seen += np.bincount(classes * CLASSES ** 2 + far, minlength=len(far_seen))
-                add_columns(far_meant, far, p)
+                    np.add.at(seen, classes * high + k, 1.0)
+                np.add.at(far_seen, classes * CLASSES ** 2 + far, 1.0)
+                for at, p in class_shares(tables, buckets, far):
+                    for k in buckets:
+                        add_columns(meant, k[at], p)
+                    add_columns(far_meant, far[at], p)
                 if n:
-                    word_seen += np.bincount((before * n)[frequent] + m.place[head[frequent]], minlength=len(word_seen))
+                    np.add.at(word_seen, (before * n)[frequent] + m.place[head[frequent]], 1.0)
         both = [seen.reshape(CLASSES, high), meant]
         for total, pairs in zip(both, (far_seen, far_meant)):
             pairs = pairs.reshape(CLASSES, CLASSES, CLASSES)
@@ -336,7 +379,7 @@ def scored(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         m = shared.value
         log_count = np.log10(m.counts + 0.5)
         tail_mass = np.log10(np.maximum(m.tail_mass, 0.5))
-        ten, inner, lookup = np.log(10), word_table(m), Lookup(m.words)
+        ten, inner, lookup, tables = np.log(10), word_table(m), Lookup(m.words), class_tables(m)
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             columns = [[], [], [], [], []]
@@ -344,9 +387,7 @@ def scored(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                 hashed, head, frequent, classes, row, starts = prepared(m, lookup, data[offsets[a]: offsets[b]],
                                                                         offsets[a: b + 1] - offsets[a])
                 buckets, far, before = features(hashed, classes, starts)
-                logs = class_logits(m, buckets, far)
-                logs -= np.log(np.exp(logs).sum(axis=0))
-                own = logs[classes, np.arange(len(classes))].astype(np.float64) / ten
+                own, unknown = (x / ten for x in class_logs(tables, buckets, far, classes))
                 counted = head >= 0
                 other = counted & ~frequent
                 own[other] += log_count[head[other]] - tail_mass[classes[other]]
@@ -359,7 +400,7 @@ def scored(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                 columns[3].append(np.bincount(row[counted], own[counted], rows))
                 rest = ~counted
                 columns[4].append((np.bincount(row[rest], minlength=rows), hashed[rest].view(np.int64),
-                                   own[rest] - tail_mass[classes[rest]], logs[UNKNOWN, rest].astype(np.float64) / ten))
+                                   own[rest] - tail_mass[classes[rest]], unknown[rest]))
             if not columns[0]:
                 continue
             lengths, word, known, unknown = (np.concatenate(x) for x in zip(*columns[4]))
