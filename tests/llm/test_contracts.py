@@ -9,9 +9,11 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tracelake.llm import byte_bpe, cross_parse, maxent_lm, mpeg_audio, ngram_join, nn_descent, url_digests
+from tracelake.llm.tables import stored_counting
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -221,6 +223,24 @@ def test_byte_bpe(request, table):
     assert sorted((-1 if r.doc_id is None else r.doc_id, *r[1:]) for r in got) == sorted(want)
 
 
+@pytest.mark.parametrize("rows", [40, 0])
+def test_turns_without_links_take_no_queries(spark, rows, monkeypatch):
+    """The driver keeps the plan, stages and metrics of each query: what can't change anything is not asked."""
+    docs = spark.createDataFrame([(k, " ".join(f"w{k}x{i}" for i in range(30))) for k in range(rows)], "doc_id long, text string")
+    writer, written = type(docs.write), []
+    monkeypatch.setattr(writer, "parquet", lambda self, path, put=writer.parquet: written.append(path) or put(self, path))
+    assert [tuple(r) for r in ngram_join.jaccard_groups(docs).select("doc_id", "component_id").orderBy("doc_id").collect()] == [(k, k) for k in range(rows)]
+    assert len(written) <= 12
+
+
+def test_rows_are_counted_while_they_are_stored(spark):
+    table, n = stored_counting(spark.range(10), F.col("id") > 6)
+    assert (table.count(), n) == (10, 3)
+    assert stored_counting(spark.range(10))[1] == 10
+    assert stored_counting(spark.range(10).where("id < 0"))[1] == 0
+    assert stored_counting(spark.range(10).where("false"))[1] == 0
+
+
 def test_fold_equals_the_library(spark):
     ranks = byte_bpe.Ranks(RANKS)
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks.of, special_tokens={})

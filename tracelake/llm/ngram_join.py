@@ -20,14 +20,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.tables import components, discard, extended, slices, stored, text_bytes, tidy
+from tracelake.llm.tables import components, discard, extended, slices, stored, stored_counting, text_bytes, tidy
 from tracelake.llm.words import mix, shingle_hashes
 
 #: Rows of one side of a tile that meet in one step; larger tiles are dealt into several.
@@ -326,7 +325,7 @@ def grouped(docs: DataFrame, size: int, part: int, whole: int) -> DataFrame:
     found = stored(document_sets(docs, size, sizes))
     tiles = shared_tiles(found)
     usable = found.where("set_id IS NOT NULL AND doc_id IS NOT NULL")
-    sets = stored(usable.select("set_id", "doc_id", F.col("n_shingles").alias("n"), "bits").dropDuplicates(["set_id"]))
+    sets, n_sets = stored_counting(usable.select("set_id", "doc_id", F.col("n_shingles").alias("n"), "bits").dropDuplicates(["set_id"]))
     own = stored(found.select("doc_id", "n_shingles", "set_id"))
     discard(found)
     usable = own.where("set_id IS NOT NULL AND doc_id IS NOT NULL")
@@ -336,38 +335,40 @@ def grouped(docs: DataFrame, size: int, part: int, whole: int) -> DataFrame:
         named = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
         return exact_sets(docs, sets.select("set_id", "doc_id").join(named, "set_id"), size)
 
-    nothing = spark.createDataFrame([], "a long, label long")
-    found, tested, tried = nothing, None, []
+    # a turn without a pair or without a link changes nothing: what would follow it is left out, as the driver keeps each query's plan
+    found = spark.createDataFrame([], "a long, label long")
+    tested, tried = spark.createDataFrame([], "a long, b long, linked boolean"), []
     for turn in range(PIVOT_TURNS):
-        first = stored(best(bounded(pivot_pairs(tiles, found.withColumnRenamed("a", "set_id"), turn), sets, sizes)))
+        first, n = stored_counting(best(bounded(pivot_pairs(tiles, found.withColumnRenamed("a", "set_id"), turn), sets, sizes)))
         tidy(spark)
+        if not n:
+            discard(first)
+            continue
         arrays = exact(first)
-        now = stored(decided(first, arrays, sizes))
-        discard(first, arrays, found)
+        now, n = stored_counting(decided(first, arrays, sizes), F.col("linked"))
+        discard(first, arrays)
         tried.append(now)
-        tested = now.where("linked") if tested is None else tested.unionByName(now.where("linked"))
-        found = components(tested, "a", "b", "label")
+        if n:
+            discard(found)
+            tested = tested.unionByName(now.where("linked")) if len(tried) > 1 else now.where("linked")
+            found = components(tested, "a", "b", "label")
         tidy(spark)
-    known = reduce(DataFrame.unionByName, tried).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left = stored(open_pairs(tiles, sets, found.withColumnRenamed("a", "set_id"), sizes).join(known, ["a", "b"], "left_anti"))
+    left = open_pairs(tiles, sets, found.withColumnRenamed("a", "set_id"), sizes)
+    if tried:
+        known = reduce(DataFrame.unionByName, tried).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        left = left.join(known, ["a", "b"], "left_anti")
+    left, n_left = stored_counting(left)
     discard(tiles)
     tidy(spark)
-    arrays, slices_ = exact(left), None
-    for turn in count():
+    arrays, slices_ = exact(left) if n_left else left, max(1, -(-n_left // max(1, PAIRS_A_SET * n_sets)))
+    for turn in range(SINGLE_TURNS + slices_ if n_left else 0):
         labels = found.withColumnRenamed("a", "set_id")
         apart = lambda side: labels.select(F.col("set_id").alias(side), F.col("label").alias(f"label_{side}"))
         still = left.join(apart("a"), "a", "left").join(apart("b"), "b", "left").where(
             F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b", "most")
-        if turn < SINGLE_TURNS:
-            more = best(still)
-        else:
-            if slices_ is None:
-                slices_ = max(1, -(-left.count() // max(1, PAIRS_A_SET * sets.count())))
-            if turn - SINGLE_TURNS >= slices_:
-                break
-            more = still.where(F.pmod(F.xxhash64("a", "b"), F.lit(slices_)) == turn - SINGLE_TURNS)
-        now = stored(decided(more, arrays, sizes).where("linked"))
-        if now.isEmpty():
+        more = best(still) if turn < SINGLE_TURNS else still.where(F.pmod(F.xxhash64("a", "b"), F.lit(slices_)) == turn - SINGLE_TURNS)
+        now, n = stored_counting(decided(more, arrays, sizes).where("linked"))
+        if not n:
             discard(now)
             if turn < SINGLE_TURNS and still.isEmpty():
                 break

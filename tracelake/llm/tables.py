@@ -7,20 +7,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tracelake.session import discard, prepare, stored
 
-__all__ = ["components", "discard", "extended", "head_words", "read", "settled", "slices", "stored", "text_bytes", "tidy"]
+__all__ = ["components", "discard", "extended", "head_words", "read", "settled", "slices", "stored",
+           "stored_counting", "text_bytes", "tidy"]
 
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
 #: Texts go to Python in small batches: tasks of one executor share its memory. Descriptions of plans, which the driver
 #: keeps, are cut.
 SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "4194304",
-            "spark.sql.maxPlanStringLength": "8192"}
+            "spark.sql.maxPlanStringLength": "2048"}
 
 
 def settled(spark: SparkSession) -> SparkSession:
@@ -41,6 +42,14 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def stored_counting(df: DataFrame, some: Column | None = None) -> tuple[DataFrame, int]:
+    """`stored`, and how many of its rows meet the condition `some` (all without one), counted while they are written: the driver
+    keeps the plan, stages and metrics of every query, so one that only counts costs it as much as another."""
+    seen = Observation()
+    out = stored(df.observe(seen, F.count_if(F.lit(True) if some is None else some).alias("n")))
+    return out, seen.get.get("n") or 0  # a plan found empty has no metrics
+
+
 def extended(schema: StructType, fields: dict[str, str]) -> StructType:
     """A copy of the schema with further fields (name: type)."""
     out = StructType(list(schema.fields))
@@ -84,11 +93,11 @@ def components(links: DataFrame, a: str, b: str, label: str = "component_id") ->
         spread = (both.join(labels.select(F.col("u").alias("v"), F.col("l").alias("m")), "v").groupBy("u")
                   .agg(F.min("m").alias("m")))
         hop = labels.select(F.col("u").alias("l"), F.col("l").alias("ll"))
-        after = stored(labels.join(spread, "u").join(hop, "l")
-                       .select("u", F.least("l", "m", "ll").alias("n"), F.col("l").alias("o")))
+        after, changed = stored_counting(labels.join(spread, "u").join(hop, "l")
+                                         .select("u", F.least("l", "m", "ll").alias("n"), F.col("l").alias("o")), F.expr("n <> o"))
         discard(held)
         held = after
-        if after.where("n <> o").isEmpty():
+        if not changed:
             discard(both)
             out = after.select(F.col("u").alias(a), F.col("n").alias(label))
             out.stored_in = after.stored_in
