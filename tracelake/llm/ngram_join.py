@@ -23,7 +23,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tracelake.llm.tables import components, discard, extended, slices, stored, stored_counting, text_bytes, tidy
@@ -36,6 +36,10 @@ SINGLE_TURNS, PAIRS_A_SET = 1, 2
 #: Turns in which components of a tile meet by one document each, before pairs are listed.
 PIVOT_TURNS = 3
 FILTER_BITS = 1 << 22
+#: Bands of more groups work out anew where these begin.
+KNOWN_GROUPS = 1 << 14
+#: Keys that a range of them holds on average, and how many more a task holds before it lets go of tiles.
+RANGE_KEYS, HELD_KEYS = 1 << 20, 1 << 22
 
 
 class Sizes:
@@ -54,6 +58,18 @@ class Sizes:
         differ = (top + top * whole // part) * (whole - part) // (whole + part)
         self.differ = differ
         self.groups = differ + 1 + np.maximum(2, differ // 10)
+        self.known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def cut(self, band: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the groups of a band begin, but for the first, and a number for each group's name; kept while it is small."""
+        if band in self.known:
+            return self.known[band]
+        k = int(self.groups[band])
+        found = (np.arange(1, k, dtype=np.uint64) * np.uint64((1 << 64) // k),
+                 mix(np.arange(k, dtype=np.uint64) + np.uint64((band + 1) << 32)))
+        if k <= KNOWN_GROUPS:
+            self.known[band] = found
+        return found
 
     def bands(self, n: int) -> range:
         """Bands of the smallest partner up to the own one."""
@@ -65,19 +81,21 @@ class Sizes:
         return self.whole * both >= self.part * (sizes - both)
 
 
-def tile_keys(shingles: np.ndarray, sizes: Sizes) -> np.ndarray:
-    """Names of the tiles of one set.
+def tile_keys(shingles: np.ndarray, mixed: np.ndarray, sizes: Sizes) -> np.ndarray:
+    """Names of the tiles of one set. mixed: mix(shingles).
 
     A set with fewer filled groups than needed also names its empty groups: two such sets may agree in those alone.
     """
-    out, sums = [], np.concatenate([[np.uint64(0)], np.cumsum(mix(shingles), dtype=np.uint64)])
+    out, sums = [], np.zeros(len(mixed) + 1, np.uint64)
+    np.cumsum(mixed, dtype=np.uint64, out=sums[1:])
     for band in sizes.bands(len(shingles)):
-        k = int(sizes.groups[band])
-        step = np.uint64((1 << 64) // k)
-        at = np.concatenate([[0], np.searchsorted(shingles, np.arange(1, k, dtype=np.uint64) * step), [len(shingles)]])
-        names = mix((sums[at[1:]] - sums[at[:-1]]) ^ mix(np.arange(k, dtype=np.uint64) + np.uint64((band + 1) << 32)))
+        begins, numbers = sizes.cut(band)
+        at = np.empty(len(numbers) + 1, np.int64)
+        at[0], at[1:-1], at[-1] = 0, np.searchsorted(shingles, begins), len(shingles)
+        reached = sums[at]
+        names = mix((reached[1:] - reached[:-1]) ^ numbers)
         filled = at[1:] > at[:-1]
-        out.append(names[filled] if filled.sum() > sizes.differ[band] else names)
+        out.append(names[filled] if np.count_nonzero(filled) > sizes.differ[band] else names)
     return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
 
 
@@ -87,10 +105,11 @@ def set_id(shingles: np.ndarray) -> int:
     return int(mix(np.array([total + np.uint64(len(shingles))]))[0].view(np.int64))
 
 
-def bitmap(shingles: np.ndarray) -> np.ndarray:
-    """Parity bitmap of two bits a shingle or more, as 64-bit words; halves can be folded onto each other by xor."""
-    bits = 1 << max(8, int(2 * len(shingles) - 1).bit_length())
-    flags = np.bincount((mix(shingles) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+def bitmap(mixed: np.ndarray) -> np.ndarray:
+    """Parity bitmap of two bits a shingle or more, as 64-bit words; halves can be folded onto each other by xor.
+    mixed: mix(shingles)."""
+    bits = 1 << max(8, int(2 * len(mixed) - 1).bit_length())
+    flags = np.bincount((mixed & np.uint64(bits - 1)).view(np.int64), minlength=bits) & 1
     return np.packbits(flags.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
@@ -114,11 +133,12 @@ def document_sets(docs: DataFrame, size: int, sizes: Sizes) -> DataFrame:
         for batch in batches:
             n, ids, lengths, keys, bits = [], [], [0], [], []
             for found in sets_of(batch, size):
+                mixed = mix(found)
                 n.append(len(found))
                 ids.append(set_id(found) if len(found) else None)
-                keys.append(tile_keys(found, sizes) if len(found) else np.empty(0, np.int64))
+                keys.append(tile_keys(found, mixed, sizes) if len(found) else np.empty(0, np.int64))
                 lengths.append(len(keys[-1]))
-                bits.append(bitmap(found).tobytes() if len(found) else None)
+                bits.append(bitmap(mixed).tobytes() if len(found) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.int64()),
                  pa.ListArray.from_arrays(pa.array(np.cumsum(lengths), pa.int32()),
@@ -138,29 +158,97 @@ def bit_filter(slots: DataFrame):
     return slots.sparkSession.sparkContext.broadcast(flags.astype(np.uint32).view(np.uint8))
 
 
-def shared_tiles(found: DataFrame) -> DataFrame:
-    """(key, set_id) of the tiles that two sets at least are in, a stored table. found: (doc_id, set_id, keys).
+def dealt_keys(found: DataFrame, parts: int) -> DataFrame:
+    """(part, pairs): the keys of all sets by ranges of the key, as runs of pairs of 64-bit numbers (key, set_id).
 
-    A key's smallest and largest set tell whether it is shared, by partial aggregates; a bit filter of the shared ones then
-    keeps most other keys, which are ten times as many, from being moved again."""
-    usable = found.where("set_id IS NOT NULL AND doc_id IS NOT NULL").select("set_id", "keys")
-    ends = usable.select("set_id", F.explode("keys").alias("key")).groupBy("key").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b"))
-    keys = stored(ends.where("a < b").select("key"))
-    tidy(found.sparkSession)
-    shared = bit_filter(keys.select(F.pmod("key", F.lit(FILTER_BITS)).alias("slot")))
+    found: (set_id, keys). Of a batch's equal sets one is told."""
 
     def run(batches):
-        mask = np.unpackbits(shared.value, bitorder="little").astype(bool)
         for batch in batches:
-            lists = batch.column("keys")
-            key = lists.flatten().to_numpy()
-            ids = np.repeat(batch.column("set_id").to_numpy(), np.diff(lists.offsets.to_numpy()))
-            some = mask[key & (FILTER_BITS - 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(ids[some])], ["key", "set_id"])
+            ids, first = np.unique(batch.column("set_id").to_numpy(), return_index=True)
+            lists = batch.column("keys").take(pa.array(first))
+            keys, ids = lists.flatten().to_numpy().view(np.uint64), np.repeat(ids, np.diff(lists.offsets.to_numpy()))
+            for a in range(0, len(keys), HELD_KEYS):
+                key = keys[a: a + HELD_KEYS]
+                order = np.argsort(key)
+                pairs = np.stack([key[order], ids[a: a + HELD_KEYS][order].view(np.uint64)], axis=1)
+                part = ((pairs[:, 0] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+                cuts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]])
+                runs = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * 16).astype(np.int32)), pa.py_buffer(pairs)])
+                yield pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]]), runs], ["part", "pairs"])
+
+    return found.select("set_id", "keys").mapInArrow(run, "part long, pairs binary")
+
+
+def several(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, set_ids) of the keys that at least two sets have, each pair once and in order, and the pairs of the other keys."""
+    pairs = pairs[np.argsort(pairs[:, 0])]
+    same = pairs[1:, 0] == pairs[:-1, 0]
+    some = np.zeros(len(pairs), bool)
+    some[1:] = same
+    some[:-1] |= same
+    key, ids = pairs[some].T
+    order = np.lexsort((ids, key))
+    key, ids = key[order], ids[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])
+    key, ids = key[new], ids[new]
+    same, shared = key[1:] == key[:-1], np.zeros(len(key), bool)
+    shared[1:] = same
+    shared[:-1] |= same
+    alone = np.concatenate([pairs[~some], np.stack([key[~shared], ids[~shared]], axis=1)])
+    return key[shared], ids[shared], alone
+
+
+def shared_tiles(found: DataFrame, n_keys: int) -> DataFrame:
+    """(key, set_id) of the tiles that two sets at least are in, a stored table. found: (doc_id, set_id, keys), with about
+    n_keys keys.
+
+    Keys meet by ranges, as packed runs that numpy sorts. Tiles of the same sets allow the same pairs: they are named by a
+    digest of their sets and kept once. What a range holds is bounded: beyond `HELD_KEYS` the tiles found so far leave under
+    their own key, and later sets of theirs follow them.
+    """
+    usable = found.where("set_id IS NOT NULL AND doc_id IS NOT NULL")
 
-    out = stored(usable.mapInArrow(run, "key long, set_id long").join(keys, "key").distinct())
-    shared.destroy()
-    discard(keys)
+    def rows(key: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(key), HELD_KEYS):
+            yield pa.RecordBatch.from_arrays([pa.array(x[a: a + HELD_KEYS].view(np.int64)) for x in (key, ids)], ["key", "set_id"])
+
+    def named(key: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(key):
+            return
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        n = np.diff(np.concatenate([starts, [len(key)]]))
+        name, first = np.unique(mix(np.add.reduceat(mix(ids), starts) + n.astype(np.uint64)), return_index=True)
+        n, starts = n[first], starts[first]
+        at = np.repeat(starts - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        yield from rows(np.repeat(name, n), ids[at])
+
+    def run(batches):
+        part, held, many, most, left = None, [], 0, HELD_KEYS, np.empty(0, np.uint64)
+
+        def leave(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, many, most, left
+            pairs = np.concatenate(held) if held else np.empty((0, 2), np.uint64)
+            gone = np.isin(pairs[:, 0], left) if len(left) else np.zeros(len(pairs), bool)
+            yield from rows(*np.ascontiguousarray(pairs[gone].T))
+            key, ids, alone = several(pairs[~gone])
+            yield from named(key, ids) if last else rows(key, ids)
+            left = np.empty(0, np.uint64) if last else np.concatenate([left, np.unique(key)])
+            held, many = ([], 0) if last else ([alone], len(alone))
+            most = many + HELD_KEYS
+
+        for batch in batches:
+            for p, x in zip(batch.column("part").to_pylist(), batch.column("pairs")):
+                if p != part or many > most:
+                    yield from leave(p != part)
+                part = p
+                held.append(np.frombuffer(x.as_buffer(), np.uint64).reshape(-1, 2).copy())
+                many += len(held[-1])
+        yield from leave(True)
+
+    dealt = dealt_keys(usable, max(1, n_keys // RANGE_KEYS)).repartition("part").sortWithinPartitions("part")
+    out = stored(dealt.mapInArrow(run, "key long, set_id long").distinct())
     tidy(found.sparkSession)
     return out
 
@@ -322,8 +410,9 @@ def best(pairs: DataFrame) -> DataFrame:
 def grouped(docs: DataFrame, size: int, part: int, whole: int) -> DataFrame:
     """The rows of `jaccard_groups` with the group as the smallest of its set_ids too; a stored table."""
     spark, sizes = docs.sparkSession, Sizes(part, whole)
-    found = stored(document_sets(docs, size, sizes))
-    tiles = shared_tiles(found)
+    seen = Observation()
+    found = stored(document_sets(docs, size, sizes).observe(seen, F.sum(F.size("keys")).alias("n")))
+    tiles = shared_tiles(found, seen.get.get("n") or 0)
     usable = found.where("set_id IS NOT NULL AND doc_id IS NOT NULL")
     sets, n_sets = stored_counting(usable.select("set_id", "doc_id", F.col("n_shingles").alias("n"), "bits").dropDuplicates(["set_id"]))
     own = stored(found.select("doc_id", "n_shingles", "set_id"))
@@ -336,8 +425,9 @@ def grouped(docs: DataFrame, size: int, part: int, whole: int) -> DataFrame:
         return exact_sets(docs, sets.select("set_id", "doc_id").join(named, "set_id"), size)
 
     # a turn without a pair or without a link changes nothing: what would follow it is left out, as the driver keeps each query's plan
-    found = spark.createDataFrame([], "a long, label long")
-    tested, tried = spark.createDataFrame([], "a long, b long, linked boolean"), []
+    nothing = spark.range(1).where("false")
+    found = nothing.select(F.col("id").alias("a"), F.col("id").alias("label"))
+    tested, tried = nothing.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(True).alias("linked")), []
     for turn in range(PIVOT_TURNS):
         first, n = stored_counting(best(bounded(pivot_pairs(tiles, found.withColumnRenamed("a", "set_id"), turn), sets, sizes)))
         tidy(spark)

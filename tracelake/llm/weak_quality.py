@@ -65,8 +65,11 @@ class Shapes:
 
 
 def distinct_per_row(keys: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
-    first = np.unique(mix(keys ^ mix(row.astype(np.uint64) + np.uint64(1))), return_index=True)[1]
-    return np.bincount(row[first], minlength=rows)
+    keys = mix(keys ^ mix(row.astype(np.uint64) + np.uint64(1)))
+    order = np.argsort(keys)
+    keys, new = keys[order], np.ones(len(order), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    return np.bincount(row[order[new]], minlength=rows)
 
 
 def shapes(data: np.ndarray, offsets: np.ndarray) -> Shapes:
@@ -85,17 +88,21 @@ def shapes(data: np.ndarray, offsets: np.ndarray) -> Shapes:
         with np.errstate(all="ignore"):
             return np.where(words >= least, np.bincount(row, flags, rows) / words, np.nan)
 
-    def per_text(flags: np.ndarray) -> np.ndarray:
-        return np.diff(np.concatenate([[0], np.cumsum(flags)])[offsets])
+    # by the places of the bytes in question, which are few but for letters
+    def per_text(places: np.ndarray) -> np.ndarray:
+        return np.diff(np.searchsorted(places, offsets))
 
-    def per_word(flags: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([[0], np.cumsum(flags)])
-        return sums[ends] - sums[starts]
+    def per_word(places: np.ndarray) -> np.ndarray:
+        return np.bincount(np.searchsorted(starts, places, "right") - 1, minlength=len(starts))
 
     hashed = hashes(data, starts, ends)
     same = np.zeros(len(hashed), bool)
     same[1:] = (hashed[1:] == hashed[:-1]) & (row[1:] == row[:-1])
-    letters = per_word((kind == LOWER_CASE) | (kind == UPPER_CASE))
+    upper_case = kind == UPPER_CASE
+    letter = (kind == LOWER_CASE) | upper_case
+    lettered = np.logical_or.reduceat(letter, starts) if len(starts) else np.empty(0, bool)  # between words is none
+    others, marks = np.flatnonzero(kind == OTHER), np.flatnonzero(kind == MARK)
+    others_of = per_word(others)
     line_at = np.zeros(len(data) + 1, bool)
     line_at[offsets] = True
     line_at[1:][data == 10] = True
@@ -105,28 +112,30 @@ def shapes(data: np.ndarray, offsets: np.ndarray) -> Shapes:
     line_row = np.searchsorted(offsets, line, "right") - 1
     lines = np.bincount(line_row, minlength=rows)
     with np.errstate(all="ignore"):
-        upper, all_letters = per_text(kind == UPPER_CASE), per_text((kind == LOWER_CASE) | (kind == UPPER_CASE))
-        printed = per_text(kind > 0)
+        upper, all_letters = per_text(np.flatnonzero(upper_case)), per_text(np.flatnonzero(letter))
+        printed = np.bincount(row, ends - starts, rows)
         variety = np.log(np.maximum(distinct_per_row(hashed, row, rows), 1)) / np.log(np.maximum(words, 2))
         measures = {
-            "symbol_words": share((letters > 0) & (per_word(kind == OTHER) >= 2), 3),
+            "symbol_words": share(lettered & (others_of >= 2), 3),
             "upper_letters": np.where(all_letters >= 20, upper / all_letters, np.nan),
-            "mark_words": share(per_word(kind == MARK) > 0, 3),
-            "bare_words": share(per_word(kind == OTHER) == ends - starts, 3),
+            "mark_words": share(per_word(marks) > 0, 3),
+            "bare_words": share(others_of == ends - starts, 3),
             "repeated_words": share(same, 10),
             "word_repetition": np.where(words >= 20, 1 - variety, np.nan),
             "repeated_lines": np.where(lines >= 3, 1 - distinct_per_row(line_hash, line_row, rows) / lines, np.nan),
-            "other_characters": np.where(printed >= 20, per_text(kind == OTHER) / printed, np.nan),
-            "bars": np.where(printed >= 20, per_text(data == 124) / printed, np.nan),
+            "other_characters": np.where(printed >= 20, per_text(others) / printed, np.nan),
+            "bars": np.where(printed >= 20, per_text(np.flatnonzero(data == 124)) / printed, np.nan),
         }
 
     # the shape of a word: its kinds of characters with runs as one
     new = np.ones(len(data), bool)
     new[1:] = kind[1:] != kind[:-1]
     new[starts] = True
-    new &= ~BLANK[data]
-    at = np.concatenate([[0], np.cumsum(new)])
-    shape = hashes(kind[new], at[starts], at[ends], KIND_VALUES)
+    new &= kind > 0
+    runs, begins = kind[new], np.zeros(len(data), bool)
+    begins[starts] = True
+    at = np.append(np.flatnonzero(begins[new]), len(runs))
+    shape = hashes(runs, at[:-1], at[1:], KIND_VALUES)
     before = np.concatenate([np.zeros(1, np.uint64), shape[:-1]])[: len(shape)] * (row == np.concatenate([[-1], row[:-1]])[: len(row)])
     tail = data[ends - 1].astype(np.uint64) * np.uint64(257) + data[np.maximum(ends - 2, starts)] if len(ends) else shape
     keys = [shape, shape * np.uint64(3) + before, mix(tail + np.uint64(1 << 40)),
