@@ -103,6 +103,7 @@ class Ranks:
         self.pieces: list[bytes] = [b""] * (max(self.of.values()) + 1)
         for piece, rank in self.of.items():
             self.pieces[rank] = piece
+        self.numbers = [b"%d" % i for i in range(len(self.pieces))]
         self.bytes = np.array([self.of[bytes([b])] for b in range(256)], np.int64)
         left, right, made = [], [], []
         for piece, rank in self.of.items():
@@ -144,7 +145,7 @@ class Ranks:
         """Merge rows of token numbers of the same length, one pair a row and turn."""
         rows, width = ids.shape
         size, out = np.full(rows, width), [None] * rows
-        pair = np.full((rows, width), NO_RANK)
+        ids, pair = ids.astype(np.int32), np.full((rows, width), NO_RANK, np.int32)
         pair[:, :-1] = self.rank(ids[:, :-1], ids[:, 1:])
         which = np.arange(rows)
         columns = np.arange(width)
@@ -152,24 +153,25 @@ class Ranks:
             at = pair.argmin(axis=1)
             rank = pair[np.arange(len(which)), at]
             done = rank == NO_RANK
-            for k in np.flatnonzero(done).tolist():
-                out[which[k]] = ids[k, : size[k]].tolist()
-            live = ~done
-            which, ids, pair, size, at, rank = (x[live] for x in (which, ids, pair, size, at, rank))
-            if not len(which):
-                break
+            if done.any():
+                for i, n, found in zip(which[done].tolist(), size[done].tolist(), ids[done].tolist()):
+                    out[i] = found[:n]
+                live = ~done
+                which, ids, pair, size, at, rank = (x[live] for x in (which, ids, pair, size, at, rank))
+                if not len(which):
+                    break
             row = np.arange(len(which))
             ids[row, at] = rank
-            shift = np.minimum(columns + (columns[None, :] > at[:, None]), width - 1)
-            ids = np.take_along_axis(ids, shift, 1)
-            pair = np.take_along_axis(pair, np.minimum(columns + (columns[None, :] >= at[:, None]), width - 1), 1)
+            # what follows the two tokens moves up by one; the last place is never looked at again
+            np.copyto(ids[:, :-1], ids[:, 1:].copy(), where=columns[None, :-1] > at[:, None])
+            np.copyto(pair[:, :-1], pair[:, 1:].copy(), where=columns[None, :-1] >= at[:, None])
             size -= 1
             # the pairs on either side of the new token
             has_right = at + 1 < size
-            pair[row, at] = np.where(has_right, self.rank(ids[row, at], ids[row, np.minimum(at + 1, width - 1)]), NO_RANK)
+            pair[row, at] = np.where(has_right, self.rank(rank, ids[row, np.minimum(at + 1, width - 1)]), NO_RANK)
             has_left = at > 0
             before = np.maximum(at - 1, 0)
-            pair[row, before] = np.where(has_left, self.rank(ids[row, before], ids[row, at]), pair[row, before])
+            pair[row, before] = np.where(has_left, self.rank(ids[row, before], rank), pair[row, before])
             width = int(size.max())
             ids, pair, columns = ids[:, :width], pair[:, :width], columns[:width]
             pair[row, size - 1] = NO_RANK
@@ -334,6 +336,7 @@ def described(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         ranks, known = shared.value
+        number, piece = ranks.numbers.__getitem__, ranks.pieces.__getitem__
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             rows = []
@@ -346,8 +349,8 @@ def described(docs: DataFrame, path: str) -> DataFrame:
                 new, sample, index = np.unique(keys[rest], return_index=True, return_inverse=True)
                 raw = part.tobytes()
                 ids = ranks.merged([raw[starts[k]: ends[k]] for k in rest[sample].tolist()])
-                texts = np.array([*known.texts, *map(id_text, ids), b""], object)
-                decoded = np.array([*known.decoded, *(b"".join([ranks.pieces[i] for i in x]) for x in ids), b""], object)
+                texts = np.array([*known.texts, *(b" ".join(map(number, x)) for x in ids), b""], object)
+                decoded = np.array([*known.decoded, *(b"".join(map(piece, x)) for x in ids), b""], object)
                 sizes = np.concatenate([known.sizes, np.array([len(x) for x in ids], np.int64)])
                 place[rest] = len(known.texts) + index
                 total = np.concatenate([[0], np.cumsum(sizes[place])])[first]

@@ -48,7 +48,8 @@ def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     if len(out):
         keep[1:] = ~(blank[1:] & blank[:-1])
         keep[offsets[:-1][offsets[:-1] < len(out)]] = True
-    return out[keep], np.concatenate([[0], np.cumsum(keep)])[offsets]
+    places = np.flatnonzero(keep)
+    return out[places], np.searchsorted(places, offsets)
 
 
 def automaton(codes: bytes, width: int) -> np.ndarray:
@@ -131,10 +132,12 @@ class Parser:
 
 
 def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    sums = np.concatenate([[0], np.cumsum(LETTER[data])])
-    high = np.concatenate([[0], np.cumsum(data >= 128)])
-    found = sums[offsets[1:]] > sums[offsets[:-1]]
-    for i in np.flatnonzero(~found & (high[offsets[1:]] > high[offsets[:-1]])):
+    full = np.flatnonzero(offsets[1:] > offsets[:-1])
+    found, high = np.zeros(len(offsets) - 1, bool), np.zeros(len(offsets) - 1, bool)
+    if len(full):
+        found[full] = np.logical_or.reduceat(LETTER[data], offsets[full])
+        high[full] = np.logical_or.reduceat(data >= 128, offsets[full])
+    for i in np.flatnonzero(~found & high):
         found[i] = any(map(str.isalpha, data[offsets[i]: offsets[i + 1]].tobytes().decode("utf-8", "ignore")))
     return found
 
